@@ -33,7 +33,18 @@ JSON_TYPES = ("string", "number", "boolean", "array", "object", "null")
 
 
 def is_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+    """Exactly one JSON value and nothing after it.
+
+    The parser stops after the first value, so the text is parsed once inside an
+    array and once inside an object: what follows a first value can close only
+    one of the two, and a second value makes the array longer.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    keyed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    single = F.try_variant_get(listed, "$[0]", "variant").isNotNull() & F.try_variant_get(
+        listed, "$[1]", "variant"
+    ).isNull()
+    return F.coalesce(single, F.lit(False)) & keyed.isNotNull()
 
 
 def json_field(document: Column, path: str) -> Column:

@@ -24,6 +24,8 @@ def session(app: str = "tidelog", master: str | None = None, **conf: str) -> Spa
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # JSON with a repeated key is valid; the last value counts.
+        "spark.sql.variant.allowDuplicateKeys": "true",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
