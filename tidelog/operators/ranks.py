@@ -11,10 +11,13 @@ from tidelog.operators.ordered import GROUP_ROW_LIMIT, _mark, crowded_groups
 
 _ACCURACY = 100_000
 
-# Zero-based index of the wanted value in the sorted group of n values.
+# Zero-based index of the wanted value in the sorted group of n values. ``floor``
+# takes a share, ``nearest`` a percentage.
 INDEX_RULES: dict[str, Callable[[Column, float], Column]] = {
     "floor": lambda n, p: F.least(F.floor(n * F.lit(p)), n - 1).cast("long"),
-    "nearest": lambda n, p: F.least(F.round((n - 1) * F.lit(p)), n - 1).cast("long"),
+    "nearest": lambda n, p: F.least(F.round((n - 1) * F.lit(float(p)) / 100.0), n - 1).cast(
+        "long"
+    ),
     "lower_middle": lambda n, p: F.floor((n - 1) / 2).cast("long"),
     "upper_middle": lambda n, p: F.floor(n / 2).cast("long"),
 }
@@ -74,7 +77,10 @@ def _bracketed(
 ) -> DataFrame:
     # Sketch error plus two ranks, as the rules differ from the sketch by at most two.
     margin = 2.0 / _ACCURACY + 2.0 / limit
-    share = {n: 0.5 if rule.endswith("middle") else p for n, (rule, p) in wanted.items()}
+    share = {
+        name: 0.5 if rule.endswith("middle") else p / 100 if rule == "nearest" else p
+        for name, (rule, p) in wanted.items()
+    }
     bounds = [F.count(F.lit(1)).alias("_n")]
     for i, name in enumerate(wanted):
         low, high = max(0.0, share[name] - margin), min(1.0, share[name] + margin)
