@@ -11,6 +11,29 @@ from pyspark.sql import functions as F
 UNITS = ["B", "KB", "MB", "GB", "TB"]
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A non-negative double with ``digits`` decimals, rounded by its exact binary value.
+
+    ``format_string`` rounds the shortest decimal form instead, which turns 2.085
+    (a little below the tie) into 2.09. Here the rounding error of the product with
+    the power of ten is computed too (Dekker's product), and it decides the ties.
+    """
+    power = float(10**digits)
+    v = value.cast("double")
+    split = v * F.lit(134217729.0)
+    high = split - (split - v)
+    low = v - high
+    product = v * F.lit(power)
+    error = (high * F.lit(power) - product) + low * F.lit(power)
+    whole = F.floor(product)
+    past_half = (product - whole.cast("double") - F.lit(0.5)) + error
+    up = (past_half > 0) | ((past_half == 0) & (whole % 2 == 1))
+    scaled = whole + up.cast("long")
+    units = F.call_function("div", scaled, F.lit(10**digits)).cast("string")
+    rest = F.lpad((scaled % 10**digits).cast("string"), digits, "0")
+    return F.concat(units, F.lit("."), rest)
+
+
 def bytes_binary(size: Column) -> Column:
     """Base 1024, one decimal above bytes."""
     text = F.concat(size.cast("long").cast("string"), F.lit(" B"))
@@ -18,7 +41,7 @@ def bytes_binary(size: Column) -> Column:
         step = float(1024**power)
         text = F.when(
             size >= F.lit(step),
-            F.concat(F.format_string("%.1f", size.cast("double") / step), F.lit(f" {unit}")),
+            F.concat(fixed(size.cast("double") / step, 1), F.lit(f" {unit}")),
         ).otherwise(text)
     return text
 
@@ -26,10 +49,10 @@ def bytes_binary(size: Column) -> Column:
 def bytes_decimal(size: Column) -> Column:
     """Base 1000, two decimals, up to PB; zero is ``0 B``."""
     value = size.cast("double")
-    power = F.floor(F.log10(value) / 3)
+    power = F.greatest(F.floor(F.log10(value) / 3), F.lit(0))
     unit = F.element_at(F.array(*[F.lit(u) for u in UNITS]), (power + 1).cast("int"))
-    scaled = F.format_string("%.2f", value / F.pow(F.lit(1000.0), power))
-    huge = F.concat(F.format_string("%.2f", value / 1e15), F.lit(" PB"))
+    scaled = fixed(value / F.pow(F.lit(1000.0), power), 2)
+    huge = F.concat(fixed(value / 1e15, 2), F.lit(" PB"))
     return (
         F.when(value == 0, F.lit("0 B"))
         .when(power < len(UNITS), F.concat(scaled, F.lit(" "), unit))
@@ -69,9 +92,9 @@ def duration(millis: Column) -> Column:
 
 def rate(value: Column, unit: str) -> Column:
     return (
-        F.when(value >= 1e6, F.concat(F.format_string("%.2fM", value / 1e6), F.lit(f" {unit}/s")))
-        .when(value >= 1e3, F.concat(F.format_string("%.2fK", value / 1e3), F.lit(f" {unit}/s")))
-        .otherwise(F.concat(F.format_string("%.2f", value), F.lit(f" {unit}/s")))
+        F.when(value >= 1e6, F.concat(fixed(value / 1e6, 2), F.lit(f"M {unit}/s")))
+        .when(value >= 1e3, F.concat(fixed(value / 1e3, 2), F.lit(f"K {unit}/s")))
+        .otherwise(F.concat(fixed(value, 2), F.lit(f" {unit}/s")))
     )
 
 

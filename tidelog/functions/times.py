@@ -88,8 +88,15 @@ def rfc3339(ts: Column) -> Column:
     return F.concat(base, fraction, F.lit("+00:00"))
 
 
+def floor_div(value: Column, size: int) -> Column:
+    """Exact floor division of a long; a division through double loses digits."""
+    if size == 1:
+        return value
+    return F.call_function("div", value - F.pmod(value, F.lit(size)), F.lit(size))
+
+
 def ns_to_timestamp(ns: Column) -> Column:
-    return F.timestamp_micros(F.floor(ns / F.lit(1000)).cast("long"))
+    return F.timestamp_micros(floor_div(ns, 1000))
 
 
 def ns_to_date(ns: Column) -> Column:

@@ -25,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidelog.functions.times import floor_div
+
 GROUP_ROW_LIMIT = 4_000_000
 # day, hour, minute, second, millisecond, microsecond
 TIME_WIDTHS_US = (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000, 1_000, 1)
@@ -60,10 +62,6 @@ class Split:
         return frame.drop(CELL)
 
 
-def _floor(position: Column, width: int) -> Column:
-    return F.floor(position / F.lit(width)) if width > 1 else position
-
-
 def _crowded(frame: DataFrame, cols: list[str], limit: int) -> list:
     """Groups above the limit: at most ``rows / limit`` of them."""
     counts = frame.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
@@ -111,13 +109,13 @@ def split_groups(
     else:
         frame = frame.withColumn("_hot", F.lit(True))
 
-    position = F.floor(F.col(at) / F.lit(widths[0])).cast("long") * F.lit(widths[0])
+    position = floor_div(F.col(at), widths[0]) * F.lit(widths[0])
     rank = F.lit(0).cast("long")
     probe = frame.filter("_hot").select(*keys, at, seq)
     flags = []
     for level, width in enumerate(widths):
         grid = f"_g{level}"
-        cell = _floor(F.col(at), width).cast("long")
+        cell = floor_div(F.col(at), width)
         probe = probe.withColumn(grid, cell)
         found = _crowded(probe, [*keys, grid], limit)
         if not found:
@@ -129,12 +127,10 @@ def split_groups(
         if level + 1 < len(widths):
             finer = widths[level + 1]
             position = F.when(
-                F.col(flag), _floor(F.col(at), finer).cast("long") * F.lit(finer)
+                F.col(flag), floor_div(F.col(at), finer) * F.lit(finer)
             ).otherwise(position)
         else:
-            rank = F.when(F.col(flag), F.floor(F.col(seq) / F.lit(limit)).cast("long")).otherwise(
-                rank
-            )
+            rank = F.when(F.col(flag), floor_div(F.col(seq), limit)).otherwise(rank)
     cell = F.when(F.col("_hot"), F.struct(position.alias("at"), rank.alias("seq")))
     frame = frame.withColumn(CELL, cell).drop("_hot", *flags)
     return Split(frame, [*keys, CELL], list(keys), at, seq, True)

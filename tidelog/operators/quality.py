@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions import payload as pl
+from tidelog.functions.times import floor_div
 from tidelog.operators.ordered import (
     COUNT_WIDTHS,
     GROUP_ROW_LIMIT,
@@ -311,9 +312,7 @@ def batches(
 ) -> DataFrame:
     """Add ``batch``: runs of ``size`` rows in arrival order."""
     numbered = row_numbers(frame, [], arrival, unique, "_row", limit, COUNT_WIDTHS)
-    return numbered.withColumn("batch", F.floor((F.col("_row") - 1) / size).cast("long")).drop(
-        "_row"
-    )
+    return numbered.withColumn("batch", floor_div(F.col("_row") - 1, size)).drop("_row")
 
 
 def batch_checksum(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.functions import text as tx
-from tidelog.functions.times import in_range
+from tidelog.functions.times import floor_div, in_range
 from tidelog.operators.ordered import GROUP_ROW_LIMIT, row_numbers
 
 # Bounds of paging.
@@ -165,9 +165,7 @@ def page_numbers(
 ) -> DataFrame:
     """Zero-based page of every row, oldest first, without a global sort."""
     numbered = row_numbers(frame, [], time_us, unique, "_row", limit=limit)
-    return numbered.withColumn("page", F.floor((F.col("_row") - 1) / page_size).cast("long")).drop(
-        "_row"
-    )
+    return numbered.withColumn("page", floor_div(F.col("_row") - 1, page_size)).drop("_row")
 
 
 def newest(frame: DataFrame, time: str, unique: str, n: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidelog.functions.times import floor_div
 from tidelog.operators import behaviour as b
 from tidelog.plans.base import query
 from tidelog.plans.search import _ARRIVALS, K
@@ -29,16 +30,16 @@ def pointer_velocity(spark, root):
     return moved.select("event_id", *[F.round(c, 6).alias(c) for c in ("dx", "dy", "velocity")])
 
 
-# The given events are minutes apart; in thousandths of their time the waits of
-# the rule fall inside the range of the data.
+# The given events are minutes apart; at a hundred-thousandth of their time the waits
+# of the rule fall inside the range of the data.
 @query(
     "move_thinning",
-    f"SELECT event_id FROM {_MOTION.replace('1000000.0', '100000000000.0')} "
+    f"SELECT event_id FROM {_MOTION.replace('epoch_us(ts) AS', 'epoch_us(ts) // 100000 AS')} "
     "WHERE dt >= CASE WHEN velocity > 100 THEN 0.05 ELSE 0.1 END",
 )
 def move_thinning(spark, root):
     moves = t.moves(spark, root)
-    fast = moves.withColumn("ts_us", F.col("ts_us") / 100_000)
+    fast = moves.withColumn("ts_us", floor_div(F.col("ts_us"), 100_000))
     return b.move_thinning(b.pointer_velocity(fast)).select("event_id")
 
 

@@ -279,7 +279,7 @@ def manifest_remove(spark, root):
 )
 def backup_stats(spark, root):
     files = t.catalogue(spark, root)
-    manifest = files.select("path", F.floor(F.col("size") / 2).cast("long").alias("size"))
+    manifest = files.select("path", tm.floor_div(F.col("size"), 2).alias("size"))
     stats = st.backup_stats(manifest, files.filter(F.col("format") != "P"))
     return stats.withColumn("ratio", F.round("ratio", 9))
 

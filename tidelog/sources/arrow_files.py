@@ -25,8 +25,12 @@ class Written(WriterCommitMessage):
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
-        return pafs.FileSystem.from_uri(path)
+    """File system and path of a URI as Spark writes it."""
+    scheme, colon, rest = path.partition(":")
+    if scheme == "file" and colon:
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    if rest.startswith("//"):
+        return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
     return pafs.LocalFileSystem(), path
 
 

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
-import io
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.times import in_range, ns_to_date, ns_to_timestamp
+from tidelog.functions.times import floor_div, in_range, ns_to_date, ns_to_timestamp
 from tidelog.schema import EVENT_COLUMNS
+from tidelog.sources.arrow_files import open_fs
 
 # Accepted codecs; anything else is written as snappy.
 CODECS = {"SNAPPY": "snappy", "GZIP": "gzip", "LZ4": "lz4_raw", "ZSTD": "zstd"}
@@ -31,7 +31,7 @@ def layout_columns(strategy: str, ns: Column, event_type: Column) -> dict[str, C
         "day": F.date_format(ts, "dd"),
     }
     hour = {"hour": F.date_format(ts, "HH")}
-    second = F.floor(ns / F.lit(1_000_000_000)).cast("long")
+    second = floor_div(ns, 1_000_000_000)
     shard = F.pmod(F.xxhash64(event_type, second), F.lit(SHARDS))
     layouts = {
         "daily": day,
@@ -171,8 +171,10 @@ def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         out = []
-        for path, content in zip(batch["path"], batch["content"]):
-            footer = pq.ParquetFile(io.BytesIO(content)).metadata
+        for path in batch["path"]:
+            files, name = open_fs(path)
+            with files.open_input_file(name) as source:
+                footer = pq.read_metadata(source)
             columns = ",".join(footer.schema.to_arrow_schema().names)
             for group in range(footer.num_row_groups):
                 part = footer.row_group(group)
@@ -184,18 +186,10 @@ def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def footers(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
-    """One row per row group, from footers read by tasks (a few files per batch)."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .load(path)
-        .select("path", "content")
-        .mapInPandas(
-            _footers,
-            "path string, columns string, row_group int, rows long, min_values long, "
-            "max_values long",
-        )
+    """One row per row group. Tasks open the listed files and read only their footers."""
+    return list_files(spark, path, pattern).select("path").mapInPandas(
+        _footers,
+        "path string, columns string, row_group int, rows long, min_values long, max_values long",
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.functions.times import floor_div
+
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
@@ -106,7 +108,7 @@ def arrivals(spark: SparkSession, root: str) -> DataFrame:
     101st; every 50th event arrives seven places late.
     """
     e = F.col("event_id")
-    renumbered = e + F.floor(e / 97) - F.when(e % 101 == 0, 1).otherwise(0)
+    renumbered = e + floor_div(e, 97) - F.when(e % 101 == 0, 1).otherwise(0)
     return events(spark, root).select(
         renumbered.cast("long").alias("id"),
         (e + F.when(e % 50 == 0, 7).otherwise(0)).cast("long").alias("arrival"),
