@@ -21,14 +21,22 @@ def _micros() -> F.Column:
     return F.unix_micros(F.col("ts").cast("timestamp"))
 
 
+def as_events(raw: DataFrame) -> DataFrame:
+    """Raw events with the time also as microseconds and ``props.k`` as a column."""
+    return raw.withColumns({"ts_us": _micros(), "k": _k()})
+
+
 def events(spark: SparkSession, root: str) -> DataFrame:
-    """``events`` with the time also as microseconds and ``props.k`` as a column."""
-    return table(spark, root, "events").withColumns({"ts_us": _micros(), "k": _k()})
+    return as_events(table(spark, root, "events"))
 
 
 def event_log(spark: SparkSession, root: str) -> DataFrame:
-    """``events`` as the stored seven-column event table."""
-    return table(spark, root, "events").select(
+    return as_event_log(table(spark, root, "events"))
+
+
+def as_event_log(raw: DataFrame) -> DataFrame:
+    """Raw events as the stored seven-column event table."""
+    return raw.select(
         (_micros() * 1000).alias("timestamp_ns"),
         "event_type",
         F.concat(F.lit("app."), (F.col("user_id") % 10).cast("string")).alias("app_bundle_id"),
@@ -87,12 +95,16 @@ SECURITY_KINDS = {
 
 
 def security_log(spark: SparkSession, root: str) -> DataFrame:
+    return as_security_log(table(spark, root, "events"))
+
+
+def as_security_log(raw: DataFrame) -> DataFrame:
     kind, severity = F.lit(None).cast("string"), F.lit(None).cast("int")
     for event_type, (name, level) in SECURITY_KINDS.items():
         is_type = F.col("event_type") == event_type
         kind = F.when(is_type, F.lit(name)).otherwise(kind)
         severity = F.when(is_type, F.lit(level)).otherwise(severity)
-    return events(spark, root).select(
+    return as_events(raw).select(
         "event_id",
         "ts_us",
         F.col("user_id").alias("source"),
@@ -102,6 +114,10 @@ def security_log(spark: SparkSession, root: str) -> DataFrame:
 
 
 def arrivals(spark: SparkSession, root: str) -> DataFrame:
+    return as_arrivals(table(spark, root, "events"))
+
+
+def as_arrivals(raw: DataFrame) -> DataFrame:
     """All events, renumbered and reordered so that a log check finds something.
 
     ``id`` skips a number after every 97 events and repeats a number at every
@@ -109,7 +125,7 @@ def arrivals(spark: SparkSession, root: str) -> DataFrame:
     """
     e = F.col("event_id")
     renumbered = e + floor_div(e, 97) - F.when(e % 101 == 0, 1).otherwise(0)
-    return events(spark, root).select(
+    return as_events(raw).select(
         renumbered.cast("long").alias("id"),
         (e + F.when(e % 50 == 0, 7).otherwise(0)).cast("long").alias("arrival"),
         "event_id",
