@@ -32,6 +32,13 @@ ID_BYTES = 8
 JSON_TYPES = ("string", "number", "boolean", "array", "object", "null")
 
 
+def listed(checks: list[tuple[Column, Column]], kind: str = "string") -> Column:
+    """The items whose condition holds, as an array. Unlike ``array_compact`` over
+    nulls this stays inside generated code."""
+    none = F.array().cast(f"array<{kind}>")
+    return F.concat(*[F.when(cond, F.array(item)).otherwise(none) for cond, item in checks])
+
+
 def is_json(text: Column) -> Column:
     """Exactly one JSON value and nothing after it.
 
@@ -54,16 +61,16 @@ def json_field(document: Column, path: str) -> Column:
 
 def json_type(value: Column) -> Column:
     """``string``, ``number``, ``boolean``, ``array``, ``object`` or ``null``."""
-    schema = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(F.is_variant_null(value), F.lit("null"))
-        .when(schema == "STRING", F.lit("string"))
-        .when(schema == "BOOLEAN", F.lit("boolean"))
-        .when(schema.startswith("ARRAY"), F.lit("array"))
-        .when(schema.startswith("OBJECT"), F.lit("object"))
-        .otherwise(F.lit("number"))
-    )
+    return F.transform(
+        F.array(F.schema_of_variant(value)),
+        lambda name: F.when(value.isNull(), F.lit(None).cast("string"))
+        .when(name == "VOID", F.lit("null"))
+        .when(name == "STRING", F.lit("string"))
+        .when(name == "BOOLEAN", F.lit("boolean"))
+        .when(name.startswith("ARRAY"), F.lit("array"))
+        .when(name.startswith("OBJECT"), F.lit("object"))
+        .otherwise(F.lit("number")),
+    )[0]
 
 
 def event_checksum(event_id: Column, stamp: Column, event_type: Column, data: Column) -> Column:
@@ -82,9 +89,7 @@ def event_size(event_type: Column, data: Column, checksum: Column) -> Column:
 
 
 def flag_names(bits: Column, table: list[tuple[int, str]]) -> Column:
-    return F.array_compact(
-        F.array(*[F.when(bits.bitwiseAND(F.lit(mask)) != 0, F.lit(name)) for mask, name in table])
-    )
+    return listed([(bits.bitwiseAND(F.lit(mask)) != 0, F.lit(name)) for mask, name in table])
 
 
 def file_change(bits: Column) -> Column:

@@ -35,76 +35,73 @@ URL_PATTERN = r"^https?://[^\s/$.?#].[^\s]*$"
 
 def validate_events(log: DataFrame) -> DataFrame:
     """Keep every row; add ``errors`` (array of messages) and ``passed``."""
-    errors = F.array_compact(F.array(*[F.when(bad(), F.lit(m)) for m, bad in EVENT_RULES]))
+    errors = pl.listed([(bad(), F.lit(message)) for message, bad in EVENT_RULES])
     return log.withColumn("errors", errors).withColumn("passed", F.size("errors") == 0)
 
 
 # -- rules over JSON fields --------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Value:
+    """What a rule sees of a row: the document, and the field it looks at with its
+    JSON type. A missing field is null and has no type."""
+
+    document: Column
+    field: Column
+    kind: Column
+
+    @property
+    def text(self) -> Column:
+        return F.when(self.kind == "string", self.field.try_cast("string"))
+
+    @property
+    def number(self) -> Column:
+        return F.when(self.kind == "number", self.field.try_cast("double"))
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``test`` maps the parsed document (a variant) to true when it is broken."""
+    """``broken`` is true where the rule fails; null counts as kept."""
 
     name: str
     field: str
     message: str
-    broken: Callable[[Column], Column]
+    broken: Callable[[Value], Column]
+    path: str | None = None
     severity: str = "error"
 
 
-def _text(value: Column) -> Column:
-    return F.when(pl.json_type(value) == "string", value.cast("string"))
-
-
-def _number(value: Column) -> Column:
-    return F.when(pl.json_type(value) == "number", value.cast("double"))
-
-
 def required(field: str) -> Rule:
-    return Rule(
-        f"required_field_{field}",
-        field,
-        f"Required field '{field}' is missing",
-        lambda d: pl.json_field(d, field).isNull(),
-    )
+    message = f"Required field '{field}' is missing"
+    return Rule(f"required_field_{field}", field, message, lambda v: v.kind.isNull(), field)
 
 
 def field_type(field: str, kind: str) -> Rule:
     if kind not in pl.JSON_TYPES:
         raise ValueError(f"unknown JSON type: {kind}")
-    return Rule(
-        f"field_type_{field}",
-        field,
-        f"Field '{field}' has incorrect type",
-        lambda d: F.coalesce(pl.json_type(pl.json_field(d, field)) != kind, F.lit(False)),
-    )
+    message = f"Field '{field}' has incorrect type"
+    return Rule(f"field_type_{field}", field, message, lambda v: v.kind != kind, field)
 
 
 def number_range(field: str, low: float, high: float) -> Rule:
-    def broken(d: Column) -> Column:
-        return F.coalesce(~_number(pl.json_field(d, field)).between(low, high), F.lit(False))
-
-    return Rule(f"range_{field}", field, f"Field '{field}' is outside [{low}, {high}]", broken)
+    message = f"Field '{field}' is outside [{low}, {high}]"
+    return Rule(f"range_{field}", field, message, lambda v: ~v.number.between(low, high), field)
 
 
 def pattern(field: str, regex: str) -> Rule:
-    def broken(d: Column) -> Column:
-        return F.coalesce(~_text(pl.json_field(d, field)).rlike(regex), F.lit(False))
-
-    return Rule(
-        f"pattern_{field}", field, f"Field '{field}' does not match required pattern", broken
-    )
+    message = f"Field '{field}' does not match required pattern"
+    return Rule(f"pattern_{field}", field, message, lambda v: ~v.text.rlike(regex), field)
 
 
 def custom(name: str, holds: Callable[[Column], Column]) -> Rule:
-    """``holds`` may be a column expression or wrap a pandas UDF."""
-    return Rule(
-        name,
-        "data",
-        f"Custom validation '{name}' failed",
-        lambda d: ~F.coalesce(holds(d), F.lit(False)),
-    )
+    """``holds`` gets the parsed document; it may wrap a pandas UDF. Null is a failure."""
+    return _custom(name, lambda v: holds(v.document))
+
+
+def _custom(name: str, holds: Callable[[Value], Column], path: str | None = None) -> Rule:
+    message = f"Custom validation '{name}' failed"
+    return Rule(name, "data", message, lambda v: ~F.coalesce(holds(v), F.lit(False)), path)
 
 
 def email(field: str) -> Rule:
@@ -116,31 +113,43 @@ def url(field: str) -> Rule:
 
 
 def non_empty(field: str) -> Rule:
-    return custom(
-        f"non_empty_string_{field}", lambda d: F.trim(_text(pl.json_field(d, field))) != ""
-    )
+    return _custom(f"non_empty_string_{field}", lambda v: F.trim(v.text) != "", field)
 
 
 def positive(field: str) -> Rule:
-    return custom(f"positive_number_{field}", lambda d: _number(pl.json_field(d, field)) > 0)
+    return _custom(f"positive_number_{field}", lambda v: v.number > 0, field)
 
 
 def apply_rules(frame: DataFrame, rules: list[Rule], data: str = "data") -> DataFrame:
-    """Add ``rule_errors``: all broken rules of a row, from one parse of its JSON."""
+    """Add ``rule_errors``: all broken rules of a row.
+
+    The JSON is parsed once, and each field is taken out and typed once, however
+    many rules look at it.
+    """
+    paths = list(dict.fromkeys(r.path for r in rules if r.path))
+    document = F.col("_doc")
     parsed = frame.withColumn("_doc", F.try_parse_json(data))
-    broken = [
-        F.when(
-            rule.broken(F.col("_doc")),
-            F.struct(
-                F.lit(rule.name).alias("rule"),
-                F.lit(rule.field).alias("field"),
-                F.lit(rule.message).alias("message"),
-                F.lit(rule.severity).alias("severity"),
-            ),
+    parsed = parsed.withColumns({f"_f{i}": pl.json_field(document, p) for i, p in enumerate(paths)})
+    parsed = parsed.withColumns({f"_k{i}": pl.json_type(F.col(f"_f{i}")) for i in range(len(paths))})
+    none = F.lit(None).cast("string")
+    broken = []
+    for rule in rules:
+        i = paths.index(rule.path) if rule.path else None
+        value = (
+            Value(document, document, none)
+            if i is None
+            else Value(document, F.col(f"_f{i}"), F.col(f"_k{i}"))
+        )
+        details = F.struct(
+            F.lit(rule.name).alias("rule"),
+            F.lit(rule.field).alias("field"),
+            F.lit(rule.message).alias("message"),
+            F.lit(rule.severity).alias("severity"),
         )
-        for rule in rules
-    ]
-    return parsed.withColumn("rule_errors", F.array_compact(F.array(*broken))).drop("_doc")
+        broken.append((rule.broken(value), details))
+    helpers = [f"_{x}{i}" for i in range(len(paths)) for x in "fk"]
+    kind = "struct<rule:string,field:string,message:string,severity:string>"
+    return parsed.withColumn("rule_errors", pl.listed(broken, kind)).drop("_doc", *helpers)
 
 
 def errors_by_rule(checked: DataFrame, errors: Column) -> DataFrame:

@@ -14,10 +14,14 @@ from tidelog.sources import tables as t
 AS_OF = dt.datetime(2024, 2, 1)
 
 
+def _texts(spark, root):
+    return t.spread(t.table(spark, root, "documents").select("doc_id", "text"))
+
+
 def _flawed_log(spark, root):
     """The event log with faults written into it by row number."""
     n = F.col("event_id").cast("long")
-    return t.event_log(spark, root).withColumns(
+    return t.spread(t.event_log(spark, root)).withColumns(
         {
             "_n": n,
             "timestamp_ns": F.when(n % 11 == 0, F.lit(0)).otherwise(F.col("timestamp_ns")),
@@ -83,7 +87,7 @@ def _rule_rows(spark, root):
     doc = F.to_json(
         F.struct(F.col("k"), F.col("event_type").alias("type"), F.col("user_id").alias("user"))
     )
-    return t.events(spark, root).select("event_id", doc.alias("data"))
+    return t.spread(t.events(spark, root)).select("event_id", doc.alias("data"))
 
 
 _RULE_SQL = (
@@ -325,12 +329,12 @@ def event_size(spark, root):
     "SELECT doc_id, sha256(text) AS sha FROM documents",
 )
 def hashes(spark, root):
-    return t.table(spark, root, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
+    return _texts(spark, root).select("doc_id", F.sha2("text", 256).alias("sha"))
 
 
 @query("crc_hashes")
 def crc_hashes(spark, root):
-    return t.table(spark, root, "documents").select("doc_id", F.crc32("text").alias("crc"))
+    return _texts(spark, root).select("doc_id", F.crc32("text").alias("crc"))
 
 
 _DOC = (

@@ -334,4 +334,4 @@ def privacy_mask(spark, root):
 )
 def redact_sensitive(spark, root):
     shown = tx.filter_sensitive(F.col("text"), ["Heed"]).alias("shown")
-    return t.table(spark, root, "documents").select("doc_id", shown)
+    return t.spread(t.table(spark, root, "documents")).select("doc_id", shown)

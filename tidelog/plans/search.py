@@ -21,6 +21,10 @@ WORDS = (
 K = "CAST(json_extract(props, '$.k') AS BIGINT)"
 
 
+def _texts(spark, root):
+    return t.spread(t.table(spark, root, "documents").select("doc_id", "text"))
+
+
 def _hits(predicate: str) -> str:
     return f"SELECT doc_id FROM (SELECT doc_id, {WORDS} AS w FROM documents) WHERE {predicate}"
 
@@ -257,7 +261,7 @@ def facets(spark, root):
     "FROM documents) GROUP BY token",
 )
 def build_index(spark, root):
-    posted = so.postings(t.table(spark, root, "documents"), "doc_id", "text")
+    posted = so.postings(_texts(spark, root), "doc_id", "text")
     return posted.groupBy("token").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
@@ -265,7 +269,7 @@ def build_index(spark, root):
 def search_index_join(spark, root):
     docs = t.table(spark, root, "documents")
     path = work_dir(spark, "word-index")
-    so.write_index(so.postings(docs, "doc_id", "text"), path, 8, "doc_id")
+    so.write_index(so.postings(_texts(spark, root), "doc_id", "text"), path, 8, "doc_id")
     return so.lookup(docs, spark.read.parquet(path), "doc_id", "Tion").select("doc_id")
 
 
@@ -299,6 +303,6 @@ def intersect_ids(spark, root):
     + f" AS INTEGER) AS distance FROM (SELECT unnest({WORDS}) AS t FROM documents)",
 )
 def lev_distance(spark, root):
-    words = so.postings(t.table(spark, root, "documents"), "doc_id", "text")
+    words = so.postings(_texts(spark, root), "doc_id", "text")
     words = words.select("token").distinct()
     return words.select("token", tx.edit_distance(F.col("token"), F.lit("ention")).alias("distance"))
