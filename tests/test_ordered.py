@@ -53,12 +53,12 @@ def test_cells_stay_below_the_limit(frame, keys, limit):
     assert split.cut == (limit < 10_000 or not keys)
     assert split.frame.count() == 600
     if split.cut:
-        sizes = split.frame.groupBy(*split.by).count().filter(f"{o.CELL} is not null")
+        sizes = split.frame.filter(o.in_cut_group()).groupBy(*split.by).count()
         assert sizes.agg(F.max("count")).first()[0] <= limit
         # Cells follow the order of the rows.
         ranges = (
-            split.frame.filter(f"{o.CELL} is not null")
-            .groupBy(*split.by)
+            split.frame.filter(o.in_cut_group())
+            .groupBy(o.CELL)
             .agg(
                 F.min(F.struct("at", "seq")).alias("lo"), F.max(F.struct("at", "seq")).alias("hi")
             )
@@ -66,7 +66,9 @@ def test_cells_stay_below_the_limit(frame, keys, limit):
         )
         per_key = {}
         for r in ranges:
-            per_key.setdefault(r["k"] if keys else 0, []).append((r[o.CELL], r["lo"], r["hi"]))
+            cell = r[o.CELL]
+            key = cell["k0"] if keys else 0
+            per_key.setdefault(key, []).append(((cell["at"], cell["seq"]), r["lo"], r["hi"]))
         for cells in per_key.values():
             cells.sort()
             assert all(a[2] < b[1] for a, b in zip(cells, cells[1:]))

@@ -131,9 +131,19 @@ def split_groups(
             ).otherwise(position)
         else:
             rank = F.when(F.col(flag), floor_div(F.col(seq), limit)).otherwise(rank)
-    cell = F.when(F.col("_hot"), F.struct(position.alias("at"), rank.alias("seq")))
+    # One struct of keys and cell: never null itself, so windows and joins over it
+    # share one partitioning. Groups that are not cut have no position in it.
+    cell = F.struct(
+        *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)],
+        F.when(F.col("_hot"), position).alias("at"),
+        F.when(F.col("_hot"), rank).alias("seq"),
+    )
     frame = frame.withColumn(CELL, cell).drop("_hot", *flags)
-    return Split(frame, [*keys, CELL], list(keys), at, seq, True)
+    return Split(frame, [CELL], list(keys), at, seq, True)
+
+
+def in_cut_group() -> Column:
+    return F.col(CELL).at.isNotNull()
 
 
 def with_previous(
@@ -154,7 +164,7 @@ def with_previous(
         return split
     newest = Window.partitionBy(*split.by).orderBy(F.col(at).desc(), F.col(seq).desc())
     tails = (
-        split.frame.filter(F.col(CELL).isNotNull())
+        split.frame.filter(in_cut_group())
         .withColumn("_back", F.row_number().over(newest))
         .filter(F.col("_back") <= depth)
         .drop("_back")
@@ -201,29 +211,28 @@ def running(
         return out.withColumns(fill) if fill else out
 
     totals = (
-        split.frame.filter(F.col(CELL).isNotNull())
-        .groupBy(*split.by)
+        split.frame.filter(in_cut_group())
+        .groupBy(CELL)
         .agg(*[_AGGREGATE[kind](col).alias(f"_t_{n}") for n, (kind, col) in measures.items()])
     )
+    # One row per cell, so this window is small.
     earlier = (
-        Window.partitionBy(*keys).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*[F.col(CELL)[f"k{i}"] for i in range(len(keys))])
+        .orderBy(F.col(CELL).at, F.col(CELL).seq)
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = totals.select(
-        *[F.col(c).alias(f"_r_{c}") for c in split.by],
+        F.col(CELL).alias("_of"),
         *[
             _AGGREGATE[kind](f"_t_{n}").over(earlier).alias(f"_c_{n}")
             for n, (kind, _) in measures.items()
         ],
     )
-    match = None
-    for c in split.by:
-        one = F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-        match = one if match is None else match & one
-    out = out.join(carried, match, "left")
+    out = out.join(carried, F.col(CELL) == F.col("_of"), "left")
     out = out.withColumns(
         {n: _COMBINE[kind](F.col(f"_c_{n}"), F.col(n)) for n, (kind, _) in measures.items()}
     )
-    return out.drop(CELL, *[c for c in carried.columns])
+    return out.drop(CELL, *carried.columns)
 
 
 def row_numbers(
@@ -256,17 +265,23 @@ def trailing_count(
     ``at - span`` that sorts after the rows of that instant; the two running
     counts differ by the rows inside the span.
     """
-    rows = frame.select(*keys, at, seq, F.lit(1).cast("long").alias("_one"), F.col(seq).alias("_s"))
-    probes = frame.select(
-        *keys,
-        (F.col(at) - F.lit(span)).alias(at),
-        (F.col(seq) + F.lit(_PROBE)).alias(seq),
-        F.lit(0).cast("long").alias("_one"),
-        F.col(seq).alias("_s"),
+    one, none = (F.lit(n).cast("long") for n in (1, 0))
+    pair = F.array(
+        F.struct(F.col(at).alias("at"), F.col(seq).alias("seq"), one.alias("one")),
+        F.struct(
+            (F.col(at) - F.lit(span)).alias("at"),
+            (F.col(seq) + F.lit(_PROBE)).alias("seq"),
+            none.alias("one"),
+        ),
     )
-    counted = running(
-        rows.unionByName(probes), keys, at, seq, {"_cum": ("sum", F.col("_one"))}, limit=limit
+    doubled = frame.select(*keys, F.col(seq).alias("_s"), F.explode(pair).alias("_p")).select(
+        *keys,
+        F.col("_p").at.alias(at),
+        F.col("_p").seq.alias(seq),
+        F.col("_p").one.alias("_one"),
+        "_s",
     )
+    counted = running(doubled, keys, at, seq, {"_cum": ("sum", F.col("_one"))}, limit=limit)
     is_row = F.col("_one") == 1
     return (
         counted.groupBy(*keys, "_s")

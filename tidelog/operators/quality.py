@@ -18,6 +18,7 @@ from tidelog.operators.ordered import (
     running,
     with_previous,
 )
+from tidelog.session import materialize
 
 # Messages of the five event rules.
 EVENT_RULES = [
@@ -247,6 +248,8 @@ def sequence_issues(
         limit=limit,
         widths=COUNT_WIDTHS,
     ).filter(F.col("prev_max").isNotNull() & (F.col(ident) != F.col("prev_max") + 1))
+    # Only the offending rows are left; they are needed three times.
+    seen = materialize(seen, "sequence")
     gaps = seen.filter(F.col(ident) > F.col("prev_max") + 1).withColumn("issue", F.lit("gap"))
     late = seen.filter(F.col(ident) <= F.col("prev_max"))
     # The first late arrival per id by aggregation, so that one id with very many

@@ -213,10 +213,11 @@ def postings(frame: DataFrame, unique: str, text: str) -> DataFrame:
     return frame.select(F.explode(words).alias("token"), unique)
 
 
-def write_index(posting: DataFrame, path: str, files: int, unique: str) -> None:
+def write_index(posting: DataFrame, path: str, unique: str, files: int | None = None) -> None:
     """Sorted by token and id; frequent words spread over several files."""
+    by = ["token", unique]
     (
-        posting.repartitionByRange(files, "token", unique)
+        (posting.repartitionByRange(files, *by) if files else posting.repartitionByRange(*by))
         .sortWithinPartitions("token", unique)
         .write.mode("overwrite")
         .parquet(path)

@@ -8,7 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.operators.ordered import CELL, COPY, GROUP_ROW_LIMIT, trailing_count, with_previous
+from tidelog.operators.ordered import (
+    CELL,
+    COPY,
+    GROUP_ROW_LIMIT,
+    in_cut_group,
+    trailing_count,
+    with_previous,
+)
 
 SECOND_US = 1_000_000
 # Thresholds and windows of the alerts.
@@ -216,7 +223,7 @@ def lockout(
             {
                 "cell_at": F.coalesce(F.col(CELL).at, F.lit(0).cast("long")),
                 "cell_seq": F.coalesce(F.col(CELL).seq, F.lit(0).cast("long")),
-                "_in_cell": F.col(CELL).isNotNull(),
+                "_in_cell": in_cut_group(),
             }
         ).drop(CELL)
         tables = (

@@ -269,7 +269,7 @@ def build_index(spark, root):
 def search_index_join(spark, root):
     docs = t.table(spark, root, "documents")
     path = work_dir(spark, "word-index")
-    so.write_index(so.postings(_texts(spark, root), "doc_id", "text"), path, 8, "doc_id")
+    so.write_index(so.postings(_texts(spark, root), "doc_id", "text"), path, "doc_id")
     return so.lookup(docs, spark.read.parquet(path), "doc_id", "Tion").select("doc_id")
 
 

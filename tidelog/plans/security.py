@@ -32,17 +32,20 @@ def _alert_sql(kind: str, threshold: int, days: int, own: bool, action: str) ->
 
 @query("alert_auth", _alert_sql("AuthenticationFailure", 5, 6, True, "temporarily blocked"))
 def alert_auth(spark, root):
-    return s.auth_alerts(t.security_log(spark, root), window_s=6 * DAY)
+    log = t.security_log(spark, root, ["AuthenticationFailure"])
+    return s.auth_alerts(log, window_s=6 * DAY)
 
 
 @query("alert_rate", _alert_sql("RateLimitExceeded", 6, 10, False, "rate limited"))
 def alert_rate(spark, root):
-    return s.rate_alerts(t.security_log(spark, root), threshold=6, window_s=10 * DAY)
+    log = t.security_log(spark, root, ["RateLimitExceeded"])
+    return s.rate_alerts(log, threshold=6, window_s=10 * DAY)
 
 
 @query("alert_suspicious", _alert_sql("SuspiciousRequest", 3, 5, False, "flagged as suspicious"))
 def alert_suspicious(spark, root):
-    return s.suspicious_alerts(t.security_log(spark, root), window_s=5 * DAY)
+    log = t.security_log(spark, root, s.SUSPICIOUS_KINDS)
+    return s.suspicious_alerts(log, window_s=5 * DAY)
 
 
 @query(
@@ -50,7 +53,8 @@ def alert_suspicious(spark, root):
     f"SELECT event_id, source, 'Alert triggered' AS action FROM {_LOG} WHERE kind = 'DataWipe'",
 )
 def alert_critical(spark, root):
-    return s.critical_alerts(t.security_log(spark, root)).select("event_id", "source", "action")
+    log = t.security_log(spark, root, s.CRITICAL_KINDS)
+    return s.critical_alerts(log).select("event_id", "source", "action")
 
 
 @query(

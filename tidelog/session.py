@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -47,3 +47,13 @@ def work_dir(spark: SparkSession, label: str) -> str:
             _LOCAL_ROOTS[sc.applicationId] = tempfile.mkdtemp(prefix="tidelog-")
         root = _LOCAL_ROOTS[sc.applicationId]
     return f"{root.rstrip('/')}/tidelog/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(frame: DataFrame, label: str) -> DataFrame:
+    """Write a result that several parts of a plan use, and read it back.
+
+    It survives the loss of executors and is computed once.
+    """
+    path = work_dir(frame.sparkSession, label)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

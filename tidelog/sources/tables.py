@@ -104,11 +104,19 @@ SECURITY_KINDS = {
 }
 
 
-def security_log(spark: SparkSession, root: str) -> DataFrame:
-    return as_security_log(table(spark, root, "events"))
-
-
-def as_security_log(raw: DataFrame) -> DataFrame:
+def security_log(
+    spark: SparkSession, root: str, kinds: list[str] | None = None
+) -> DataFrame:
+    return as_security_log(table(spark, root, "events"), kinds)
+
+
+def as_security_log(raw: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """Raw events as security events, optionally only of some kinds. That choice is
+    made on the stored type, where the scan can apply it."""
+    if kinds is not None:
+        raw = raw.filter(
+            F.col("event_type").isin([t for t, (k, _) in SECURITY_KINDS.items() if k in kinds])
+        )
     kind, severity = F.lit(None).cast("string"), F.lit(None).cast("int")
     for event_type, (name, level) in SECURITY_KINDS.items():
         is_type = F.col("event_type") == event_type

@@ -23,6 +23,7 @@ from tidelog.operators import security as sec
 from tidelog.operators.behaviour import route_events
 from tidelog.operators.ordered import GROUP_ROW_LIMIT
 from tidelog.sources import eventlog as el
+from tidelog.sources.tables import spread
 from tidelog.streaming.tables import read_state, write_batch, write_state
 
 Handler = Callable[[DataFrame, int], None]
@@ -69,7 +70,7 @@ def ingest_handler(root: str) -> Handler:
     """Validate, split off frames, write events by day; issues and a ledger aside."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        checked = q.validate_events(batch).persist()
+        checked = q.validate_events(spread(batch)).persist()
         try:
             issues = checked.filter(~F.col("passed")).select("event_id", "errors")
             write_batch(issues, f"{root}/issues", batch_id)
