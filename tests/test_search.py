@@ -30,6 +30,15 @@ def docs(spark):
         ("th", "token", []),
         ("UCK", "wildcard", [6]),
         ("duck", "token", [6]),
+        ("quick brown", "token", []),
+        ("k b", "wildcard", []),
+        ("en", "prefix", [3]),
+        ("ent", "prefix", [3]),
+        ("cat", "prefix", []),
+        ("Ent", "prefix", []),
+        ("grö", "prefix", [4]),
+        ("q.*", "token", []),
+        ("\\E", "token", []),
         ("enterprise", "prefix", [3]),
         ("größe", "token", [4]),
         # Distance counts bytes: the two-byte letter costs a change and a deletion.

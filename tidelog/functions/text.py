@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -29,18 +30,37 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _SPACE), lambda t: t != "")
 
 
-def has_token(words: Column, query: str) -> Column:
-    return F.array_contains(words, query.lower())
+def _quoted(text: str) -> str:
+    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def token_contains(words: Column, query: str) -> Column:
-    return F.exists(words, lambda t: t.contains(query.lower()))
+def has_token(text: Column, query: str) -> Column:
+    """The query is one of the words. The search ends at the first hit, and texts that
+    do not contain the query at all are told apart by a plain byte search."""
+    word = query.lower()
+    if not word or re.search(r"\s", word):
+        return F.lit(False)
+    low = F.lower(text)
+    return low.contains(word) & low.rlike(rf"(?U)(?:^|\s){_quoted(word)}(?:\s|$)")
 
 
-def token_starts(words: Column, query: str) -> Column:
-    """A word of more than 3 bytes that starts with the first 3 characters."""
+def token_contains(text: Column, query: str) -> Column:
+    """The query lies inside one word: it is in the text and has no white space."""
+    part = query.lower()
+    return F.lit(False) if re.search(r"\s", part) else F.lower(text).contains(part)
+
+
+def token_starts(text: Column, query: str) -> Column:
+    """A word of more than 3 bytes that starts with the first 3 characters, as written."""
     head = query[:3]
-    return F.exists(words, lambda t: (F.octet_length(t) > 3) & t.startswith(head))
+    if re.search(r"\s", head):
+        return F.lit(False)
+    low, size = F.lower(text), len(head.encode())
+    if size >= 3:
+        rest = r"\S" if size == 3 else ""
+        return low.contains(head) & low.rlike(rf"(?U)(?:^|\s){_quoted(head)}{rest}")
+    long_enough = F.exists(tokens(text), lambda t: (F.octet_length(t) > 3) & t.startswith(head))
+    return low.contains(head) & long_enough
 
 
 def edit_distance(left: Column, right: Column, at_most: int | None = None) -> Column:
@@ -57,7 +77,7 @@ def edit_distance(left: Column, right: Column, at_most: int | None = None) -> Co
     return F.levenshtein(*padded, at_most) if at_most is not None else F.levenshtein(*padded)
 
 
-def token_near(words: Column, query: str, distance: int = 2) -> Column:
+def token_near(text: Column, query: str, distance: int = 2) -> Column:
     """A word of more than 3 bytes within ``distance`` edits of the query.
 
     The query is taken as written. Words whose length alone rules them out are
@@ -70,7 +90,7 @@ def token_near(words: Column, query: str, distance: int = 2) -> Column:
         fits = length.between(max(4, size - distance), size + distance)
         return F.when(fits, edit_distance(t, F.lit(query), distance) >= 0).otherwise(False)
 
-    return F.exists(words, near)
+    return F.exists(tokens(text), near)
 
 
 def contains_any(text: Column, parts: list[str]) -> Column:

@@ -69,7 +69,6 @@ def text_predicate(text: Column, query: str, mode: str = "token") -> Column:
         return text.rlike(pattern)
     if len(query.encode()) > MAX_QUERY_BYTES:
         raise ValueError(f"query too long (at most {MAX_QUERY_BYTES} bytes)")
-    words = tx.tokens(text)
     modes = {
         "token": tx.has_token,
         "wildcard": tx.token_contains,
@@ -78,7 +77,7 @@ def text_predicate(text: Column, query: str, mode: str = "token") -> Column:
     }
     if mode not in modes:
         raise ValueError(f"unknown search mode: {mode}")
-    return modes[mode](words, query)
+    return modes[mode](text, query)
 
 
 def filter_predicate(frame: DataFrame, key: str, value: str, payload: str = "data") -> Column:

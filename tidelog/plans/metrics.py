@@ -242,9 +242,9 @@ def source_stats(spark, root):
 
 @query(
     "system_health",
-    "SELECT 20::BIGINT AS sources, count(*) FILTER (WHERE NOT dropped AND NOT failed) AS collected, count(*) FILTER "
+    "SELECT *, errors < 10 AND utilization < 80 AS healthy FROM (SELECT count(DISTINCT source) AS sources, count(*) FILTER (WHERE NOT dropped AND NOT failed) AS collected, count(*) FILTER "
     "(WHERE dropped) AS dropped, count(*) FILTER (WHERE failed) AS errors, count(*) FILTER (WHERE dropped) / "
-    f"count(*)::DOUBLE * 100 AS utilization, FALSE AS healthy FROM {_SOURCES}",
+    f"count(*)::DOUBLE * 100 AS utilization FROM {_SOURCES})",
 )
 def system_health(spark, root):
     total = F.col("collected") + F.col("dropped") + F.col("errors")

@@ -240,12 +240,14 @@ def backup_plan(spark, root):
 
 @query(
     "backup_verify",
-    "SELECT 0::BIGINT AS left_only, 0::BIGINT AS right_only, TRUE AS equal",
+    f"SELECT count(*) AS restored, 0::BIGINT AS left_only, 0::BIGINT AS right_only, TRUE AS equal FROM events WHERE {_IN_RANGE}",
 )
 def backup_verify(spark, root):
     log, target = t.event_log(spark, root), work_dir(spark, "backup")
     st.backup(spark, log, target, _chosen(log))
-    return st.same_content(log.filter(_chosen(log)), st.restore(spark, target))
+    restored = st.restore(spark, target)
+    count = restored.agg(F.count(F.lit(1)).alias("restored"))
+    return count.crossJoin(st.same_content(log.filter(_chosen(log)), restored))
 
 
 @query(

@@ -10,6 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_ROOTS: dict[str, str] = {}
 
 
+# Settings that decide results, as opposed to speed.
+PINNED = {
+    "spark.sql.session.timeZone": "UTC",
+    # JSON with a repeated key is valid; the last value counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
+}
+
+
+def pin(spark: SparkSession) -> SparkSession:
+    for key, value in PINNED.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def session(app: str = "tidelog", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC time and adaptive execution.
 
@@ -20,12 +34,10 @@ def session(app: str = "tidelog", master: str | None = None, **conf: str) -> Spa
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
     defaults = {
-        "spark.sql.session.timeZone": "UTC",
+        **PINNED,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # JSON with a repeated key is valid; the last value counts.
-        "spark.sql.variant.allowDuplicateKeys": "true",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
