@@ -237,18 +237,17 @@ def duplicate_ids(spark, root):
 
 @query(
     "checksum_mismatch",
-    "SELECT doc_id, sha256(text) AS checksum, sha256(text || '!') AS expected FROM documents "
-    "WHERE doc_id % 50 = 0 AND doc_id % 3 <> 0",
+    "SELECT doc_id, sha256(text) AS checksum, sha256(text || '!') AS expected FROM documents JOIN labels "
+    "USING (doc_id) WHERE toxic = 1",
 )
 def checksum_mismatch(spark, root):
     docs = t.table(spark, root, "documents").select("doc_id", "text")
     actual = docs.select("doc_id", F.sha2("text", 256).alias("checksum"))
-    # Every 50th document is expected to be different; for every third nothing is known.
-    altered = F.when(F.col("doc_id") % 50 == 0, F.concat("text", F.lit("!"))).otherwise(
-        F.col("text")
-    )
-    known = docs.filter(F.col("doc_id") % 3 != 0)
-    expected = known.select("doc_id", F.sha2(altered, 256).alias("checksum"))
+    # Something is expected of the labelled documents only, and of some of them
+    # another text.
+    labelled = docs.join(t.table(spark, root, "labels"), "doc_id")
+    other = F.when(F.col("toxic") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    expected = labelled.select("doc_id", F.sha2(other, 256).alias("checksum"))
     return q.checksum_mismatch(actual, expected, "doc_id")
 
 
@@ -278,17 +277,17 @@ def batch_ids(spark, root):
 @query(
     "loss_check",
     "SELECT CAST(n AS BIGINT) AS sent, CAST(s AS BIGINT) AS stored, CAST(n - s + x AS BIGINT) AS lost, "
-    "CAST(x AS BIGINT) AS extra, s / n AS share, s / n >= 0.95 AS enough, FALSE AS equal FROM ("
-    "SELECT count(*)::DOUBLE AS n, count(*) FILTER (WHERE event_id % 40 <> 0)::DOUBLE AS s, "
-    "count(*) FILTER (WHERE event_id % 40 <> 0 AND event_id % 500 = 1)::DOUBLE AS x FROM events)",
+    "CAST(x AS BIGINT) AS extra, s / n AS share, s / n >= 0.95 AS enough, n = s AND x = 0 AS equal FROM ("
+    f"SELECT count(*)::DOUBLE AS n, count(*) FILTER (WHERE {K} <> 13)::DOUBLE AS s, "
+    f"count(*) FILTER (WHERE {K} <> 13 AND value > 100)::DOUBLE AS x FROM events)",
 )
 def loss_check(spark, root):
     log = t.events(spark, root)
     parts = [F.col("event_id").cast("string"), F.col("event_type"), F.col("props")]
-    sent = log.select("event_id", F.sha2(F.concat(*parts), 256).alias("checksum"))
-    # The stored side lost every 40th event and damaged every 500th.
-    damaged = F.when(F.col("event_id") % 500 == 1, F.sha2("checksum", 256))
-    stored = sent.filter(F.col("event_id") % 40 != 0).withColumn(
+    sent = log.withColumn("checksum", F.sha2(F.concat(*parts), 256))
+    # The stored side lost the events of one key and damaged the large ones.
+    damaged = F.when(F.col("value") > 100, F.sha2("checksum", 256))
+    stored = sent.filter(F.col("k") != 13).withColumn(
         "checksum", F.coalesce(damaged, F.col("checksum"))
     )
     return q.loss_check(sent, stored, "checksum")

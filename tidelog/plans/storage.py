@@ -252,13 +252,16 @@ def backup_verify(spark, root):
 
 @query(
     "content_difference",
-    "SELECT event_id, event_type, CAST(CASE WHEN event_id % 20 = 0 THEN 1 ELSE 0 END AS BIGINT) AS surplus FROM events "
-    "WHERE event_id % 20 = 0 UNION ALL SELECT event_id, 'copy', -1 FROM events WHERE event_id % 33 = 0",
+    f"SELECT event_id, event_type, 1::BIGINT AS surplus FROM events WHERE event_type = 'error' AND {K} < 20 "
+    "UNION ALL SELECT event_id, 'copy', -1 FROM events WHERE event_type = 'purchase' AND value > 50",
 )
 def content_difference(spark, root):
-    left = t.table(spark, root, "events").select("event_id", "event_type")
-    extra = left.filter(F.col("event_id") % 33 == 0).withColumn("event_type", F.lit("copy"))
-    return st.difference(left, left.filter(F.col("event_id") % 20 != 0).unionByName(extra))
+    events = t.events(spark, root)
+    cols = ["event_id", "event_type"]
+    kept = events.filter(~((F.col("event_type") == "error") & (F.col("k") < 20))).select(*cols)
+    large = events.filter((F.col("event_type") == "purchase") & (F.col("value") > 50))
+    copies = large.select("event_id", F.lit("copy").alias("event_type"))
+    return st.difference(events.select(*cols), kept.unionByName(copies))
 
 
 @query(
@@ -345,8 +348,9 @@ def storage_stats(spark, root):
 def _actual_files(spark, root):
     """The catalogue after some accidents: files gone, grown, damaged, and strangers."""
     n = F.regexp_extract("path", r"(\d+)", 1).cast("long")
-    files = t.catalogue(spark, root).select("path", "size", "checksum", "record_count")
-    hurt = files.filter(n % 41 != 0).withColumns(
+    files = t.catalogue(spark, root)
+    gone = (F.col("format") == "P") & (F.col("compression") == "5-LOW")
+    hurt = files.filter(~gone).withColumns(
         {
             "size": F.when(n % 43 == 0, F.col("size") + 1).otherwise(F.col("size")),
             "checksum": F.when(n % 47 == 0, F.sha2("checksum", 256)).otherwise(F.col("checksum")),
@@ -355,22 +359,25 @@ def _actual_files(spark, root):
             ),
         }
     )
-    strangers = files.filter(n % 59 == 0).withColumn("path", F.concat("path", F.lit(".new")))
+    new = (F.col("format") == "P") & (F.col("compression") == "1-URGENT")
+    strangers = files.filter(new).withColumn("path", F.concat("path", F.lit(".new")))
     return hurt.unionByName(strangers)
 
 
+_THERE = "NOT (o_orderstatus = 'P' AND o_orderpriority = '5-LOW')"
 _VERIFIED = (
-    "(SELECT 'f/' || o_orderkey AS path, TRUE AS listed, o_orderkey % 41 <> 0 AS exists, CASE WHEN o_orderkey % 41 <> 0 "
-    "THEN o_orderkey % 43 <> 0 END AS size_ok, CASE WHEN o_orderkey % 41 <> 0 THEN o_orderkey % 47 <> 0 END AS checksum_ok, "
-    "CASE WHEN o_orderkey % 41 <> 0 THEN o_orderkey % 53 <> 0 END AS record_count_ok, o_orderkey % 41 <> 0 AND "
-    "o_orderkey % 43 <> 0 AND o_orderkey % 47 <> 0 AND o_orderkey % 53 <> 0 AS passed, o_custkey % 100 AS n FROM orders) v"
+    f"(SELECT 'f/' || o_orderkey AS path, TRUE AS listed, {_THERE} AS exists, CASE WHEN {_THERE} THEN o_orderkey % 43 <> 0 "
+    f"END AS size_ok, CASE WHEN {_THERE} THEN o_orderkey % 47 <> 0 END AS checksum_ok, CASE WHEN {_THERE} THEN "
+    f"o_orderkey % 53 <> 0 END AS record_count_ok, {_THERE} AND o_orderkey % 43 <> 0 AND o_orderkey % 47 <> 0 AND "
+    "o_orderkey % 53 <> 0 AS passed, o_custkey % 100 AS n FROM orders) v"
 )
 
 
 @query(
     "verify_files",
     f"SELECT path, listed, exists, size_ok, checksum_ok, record_count_ok, passed FROM {_VERIFIED} UNION ALL "
-    "SELECT 'f/' || o_orderkey || '.new', FALSE, TRUE, NULL, NULL, NULL, FALSE FROM orders WHERE o_orderkey % 59 = 0",
+    "SELECT 'f/' || o_orderkey || '.new', FALSE, TRUE, NULL, NULL, NULL, FALSE FROM orders WHERE o_orderstatus = 'P' "
+    "AND o_orderpriority = '1-URGENT'",
 )
 def verify_files(spark, root):
     return st.verify_files(t.catalogue(spark, root), _actual_files(spark, root))
