@@ -81,50 +81,43 @@ def _bracketed(
         name: 0.5 if rule.endswith("middle") else p / 100 if rule == "nearest" else p
         for name, (rule, p) in wanted.items()
     }
-    bounds = [F.count(F.lit(1)).alias("_n")]
-    for i, name in enumerate(wanted):
-        low, high = max(0.0, share[name] - margin), min(1.0, share[name] + margin)
-        bounds.append(F.percentile_approx(value, F.lit(low), F.lit(_ACCURACY)).alias(f"_lo{i}"))
-        bounds.append(F.percentile_approx(value, F.lit(high), F.lit(_ACCURACY)).alias(f"_hi{i}"))
+    shares = [
+        min(1.0, max(0.0, share[name] + sign * margin)) for name in wanted for sign in (-1, 1)
+    ]
     # At most rows / limit groups are hot, so this table is small enough to send out.
-    brackets = frame.groupBy(*keys).agg(*bounds)
-    renamed = brackets.select(
-        *[F.col(k).alias(f"_b_{k}") for k in keys],
-        *[c for c in brackets.columns if c not in keys],
+    brackets = frame.groupBy(*[F.col(k).alias(f"_b_{k}") for k in keys]).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.percentile_approx(value, F.array(*map(F.lit, shares)), F.lit(_ACCURACY)).alias("_q"),
     )
     match = None
     for k in keys:
         one = F.col(k).eqNullSafe(F.col(f"_b_{k}"))
         match = one if match is None else match & one
-    joined = frame.join(F.broadcast(renamed), match).drop(*[f"_b_{k}" for k in keys])
+    joined = frame.join(F.broadcast(brackets), match).drop(*[f"_b_{k}" for k in keys])
+
+    # How many bracket ends a value has passed rises with the value and tells whether it
+    # lies inside a bracket. Values outside are pooled per step, those inside kept apart.
     v = F.col(value)
-    # Values under the bracket are pooled as one null row, the others kept apart.
-    parts = F.array(
-        *[
-            F.when(
-                v <= F.col(f"_hi{i}"),
-                F.struct(
-                    F.lit(name).alias("name"),
-                    INDEX_RULES[wanted[name][0]](F.col("_n"), wanted[name][1]).alias("index"),
-                    F.when(v >= F.col(f"_lo{i}"), v).alias("v"),
-                ),
-            )
-            for i, name in enumerate(wanted)
-        ]
-    )
-    counts = (
-        joined.select(*keys, F.explode(F.array_compact(parts)).alias("_p"))
-        .groupBy(*keys, "_p.name", "_p.index", "_p.v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
+    passed, inside = F.lit(0), F.lit(False)
+    for i in range(len(wanted)):
+        low, high = v >= F.col("_q")[2 * i], v > F.col("_q")[2 * i + 1]
+        passed = passed + low.cast("int") + high.cast("int")
+        inside = inside | (low & ~high)
+    counts = joined.groupBy(
+        *keys, "_n", passed.alias("_step"), F.when(inside, v).alias("_v")
+    ).agg(F.count(F.lit(1)).alias("_c"))
     upto = (
-        Window.partitionBy(*keys, "name")
-        .orderBy(F.col("v").asc_nulls_first())
+        Window.partitionBy(*keys)
+        .orderBy("_step", "_v")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    found = counts.withColumn("_cum", F.sum("_c").over(upto)).filter(
-        (F.col("index") < F.col("_cum")) & (F.col("index") >= F.col("_cum") - F.col("_c"))
-    )
-    return found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in wanted]
+    placed = counts.withColumn("_cum", F.sum("_c").over(upto))
+
+    def holds(name: str) -> Column:
+        rule, p = wanted[name]
+        index = INDEX_RULES[rule](F.col("_n"), p)
+        return (index < F.col("_cum")) & (index >= F.col("_cum") - F.col("_c"))
+
+    return placed.groupBy(*keys).agg(
+        *[F.max(F.when(holds(name), F.col("_v"))).alias(name) for name in wanted]
     )
