@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 128
 
 
-def read(spark: SparkSession, root: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def read(spark: SparkSession, root: str, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 

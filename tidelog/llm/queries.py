@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import decontaminate, simhash
+from tidelog.llm import decontaminate, repeats, simhash
 from tidelog.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,9 +20,14 @@ def op3_simhash(spark: SparkSession, root: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, root, "documents"))
 
 
+def op7_repeats(spark: SparkSession, root: str) -> DataFrame:
+    return repeats.report(read(spark, root, "documents", batch_rows=repeats.BATCH_ROWS))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_simhash": op3_simhash,
+    "op7_repeats": op7_repeats,
 }
 
 #: Checks in SQL, for the queries that SQL can express on whole tables.
