@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import decontaminate, repeats, simhash
+from tidelog.llm import decontaminate, quality, repeats, simhash
 from tidelog.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_decontaminate(spark: SparkSession, root: str) -> DataFrame:
     return decontaminate.report(read(spark, root, "documents"), read(spark, root, "benchmark"))
 
 
+def op2_quality(spark: SparkSession, root: str) -> DataFrame:
+    return quality.report(read(spark, root, "documents"), read(spark, root, "labels"))
+
+
 def op3_simhash(spark: SparkSession, root: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, root, "documents"))
 
@@ -26,6 +30,7 @@ def op7_repeats(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op7_repeats": op7_repeats,
 }
