@@ -30,7 +30,7 @@ def test_context_vectors_are_sums_of_neighbours(spark):
 
 def test_forms_tell_case_signs_and_repeats():
     own, form = quality.stream("Word word WORD word! word!")
-    assert len(set(own)) == 1 and len(set(form)) == 5
+    assert len(set(own)) == 1 and len(set(form)) == 4
     assert [len(x) for x in quality.stream(None)] == [0, 0]
 
 

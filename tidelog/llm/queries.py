@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import decontaminate, quality, repeats, simhash
+from tidelog.llm import decontaminate, quality, repeats, shuffle, simhash
 from tidelog.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_simhash(spark: SparkSession, root: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, root, "documents"))
 
 
+def op6_shuffle(spark: SparkSession, root: str) -> DataFrame:
+    return shuffle.shards(read(spark, root, "documents"))
+
+
 def op7_repeats(spark: SparkSession, root: str) -> DataFrame:
     return repeats.report(read(spark, root, "documents", batch_rows=repeats.BATCH_ROWS))
 
@@ -32,6 +36,7 @@ QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
+    "op6_shuffle": op6_shuffle,
     "op7_repeats": op7_repeats,
 }
 
