@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import decontaminate, quality, repeats, shuffle, simhash
+from tidelog.llm import decontaminate, embeddings, quality, repeats, shuffle, simhash
 from tidelog.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,12 +32,17 @@ def op7_repeats(spark: SparkSession, root: str) -> DataFrame:
     return repeats.report(read(spark, root, "documents", batch_rows=repeats.BATCH_ROWS))
 
 
+def op9_embeddings(spark: SparkSession, root: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, root, "embeddings", batch_rows=2048))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op6_shuffle": op6_shuffle,
     "op7_repeats": op7_repeats,
+    "op9_embeddings": op9_embeddings,
 }
 
 #: Checks in SQL, for the queries that SQL can express on whole tables.
