@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import decontaminate, embeddings, quality, repeats, shuffle, simhash
+from tidelog.llm import decontaminate, embeddings, quality, repeats, shuffle, simhash, warc
 from tidelog.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op7_repeats(spark: SparkSession, root: str) -> DataFrame:
     return repeats.report(read(spark, root, "documents", batch_rows=repeats.BATCH_ROWS))
 
 
+def op8_warc(spark: SparkSession, root: str) -> DataFrame:
+    return warc.round_trip(read(spark, root, "pages"))
+
+
 def op9_embeddings(spark: SparkSession, root: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, root, "embeddings", batch_rows=2048))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Query] = {
     "op3_simhash": op3_simhash,
     "op6_shuffle": op6_shuffle,
     "op7_repeats": op7_repeats,
+    "op8_warc": op8_warc,
     "op9_embeddings": op9_embeddings,
 }
 
