@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import decontaminate, embeddings, quality, repeats, shuffle, simhash, warc
+from tidelog.llm import decontaminate, embeddings, packing, quality, repeats, shuffle, simhash, warc
 from tidelog.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op9_embeddings(spark: SparkSession, root: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, root, "embeddings", batch_rows=2048))
 
 
+def op10_packing(spark: SparkSession, root: str) -> DataFrame:
+    return packing.report(read(spark, root, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
@@ -48,6 +52,7 @@ QUERIES: dict[str, Query] = {
     "op7_repeats": op7_repeats,
     "op8_warc": op8_warc,
     "op9_embeddings": op9_embeddings,
+    "op10_packing": op10_packing,
 }
 
 #: Checks in SQL, for the queries that SQL can express on whole tables.
