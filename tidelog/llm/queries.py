@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import decontaminate, embeddings, packing, quality, repeats, shuffle, simhash, tokens, warc
+from tidelog.llm import decontaminate, embeddings, lm, packing, quality, repeats, shuffle, simhash, tokens, warc
 from tidelog.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_tokens(spark: SparkSession, root: str) -> DataFrame:
     return tokens.report(read(spark, root, "documents"))
 
 
+def op5_lm(spark: SparkSession, root: str) -> DataFrame:
+    return lm.scores(read(spark, root, "documents"))
+
+
 def op6_shuffle(spark: SparkSession, root: str) -> DataFrame:
     return shuffle.shards(read(spark, root, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op4_tokens": op4_tokens,
+    "op5_lm": op5_lm,
     "op6_shuffle": op6_shuffle,
     "op7_repeats": op7_repeats,
     "op8_warc": op8_warc,
