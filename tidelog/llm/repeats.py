@@ -6,15 +6,17 @@ of equal ones). Equal strings have equal anchors at equal places, so it is enoug
 compare the surroundings of equal anchors:
 
 1. Documents are gathered into blocks of about ``BLOCK_BYTES``, written once.
-2. Anchors of all blocks meet by their hash; those that occur once are done with.
-3. A *context* is a stretch of text whose strings all have one anchor occurrence. Each
-   block keeps the first of equal contexts, and sends it to where its anchor is dealt
-   with. The strings of an anchor with over ``HOT`` occurrences go one by one, dealt
-   by their own content, so that no anchor's contexts all meet in one task.
-4. Over the distinct contexts that meet: suffix array with common-prefix lengths, a
-   stack scan for the intervals of suffixes with a common prefix of ``LENGTH`` bytes
-   or more, and of these the ones that differ in the byte to their left. These are the
-   maximal repeats with all their occurrences. All but the first occurrence go.
+2. A *context* is a stretch of text whose strings all have one anchor occurrence. Each
+   block tells the anchors and contexts it has, by 64 bits of hash each; they meet by
+   anchor. An anchor that occurs once is done with, and so are all copies of a context
+   but the first: their blocks learn that they go.
+3. The first copies of the contexts of an anchor that has several are sent to where the
+   anchor is dealt with. If it has over ``HOT``, their strings go one by one, dealt by
+   their own content, so that one anchor's contexts do not all meet in one task.
+4. Over the contexts that meet: suffix array with common-prefix lengths, a stack scan
+   for the intervals of suffixes with a common prefix of ``LENGTH`` bytes or more, and of
+   these the ones that differ in the byte to their left. These are the maximal repeats
+   with all their occurrences. All but the first occurrence go.
 5. What goes is brought back to the blocks.
 """
 
@@ -188,7 +190,7 @@ def later_occurrences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Documents in blocks: compressed texts, their sizes, the rows without the text, the anchors."""
+    """Documents in blocks: compressed texts, their sizes, the rows without the text."""
     rest = [c for c in docs.columns if c != text]
     slim = docs.select(
         F.col(text).cast("string").alias("text"),
@@ -203,8 +205,6 @@ def _blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             T.StructField("idents", T.ArrayType(T.LongType())),
             T.StructField("missing", T.ArrayType(T.BooleanType())),
             T.StructField("rest", T.ArrayType(kind)),
-            T.StructField("anchors", T.ArrayType(T.LongType())),
-            T.StructField("counts", T.ArrayType(T.LongType())),
         ]
     )
     arrow = to_arrow_schema(schema)
@@ -213,17 +213,13 @@ def _blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         data = [utf8(t) for t in texts]
         sizes = np.array([len(x) for x in data], np.int64)
         joined = b"".join(data)
-        _, _, hashes = zones(np.frombuffer(joined, np.uint8), np.cumsum(sizes))
-        anchors, counts = np.unique(hashes, return_counts=True)
         rows = pa.concat_arrays(rest)
         values = [
-            pa.array([zstandard.ZstdCompressor(level=1).compress(joined)], pa.binary()),
+            pa.array([zstandard.ZstdCompressor(level=3).compress(joined)], pa.binary()),
             pa.array([sizes], pa.list_(pa.int64())),
             pa.array([idents], pa.list_(pa.int64())),
             pa.array([[t is None for t in texts]], pa.list_(pa.bool_())),
             pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
-            pa.array([anchors.view(np.int64)], pa.list_(pa.int64())),
-            pa.array([counts.astype(np.int64)], pa.list_(pa.int64())),
         ]
         return pa.record_batch([v.cast(f.type) for v, f in zip(values, arrow)], schema=arrow)
 
@@ -250,79 +246,122 @@ def _blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return materialize(blocks, "blocks")
 
 
-def _repeated(blocks: DataFrame) -> DataFrame:
-    """For each block, which of its anchors occur again anywhere: ``marks`` of hashes, hot ones apart."""
-    each = blocks.select("block", F.inline(F.arrays_zip("anchors", "counts")))
+_NULL = -(1 << 63)
+# What a block does with its occurrences of a context.
+_ALL, _BUT_FIRST, _SEND, _SEND_STRINGS = 0, 1, 2, 3
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b[c].to_numpy() for c in ("anchors", "block", "counts")] for b in batches]
-        if not parts:
-            return
-        anchors, block, counts = (np.concatenate(c) for c in zip(*parts))
-        order = np.argsort(anchors)
-        anchors, block, counts = anchors[order], block[order], counts[order]
-        begin = np.flatnonzero(np.concatenate(([True], anchors[1:] != anchors[:-1])))
-        total = np.repeat(np.add.reduceat(counts, begin), np.diff(np.concatenate((begin, [len(anchors)]))))
-        again = total > 1
-        anchors, block, hot = anchors[again], block[again], total[again] > HOT
-        order = np.argsort(block, kind="stable")
-        anchors, block, hot = anchors[order], block[order], hot[order]
-        names, begin = np.unique(block, return_index=True)
-        ends = np.concatenate((begin[1:], [len(block)]))
-        cold = [anchors[a:b][~hot[a:b]].tobytes() for a, b in zip(begin, ends)]
-        warm = [anchors[a:b][hot[a:b]].tobytes() for a, b in zip(begin, ends)]
-        yield pa.record_batch(
-            [pa.array(names), pa.array(cold, pa.binary()), pa.array(warm, pa.binary())], names=["block", "cold", "hot"]
-        )
 
-    marks = each.repartition("anchors").mapInArrow(run, "block long, cold binary, hot binary")
-    return marks.groupBy("block").agg(F.collect_list("cold").alias("cold"), F.collect_list("hot").alias("hot"))
+class _Block:
+    """An opened block: its contexts in the order of the documents."""
+
+    def __init__(self, data: bytes, sizes: list[int], idents: list):
+        self.raw = zstandard.ZstdDecompressor().decompress(data)
+        self.ends = np.cumsum(np.array(sizes, np.int64))
+        self.begins = self.ends - np.array(sizes, np.int64)
+        self.idents = np.array([_NULL if i is None else i for i in idents], np.int64)
+        low, high, anchor = zones(np.frombuffer(self.raw, np.uint8), self.ends)
+        doc = np.searchsorted(self.ends, low, side="right")
+        missing = np.array([i is not None for i in idents], bool)
+        rank = np.empty(len(sizes), np.int64)
+        rank[np.lexsort((np.arange(len(sizes)), self.idents, missing))] = np.arange(len(sizes))
+        order = np.lexsort((low, rank[doc]))
+        self.low, self.high, self.doc = low[order], high[order], doc[order]
+        self.anchor = anchor.view(np.int64)[order]
+
+    def hashes(self, which: np.ndarray) -> np.ndarray:
+        """Hashes of the contexts with these numbers."""
+        raw, digest = self.raw, xxhash.xxh3_64_intdigest
+        spans = zip(self.low[which].tolist(), (self.high[which] + LENGTH).tolist())
+        return np.fromiter((digest(raw[a:b]) for a, b in spans), np.uint64, len(which)).view(np.int64)
 
 
-def _joined(parts: list[bytes]) -> np.ndarray:
-    return np.sort(np.frombuffer(b"".join(parts), np.int64))
+_BLOCK = ["block", "data", "sizes", "idents", "missing", "rest"]
 
 
-def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
-    if not len(among):
-        return np.zeros(len(values), bool)
-    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
+def _told(blocks: DataFrame) -> DataFrame:
+    """Distinct contexts of each block: anchor, hash, id of the first document, occurrences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data, sizes, idents in zip(*(batch[c].to_pylist() for c in ("block", "data", "sizes", "idents"))):
+                block = _Block(data, sizes, idents)
+                pairs = np.empty(len(block.low), [("anchor", np.int64), ("context", np.int64)])
+                pairs["anchor"], pairs["context"] = block.anchor, block.hashes(np.arange(len(block.low)))
+                # Contexts are in order, so the first of equal ones is in the first document.
+                kinds, first, counts = np.unique(pairs, return_index=True, return_counts=True)
+                yield pa.record_batch(
+                    [
+                        pa.array(np.ascontiguousarray(kinds["anchor"])),
+                        pa.array(np.ascontiguousarray(kinds["context"])),
+                        pa.array(block.idents[block.doc[first]]),
+                        pa.array(np.full(len(kinds), name, np.int64)),
+                        pa.array(counts.astype(np.int32)),
+                    ],
+                    names=["anchor", "context", "ident", "block", "count"],
+                )
+
+    slim = blocks.select("block", "data", "sizes", "idents")
+    return slim.mapInArrow(run, "anchor long, context long, ident long, block long, count int")
+
+
+def _marks(told: DataFrame) -> DataFrame:
+    """For each block, what it does with which contexts: ``marks`` of (anchor, context, code)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        if not parts:
+            return
+        columns = [np.concatenate(c) for c in zip(*parts)]
+        order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
+        anchor, context, ident, block, count = (c[order] for c in columns)
+        new_anchor = np.concatenate(([True], anchor[1:] != anchor[:-1]))
+        first = new_anchor | np.concatenate(([True], context[1:] != context[:-1]))
+        begin = np.flatnonzero(new_anchor)
+        size = np.diff(np.concatenate((begin, [len(anchor)])))
+        total = np.repeat(np.add.reduceat(count, begin), size)
+        kinds = np.repeat(np.add.reduceat(first.astype(np.int64), begin), size)
+        code = np.where(kinds > HOT, _SEND_STRINGS, np.where(kinds > 1, _SEND, _BUT_FIRST))
+        code = np.where(first, code, _ALL)
+        use = (total > 1) & ((code != _BUT_FIRST) | (count > 1))
+        table = np.stack([block[use], anchor[use], context[use], code[use]], axis=1)
+        table = table[np.argsort(table[:, 0], kind="stable")]
+        names, begin = np.unique(table[:, 0], return_index=True)
+        marks = [np.ascontiguousarray(part[:, 1:]).tobytes() for part in np.split(table, begin[1:])]
+        yield pa.record_batch([pa.array(names), pa.array(marks[: len(names)], pa.binary())], names=["block", "marks"])
+
+    marks = told.repartition("anchor").mapInArrow(run, "block long, marks binary")
+    return marks.groupBy("block").agg(F.collect_list("marks").alias("marks"))
 
 
 _SENT = "route long, block long, doc int, start long, ident long, context binary"
 
 
 def _contexts(blocks: DataFrame, marks: DataFrame) -> DataFrame:
-    """The first of equal contexts of each block; of the others, what goes (a row without start)."""
+    """The contexts to compare, and for each block what goes without that (a row without start)."""
 
-    def one(name: int, data: bytes, sizes: list[int], idents: list, cold: list, hot: list) -> Iterator[tuple]:
-        joined = zstandard.ZstdDecompressor().decompress(data)
-        ends = np.cumsum(np.array(sizes, np.int64))
-        begins = ends - sizes
-        lows, highs, hashes = zones(np.frombuffer(joined, np.uint8), ends)
-        anchors = hashes.view(np.int64)
-        warm = _member(anchors, _joined(hot))
-        use = warm | _member(anchors, _joined(cold))
-        lows, highs, anchors, warm = lows[use], highs[use], anchors[use], warm[use]
-        docs = np.searchsorted(ends, lows, side="right")
-        # Documents in their order, which is that of their ids; null comes first.
-        rank = np.empty(len(sizes), np.int64)
-        rank[sorted(range(len(sizes)), key=lambda k: (idents[k] is not None, idents[k] or 0, k))] = np.arange(len(sizes))
-        order = np.lexsort((lows, rank[docs]))
-        seen: set[bytes] = set()
+    def one(name: int, data: bytes, sizes: list[int], idents: list, marks: list[bytes]) -> Iterator[tuple]:
+        table = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 3)
+        codes = {(a, c): code for a, c, code in table.tolist()}
+        block = _Block(data, sizes, idents)
+        which = np.flatnonzero(np.isin(block.anchor, table[:, 0]))
         gone: list[tuple[int, int, int]] = []
-        for k in order:
-            low, high, doc = int(lows[k]), int(highs[k]), int(docs[k])
-            pieces = [(low, high)] if not warm[k] else [(p, p) for p in range(low, high + 1)]
-            for a, b in pieces:
-                context = joined[a : b + LENGTH]
-                start = a - int(begins[doc])
-                if context in seen:
-                    gone.append((doc, start, start + len(context)))
-                    continue
-                seen.add(context)
-                route = int(anchors[k]) if not warm[k] else xxhash.xxh64_intdigest(context) - (1 << 63)
-                yield route, name, doc, start, idents[doc], context
+        columns = (block.anchor[which], block.hashes(which), block.low[which], block.high[which], block.doc[which])
+        for anchor, context, low, high, doc in zip(*(c.tolist() for c in columns)):
+            code = codes.get((anchor, context))
+            if code is None:
+                continue
+            begin = int(block.begins[doc])
+            if code == _ALL:
+                gone.append((doc, low - begin, high + LENGTH - begin))
+                continue
+            codes[anchor, context] = _ALL
+            ident = int(block.idents[doc])
+            if code == _SEND:
+                yield anchor, name, doc, low - begin, ident, block.raw[low : high + LENGTH]
+            elif code == _SEND_STRINGS:
+                for p in range(low, high + 1):
+                    string = block.raw[p : p + LENGTH]
+                    yield xxhash.xxh3_64_intdigest(string) - (1 << 63), name, doc, p - begin, ident, string
         if gone:
             yield name, name, None, None, None, np.array(gone, np.int64).tobytes()
 
@@ -331,15 +370,15 @@ def _contexts(blocks: DataFrame, marks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch[c].to_pylist() for c in ("block", "data", "sizes", "idents", "cold", "hot")]
+            columns = [batch[c].to_pylist() for c in ("block", "data", "sizes", "idents", "marks")]
             for row in zip(*columns):
                 out = list(one(*row))
                 for k in range(0, len(out), 4096):
                     part = zip(*out[k : k + 4096])
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(part, fields)], names=names)
 
-    ready = blocks.select("block", "data", "sizes", "idents").join(marks, "block")
-    return ready.mapInArrow(run, _SENT)
+    # All columns, as in the last join, so that both use one exchange of the blocks.
+    return blocks.select(*_BLOCK).join(marks, "block").mapInArrow(run, _SENT)
 
 
 def _compared(contexts: DataFrame) -> DataFrame:
@@ -347,7 +386,7 @@ def _compared(contexts: DataFrame) -> DataFrame:
 
     def chunk(routes: list, blocks: list, docs: list, starts: list, idents: list, texts: list) -> Iterator[tuple]:
         gone: dict[int, list] = defaultdict(list)
-        key = lambda k: (idents[k] is not None, idents[k] or 0, blocks[k], docs[k], starts[k])
+        key = lambda k: (idents[k], blocks[k], docs[k], starts[k])
         first: dict[bytes, int] = {}
         for k in sorted(range(len(texts)), key=key):
             if first.setdefault(texts[k], k) != k:
@@ -396,10 +435,9 @@ def _compared(contexts: DataFrame) -> DataFrame:
 def _whole(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Blocks, each with all that goes from it in ``gone``."""
     blocks = _blocks(docs, doc_id, text)
-    gone = _compared(_contexts(blocks, _repeated(blocks)))
+    gone = _compared(_contexts(blocks, _marks(_told(blocks))))
     gone = gone.groupBy("block").agg(F.collect_list("gone").alias("gone"))
-    columns = ["block", "data", "sizes", "missing", "rest"]
-    return blocks.select(*columns).join(gone, "block", "left")
+    return blocks.select(*_BLOCK).join(gone, "block", "left")
 
 
 def _runs(gone: list[bytes] | None, sizes: list[int]) -> list[list[tuple[int, int]]]:
