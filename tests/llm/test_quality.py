@@ -17,7 +17,7 @@ def test_context_vectors_are_sums_of_neighbours(spark):
     for k in range(quality.NONZERO):
         np.add.at(dense, (np.arange(quality.UNITS), index[0][:, k]), index[1][:, k])
     for text in texts:
-        own, form = quality.stream(text)
+        own, form, _ = quality.streams([(text or "").encode()])
         for a in range(len(own)):
             for b in (a - 1, a + 1):
                 if 0 <= b < len(own):
@@ -29,9 +29,11 @@ def test_context_vectors_are_sums_of_neighbours(spark):
 
 
 def test_forms_tell_case_signs_and_repeats():
-    own, form = quality.stream("Word word WORD word! word!")
-    assert len(set(own)) == 1 and len(set(form)) == 4
-    assert [len(x) for x in quality.stream(None)] == [0, 0]
+    own, form, bounds = quality.streams([b"Word word WORD word! word!", b"", b" word", b"word \xc3\xa9t\xc3\xa9 $$$ 12 $$$"])
+    assert len(set(own[:7])) == 1 and len(set(form[:5])) == 4
+    assert form[5] == form[6] and form[6] not in form[1:5]
+    assert own[8] == own[10] != own[6] and bounds.tolist() == [0, 5, 5, 6, 11]
+    assert [len(x) for x in quality.streams([b"", b" "])] == [0, 0, 3]
 
 
 def test_held_out_accuracy(spark):

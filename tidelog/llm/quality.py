@@ -12,7 +12,6 @@ sample that it did not see makes it a probability.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,40 +29,78 @@ UNITS = WORD_UNITS + FORM_UNITS
 SAMPLE_ROWS = 20_000
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 0.01, 1e-4
 CHUNK_UNITS = 128
-#: Words that are held with their units in each worker.
-CACHE_WORDS = 200_000
+#: Bytes of text, and words, that are worked on at once.
+PIECE_BYTES, PIECE_WORDS, COUNTED_WORDS = 1 << 18, 1 << 13, 1 << 20
 
 
-class _Units(dict):
-    """Units of words: the word's own and that of its form."""
+def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each byte: what it adds to a word's form (bits), and to its hash (zero: nothing)."""
+    form = np.zeros(256, np.uint16)
+    form[ord("a") : ord("z") + 1] = 1
+    form[ord("A") : ord("Z") + 1] = 2
+    form[ord("0") : ord("9") + 1] = 4
+    form[0x80:] = 8
+    for bit, signs in enumerate(("!?", ".", ",;:", "|", "$%&#@*~^_=+", "\"'`", "()[]{}<>", "-/\\"), start=4):
+        for c in signs:
+            form[ord(c)] = 1 << bit
+    form[[b for b in range(0x80) if not form[b] and bytes([b]).strip()]] = 1 << 12
+    value = np.random.default_rng(99).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
+    lower = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+    return form, np.where((form & 15) > 0, value[lower], np.uint64(0))
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        text = word.decode("utf-8", "replace")
-        core = text.strip("!?.,;:()[]{}\"'«»*$%&#@|~^_=+-/\\<>")
-        signs = "".join(sorted(set(text[len(core) :] if text.startswith(core) else text.replace(core, "", 1))))
-        case = "U" if core.isupper() and len(core) > 1 else "T" if core[:1].isupper() else "l" if core.islower() else "m"
-        form = f"{case if core else ''}{'0' if any(c.isdigit() for c in core) else ''}{signs[:4]}{min(len(core), 30) // 10}"
-        if any(not c.isalnum() for c in core):
-            form += "x"
-        own = zlib.crc32(core.lower().encode("utf-8", "replace") if core else word) % WORD_UNITS
-        self[word] = pair = (own, WORD_UNITS + zlib.crc32(form.encode("utf-8", "replace")) % (FORM_UNITS // 2))
-        return pair
 
+_FORM, _VALUE = _byte_tables()
+_POWER = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(64)], np.uint64)
+_SPACE = np.array([not bytes([b]).strip() for b in range(256)])
 
-_UNITS = _Units()
 
+def _spread(values: np.ndarray) -> np.ndarray:
+    values = (values ^ (values >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return values ^ (values >> np.uint64(29))
 
-def stream(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Units of the words of a text, and of their forms; a repeated word has other forms."""
-    words = utf8(text).split()
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    units = np.array([_UNITS[w] for w in words], np.int64)
-    own, form = units[:, 0], units[:, 1].copy()
-    form[1:][own[1:] == own[:-1]] += FORM_UNITS // 2
-    return own, form
+
+def streams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units of the words of texts and of their forms, and where each text's words begin (and end).
+
+    Words are parted by ASCII white space. A word that repeats the one before has another form.
+    """
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    space = _SPACE[raw]
+    starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    bounds = np.concatenate(([0], np.searchsorted(starts, ends)))
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), bounds
+    length = np.diff(np.concatenate((starts, [len(raw)])))
+    place = np.arange(starts[0], len(raw)) - np.repeat(starts, length)
+    first = starts - starts[0]
+    letters = _VALUE[raw[starts[0] :]] * _POWER[place & 63]
+    flags = np.bitwise_or.reduceat(_FORM[raw[starts[0] :]], first).astype(np.uint64)
+    word = np.add.reduceat(letters, first)
+    # A word of signs only is known by them.
+    word = _spread(np.where(word == 0, flags + np.uint64(1), word))
+    capital = (_FORM[raw[starts]] == 2).astype(np.uint64)
+    long = np.minimum(np.add.reduceat((~space[starts[0] :]).astype(np.int64), first) // 10, 3).astype(np.uint64)
+    own = (word >> np.uint64(20)).astype(np.int64) % WORD_UNITS
+    form = _spread(flags | capital << np.uint64(16) | (long + np.uint64(1)) << np.uint64(17))
+    form = WORD_UNITS + (form >> np.uint64(20)).astype(np.int64) % (FORM_UNITS // 2)
+    again = word[1:] == word[:-1]
+    again[bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < len(word))] - 1] = False
+    form[1:][again] += FORM_UNITS // 2
+    return own, form, bounds
+
+
+def _pieces(texts: list[str | None]) -> Iterator[list[bytes]]:
+    """Whole texts together, about ``PIECE_BYTES`` of them at once."""
+    held, size = [], 0
+    for text in texts:
+        held.append(utf8(text))
+        size += len(held[-1])
+        if size >= PIECE_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -73,38 +110,51 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return places, rng.choice(np.array([-1.0, 1.0]), (UNITS, NONZERO))
 
 
-def _add_contexts(total: np.ndarray, streams: list[tuple[np.ndarray, np.ndarray]], index: tuple) -> None:
-    """Adds the index vectors of neighbours to the context vectors ``total`` (flat)."""
-    places, signs = index
-    own = np.concatenate([np.append(o, -1) for o, _ in streams])
-    form = np.concatenate([np.append(f, -1) for _, f in streams])
-    good = (own[1:] >= 0) & (own[:-1] >= 0)
-    before, after = np.flatnonzero(good), np.flatnonzero(good) + 1
-    for target, neighbour in ((before, after), (after, before)):
-        for units in (own, form):
-            base = units[target] * DIMENSIONS
-            for others in (own, form):
-                seen = others[neighbour]
-                for k in range(NONZERO):
-                    total += np.bincount(base + places[seen, k], weights=signs[seen, k], minlength=len(total))
+#: Counts of a unit: of each place with either sign, and of no neighbour.
+_WIDTH = 2 * DIMENSIONS + 1
+
+
+def _slots() -> np.ndarray:
+    """Where each unit's index vector counts, by its nonzero entries; the last unit parts documents."""
+    places, signs = index_vectors()
+    return np.concatenate([2 * places + (signs > 0), np.full((1, NONZERO), 2 * DIMENSIONS)]).T.copy()
+
+
+def _parted(texts: list[bytes]) -> np.ndarray:
+    """Units of the words and of the forms (two rows), with the last unit after each text."""
+    own, form, bounds = streams(texts)
+    return np.stack([np.insert(own, bounds[1:], UNITS), np.insert(form, bounds[1:], UNITS)])
+
+
+def _count_neighbours(counts: np.ndarray, parted: list[np.ndarray], slots: np.ndarray) -> None:
+    """Counts, for each unit, the entries of the index vectors next to it."""
+    units = np.concatenate(parted, axis=1)
+    bases = [u * _WIDTH for u in units]
+    for slot in slots:
+        for seen in (slot[u] for u in units):
+            for base in bases:
+                counts += np.bincount(base[:-1] + seen[1:], minlength=len(counts))
+                counts += np.bincount(base[1:] + seen[:-1], minlength=len(counts))
 
 
 def context_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Context vectors of all units over all documents, of length one (or zero)."""
-    index = index_vectors()
+    slots = _slots()
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = np.zeros(UNITS * DIMENSIONS), [], 0
+        counts = np.zeros((UNITS + 1) * _WIDTH, np.int64)
+        held, size = [], 0
         for batch in batches:
-            for t in batch["text"].to_pylist():
-                held.append(stream(t))
-                size += len(held[-1][0])
-                if size >= 1_000_000:
-                    _add_contexts(total, held, index)
+            for texts in _pieces(batch["text"].to_pylist()):
+                held.append(_parted(texts))
+                size += held[-1].shape[1]
+                if size >= COUNTED_WORDS:
+                    _count_neighbours(counts, held, slots)
                     held, size = [], 0
         if held:
-            _add_contexts(total, held, index)
-        chunks = total.reshape(-1, CHUNK_UNITS * DIMENSIONS).astype(np.float32)
+            _count_neighbours(counts, held, slots)
+        counts = counts.reshape(UNITS + 1, _WIDTH)[:UNITS, : 2 * DIMENSIONS]
+        chunks = (counts[:, 1::2] - counts[:, ::2]).reshape(-1, CHUNK_UNITS * DIMENSIONS).astype(np.float32)
         used = [k for k in range(len(chunks)) if chunks[k].any()]
         yield pa.record_batch(
             [pa.array(used, pa.int32()), pa.array([chunks[k].tobytes() for k in used], pa.binary())],
@@ -131,12 +181,18 @@ def context_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     return total.astype(np.float32)
 
 
-def pooled(text: str | None, vectors: np.ndarray) -> np.ndarray:
-    """Mean context vectors of the words and of the forms; zeros for a text without words."""
-    own, form = stream(text)
-    if not len(own):
-        return np.zeros(2 * DIMENSIONS, np.float32)
-    return np.concatenate([vectors[own].mean(axis=0), vectors[form].mean(axis=0)])
+def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
+    """Mean context vectors of the words and of the forms of each text; zeros for one without words."""
+    own, form, bounds = streams(texts)
+    total = np.zeros((len(texts), 2 * DIMENSIONS))
+    owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    for a in range(0, len(own), PIECE_WORDS):
+        part = slice(a, a + PIECE_WORDS)
+        first = np.flatnonzero(np.concatenate(([True], owner[part][1:] != owner[part][:-1])))
+        rows = owner[part][first]
+        total[rows, :DIMENSIONS] += np.add.reduceat(vectors[own[part]], first)
+        total[rows, DIMENSIONS:] += np.add.reduceat(vectors[form[part]], first)
+    return (total / np.maximum(np.diff(bounds), 1)[:, None]).astype(np.float32)
 
 
 def features(docs: DataFrame, vectors: np.ndarray, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -150,7 +206,9 @@ def features(docs: DataFrame, vectors: np.ndarray, *, text: str = "text", keep:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            values = np.stack([pooled(t, table) for t in batch["text"].to_pylist()]) if batch.num_rows else np.zeros((0, 1))
+            if not batch.num_rows:
+                continue
+            values = np.concatenate([pooled(p, table) for p in _pieces(batch["text"].to_pylist())])
             flat = pa.ListArray.from_arrays(
                 pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel(), pa.float32())
             )
