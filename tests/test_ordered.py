@@ -47,37 +47,29 @@ def frame(spark, rows):
 
 
 @pytest.mark.parametrize("keys", [["k"], []])
-@pytest.mark.parametrize("limit", [3, 10_000])
-def test_cells_stay_below_the_limit(frame, keys, limit):
-    split = o.split_groups(frame, keys, "at", "seq", limit)
-    assert split.cut == (limit < 10_000 or not keys)
+@pytest.mark.parametrize("down", [False, True])
+def test_cells_follow_the_order_and_cut_large_groups(frame, keys, down):
+    split = o.split_groups(frame, keys, ["at", "seq"], 40, down)
     assert split.frame.count() == 600
-    if split.cut:
-        sizes = split.frame.filter(o.in_cut_group()).groupBy(*split.by).count()
-        assert sizes.agg(F.max("count")).first()[0] <= limit
-        # Cells follow the order of the rows.
-        ranges = (
-            split.frame.filter(o.in_cut_group())
-            .groupBy(o.CELL)
-            .agg(
-                F.min(F.struct("at", "seq")).alias("lo"), F.max(F.struct("at", "seq")).alias("hi")
-            )
-            .collect()
-        )
-        per_key = {}
-        for r in ranges:
-            cell = r[o.CELL]
-            key = cell["k0"] if keys else 0
-            per_key.setdefault(key, []).append(((cell["at"], cell["seq"]), r["lo"], r["hi"]))
-        for cells in per_key.values():
-            cells.sort()
-            assert all(a[2] < b[1] for a, b in zip(cells, cells[1:]))
+    assert split.frame.groupBy(o.CELL).count().agg(F.max("count")).first()[0] < 100
+    ranges = (
+        split.frame.groupBy(*split.by)
+        .agg(F.min(F.struct("at", "seq")).alias("lo"), F.max(F.struct("at", "seq")).alias("hi"))
+        .collect()
+    )
+    per_key = {}
+    for r in ranges:
+        per_key.setdefault(r["k"] if keys else 0, []).append((-r[o.CELL] if down else r[o.CELL], r["lo"], r["hi"]))
+    for cells in per_key.values():
+        cells.sort()
+        assert all(a[2] < b[1] for a, b in zip(cells, cells[1:]))
+    assert max(map(len, per_key.values())) > 10
 
 
 @pytest.mark.parametrize("keys", [["k"], []])
-@pytest.mark.parametrize("depth,limit", [(1, 4), (10, 4), (3, 25), (10, 10_000)])
-def test_with_previous(frame, rows, keys, depth, limit):
-    split = o.with_previous(frame, keys, "at", "seq", depth, limit)
+@pytest.mark.parametrize("depth,parts", [(1, 100), (10, 100), (3, 24), (10, 1)])
+def test_with_previous(frame, rows, keys, depth, parts):
+    split = o.with_previous(frame, keys, "at", "seq", depth, parts)
     seen = split.frame.withColumns(
         {
             "before": F.lag("seq", depth).over(split.window),
@@ -94,10 +86,10 @@ def test_with_previous(frame, rows, keys, depth, limit):
 
 
 @pytest.mark.parametrize("keys", [["k"], []])
-@pytest.mark.parametrize("limit,include", [(4, True), (4, False), (25, True), (10_000, False)])
-def test_running(frame, rows, keys, limit, include):
+@pytest.mark.parametrize("parts,include", [(100, True), (100, False), (24, True), (1, False)])
+def test_running(frame, rows, keys, parts, include):
     measures = {"total": ("sum", F.col("v")), "top": ("max", F.col("v"))}
-    out = o.running(frame, keys, "at", "seq", measures, include, limit)
+    out = o.running(frame, keys, ["at", "seq"], measures, include, parts)
     assert set(out.columns) == {"k", "at", "seq", "v", "total", "top"}
     got = {r.seq: (r.total, r.top) for r in out.collect()}
     want = {}
@@ -109,10 +101,10 @@ def test_running(frame, rows, keys, limit, include):
 
 
 @pytest.mark.parametrize(
-    "limit,span", [(4, 1), (4, 30_000_000), (25, 500), (25, 3 * DAY), (10_000, 500)]
+    "parts,span", [(100, 1), (100, 30_000_000), (24, 500), (24, 3 * DAY), (1, 500)]
 )
-def test_trailing_count(frame, rows, limit, span):
-    got = {r.seq: r.recent for r in o.trailing_count(frame, ["k"], "at", "seq", span, limit=limit).collect()}
+def test_trailing_count(frame, rows, parts, span):
+    got = {r.seq: r.recent for r in o.trailing_count(frame, ["k"], "at", "seq", span, parts=parts).collect()}
     want = {
         row[2]: sum(
             1
@@ -126,5 +118,18 @@ def test_trailing_count(frame, rows, limit, span):
 
 
 def test_row_numbers_without_keys(frame, rows):
-    got = [r.seq for r in o.row_numbers(frame, [], "at", "seq", limit=10).orderBy("row_no").collect()]
+    got = [r.seq for r in o.row_numbers(frame, [], "at", "seq", parts=50).orderBy("row_no").collect()]
     assert got == [r[2] for r in sorted(rows, key=lambda r: (r[1], r[2]))]
+
+
+def test_ids_of_any_type(spark, rows):
+    """Large and textual ids: no arithmetic is done with them."""
+    by_text = {f"id-{r[2]:04d}": r for r in rows}
+    texts = spark.createDataFrame([(r[0], r[1], i) for i, r in by_text.items()], "k string, at long, seq string")
+    large = spark.createDataFrame([(r[0], r[1], 2**63 - 1 - r[2]) for r in rows], "k string, at long, seq long")
+    want = {r.seq: r.recent for r in o.trailing_count(texts, ["k"], "at", "seq", DAY, parts=30).collect()}
+    assert want == {
+        i: sum(1 for j, s in by_text.items() if s[0] == r[0] and r[1] - DAY < s[1] and (s[1], j) <= (r[1], i))
+        for i, r in by_text.items()
+    }
+    assert o.trailing_count(large, ["k"], "at", "seq", DAY, parts=30).count() == 600

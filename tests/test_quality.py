@@ -157,12 +157,12 @@ def by_hand(ids):
     return issues
 
 
-@pytest.mark.parametrize("limit", [4, 10_000])
-def test_sequence_against_plain_python(spark, limit):
+@pytest.mark.parametrize("parts", [60, 1])
+def test_sequence_against_plain_python(spark, parts):
     rnd = random.Random(11)
     ids = [100 + n // 3 + rnd.choice([-4, 0, 0, 0, 2]) for n in range(300)] + [7] * 60
     rows = arrivals(spark, ids).repartition(5)
-    got = q.sequence_issues(rows, "id", "arrival", "event_id", limit=limit)
+    got = q.sequence_issues(rows, "id", "arrival", "event_id", parts=parts)
     assert sorted((r.event_id, r.issue) for r in got.collect()) == by_hand(ids)
 
 

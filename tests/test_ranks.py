@@ -36,12 +36,13 @@ def samples():
     return rows
 
 
-@pytest.mark.parametrize("limit", [10, 50, 100_000])
-def test_rules_hold_with_and_without_hot_groups(spark, samples, limit):
-    frame = spark.createDataFrame(samples, "g string, v double").repartition(5)
-    got = {r.g: tuple(r[n] for n in WANTED) for r in order_stats(frame, ["g"], "v", WANTED, limit).collect()}
+@pytest.mark.parametrize("parts", [60, 8, 1])
+def test_rules_hold_however_groups_are_cut(spark, samples, parts):
+    nulls = [(None, 3.0), (None, 1.0)]
+    frame = spark.createDataFrame([*samples, *nulls, ("four", None)], "g string, v double").repartition(5)
+    got = {r.g: tuple(r[n] for n in WANTED) for r in order_stats(frame, ["g"], "v", WANTED, parts).collect()}
     groups = {}
-    for g, v in samples:
+    for g, v in [*samples, *nulls]:
         groups.setdefault(g, []).append(v)
     assert got == {g: expected(v) for g, v in groups.items()}
 

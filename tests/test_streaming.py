@@ -66,11 +66,11 @@ def test_ingest_splits_frames_and_reports_issues(spark):
     assert read_table(spark, f"{out}/frames", "event_id string").count() == 1
 
 
-@pytest.mark.parametrize("limit", [8, 10**6])
-def test_alerts_across_batches(spark, parts, small, limit):
+@pytest.mark.parametrize("cells", [40, 1])
+def test_alerts_across_batches(spark, parts, small, cells):
     out = work_dir(spark, "alerts")
     week = 7 * 86_400
-    run(t.as_security_log(stream(spark, parts)), jobs.alert_handler(out, window_s=week, limit=limit), out)
+    run(t.as_security_log(stream(spark, parts)), jobs.alert_handler(out, window_s=week, parts=cells), out)
     got = read_table(
         spark, f"{out}/alerts", "source long, ts_us long, event_id long, recent long, action string"
     )
@@ -82,7 +82,7 @@ def test_alerts_across_batches(spark, parts, small, limit):
 def test_sequences_across_batches(spark, parts, small):
     out = work_dir(spark, "sequence")
     one_key = lambda f: f.withColumn("session", F.col("session") % 2)
-    run(one_key(t.as_arrivals(stream(spark, parts))), jobs.sequence_handler(out, "session", 50), out)
+    run(one_key(t.as_arrivals(stream(spark, parts))), jobs.sequence_handler(out, "session", 9), out)
     cols = ["session", "event_id", "id", "prev_max", "issue"]
     got = read_table(spark, f"{out}/issues", "session long, event_id long, id long, prev_max long, issue string")
     want = q.sequence_issues(one_key(t.arrivals(spark, small)), "id", "arrival", "event_id", ["session"])

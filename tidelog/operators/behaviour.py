@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.operators.ordered import GROUP_ROW_LIMIT, row_numbers, with_previous
+from tidelog.operators.ordered import row_numbers, with_previous
 
 SECOND_US = 1_000_000.0
 
@@ -136,10 +136,10 @@ def pointer_velocity(
     key: str = "session",
     ts_us: str = "ts_us",
     unique: str = "event_id",
-    limit: int = GROUP_ROW_LIMIT,
+    parts: int | None = None,
 ) -> DataFrame:
     """Add ``dx``, ``dy``, ``dt``, ``step`` and ``velocity`` against the move before."""
-    split = with_previous(moves, [key], ts_us, unique, 1, limit)
+    split = with_previous(moves, [key], ts_us, unique, 1, parts)
     return split.own(_motion(split, ts_us))
 
 
@@ -157,7 +157,7 @@ def move_stats(
     unique: str = "event_id",
     max_rows: int = BUFFER_ROWS,
     seconds: float = BUFFER_SECONDS,
-    limit: int = GROUP_ROW_LIMIT,
+    parts: int | None = None,
 ) -> DataFrame:
     """Per move, statistics of the buffer that ends with it: at most ``max_rows``
     moves, none older than ``seconds``.
@@ -165,7 +165,7 @@ def move_stats(
     ``distance`` is the path between the buffered places, so the step that led
     to the first of them does not count.
     """
-    split = with_previous(moves, [key], ts_us, unique, max_rows, limit)
+    split = with_previous(moves, [key], ts_us, unique, max_rows, parts)
     moved = _motion(split, ts_us)
     entry = F.struct(F.col(ts_us).alias("t"), F.col("velocity").alias("v"), F.col("step").alias("s"))
     recent = F.collect_list(entry).over(split.rows(-(max_rows - 1), 0))
@@ -198,12 +198,12 @@ def motion_patterns(
     ts_us: str = "ts_us",
     unique: str = "event_id",
     seconds: float = BUFFER_SECONDS,
-    limit: int = GROUP_ROW_LIMIT,
+    parts: int | None = None,
 ) -> DataFrame:
     """Per move: ``back_and_forth`` and ``idle`` over the last ten moves, ``swipe``
     (a direction or null) over the last five. Moves older than ``seconds`` are
     not in the buffer, so then there is no pattern."""
-    split = with_previous(moves, [key], ts_us, unique, PATTERN_ROWS + 1, limit)
+    split = with_previous(moves, [key], ts_us, unique, PATTERN_ROWS + 1, parts)
     moved = _motion(split, ts_us)
     window = split.window
     # A turn is a sign change between two steps that both lie inside the last ten places.
@@ -252,14 +252,14 @@ def focus_changes(
     key: str = "session",
     ts_us: str = "ts_us",
     unique: str = "event_id",
-    limit: int = GROUP_ROW_LIMIT,
+    parts: int | None = None,
 ) -> DataFrame:
     """Rows at which the front window changed, with the reason.
 
     ``has_window`` false means that no window was in front. Two such rows in a
     row still count as a change.
     """
-    split = with_previous(rows, [key], ts_us, unique, 1, limit)
+    split = with_previous(rows, [key], ts_us, unique, 1, parts)
     parts = ["window_id", "process_id", "title", "bounds"]
     before = F.lag(F.struct("has_window", *parts)).over(split.window)
     seen = split.frame.withColumn("_before", before)
@@ -286,10 +286,10 @@ def drop_consecutive(
     key: str,
     ts_us: str = "ts_us",
     unique: str = "event_id",
-    limit: int = GROUP_ROW_LIMIT,
+    parts: int | None = None,
 ) -> DataFrame:
     """Drop rows whose content equals that of the row before; empty never counts as equal."""
-    split = with_previous(rows, [key], ts_us, unique, 1, limit)
+    split = with_previous(rows, [key], ts_us, unique, 1, parts)
     repeated = (F.col(content) == F.lag(content).over(split.window)) & (F.col(content) != "")
     marked = split.frame.withColumn("_rep", F.coalesce(repeated, F.lit(False)))
     return split.own(marked.filter(~F.col("_rep")).drop("_rep"))
@@ -301,11 +301,11 @@ def counter_rate(
     key: str = "host",
     ts_us: str = "ts_us",
     unique: str = "event_id",
-    limit: int = GROUP_ROW_LIMIT,
+    parts: int | None = None,
 ) -> DataFrame:
     """Counter increases and their sum per second. Without a predecessor, without
     elapsed time or after a reset of any counter there is no row."""
-    split = with_previous(rows, [key], ts_us, unique, 1, limit)
+    split = with_previous(rows, [key], ts_us, unique, 1, parts)
     w = split.window
     deltas = {f"{c}_delta": F.col(c) - F.lag(c).over(w) for c in counters}
     seconds = (F.col(ts_us) - F.lag(ts_us).over(w)) / SECOND_US
@@ -325,10 +325,10 @@ def idle_state(
     timeout_s: float = 30.0,
     active_rate: float = 1.0,
     idle_rate: float = 0.2,
-    limit: int = GROUP_ROW_LIMIT,
+    parts: int | None = None,
 ) -> DataFrame:
     """``state_rate``: the sampling rate that the gap to the previous event calls for."""
-    split = with_previous(rows, [key], ts_us, unique, 1, limit)
+    split = with_previous(rows, [key], ts_us, unique, 1, parts)
     gap = (F.col(ts_us) - F.lag(ts_us).over(split.window)) / SECOND_US
     state = F.when(gap > timeout_s, idle_rate).otherwise(active_rate)
     return split.own(split.frame.withColumn("state_rate", state))
@@ -340,10 +340,10 @@ def event_pairs(
     key: str,
     ts_us: str = "ts_us",
     unique: str = "event_id",
-    limit: int = GROUP_ROW_LIMIT,
+    parts: int | None = None,
 ) -> DataFrame:
     """How often one kind of event directly follows another within a key."""
-    split = with_previous(rows.select(key, ts_us, unique, kind), [key], ts_us, unique, 1, limit)
+    split = with_previous(rows.select(key, ts_us, unique, kind), [key], ts_us, unique, 1, parts)
     pairs = split.own(split.frame.withColumn("first", F.lag(kind).over(split.window)))
     return (
         pairs.filter(F.col("first").isNotNull())
@@ -358,19 +358,16 @@ def replay_schedule(
     unique: str,
     speed: float = 1.0,
     keys: list[str] | None = None,
-    limit: int = GROUP_ROW_LIMIT,
+    parts: int | None = None,
 ) -> DataFrame:
     """``wait_ms`` until the next event at ``speed``, at least one; null at the end.
     Elapsed time counts in whole milliseconds."""
     if not 0 < speed <= 100:
         raise ValueError("speed must be above 0 and at most 100")
-    # The next row is the previous one of the mirrored order.
-    mirrored = rows.withColumns({"_at": -F.col(ts_us), "_seq": -F.col(unique)})
-    split = with_previous(mirrored, keys or [], "_at", "_seq", 1, limit)
+    split = with_previous(rows, keys or [], ts_us, unique, 1, parts, down=True)
     step = F.lag(ts_us).over(split.window) - F.col(ts_us)
     wait = F.greatest(F.floor(step / 1000) / F.lit(float(speed)), F.lit(1.0))
-    out = split.frame.withColumn("wait_ms", F.when(step.isNotNull(), wait))
-    return split.own(out).drop("_at", "_seq")
+    return split.own(split.frame.withColumn("wait_ms", F.when(step.isNotNull(), wait)))
 
 
 def type_sequence(
@@ -378,10 +375,10 @@ def type_sequence(
     kind: str,
     ts_us: str,
     unique: str,
-    limit: int = GROUP_ROW_LIMIT,
+    parts: int | None = None,
 ) -> DataFrame:
     """Running number of an event within its type."""
-    return row_numbers(rows, [kind], ts_us, unique, "type_no", limit)
+    return row_numbers(rows, [kind], ts_us, unique, "type_no", parts)
 
 
 # -- buffers and filters --------------------------------------------------------------------

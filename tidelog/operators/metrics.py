@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import formats as fm
-from tidelog.operators.ordered import GROUP_ROW_LIMIT
 from tidelog.operators.ranks import order_stats
 
 # Change in percent that counts.
@@ -38,14 +37,14 @@ def _with_ranks(
     value: str,
     aggregates: list[Column],
     wanted: dict[str, tuple[str, float]],
-    limit: int,
+    parts: int | None,
 ) -> DataFrame:
-    ranks = order_stats(samples, [key], value, wanted, limit)
+    ranks = order_stats(samples, [key], value, wanted, parts)
     return samples.groupBy(key).agg(*aggregates).join(ranks, key)
 
 
 def latency_report(
-    samples: DataFrame, key: str, value: str, limit: int = GROUP_ROW_LIMIT
+    samples: DataFrame, key: str, value: str, parts: int | None = None
 ) -> DataFrame:
     """n, mean, min, max, median, p95, p99 and population deviation per metric."""
     v = F.col(value)
@@ -56,18 +55,18 @@ def latency_report(
         "p99": ("floor", 0.99),
     }
     names = ["n", "mean", "min", "max", "stddev_pop"]
-    report = _with_ranks(samples, key, value, [measure(m, v) for m in names], wanted, limit)
+    report = _with_ranks(samples, key, value, [measure(m, v) for m in names], wanted, parts)
     median = (F.col("_low") + F.col("_high")) / 2
     return report.withColumn("median", median).drop("_low", "_high")
 
 
 def latency_percentiles(
-    samples: DataFrame, key: str, value: str, limit: int = GROUP_ROW_LIMIT
+    samples: DataFrame, key: str, value: str, parts: int | None = None
 ) -> DataFrame:
     """p50, p95 and p99 as elements of the sample, with max and mean."""
     wanted = {"p50": ("floor", 0.50), "p95": ("floor", 0.95), "p99": ("floor", 0.99)}
     aggregates = [measure("max", F.col(value)), measure("mean", F.col(value))]
-    return _with_ranks(samples, key, value, aggregates, wanted, limit)
+    return _with_ranks(samples, key, value, aggregates, wanted, parts)
 
 
 def stats_set(
@@ -75,13 +74,13 @@ def stats_set(
     key: str,
     value: str,
     percents: tuple[float, ...] = (90.0, 95.0),
-    limit: int = GROUP_ROW_LIMIT,
+    parts: int | None = None,
 ) -> DataFrame:
     """Mean, median, percentiles by nearest index, sample deviation (0 below two values)."""
     wanted = {"_low": ("lower_middle", 0.5), "_high": ("upper_middle", 0.5)}
     wanted.update({f"pct{p:g}": ("nearest", p) for p in percents})
     spread = F.when(F.count(value) < 2, 0.0).otherwise(F.stddev_samp(value)).alias("stddev")
-    report = _with_ranks(samples, key, value, [measure("mean", F.col(value)), spread], wanted, limit)
+    report = _with_ranks(samples, key, value, [measure("mean", F.col(value)), spread], wanted, parts)
     return report.withColumn("median", (F.col("_low") + F.col("_high")) / 2).drop("_low", "_high")
 
 

@@ -1,21 +1,20 @@
 """Ordered-event building blocks that hold when one group is huge.
 
-A window partitioned by session puts a whole session into one task. That is
-fine until one session holds a third of the table. The functions here look for
-such groups first (one aggregate over the key columns, combined map-side), and
-only where a group exceeds ``limit`` rows do they cut it along its order into
-cells of at most ``limit`` rows:
-
-* ``with_previous``  copies the last few rows before each cell into that cell,
-  so that ``lag`` and short row frames see what they would see uncut;
-* ``running``        adds the totals of the earlier cells to running sums and
-  maxima computed inside the cells;
-* ``trailing_count`` counts the events of the last ``span`` as the difference
-  of two running counts, which stays linear where a range frame is quadratic.
-
-Cells follow a ladder of widths. A cell that is still too full is cut again at
-the next width, the last step cutting equal positions by ``seq``; the lists of
-overfull cells have at most ``rows / limit`` entries, so they are broadcast.
+A window partitioned by session puts a whole session into one task, which fails once
+one session holds a third of the table. Here the rows are dealt out by ranges of (keys,
+order), whatever the sizes of the groups, and written. A range is a *cell*; a large group
+lies in several cells, one after the other, and windows run inside a cell. What a cell
+needs to know of earlier ones is little, as only the first group of a cell can have
+begun before it:
+
+* ``with_previous``  copies the last few rows before a cell into that cell, so that
+  ``lag`` and short row frames see what they would see uncut;
+* ``running``        adds the totals of the earlier cells to running sums and maxima;
+* ``trailing_count`` counts the events of the last ``span`` as the difference of two
+  running counts, which stays linear where a range frame is quadratic.
+
+The lists of groups at the edges of cells have at most two rows for each partition, so
+they are broadcast. There is one plan for all sizes.
 """
 
 from __future__ import annotations
@@ -25,32 +24,32 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidelog.functions.times import floor_div
-
-GROUP_ROW_LIMIT = 4_000_000
-# day, hour, minute, second, millisecond, microsecond
-TIME_WIDTHS_US = (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000, 1_000, 1)
-COUNT_WIDTHS = (1_000_000, 10_000, 100, 1)
+from tidelog.session import materialize
 
 CELL = "_cell"
 COPY = "_copy"
-_PROBE = 1 << 62
+
+
+def _sorted(order: list[str], down: bool) -> list[Column]:
+    return [F.col(c).desc() if down else F.col(c).asc() for c in order]
 
 
 @dataclass(frozen=True)
 class Split:
-    """A frame whose windows over ``by`` are all small enough for one task."""
+    """A frame whose windows over ``by`` all lie inside one range of rows."""
 
     frame: DataFrame
-    by: list[str]
     keys: list[str]
-    at: str
-    seq: str
-    cut: bool
+    order: list[str]
+    down: bool = False
+
+    @property
+    def by(self) -> list[str]:
+        return [CELL, *self.keys]
 
     @property
     def window(self) -> WindowSpec:
-        return Window.partitionBy(*self.by).orderBy(self.at, self.seq)
+        return Window.partitionBy(*self.by).orderBy(*_sorted(self.order, self.down))
 
     def rows(self, start: int, end: int) -> WindowSpec:
         return self.window.rowsBetween(start, end)
@@ -61,89 +60,27 @@ class Split:
             frame = frame.filter(~F.col(COPY)).drop(COPY)
         return frame.drop(CELL)
 
-
-def _crowded(frame: DataFrame, cols: list[str], limit: int) -> list:
-    """Groups above the limit: at most ``rows / limit`` of them."""
-    counts = frame.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.filter(F.col("_n") > limit).drop("_n").collect()
-
-
-def _mark(frame: DataFrame, cols: list[str], found: list, flag: str) -> DataFrame:
-    """Add ``flag``: is this row's group in the (short, bounded) list ``found``?"""
-    spark = frame.sparkSession
-    names = [f"_f{i}" for i in range(len(cols))]
-    fields = ", ".join(
-        f"{n} {frame.schema[c].dataType.simpleString()}" for n, c in zip(names, cols)
-    )
-    listed = spark.createDataFrame([tuple(r) for r in found], fields).withColumn(flag, F.lit(True))
-    match = None
-    for name, c in zip(names, cols):
-        one = F.col(c).eqNullSafe(F.col(name))
-        match = one if match is None else match & one
-    joined = frame.join(F.broadcast(listed), match, "left").drop(*names)
-    return joined.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
-
-
-def crowded_groups(frame: DataFrame, keys: list[str], limit: int = GROUP_ROW_LIMIT) -> list:
-    return _crowded(frame.select(*keys), keys, limit)
+    def at_edges(self) -> DataFrame:
+        """The rows of the first and the last group of each cell."""
+        # A struct is never null, also if a key is, and is compared field by field.
+        group = F.struct(CELL, *self.keys)
+        ends = self.frame.groupBy(CELL).agg(F.min(group).alias("_first"), F.max(group).alias("_last"))
+        edges = ends.select(F.explode(F.array_distinct(F.array("_first", "_last"))).alias("_edge"))
+        return self.frame.join(F.broadcast(edges), group == F.col("_edge")).drop("_edge")
 
 
 def split_groups(
-    frame: DataFrame,
-    keys: list[str],
-    at: str,
-    seq: str,
-    limit: int = GROUP_ROW_LIMIT,
-    widths: tuple[int, ...] = TIME_WIDTHS_US,
+    frame: DataFrame, keys: list[str], order: list[str], parts: int | None = None, down: bool = False
 ) -> Split:
-    """Cut groups of more than ``limit`` rows along ``(at, seq)``.
+    """Cut the rows, sorted by keys and order, into ranges of about equal size.
 
-    ``at`` and ``seq`` are long columns. Without ``keys`` the whole table is one
-    group, which is always cut at least at the first width.
+    ``order`` holds columns of any type that can be sorted. ``parts`` is the number of
+    ranges; without it, the session decides. ``down`` turns the order round.
     """
-    if keys:
-        hot = crowded_groups(frame, keys, limit)
-        if not hot:
-            return Split(frame, list(keys), list(keys), at, seq, False)
-        frame = _mark(frame, keys, hot, "_hot")
-    else:
-        frame = frame.withColumn("_hot", F.lit(True))
-
-    position = floor_div(F.col(at), widths[0]) * F.lit(widths[0])
-    rank = F.lit(0).cast("long")
-    probe = frame.filter("_hot").select(*keys, at, seq)
-    flags = []
-    for level, width in enumerate(widths):
-        grid = f"_g{level}"
-        cell = floor_div(F.col(at), width)
-        probe = probe.withColumn(grid, cell)
-        found = _crowded(probe, [*keys, grid], limit)
-        if not found:
-            break
-        flag = f"_over{level}"
-        frame = _mark(frame.withColumn(grid, cell), [*keys, grid], found, flag)
-        flags += [grid, flag]
-        probe = _mark(probe, [*keys, grid], found, flag).filter(flag).drop(flag)
-        if level + 1 < len(widths):
-            finer = widths[level + 1]
-            position = F.when(
-                F.col(flag), floor_div(F.col(at), finer) * F.lit(finer)
-            ).otherwise(position)
-        else:
-            rank = F.when(F.col(flag), floor_div(F.col(seq), limit)).otherwise(rank)
-    # One struct of keys and cell: never null itself, so windows and joins over it
-    # share one partitioning. Groups that are not cut have no position in it.
-    cell = F.struct(
-        *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)],
-        F.when(F.col("_hot"), position).alias("at"),
-        F.when(F.col("_hot"), rank).alias("seq"),
-    )
-    frame = frame.withColumn(CELL, cell).drop("_hot", *flags)
-    return Split(frame, [CELL], list(keys), at, seq, True)
-
-
-def in_cut_group() -> Column:
-    return F.col(CELL).at.isNotNull()
+    by = [*map(F.col, keys), *_sorted(order, down)]
+    dealt = frame.repartitionByRange(parts, *by) if parts else frame.repartitionByRange(*by)
+    # Written, so that every use of it sees the same ranges.
+    return Split(materialize(dealt.withColumn(CELL, F.spark_partition_id()), "cells"), list(keys), list(order), down)
 
 
 def with_previous(
@@ -152,34 +89,28 @@ def with_previous(
     at: str,
     seq: str,
     depth: int = 1,
-    limit: int = GROUP_ROW_LIMIT,
-    widths: tuple[int, ...] = TIME_WIDTHS_US,
+    parts: int | None = None,
+    down: bool = False,
 ) -> Split:
-    """Split so that every row sees its ``depth`` predecessors in its window.
+    """Split so that every row sees its ``depth`` predecessors (``down``: successors) in its window.
 
     Apply window functions over ``split.window``, then call ``split.own``.
     """
-    split = split_groups(frame, keys, at, seq, limit, widths)
-    if not split.cut:
-        return split
-    newest = Window.partitionBy(*split.by).orderBy(F.col(at).desc(), F.col(seq).desc())
-    tails = (
-        split.frame.filter(in_cut_group())
-        .withColumn("_back", F.row_number().over(newest))
-        .filter(F.col("_back") <= depth)
-        .drop("_back")
-    )
-    # Only ``depth`` rows per cell are left, so this window is small.
-    ahead = Window.partitionBy(*keys).orderBy(at, seq).rowsBetween(1, depth)
+    split = split_groups(frame, keys, [at, seq], parts, down)
+    newest = Window.partitionBy(*split.by).orderBy(*_sorted(split.order, not down))
+    tails = split.at_edges().withColumn("_back", F.row_number().over(newest)).filter(F.col("_back") <= depth)
+    # Only ``depth`` rows per cell and group are left, so this window is small.
+    ahead = Window.partitionBy(*keys).orderBy(*_sorted(split.order, down)).rowsBetween(1, depth)
     copies = (
-        tails.withColumn("_to", F.array_distinct(F.collect_list(CELL).over(ahead)))
+        tails.drop("_back")
+        .withColumn("_to", F.array_distinct(F.collect_list(CELL).over(ahead)))
         .withColumn("_to", F.explode(F.filter("_to", lambda c: c != F.col(CELL))))
         .withColumn(CELL, F.col("_to"))
         .drop("_to")
         .withColumn(COPY, F.lit(True))
     )
     both = split.frame.withColumn(COPY, F.lit(False)).unionByName(copies)
-    return Split(both, split.by, split.keys, at, seq, True)
+    return Split(both, split.keys, split.order, down)
 
 
 _COMBINE = {
@@ -192,43 +123,30 @@ _AGGREGATE = {"sum": F.sum, "max": F.max}
 def running(
     frame: DataFrame,
     keys: list[str],
-    at: str,
-    seq: str,
+    order: list[str],
     measures: dict[str, tuple[str, Column]],
     include_current: bool = True,
-    limit: int = GROUP_ROW_LIMIT,
-    widths: tuple[int, ...] = TIME_WIDTHS_US,
+    parts: int | None = None,
 ) -> DataFrame:
     """Add running sums or maxima: ``{"name": ("sum" | "max", column)}``."""
-    split = split_groups(frame, keys, at, seq, limit, widths)
-    last = Window.currentRow if include_current else -1
-    frame_to_here = split.rows(Window.unboundedPreceding, last)
+    split = split_groups(frame, keys, order, parts)
+    here = split.rows(Window.unboundedPreceding, Window.currentRow if include_current else -1)
     out = split.frame.withColumns(
-        {name: _AGGREGATE[kind](col).over(frame_to_here) for name, (kind, col) in measures.items()}
+        {name: _AGGREGATE[kind](col).over(here) for name, (kind, col) in measures.items()}
     )
-    if not split.cut:
-        fill = {n: F.coalesce(F.col(n), F.lit(0)) for n, (k, _) in measures.items() if k == "sum"}
-        return out.withColumns(fill) if fill else out
-
+    group = F.struct(CELL, *keys)
     totals = (
-        split.frame.filter(in_cut_group())
-        .groupBy(CELL)
+        split.at_edges()
+        .groupBy(*split.by)
         .agg(*[_AGGREGATE[kind](col).alias(f"_t_{n}") for n, (kind, col) in measures.items()])
     )
-    # One row per cell, so this window is small.
-    earlier = (
-        Window.partitionBy(*[F.col(CELL)[f"k{i}"] for i in range(len(keys))])
-        .orderBy(F.col(CELL).at, F.col(CELL).seq)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    # At most two rows per cell, so this window and the table are small.
+    earlier = Window.partitionBy(*keys).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
-        F.col(CELL).alias("_of"),
-        *[
-            _AGGREGATE[kind](f"_t_{n}").over(earlier).alias(f"_c_{n}")
-            for n, (kind, _) in measures.items()
-        ],
+        group.alias("_of"),
+        *[_AGGREGATE[kind](f"_t_{n}").over(earlier).alias(f"_c_{n}") for n, (kind, _) in measures.items()],
     )
-    out = out.join(carried, F.col(CELL) == F.col("_of"), "left")
+    out = out.join(F.broadcast(carried), group == F.col("_of"), "left")
     out = out.withColumns(
         {n: _COMBINE[kind](F.col(f"_c_{n}"), F.col(n)) for n, (kind, _) in measures.items()}
     )
@@ -236,17 +154,11 @@ def running(
 
 
 def row_numbers(
-    frame: DataFrame,
-    keys: list[str],
-    at: str,
-    seq: str,
-    name: str = "row_no",
-    limit: int = GROUP_ROW_LIMIT,
-    widths: tuple[int, ...] = TIME_WIDTHS_US,
+    frame: DataFrame, keys: list[str], at: str, seq: str, name: str = "row_no", parts: int | None = None
 ) -> DataFrame:
     """1-based position of each row in its group, or in the whole table."""
     one = {name: ("sum", F.lit(1).cast("long"))}
-    return running(frame, keys, at, seq, one, limit=limit, widths=widths)
+    return running(frame, keys, [at, seq], one, parts=parts)
 
 
 def trailing_count(
@@ -256,39 +168,29 @@ def trailing_count(
     seq: str,
     span: int,
     name: str = "recent",
-    limit: int = GROUP_ROW_LIMIT,
+    parts: int | None = None,
 ) -> DataFrame:
     """Rows of the same keys in ``(at - span, at]`` that do not come later.
 
     The current row counts. The result has ``keys``, ``at``, ``seq`` and ``name``;
-    ``seq`` must be unique and not negative. Each row is joined by a probe at
-    ``at - span`` that sorts after the rows of that instant; the two running
-    counts differ by the rows inside the span.
+    ``seq`` is unique and of any type that can be sorted. Each row is joined by a probe
+    at ``at - span`` that sorts after the rows of that instant; the two running counts
+    differ by the rows inside the span.
     """
-    one, none = (F.lit(n).cast("long") for n in (1, 0))
     pair = F.array(
-        F.struct(F.col(at).alias("at"), F.col(seq).alias("seq"), one.alias("one")),
-        F.struct(
-            (F.col(at) - F.lit(span)).alias("at"),
-            (F.col(seq) + F.lit(_PROBE)).alias("seq"),
-            none.alias("one"),
-        ),
-    )
-    doubled = frame.select(*keys, F.col(seq).alias("_s"), F.explode(pair).alias("_p")).select(
-        *keys,
-        F.col("_p").at.alias(at),
-        F.col("_p").seq.alias(seq),
-        F.col("_p").one.alias("_one"),
-        "_s",
+        F.struct(F.col(at).alias("at"), F.lit(False).alias("probe")),
+        F.struct((F.col(at) - F.lit(span)).alias("at"), F.lit(True).alias("probe")),
     )
-    counted = running(doubled, keys, at, seq, {"_cum": ("sum", F.col("_one"))}, limit=limit)
-    is_row = F.col("_one") == 1
+    doubled = frame.select(*keys, seq, F.inline(pair)).withColumnsRenamed({"at": "_at", "probe": "_probe"})
+    one = {"_cum": ("sum", (~F.col("_probe")).cast("long"))}
+    counted = running(doubled, keys, ["_at", "_probe", seq], one, parts=parts)
+    is_row = ~F.col("_probe")
     return (
-        counted.groupBy(*keys, "_s")
+        counted.groupBy(*keys, seq)
         .agg(
-            F.max(F.when(is_row, F.col(at))).alias(at),
+            F.max(F.when(is_row, F.col("_at"))).alias("_at"),
             F.max(F.when(is_row, F.col("_cum"))).alias("_here"),
             F.max(F.when(~is_row, F.col("_cum"))).alias("_then"),
         )
-        .select(*keys, at, F.col("_s").alias(seq), (F.col("_here") - F.col("_then")).alias(name))
+        .select(*keys, F.col("_at").alias(at), seq, (F.col("_here") - F.col("_then")).alias(name))
     )

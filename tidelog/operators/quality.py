@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from tidelog.functions import payload as pl
 from tidelog.functions.times import floor_div
 from tidelog.operators.ordered import (
-    COUNT_WIDTHS,
-    GROUP_ROW_LIMIT,
     row_numbers,
     running,
     with_previous,
@@ -197,10 +195,10 @@ def out_of_order(
     unique: str,
     ts: str,
     keys: list[str] | None = None,
-    limit: int = GROUP_ROW_LIMIT,
+    parts: int | None = None,
 ) -> DataFrame:
     """Rows whose time is before that of the row that arrived just before."""
-    gaps = _steps(frame, arrival, unique, ts, keys, limit)
+    gaps = _steps(frame, arrival, unique, ts, keys, parts)
     return gaps.filter(F.col("step") < 0)
 
 
@@ -211,15 +209,15 @@ def large_gaps(
     ts: str,
     threshold: int = LARGE_GAP_US,
     keys: list[str] | None = None,
-    limit: int = GROUP_ROW_LIMIT,
+    parts: int | None = None,
 ) -> DataFrame:
     """Rows more than ``threshold`` after their predecessor; a step back is no gap."""
-    gaps = _steps(frame, arrival, unique, ts, keys, limit)
+    gaps = _steps(frame, arrival, unique, ts, keys, parts)
     return gaps.filter(F.col("step") > threshold)
 
 
-def _steps(frame, arrival, unique, ts, keys, limit) -> DataFrame:
-    split = with_previous(frame, keys or [], arrival, unique, 1, limit, COUNT_WIDTHS)
+def _steps(frame, arrival, unique, ts, keys, parts) -> DataFrame:
+    split = with_previous(frame, keys or [], arrival, unique, 1, parts)
     step = F.col(ts) - F.lag(ts).over(split.window)
     return split.own(split.frame.withColumn("step", step))
 
@@ -230,7 +228,7 @@ def sequence_issues(
     arrival: str,
     unique: str,
     keys: list[str] | None = None,
-    limit: int = GROUP_ROW_LIMIT,
+    parts: int | None = None,
 ) -> DataFrame:
     """Rows that break the rising id sequence, judged against the largest id so far.
 
@@ -241,12 +239,10 @@ def sequence_issues(
     seen = running(
         frame,
         keys,
-        arrival,
-        unique,
+        [arrival, unique],
         {"prev_max": ("max", F.col(ident))},
         include_current=False,
-        limit=limit,
-        widths=COUNT_WIDTHS,
+        parts=parts,
     ).filter(F.col("prev_max").isNotNull() & (F.col(ident) != F.col("prev_max") + 1))
     # Only the offending rows are left; they are needed three times.
     seen = materialize(seen, "sequence")
@@ -320,10 +316,10 @@ def checksum_mismatch(
 
 
 def batches(
-    frame: DataFrame, arrival: str, unique: str, size: int, limit: int = GROUP_ROW_LIMIT
+    frame: DataFrame, arrival: str, unique: str, size: int, parts: int | None = None
 ) -> DataFrame:
     """Add ``batch``: runs of ``size`` rows in arrival order."""
-    numbered = row_numbers(frame, [], arrival, unique, "_row", limit, COUNT_WIDTHS)
+    numbered = row_numbers(frame, [], arrival, unique, "_row", parts)
     return numbered.withColumn("batch", floor_div(F.col("_row") - 1, size)).drop("_row")
 
 

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.operators.ordered import GROUP_ROW_LIMIT, _mark, crowded_groups
-
-_ACCURACY = 100_000
+from tidelog.operators.ordered import running
 
 # Zero-based index of the wanted value in the sorted group of n values. ``floor``
 # takes a share, ``nearest`` a percentage.
@@ -28,90 +26,22 @@ def order_stats(
     keys: list[str],
     value: str,
     wanted: dict[str, tuple[str, float]],
-    limit: int = GROUP_ROW_LIMIT,
+    parts: int | None = None,
 ) -> DataFrame:
     """One row per group: ``keys`` and, per name in ``wanted``, the value at
     the index given by ``(rule, p)``.
 
-    Ordinary groups are ranked by a window. A group above ``limit`` rows is
-    narrowed first: an approximate percentile brackets each wanted rank, the
-    rows below the bracket are only counted, and the few distinct values inside
-    it are ranked. The result is exact on both ways.
+    Equal values are counted first. A running count over ranges of (keys, value) then
+    tells which indexes a value holds; a group of any size takes part in as many tasks
+    as it has ranges. Null keys are a group, null values are left out.
     """
-    frame = frame.select(*keys, value).filter(F.col(value).isNotNull())
-    hot = crowded_groups(frame, keys, limit)
-    if not hot:
-        return _ranked(frame, keys, value, wanted)
-    marked = _mark(frame, keys, hot, "_hot")
-    plain = _ranked(marked.filter(~F.col("_hot")).drop("_hot"), keys, value, wanted)
-    crowded = marked.filter("_hot").drop("_hot")
-    return plain.unionByName(_bracketed(crowded, keys, value, wanted, limit))
-
-
-def _ranked(
-    frame: DataFrame, keys: list[str], value: str, wanted: dict[str, tuple[str, float]]
-) -> DataFrame:
-    group = Window.partitionBy(*keys)
-    ranked = frame.withColumns(
-        {
-            "_i": F.row_number().over(group.orderBy(value)) - 1,
-            "_n": F.count(F.lit(1)).over(group),
-        }
-    )
-    return ranked.groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col("_i") == INDEX_RULES[rule](F.col("_n"), p), F.col(value))).alias(
-                name
-            )
-            for name, (rule, p) in wanted.items()
-        ]
-    )
-
-
-def _bracketed(
-    frame: DataFrame,
-    keys: list[str],
-    value: str,
-    wanted: dict[str, tuple[str, float]],
-    limit: int,
-) -> DataFrame:
-    # Sketch error plus two ranks, as the rules differ from the sketch by at most two.
-    margin = 2.0 / _ACCURACY + 2.0 / limit
-    share = {
-        name: 0.5 if rule.endswith("middle") else p / 100 if rule == "nearest" else p
-        for name, (rule, p) in wanted.items()
-    }
-    shares = [
-        min(1.0, max(0.0, share[name] + sign * margin)) for name in wanted for sign in (-1, 1)
-    ]
-    # At most rows / limit groups are hot, so this table is small enough to send out.
-    brackets = frame.groupBy(*[F.col(k).alias(f"_b_{k}") for k in keys]).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx(value, F.array(*map(F.lit, shares)), F.lit(_ACCURACY)).alias("_q"),
-    )
-    match = None
-    for k in keys:
-        one = F.col(k).eqNullSafe(F.col(f"_b_{k}"))
-        match = one if match is None else match & one
-    joined = frame.join(F.broadcast(brackets), match).drop(*[f"_b_{k}" for k in keys])
-
-    # How many bracket ends a value has passed rises with the value and tells whether it
-    # lies inside a bracket. Values outside are pooled per step, those inside kept apart.
-    v = F.col(value)
-    passed, inside = F.lit(0), F.lit(False)
-    for i in range(len(wanted)):
-        low, high = v >= F.col("_q")[2 * i], v > F.col("_q")[2 * i + 1]
-        passed = passed + low.cast("int") + high.cast("int")
-        inside = inside | (low & ~high)
-    counts = joined.groupBy(
-        *keys, "_n", passed.alias("_step"), F.when(inside, v).alias("_v")
-    ).agg(F.count(F.lit(1)).alias("_c"))
-    upto = (
-        Window.partitionBy(*keys)
-        .orderBy("_step", "_v")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = frame.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c")
     )
-    placed = counts.withColumn("_cum", F.sum("_c").over(upto))
+    placed = running(counts, keys, ["_v"], {"_cum": ("sum", F.col("_c"))}, parts=parts)
+    group = F.struct(*keys) if keys else F.struct(F.lit(0))
+    sizes = placed.groupBy(group.alias("_g")).agg(F.max("_cum").alias("_n"))
+    placed = placed.withColumn("_g", group).join(sizes, "_g")
 
     def holds(name: str) -> Column:
         rule, p = wanted[name]

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tidelog.functions import text as tx
 from tidelog.functions.times import floor_div, in_range
-from tidelog.operators.ordered import GROUP_ROW_LIMIT, row_numbers
+from tidelog.operators.ordered import row_numbers
 
 # Bounds of paging.
 MAX_LIMIT = 10_000
@@ -160,10 +160,10 @@ def page_numbers(
     time_us: str,
     unique: str,
     page_size: int = 20,
-    limit: int = GROUP_ROW_LIMIT,
+    parts: int | None = None,
 ) -> DataFrame:
     """Zero-based page of every row, oldest first, without a global sort."""
-    numbered = row_numbers(frame, [], time_us, unique, "_row", limit=limit)
+    numbered = row_numbers(frame, [], time_us, unique, "_row", parts=parts)
     return numbered.withColumn("page", floor_div(F.col("_row") - 1, page_size)).drop("_row")
 
 

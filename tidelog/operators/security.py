@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from tidelog.operators.ordered import (
     CELL,
     COPY,
-    GROUP_ROW_LIMIT,
-    in_cut_group,
     trailing_count,
     with_previous,
 )
@@ -50,7 +48,7 @@ def _alerts(
     window_s: int,
     with_current: bool,
     action: Column,
-    limit: int,
+    parts: int | None,
 ) -> DataFrame:
     rows = log.filter(F.col("kind").isin(kinds) & F.col("source").isNotNull())
     counted = trailing_count(
@@ -59,7 +57,7 @@ def _alerts(
         "ts_us",
         "event_id",
         window_s * SECOND_US,
-        limit=limit,
+        parts=parts,
     )
     if not with_current:
         counted = counted.withColumn("recent", F.col("recent") - 1)
@@ -74,32 +72,32 @@ def auth_alerts(
     log: DataFrame,
     threshold: int = AUTH_FAILURES,
     window_s: int = AUTH_WINDOW_S,
-    limit: int = GROUP_ROW_LIMIT,
+    parts: int | None = None,
 ) -> DataFrame:
     """Failures that are at least the ``threshold``-th of their source within the window."""
     action = _about("IP %s temporarily blocked")
-    return _alerts(log, ["AuthenticationFailure"], threshold, window_s, True, action, limit)
+    return _alerts(log, ["AuthenticationFailure"], threshold, window_s, True, action, parts)
 
 
 def rate_alerts(
     log: DataFrame,
     threshold: int = RATE_LIMITS,
     window_s: int = RATE_WINDOW_S,
-    limit: int = GROUP_ROW_LIMIT,
+    parts: int | None = None,
 ) -> DataFrame:
     """As above, but the event itself is not counted."""
     action = _about("IP %s rate limited")
-    return _alerts(log, ["RateLimitExceeded"], threshold, window_s, False, action, limit)
+    return _alerts(log, ["RateLimitExceeded"], threshold, window_s, False, action, parts)
 
 
 def suspicious_alerts(
     log: DataFrame,
     threshold: int = SUSPICIOUS,
     window_s: int = SUSPICIOUS_WINDOW_S,
-    limit: int = GROUP_ROW_LIMIT,
+    parts: int | None = None,
 ) -> DataFrame:
     action = _about("IP %s flagged as suspicious")
-    return _alerts(log, SUSPICIOUS_KINDS, threshold, window_s, False, action, limit)
+    return _alerts(log, SUSPICIOUS_KINDS, threshold, window_s, False, action, parts)
 
 
 def critical_alerts(log: DataFrame) -> DataFrame:
@@ -151,19 +149,17 @@ def _cell_tables(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     key, states = None, list(range(_FULL + 1))
     for frame in frames:
         done = []
-        for source, at, seq, success, dense in zip(
-            frame["source"], frame["cell_at"], frame["cell_seq"], frame["success"], frame["dense"]
+        for source, cell, success, dense in zip(
+            frame["source"], frame["cell"], frame["success"], frame["dense"]
         ):
-            if (source, at, seq) != key:
+            if (source, cell) != key:
                 if key is not None:
                     done.append((*key, states))
-                key, states = (source, at, seq), list(range(_FULL + 1))
+                key, states = (source, cell), list(range(_FULL + 1))
             states = [_next_state(s, success, dense) for s in states]
-        yield pd.DataFrame(done, columns=["source", "cell_at", "cell_seq", "states"])
+        yield pd.DataFrame(done, columns=["source", "cell", "states"])
     if key is not None:
-        yield pd.DataFrame(
-            [(*key, states)], columns=["source", "cell_at", "cell_seq", "states"]
-        )
+        yield pd.DataFrame([(*key, states)], columns=["source", "cell", "states"])
 
 
 def _first_states(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,7 +172,7 @@ def _first_states(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 source, state = this, 0
             first.append(state)
             state = int(states[state])
-        yield frame[["source", "cell_at", "cell_seq"]].assign(first=first)
+        yield frame[["source", "cell"]].assign(first=first)
 
 
 def _outcomes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,71 +180,44 @@ def _outcomes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     key, state = None, 0
     for frame in frames:
         refused = []
-        for source, at, seq, first, success, dense in zip(
-            frame["source"],
-            frame["cell_at"],
-            frame["cell_seq"],
-            frame["first"],
-            frame["success"],
-            frame["dense"],
+        for source, cell, first, success, dense in zip(
+            frame["source"], frame["cell"], frame["first"], frame["success"], frame["dense"]
         ):
-            if (source, at, seq) != key:
-                key, state = (source, at, seq), int(first)
+            if (source, cell) != key:
+                key, state = (source, cell), int(first)
             refused.append(bool(state == _FULL and dense))
             state = _next_state(state, success, dense)
         yield frame[["source", "ts_us", "event_id", "success"]].assign(refused=refused)
 
 
 def lockout(
-    attempts: DataFrame, window_s: int = LOCKOUT_WINDOW_S, limit: int = GROUP_ROW_LIMIT
+    attempts: DataFrame, window_s: int = LOCKOUT_WINDOW_S, parts: int | None = None
 ) -> DataFrame:
-    """Attempts (source, ts_us, event_id, success) with ``refused``."""
+    """Attempts (source, ts_us, event_id, success) with ``refused``. Ids are of any type."""
     rows = attempts.select("source", "ts_us", "event_id", "success").filter(
         F.col("source").isNotNull()
     )
     source_type = rows.schema["source"].dataType.simpleString()
-    split = with_previous(rows, ["source"], "ts_us", "event_id", _FULL, limit)
+    id_type = rows.schema["event_id"].dataType.simpleString()
+    split = with_previous(rows, ["source"], "ts_us", "event_id", _FULL, parts)
     before = F.col("ts_us") - F.lag("ts_us", _FULL).over(split.window)
     dense = F.coalesce(before < window_s * SECOND_US, F.lit(False))
-    marked = split.frame.withColumn("dense", dense)
-    cell = ["cell_at", "cell_seq"]
-    order = ["source", *cell, "ts_us", "event_id"]
-    if not split.cut:
-        marked = marked.withColumns({c: F.lit(0).cast("long") for c in cell})
-        marked = marked.withColumn("first", F.lit(0))
-        placed = marked.repartition("source")
-    else:
-        marked = marked.filter(~F.col(COPY)).drop(COPY)
-        marked = marked.withColumns(
-            {
-                "cell_at": F.coalesce(F.col(CELL).at, F.lit(0).cast("long")),
-                "cell_seq": F.coalesce(F.col(CELL).seq, F.lit(0).cast("long")),
-                "_in_cell": in_cut_group(),
-            }
-        ).drop(CELL)
-        tables = (
-            marked.filter("_in_cell")
-            .repartition("source", *cell)
-            .sortWithinPartitions(*order)
-            .mapInPandas(
-                _cell_tables,
-                f"source {source_type}, cell_at long, cell_seq long, states array<int>",
-            )
-        )
-        firsts = (
-            tables.repartition("source")
-            .sortWithinPartitions("source", *cell)
-            .mapInPandas(
-                _first_states, f"source {source_type}, cell_at long, cell_seq long, first int"
-            )
-        )
-        placed = (
-            marked.drop("_in_cell")
-            .join(firsts, ["source", *cell], "left")
-            .withColumn("first", F.coalesce("first", F.lit(0)))
-            .repartition("source", *cell)
-        )
+    marked = split.frame.withColumn("dense", dense).filter(~F.col(COPY)).drop(COPY)
+    marked = marked.withColumnRenamed(CELL, "cell")
+    order = ["source", "cell", "ts_us", "event_id"]
+    tables = (
+        marked.repartition("source", "cell")
+        .sortWithinPartitions(*order)
+        .mapInPandas(_cell_tables, f"source {source_type}, cell int, states array<int>")
+    )
+    # One row per source and cell: a huge source has as many rows as it has cells.
+    firsts = (
+        tables.repartition("source")
+        .sortWithinPartitions("source", "cell")
+        .mapInPandas(_first_states, f"source {source_type}, cell int, first int")
+    )
+    placed = marked.join(firsts, ["source", "cell"]).repartition("source", "cell")
     return placed.sortWithinPartitions(*order).mapInPandas(
         _outcomes,
-        f"source {source_type}, ts_us long, event_id long, success boolean, refused boolean",
+        f"source {source_type}, ts_us long, event_id {id_type}, success boolean, refused boolean",
     )

@@ -21,7 +21,6 @@ from tidelog.operators import quality as q
 from tidelog.operators import search as so
 from tidelog.operators import security as sec
 from tidelog.operators.behaviour import route_events
-from tidelog.operators.ordered import GROUP_ROW_LIMIT
 from tidelog.sources import eventlog as el
 from tidelog.sources.tables import spread
 from tidelog.streaming.tables import read_state, write_batch, write_state
@@ -101,7 +100,7 @@ def alert_handler(
     root: str,
     threshold: int = sec.AUTH_FAILURES,
     window_s: int = sec.AUTH_WINDOW_S,
-    limit: int = GROUP_ROW_LIMIT,
+    parts: int | None = None,
 ) -> Handler:
     """Failure alerts per source. Remembered: the failures of the last window.
 
@@ -118,7 +117,7 @@ def alert_handler(
         known = read_state(spark, state, batch_id, fresh.schema)
         rows = known.unionByName(fresh).persist()
         try:
-            alerts = sec.auth_alerts(rows, threshold, window_s, limit)
+            alerts = sec.auth_alerts(rows, threshold, window_s, parts)
             own = alerts.join(fresh.select("event_id"), "event_id", "left_semi")
             write_batch(own, f"{root}/alerts", batch_id)
             newest = rows.agg(F.max("ts_us")).first()[0]
@@ -133,7 +132,7 @@ def alert_handler(
 # -- sequences ------------------------------------------------------------------------------
 
 
-def sequence_handler(root: str, key: str = "source", limit: int = GROUP_ROW_LIMIT) -> Handler:
+def sequence_handler(root: str, key: str = "source", parts: int | None = None) -> Handler:
     """Gaps, late and repeated ids per source, across batches.
 
     Remembered: the largest id per source, and every id that was late once.
@@ -152,7 +151,7 @@ def sequence_handler(root: str, key: str = "source", limit: int = GROUP_ROW_LIMI
             first = F.lit(-1).cast("long")
             carried = top.select(key, "id", first.alias("arrival"), first.alias("event_id"))
             issues = q.sequence_issues(
-                carried.unionByName(rows), "id", "arrival", "event_id", [key], limit
+                carried.unionByName(rows), "id", "arrival", "event_id", [key], parts
             ).filter(F.col("event_id") >= 0)
             again = late_before.withColumn("_again", F.lit(True))
             issues = issues.join(again, [key, "id"], "left").withColumn(
