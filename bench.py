@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR  folder of the tables (default /root/testdata/sf0.1)
 BENCH_CPUS    local cores (default 8)
-BENCH_RUNS    measured runs per query after one warm-up (default 3)
+BENCH_RUNS    measured runs per query after one warm-up (default 5)
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ HEADLINE = [
 def main() -> None:
     root = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "5"))
     names = sys.argv[1:] or HEADLINE
     spark = session(
         "bench",

@@ -198,3 +198,18 @@ def test_key_names(spark):
         b.key_name(F.lit(11)).alias("a"), b.key_name(F.lit(35)).alias("b"), b.key_name(F.lit(10)).alias("c")
     )
     assert tuple(row.first()) == ("B", "P", "Unknown (10)")
+
+
+def test_network_keeps_hosts_that_cannot_be_read(spark):
+    urls = ["http://127.0.0.1/a", "http://localhost:80/", "http://[::1]/", "http://localhost.example/", "not a url", None]
+    rows = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = {r.remote: r.requests for r in b.network_totals(rows, "url", F.lit(1)).groupBy("remote").agg(F.sum("requests").alias("requests")).collect()}
+    assert got == {"localhost.example": 1, None: 2}
+
+
+def test_small_sample_rates_are_kept(spark):
+    rows = spark.range(300_000)
+    for rate in (0.00005, 0.001, 0.5):
+        n = b.sample_rows(rows, "id", rate).count()
+        assert abs(n - 300_000 * rate) < 5 * (300_000 * rate) ** 0.5 + 1
+    assert b.sample_rows(rows, "id", 0.0).count() == 0

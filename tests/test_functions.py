@@ -104,3 +104,12 @@ def test_flags(spark):
     assert one(spark, 0x100 | 0x4000 | 0x8000, pl.file_change, "long") == "created,metadata_modified,owner_changed"
     assert one(spark, 1, pl.file_change, "long") == "unknown"
     assert one(spark, 0x20000 | 0x100000, pl.modifiers, "long") == ["Shift", "Command"]
+
+
+def test_search_time_reads_rfc3339(spark):
+    from tidelog.functions import times
+
+    texts = ["2024-01-01T00:00:00.5+02:00", "2024-01-01T00:00:00.123456789Z", "2024-01-01T10:00:00-05:30", "2024-13-01T00:00:00Z", "x"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(times.parse_search_time(F.col("t")).cast("string").alias("v"))
+    want = ["2023-12-31 22:00:00.5", "2024-01-01 00:00:00.123456", "2024-01-01 15:30:00", None, None]
+    assert [r.v for r in rows.collect()] == want

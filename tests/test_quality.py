@@ -188,3 +188,13 @@ def test_loss(spark):
     assert (row.share, row.enough, row.equal, row.lost) == (0.95, True, False, 1)
     assert not q.loss_check(sent, frame([str(i) for i in range(18)]), "c").first().enough
     assert q.loss_check(sent, sent, "c", allowed=0.0).first().equal
+
+
+def test_nulls_break_the_event_rules(spark):
+    rows = spark.createDataFrame([(1, None, None, None, "{}", None, None)], EVENT_LOG)
+    assert len(q.validate_events(rows).first().errors) == 3
+
+
+def test_blank_of_any_kind_is_empty(spark):
+    rows = spark.createDataFrame([('{"a": " \\t\\n"}',), ('{"a": "\\u00a0\\u3000"}',), ('{"a": " x "}',)], "data string")
+    assert [len(r.rule_errors) for r in q.apply_rules(rows, [q.non_empty("a")]).collect()] == [1, 1, 0]

@@ -98,3 +98,9 @@ def test_baseline_bounds_are_strict(spark):
         "d": (False, True),
         "e": (None, None),
     }
+
+
+def test_null_groups_and_groups_without_values_stay(spark):
+    frame = spark.createDataFrame([(None, 2.0), (None, 4.0), ("void", None), ("a", 1.0)], "g string, v double")
+    got = {r.g: (r.n, r.median) for r in m.latency_report(frame, "g", "v").collect()}
+    assert got[None][1] == 3.0 and got["void"][1] is None and got["a"] == (1, 1.0)

@@ -125,3 +125,18 @@ def test_service_ranges():
     assert start == dt.datetime(2024, 1, 1) and end - start == dt.timedelta(hours=1)
     with pytest.raises(ValueError):
         tm.service_range("2024-01-01..2024-01-01", AS_OF)
+
+
+def test_patterns_are_checked_where_they_run(spark):
+    rows = spark.createDataFrame([("é1",), ("12",)], "data string")
+    assert so.search(rows.withColumn("ts", F.lit(0)).withColumn("event_id", F.lit(1)), so.SearchSpec(query=r"/\p{L}+/")).count() == 1
+    for bad in ("/(?P<n>a)/", "/(/"):
+        with pytest.raises(ValueError):
+            so.text_predicate(F.col("data"), bad)
+
+
+def test_open_ended_search(spark):
+    rows = spark.createDataFrame([(d * 86_400 * 10**9,) for d in range(4)], "ts long")
+    two = dt.datetime(1970, 1, 3)
+    assert so.matching(rows, so.SearchSpec(start=two)).count() == 2
+    assert so.matching(rows, so.SearchSpec(end=two)).count() == 3

@@ -111,8 +111,10 @@ def test_exports(spark, kind, compression):
     assert not ex.validate_export(spark, rows, path, kind).first().valid
 
 
-def test_wipe_without_selection_takes_all(spark, log):
-    everything = st.selection(log)
+def test_wipe_takes_all_only_if_asked_to(spark, log):
+    with pytest.raises(ValueError):
+        st.selection(log)
+    everything = st.selection(log, everything=True)
     assert st.wipe_keep(log, everything).count() == 0
     assert st.wipe_plan(log, everything).agg(F.sum("events")).first()[0] == log.count()
     with pytest.raises(ValueError):
@@ -128,6 +130,68 @@ def test_backfill_writes_one_day(spark, log):
     assert report.folders == 1
 
 
+def test_open_ends(spark):
+    rows = spark.createDataFrame([(d * 86_400 * 10**9, "click", str(d)) for d in range(5)], "timestamp_ns long, event_type string, event_id string")
+    two = dt.datetime(1970, 1, 3)
+    ids = lambda **ends: [int(r.event_id) for r in rows.filter(st.selection(rows, **ends)).orderBy("timestamp_ns").collect()]
+    assert ids(end=two) == [0, 1, 2] and ids(start=two) == [2, 3, 4] and ids(start=two, end=two) == [2]
+
+
+def daily(spark, days, kind="click"):
+    return spark.createDataFrame([(d * 86_400 * 10**9, kind, "a", "w", "{}", "s", f"{kind}{d}") for d in days], EVENT_LOG)
+
+
+def ids_of(spark, path, **ends):
+    return sorted(r.event_id for r in el.scan_event_log(spark, path, **ends).collect())
+
+
+def test_second_write_keeps_the_first(spark):
+    path = work_dir(spark, "twice")
+    el.write_event_log(daily(spark, [0, 1]), path)
+    el.write_event_log(daily(spark, [1, 2], "view"), path)
+    assert ids_of(spark, path) == ["click0", "click1", "view1", "view2"]
+    assert ids_of(spark, path, start=dt.datetime(1970, 1, 3)) == ["view2"]
+    assert ids_of(spark, path, end=dt.datetime(1970, 1, 1)) == ["click0"]
+    el.write_event_log(daily(spark, [1], "again"), path, mode="days")
+    assert ids_of(spark, path) == ["again1", "click0", "view2"]
+    el.write_event_log(daily(spark, [5]), path, mode="all")
+    assert ids_of(spark, path) == ["click5"]
+
+
+def test_wipe_and_retention_delete(spark):
+    path = work_dir(spark, "wipe")
+    el.write_event_log(daily(spark, range(5)).union(daily(spark, [3, 4], "view")), path)
+    gone = st.wipe(spark, path, st.selection(el.scan_event_log(spark, path), start=dt.datetime(1970, 1, 3), event_types=["click"]))
+    assert gone == [dt.date(1970, 1, d) for d in (3, 4, 5)]
+    assert ids_of(spark, path) == ["click0", "click1", "view3", "view4"]
+    assert el.day_folders(spark, path) == [dt.date(1970, 1, d) for d in (1, 2, 4, 5)]
+    assert st.wipe(spark, path, F.lit(False)) == []
+    assert st.drop_expired(spark, path, dt.datetime(1970, 1, 5), days=3) == [dt.date(1970, 1, 1)]
+    assert ids_of(spark, path) == ["click1", "view3", "view4"]
+
+
+@pytest.mark.parametrize("strategy", ["daily", "hourly", "type", "type_hour", "shard"])
+def test_layouts_hold_all_rows(spark, strategy):
+    path = work_dir(spark, strategy)
+    rows = daily(spark, range(3)).union(daily(spark, [1], "view"))
+    el.write_layout(rows, path, strategy)
+    el.write_layout(daily(spark, [9]), path, strategy)
+    names = list(el.layout_columns(strategy, F.col("timestamp_ns"), F.col("event_type")))
+    back = spark.read.parquet(path)
+    assert back.columns[-len(names) :] == names and back.count() == 5
+
+
+def test_encryption_loses_no_row(spark):
+    keys = spark.createDataFrame([("a", 1, bytearray(16)), ("a", 2, bytearray(b"k" * 16))], "kind string, key_id int, key binary")
+    rows = spark.createDataFrame([("a", "x"), ("b", "y"), (None, "z")], "kind string, payload string")
+    sealed = st.encrypt_by_type(rows.filter("kind = 'a'"), keys, "payload", "kind")
+    assert [tuple(r) for r in st.decrypt_by_type(sealed, keys, "payload", "kind").collect()] == [("a", "x")]
+    with pytest.raises(Exception, match="no key for type"):
+        st.encrypt_by_type(rows, keys, "payload", "kind").collect()
+    with pytest.raises(Exception, match="unknown key"):
+        st.decrypt_by_type(sealed.withColumn("key_id", F.lit(7)), keys, "payload", "kind").collect()
+
+
 def test_any_identifier(spark):
     cols = "drive int, uuid string, bsd_name string, volume_label string, serial_number string"
     targets = spark.createDataFrame([(0, "u", None, "v", None), (0, None, None, None, "s")], cols)

@@ -58,8 +58,14 @@ _PY_FORMATS = [
 ]
 
 
+# Fixed value: RFC 3339, with a fraction of any length and an offset.
+RFC3339_PATTERN = r"^\d{4}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"
+
+
 def parse_search_time(text: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in SEARCH_FORMATS])
+    """The first format that fits, else RFC 3339; digits below microseconds are cut off."""
+    general = F.when(text.rlike(RFC3339_PATTERN), F.upper(text).try_cast("timestamp"))
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in SEARCH_FORMATS], general)
 
 
 def parse_strict_time(text: Column) -> Column:
@@ -185,8 +191,13 @@ def time_literal(frame: DataFrame, column: str, value: dt.datetime) -> Column:
     return F.timestamp_micros(F.lit(micros))
 
 
-def in_range(frame: DataFrame, column: str, start: dt.datetime, end: dt.datetime) -> Column:
-    """Closed at both ends."""
-    return F.col(column).between(
-        time_literal(frame, column, start), time_literal(frame, column, end)
-    )
+def in_range(
+    frame: DataFrame, column: str, start: dt.datetime | None = None, end: dt.datetime | None = None
+) -> Column:
+    """Closed at both ends; without an end it is open there."""
+    inside = F.lit(True)
+    if start is not None:
+        inside = F.col(column) >= time_literal(frame, column, start)
+    if end is not None:
+        inside = inside & (F.col(column) <= time_literal(frame, column, end))
+    return inside

@@ -426,8 +426,9 @@ def sample_rows(rows: DataFrame, unique: str, rate: float) -> DataFrame:
     """A share of the rows, chosen by the hash of the id, so the same on every run."""
     if rate >= 1.0:
         return rows
-    bucket = F.pmod(F.xxhash64(unique), F.lit(10_000))
-    return rows.filter(bucket < F.lit(int(rate * 10_000)))
+    # 53 bits of the hash are exact in a double.
+    share = F.shiftrightunsigned(F.xxhash64(unique), 11) / F.lit(float(1 << 53))
+    return rows.filter(share < F.lit(float(rate)))
 
 
 def route_events(rows: DataFrame, routes: list[tuple[str, str]], kind: str) -> DataFrame:
@@ -473,15 +474,24 @@ def meeting_flag(rows: DataFrame, key: str, apps: str) -> DataFrame:
     )
 
 
+# Hosts whose traffic is local.
+LOCAL_HOSTS = ("127.", "localhost", "::1", "[::1]")
+
+
 def network_totals(
-    rows: DataFrame, url: str, size: Column, local: tuple[str, ...] = ("127.",)
+    rows: DataFrame, url: str, size: Column, local: tuple[str, ...] = LOCAL_HOSTS
 ) -> DataFrame:
-    """Bytes and requests per remote host; local traffic is left out."""
+    """Bytes and requests per remote host; local traffic is left out.
+
+    Hosts that cannot be read are a group, with null. A local entry that ends in a dot
+    is a prefix, others are whole host names.
+    """
     host = F.expr(f"try_parse_url({url}, 'HOST')")
     scheme = F.expr(f"try_parse_url({url}, 'PROTOCOL')")
     seen = rows.select(host.alias("remote"), scheme.alias("protocol"), size.alias("_size"))
-    for prefix in local:
-        seen = seen.filter(~F.col("remote").startswith(prefix))
+    for name in local:
+        here = F.col("remote").startswith(name) if name.endswith(".") else F.lower("remote") == name
+        seen = seen.filter(~F.coalesce(here, F.lit(False)))
     return seen.groupBy("remote", "protocol").agg(
         F.count(F.lit(1)).alias("requests"), F.sum("_size").alias("bytes")
     )

@@ -40,7 +40,10 @@ def _with_ranks(
     parts: int | None,
 ) -> DataFrame:
     ranks = order_stats(samples, [key], value, wanted, parts)
-    return samples.groupBy(key).agg(*aggregates).join(ranks, key)
+    # A null key is a group, and so is one whose values are all null.
+    ranks = ranks.withColumnRenamed(key, "_key")
+    report = samples.groupBy(key).agg(*aggregates)
+    return report.join(ranks, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
 def latency_report(

@@ -18,12 +18,12 @@ from tidelog.operators.ordered import (
 )
 from tidelog.session import materialize
 
-# Messages of the five event rules.
+# Messages of the five event rules. A null breaks its rule like an empty value.
 EVENT_RULES = [
-    ("Timestamp cannot be zero", lambda: F.col("timestamp_ns") == 0),
-    ("Event type cannot be empty", lambda: F.col("event_type") == ""),
-    ("Event ID cannot be empty", lambda: F.col("event_id") == ""),
-    ("Session ID cannot be empty", lambda: F.col("session_id") == ""),
+    ("Timestamp cannot be zero", lambda: F.coalesce(F.col("timestamp_ns") == 0, F.lit(True))),
+    ("Event type cannot be empty", lambda: F.coalesce(F.col("event_type") == "", F.lit(True))),
+    ("Event ID cannot be empty", lambda: F.coalesce(F.col("event_id") == "", F.lit(True))),
+    ("Session ID cannot be empty", lambda: F.coalesce(F.col("session_id") == "", F.lit(True))),
     ("Event data is not valid JSON", lambda: ~pl.is_json(F.col("data"))),
 ]
 LARGE_GAP_US = 3_600_000_000
@@ -112,7 +112,7 @@ def url(field: str) -> Rule:
 
 
 def non_empty(field: str) -> Rule:
-    return _custom(f"non_empty_string_{field}", lambda v: F.trim(v.text) != "", field)
+    return _custom(f"non_empty_string_{field}", lambda v: v.text.rlike(r"(?U)\S"), field)
 
 
 def positive(field: str) -> Rule:

@@ -7,7 +7,8 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,6 +55,15 @@ def regex_of(query: str) -> str | None:
     return ("(?i)" if match.group(2) else "") + match.group(1)
 
 
+def _check_pattern(pattern: str) -> None:
+    """Compiles the pattern where it will run, so that a broken one fails before the job."""
+    spark = SparkSession.active()
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException as problem:
+        raise ValueError(f"invalid pattern: {problem}") from None
+
+
 def text_predicate(text: Column, query: str, mode: str = "token") -> Column:
     if not query:
         raise ValueError("query cannot be empty")
@@ -62,10 +72,7 @@ def text_predicate(text: Column, query: str, mode: str = "token") -> Column:
     pattern = regex_of(query)
     if pattern is not None or mode == "regex":
         pattern = query if pattern is None else pattern
-        try:
-            re.compile(pattern)
-        except re.error as problem:
-            raise ValueError(f"invalid pattern: {problem}") from None
+        _check_pattern(pattern)
         return text.rlike(pattern)
     if len(query.encode()) > MAX_QUERY_BYTES:
         raise ValueError(f"query too long (at most {MAX_QUERY_BYTES} bytes)")
@@ -101,9 +108,9 @@ def matching(
 ) -> DataFrame:
     """All rows that satisfy the spec, before sorting and paging."""
     wanted: list[Column] = []
-    if spec.start is not None and spec.end is not None:
-        if spec.start > spec.end:
-            raise ValueError("start time must not be after end time")
+    if spec.start is not None and spec.end is not None and spec.start > spec.end:
+        raise ValueError("start time must not be after end time")
+    if spec.start is not None or spec.end is not None:
         wanted.append(in_range(frame, time, spec.start, spec.end))
     if spec.event_types:
         wanted.append(F.col("event_type").isin(spec.event_types))

@@ -9,7 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.times import in_range, ns_to_date
-from tidelog.sources.eventlog import file_catalog, scan_event_log, write_event_log
+from tidelog.session import materialize
+from tidelog.sources.eventlog import (
+    day_folders,
+    drop_folder,
+    file_catalog,
+    scan_event_log,
+    write_event_log,
+)
 
 RETENTION_DAYS = 60
 BACKLOG_BYTES = 50 * 1024 * 1024
@@ -21,10 +28,17 @@ def selection(
     end: dt.datetime | None = None,
     event_types: list[str] | None = None,
     time: str = "timestamp_ns",
+    everything: bool = False,
 ) -> Column:
-    """Rows in the closed range and of the types; without either, all rows."""
+    """Rows from ``start`` to ``end``, both included, and of the types.
+
+    A missing end leaves the range open there. All rows are chosen only by an explicit
+    ``everything``.
+    """
+    if start is None and end is None and not event_types and not everything:
+        raise ValueError("nothing is selected; choose everything explicitly")
     chosen = F.lit(True)
-    if start is not None and end is not None:
+    if start is not None or end is not None:
         chosen = chosen & in_range(log, time, start, end)
     if event_types:
         if any(not t.strip() for t in event_types):
@@ -104,6 +118,39 @@ def wipe_plan(log: DataFrame, chosen: Column) -> DataFrame:
     return log.filter(chosen).groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
 
 
+def wipe(spark: SparkSession, path: str, chosen: Column) -> list[dt.date]:
+    """Delete the chosen rows of a log; the result is the days that changed.
+
+    Only days that hold chosen rows are written again, from a copy of what is left of
+    them, so a failure leaves each day as it was or as it should be.
+    """
+    dated = scan_event_log(spark, path).withColumn("_day", ns_to_date(F.col("timestamp_ns")))
+    # As many rows as there are days.
+    days = [r["_day"] for r in dated.filter(chosen).select("_day").distinct().collect()]
+    if not days:
+        return []
+    left = dated.filter(F.col("_day").isin(days) & ~chosen)
+    left = materialize(left, "wipe")
+    kept = {r["_day"] for r in left.select("_day").distinct().collect()}
+    if kept:
+        write_event_log(left.drop("_day"), path, mode="days")
+    for day in days:
+        if day not in kept:
+            drop_folder(spark, f"{path}/event_date={day.isoformat()}")
+    return sorted(days)
+
+
+def drop_expired(
+    spark: SparkSession, path: str, as_of: dt.datetime, days: int = RETENTION_DAYS
+) -> list[dt.date]:
+    """Delete the folders of days older than the retention; the result is these days."""
+    oldest = (as_of - dt.timedelta(days=days)).date()
+    gone = [day for day in day_folders(spark, path) if day < oldest]
+    for day in gone:
+        drop_folder(spark, f"{path}/event_date={day.isoformat()}")
+    return gone
+
+
 def retention_split(log: DataFrame, as_of: dt.datetime, days: int = RETENTION_DAYS) -> DataFrame:
     """Events per day and whether the day is older than the retention."""
     oldest = F.lit((as_of - dt.timedelta(days=days)).date().isoformat()).cast("date")
@@ -123,7 +170,7 @@ def backfill_day(log: DataFrame, day: dt.date, dry_run: bool = True, path: str |
         & (ns_to_date(F.col("timestamp_ns")) == F.lit(day.isoformat()).cast("date"))
     )
     if not dry_run:
-        write_event_log(rows, path)
+        write_event_log(rows, path, mode="days")
         return rows
     return rows.agg(
         F.count(F.lit(1)).alias("events"),
@@ -262,22 +309,27 @@ def migrate(rows: DataFrame, source: str, target: str) -> DataFrame:
 
 def encrypt_by_type(rows: DataFrame, keys: DataFrame, payload: str, kind: str) -> DataFrame:
     """AES-GCM with the key of each row's type. ``keys`` (kind, key_id, key) is
-    configuration: one short row per type."""
+    configuration: one short row per type. A row whose type has no key fails the job."""
     current = keys.groupBy("kind").agg(F.max_by(F.struct("key_id", "key"), "key_id").alias("_k"))
-    joined = rows.join(F.broadcast(current.withColumnRenamed("kind", kind)), kind)
+    joined = rows.join(current.withColumnRenamed("kind", "_kind"), F.col(kind).eqNullSafe(F.col("_kind")), "left")
+    missing = F.raise_error(F.concat(F.lit("no key for type "), F.coalesce(F.col(kind), F.lit("null"))))
+    key = F.when(F.col("_k").isNull(), missing.cast("binary")).otherwise(F.col("_k.key"))
     return joined.withColumns(
         {
             "key_id": F.col("_k.key_id"),
-            payload: F.aes_encrypt(F.col(payload).cast("binary"), F.col("_k.key"), F.lit("GCM")),
+            payload: F.aes_encrypt(F.col(payload).cast("binary"), key, F.lit("GCM")),
         }
-    ).drop("_k")
+    ).drop("_k", "_kind")
 
 
 def decrypt_by_type(rows: DataFrame, keys: DataFrame, payload: str, kind: str) -> DataFrame:
-    lookup = F.broadcast(keys.withColumnRenamed("kind", kind))
-    joined = rows.join(lookup, [kind, "key_id"])
-    clear = F.aes_decrypt(F.col(payload), F.col("key"), F.lit("GCM"))
-    return joined.withColumn(payload, clear.cast("string")).drop("key", "key_id")
+    lookup = keys.select(F.col("kind").alias("_kind"), F.col("key_id").alias("_id"), F.col("key").alias("_key"))
+    same = F.col(kind).eqNullSafe(F.col("_kind")) & F.col("key_id").eqNullSafe(F.col("_id"))
+    joined = rows.join(lookup, same, "left")
+    missing = F.raise_error(F.concat(F.lit("unknown key "), F.coalesce(F.col("key_id").cast("string"), F.lit("null"))))
+    key = F.when(F.col("_key").isNull(), missing.cast("binary")).otherwise(F.col("_key"))
+    clear = F.aes_decrypt(F.col(payload), key, F.lit("GCM"))
+    return joined.withColumn(payload, clear.cast("string")).drop("_kind", "_id", "_key", "key_id")
 
 
 def rotate_keys(rows: DataFrame, keys: DataFrame, payload: str, kind: str) -> DataFrame:

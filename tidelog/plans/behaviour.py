@@ -55,10 +55,10 @@ _DAY2 = 2 * 86_400
     "round(list_min(list_transform(b, lambda e: e.v)), 6) AS min_velocity FROM (SELECT event_id, ts_us, "
     f"list_filter(b, lambda e: e.t >= ts_us - {_DAY2}000000) AS b FROM (SELECT event_id, ts_us, "
     "list({'t': ts_us, 'v': velocity, 's': step}) OVER (PARTITION BY session ORDER BY ts_us, event_id "
-    f"ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS b FROM {_MOTION}))",
+    f"ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS b FROM {_MOTION}))",
 )
 def move_stats(spark, root):
-    stats = b.move_stats(t.moves(spark, root), max_rows=8, seconds=_DAY2)
+    stats = b.move_stats(t.moves(spark, root), seconds=_DAY2)
     measures = ("distance", "span_s", "avg_velocity", "max_velocity", "min_velocity")
     return stats.select("event_id", "moves", *[F.round(c, 6).alias(c) for c in measures])
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidelog.operators import metrics as m
-from tidelog.plans.base import query
+from tidelog.plans.base import CHECKS, query
 from tidelog.plans.search import K
 from tidelog.sources import tables as t
 
@@ -259,6 +259,7 @@ def system_health(spark, root):
     "round(avg(value) * 1000, 4) AS mean_ms FROM events",
 )
 def ingest_stats(spark, root):
+    """Also registered as ``pipeline_stats``."""
     stats = m.ingest_stats(t.events(spark, root), F.col("event_type") == "error", "value")
     return stats.select(
         "processed",
@@ -268,6 +269,9 @@ def ingest_stats(spark, root):
     )
 
 
+query("pipeline_stats", CHECKS["ingest_stats"])(ingest_stats)
+
+
 @query(
     "throughput",
     "SELECT count(*) FILTER (WHERE event_type <> 'error') AS operations, count(*) FILTER (WHERE event_type = 'error') "

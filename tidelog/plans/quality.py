@@ -15,13 +15,13 @@ AS_OF = dt.datetime(2024, 2, 1)
 
 
 def _texts(spark, root):
-    return t.spread(t.table(spark, root, "documents").select("doc_id", "text"))
+    return t.table(spark, root, "documents").select("doc_id", "text")
 
 
 def _flawed_log(spark, root):
     """The event log with faults written into it by row number."""
     n = F.col("event_id").cast("long")
-    return t.spread(t.event_log(spark, root)).withColumns(
+    return t.event_log(spark, root).withColumns(
         {
             "_n": n,
             "timestamp_ns": F.when(n % 11 == 0, F.lit(0)).otherwise(F.col("timestamp_ns")),
@@ -87,7 +87,7 @@ def _rule_rows(spark, root):
     doc = F.to_json(
         F.struct(F.col("k"), F.col("event_type").alias("type"), F.col("user_id").alias("user"))
     )
-    return t.spread(t.events(spark, root)).select("event_id", doc.alias("data"))
+    return t.events(spark, root).select("event_id", doc.alias("data"))
 
 
 _RULE_SQL = (

@@ -37,7 +37,7 @@ _ODD_SQL = "regexp_matches({0}, '[\\p{{Cf}}\\p{{Co}}]')"
 )
 def screen_text(spark, root):
     problems = F.array_join(sc.text_problems(F.col("text")), ",").alias("problems")
-    docs = t.spread(t.table(spark, root, "documents").select("doc_id", "text"))
+    docs = t.table(spark, root, "documents").select("doc_id", "text")
     return docs.select("doc_id", problems)
 
 
@@ -161,7 +161,7 @@ def screen_queries(spark, root):
         F.repeat(F.lit(")"), (F.col("turn") % 3).cast("int")),
         tail,
     )
-    turns = t.spread(t.table(spark, root, "conversations"))
+    turns = t.table(spark, root, "conversations")
     rows = turns.select("conv_id", "turn", logged.alias("q"))
     problems = F.array_join(sc.query_problems(F.col("q")), ",").alias("problems")
     return rows.select("conv_id", "turn", problems)
@@ -175,7 +175,7 @@ def screen_queries(spark, root):
 )
 def screen_json(spark, root):
     deep = F.struct(F.array(F.struct(F.col("text").alias("body"))).alias("parts"), "role")
-    rows = t.spread(t.table(spark, root, "conversations")).select(
+    rows = t.table(spark, root, "conversations").select(
         "conv_id", "turn", F.to_json(F.struct(deep.alias("message"), "turn")).alias("data")
     )
     return rows.select("conv_id", "turn", sc.json_problem("data").alias("problem"))

@@ -22,7 +22,7 @@ K = "CAST(json_extract(props, '$.k') AS BIGINT)"
 
 
 def _texts(spark, root):
-    return t.spread(t.table(spark, root, "documents").select("doc_id", "text"))
+    return t.table(spark, root, "documents").select("doc_id", "text")
 
 
 def _hits(predicate: str) -> str:

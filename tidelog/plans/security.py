@@ -36,10 +36,10 @@ def alert_auth(spark, root):
     return s.auth_alerts(log, window_s=6 * DAY)
 
 
-@query("alert_rate", _alert_sql("RateLimitExceeded", 6, 10, False, "rate limited"))
+@query("alert_rate", _alert_sql("RateLimitExceeded", 10, 30, False, "rate limited"))
 def alert_rate(spark, root):
     log = t.security_log(spark, root, ["RateLimitExceeded"])
-    return s.rate_alerts(log, threshold=6, window_s=10 * DAY)
+    return s.rate_alerts(log, window_s=30 * DAY)
 
 
 @query("alert_suspicious", _alert_sql("SuspiciousRequest", 3, 5, False, "flagged as suspicious"))

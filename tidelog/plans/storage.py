@@ -1,12 +1,14 @@
 """Queries that write, scan, export, copy and compare the event log."""
 
 import datetime as dt
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions import times as tm
 from tidelog.operators import storage as st
-from tidelog.plans.base import query
+from tidelog.plans.base import CHECKS, query
 from tidelog.plans.search import K
 from tidelog.schema import EVENT_COLUMNS
 from tidelog.session import work_dir
@@ -72,6 +74,38 @@ def partition_counts(spark, root):
     return each.groupBy("layout", "folder").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("layout_files", CHECKS["partition_counts"])
+def layout_files(spark, root):
+    """The folders that the writer of each layout makes, with the rows found in them."""
+    log, found = t.event_log(spark, root), []
+    for layout in ("daily", "hourly", "type", "type_hour"):
+        path = work_dir(spark, f"layout-{layout}")
+        el.write_layout(log, path, layout)
+        folder = F.regexp_extract(F.input_file_name(), f"layout-{layout}-[^/]*/(.*)/[^/]*$", 1)
+        rows = spark.read.parquet(path).select(F.lit(layout).alias("layout"), folder.alias("folder"))
+        found.append(rows.groupBy("layout", "folder").agg(F.count(F.lit(1)).alias("n")))
+    return reduce(DataFrame.unionAll, found)
+
+
+@query("wipe_rows", f"SELECT {_COLS} FROM {_LOG} WHERE NOT (ts >= TIMESTAMP '2024-01-05 12:00:00' AND event_type IN ('click', 'view'))")
+def wipe_rows(spark, root):
+    path = _written(spark, root)
+    log = el.scan_event_log(spark, path)
+    st.wipe(spark, path, st.selection(log, start=dt.datetime(2024, 1, 5, 12), event_types=["click", "view"]))
+    return el.scan_event_log(spark, path)
+
+
+@query("append_days", f"SELECT {_COLS} FROM {_LOG}")
+def append_days(spark, root):
+    """Two writes, then one day again: all rows are there once."""
+    log, path = t.event_log(spark, root), work_dir(spark, "append")
+    early = F.col("timestamp_ns") < F.lit(1_704_672_000_000_000_000)
+    el.write_event_log(log.filter(early), path)
+    el.write_event_log(log.filter(~early), path)
+    st.backfill_day(log, dt.date(2024, 1, 5), dry_run=False, path=path)
+    return el.scan_event_log(spark, path)
+
+
 @query("shard_counts")
 def shard_counts(spark, root):
     log = t.event_log(spark, root)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -48,7 +50,7 @@ def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh path under the folder named by ``spark.checkpoint.dir``.
 
     That folder is shared by all executors. Only a local session may fall back
-    to a temporary folder of its own.
+    to a temporary folder of its own, which goes when the process ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -57,6 +59,7 @@ def work_dir(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
         if sc.applicationId not in _LOCAL_ROOTS:
             _LOCAL_ROOTS[sc.applicationId] = tempfile.mkdtemp(prefix="tidelog-")
+            atexit.register(shutil.rmtree, _LOCAL_ROOTS[sc.applicationId], ignore_errors=True)
         root = _LOCAL_ROOTS[sc.applicationId]
     return f"{root.rstrip('/')}/tidelog/{label}-{uuid.uuid4().hex[:12]}"
 

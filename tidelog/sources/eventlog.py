@@ -46,20 +46,30 @@ def layout_columns(strategy: str, ns: Column, event_type: Column) -> dict[str, C
 
 
 def write_event_log(
-    log: DataFrame, path: str, codec: str = "SNAPPY", bloom: list[str] = BLOOM_COLUMNS
+    log: DataFrame,
+    path: str,
+    codec: str = "SNAPPY",
+    bloom: list[str] = BLOOM_COLUMNS,
+    mode: str = "append",
 ) -> None:
-    """Append-free write, one folder per UTC day.
+    """Write events, one folder per UTC day.
 
-    The rebalance hint lets Spark join small days and split a huge one over
-    several tasks; sorting inside a task keeps row-group statistics tight.
+    ``append`` adds files to the days, ``days`` replaces the days that the input has,
+    ``all`` replaces the whole log. The rebalance hint lets Spark join small days and
+    split a huge one over several tasks; sorting inside a task keeps row-group
+    statistics tight. No events to write is an error.
     """
+    if mode not in ("append", "days", "all"):
+        raise ValueError(f"unknown mode: {mode}")
+    # Reads one row at most, and comes first: an empty input must not empty the log.
     if log.isEmpty():
         raise ValueError("no events to write")
     dated = log.withColumn("event_date", ns_to_date(F.col("timestamp_ns")))
     writer = (
         dated.hint("rebalance", "event_date")
         .sortWithinPartitions("event_date", "timestamp_ns")
-        .write.mode("overwrite")
+        .write.mode("append" if mode == "append" else "overwrite")
+        .option("partitionOverwriteMode", "dynamic" if mode == "days" else "static")
         .option("compression", CODECS.get(codec.upper(), "snappy"))
         .option("maxRecordsPerFile", ROWS_PER_FILE)
     )
@@ -68,28 +78,59 @@ def write_event_log(
     writer.partitionBy("event_date").parquet(path)
 
 
+def write_layout(log: DataFrame, path: str, strategy: str, codec: str = "SNAPPY", mode: str = "append") -> None:
+    """Write events in one of the layouts, a folder level for each of its columns.
+
+    ``append`` adds files, ``all`` replaces what is there.
+    """
+    if mode not in ("append", "all"):
+        raise ValueError(f"unknown mode: {mode}")
+    columns = layout_columns(strategy, F.col("timestamp_ns"), F.col("event_type"))
+    (
+        log.withColumns(columns)
+        .hint("rebalance", *columns)
+        .write.mode("append" if mode == "append" else "overwrite")
+        .option("compression", CODECS.get(codec.upper(), "snappy"))
+        .option("maxRecordsPerFile", ROWS_PER_FILE)
+        .partitionBy(*columns)
+        .parquet(path)
+    )
+
+
+def drop_folder(spark: SparkSession, path: str) -> bool:
+    """Remove a folder, wherever Spark can write."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def day_folders(spark: SparkSession, path: str) -> list[dt.date]:
+    """The days that a log has folders for; no file is opened."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = [f.getPath().getName() for f in files.listStatus(folder) if f.isDirectory()]
+    days = [n.removeprefix("event_date=") for n in names if n.startswith("event_date=")]
+    return sorted(dt.date.fromisoformat(d) for d in days if d[:1].isdigit())
+
+
 def scan_event_log(
     spark: SparkSession,
     path: str,
     start: dt.datetime | None = None,
     end: dt.datetime | None = None,
 ) -> DataFrame:
-    """The seven columns, optionally in a closed time range.
+    """The seven columns, optionally in a time range, closed where an end is given.
 
     The range also goes to the day folders, so other days are not opened.
     Unsigned times written by other tools arrive as decimals and are cast.
     """
     log = spark.read.parquet(path)
-    if start is not None and end is not None:
-        log = log.filter(
-            F.col("event_date").between(
-                F.lit(start.date().isoformat()).cast("date"),
-                F.lit(end.date().isoformat()).cast("date"),
-            )
-        )
+    if start is not None:
+        log = log.filter(F.col("event_date") >= F.lit(start.date().isoformat()).cast("date"))
+    if end is not None:
+        log = log.filter(F.col("event_date") <= F.lit(end.date().isoformat()).cast("date"))
     if log.schema["timestamp_ns"].dataType.simpleString() != "bigint":
         log = log.withColumn("timestamp_ns", F.col("timestamp_ns").cast("long"))
-    if start is not None and end is not None:
+    if start is not None or end is not None:
         log = log.filter(in_range(log, "timestamp_ns", start, end))
     return log.select(*EVENT_COLUMNS)
 
@@ -105,7 +146,7 @@ def frames(log: DataFrame) -> DataFrame:
 
 
 def without_frames(log: DataFrame) -> DataFrame:
-    return log.filter(F.col("event_type") != "frame")
+    return log.filter(~F.col("event_type").eqNullSafe("frame"))
 
 
 # -- files --------------------------------------------------------------------------------

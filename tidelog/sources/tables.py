@@ -12,16 +12,6 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def spread(frame: DataFrame) -> DataFrame:
-    """Use all cores for work on a small input that was read in a few pieces.
-
-    Where the scan already has a piece per core, as on any large table, nothing is
-    moved.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
-
-
 def _k() -> F.Column:
     return F.get_json_object("props", "$.k").cast("long")
 

@@ -22,7 +22,6 @@ from tidelog.operators import search as so
 from tidelog.operators import security as sec
 from tidelog.operators.behaviour import route_events
 from tidelog.sources import eventlog as el
-from tidelog.sources.tables import spread
 from tidelog.streaming.tables import read_state, write_batch, write_state
 
 Handler = Callable[[DataFrame, int], None]
@@ -69,7 +68,7 @@ def ingest_handler(root: str) -> Handler:
     """Validate, split off frames, write events by day; issues and a ledger aside."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        checked = q.validate_events(spread(batch)).persist()
+        checked = q.validate_events(batch).persist()
         try:
             issues = checked.filter(~F.col("passed")).select("event_id", "errors")
             write_batch(issues, f"{root}/issues", batch_id)
@@ -96,16 +95,24 @@ def ingest_handler(root: str) -> Handler:
 # -- alerts --------------------------------------------------------------------------------
 
 
+#: How late a failure may arrive and still be counted; with the window, less than a day is remembered.
+ALERT_DELAY_S = 3_600
+
+
 def alert_handler(
     root: str,
     threshold: int = sec.AUTH_FAILURES,
     window_s: int = sec.AUTH_WINDOW_S,
     parts: int | None = None,
+    delay_s: int = ALERT_DELAY_S,
 ) -> Handler:
-    """Failure alerts per source. Remembered: the failures of the last window.
+    """Failure alerts per source, also where failures arrive late.
 
-    A failure that arrives later than the window still raises its own alert but
-    is not counted for earlier events.
+    Remembered are the failures of the last window and allowed delay, and whether each
+    has raised its alert. Events are judged again with what arrives late, so that each
+    has the count it would have in order, if nothing is later than ``delay_s``. An event
+    raises one alert, with the count when it first did. Failures older than that
+    are forgotten.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -114,15 +121,20 @@ def alert_handler(
             (F.col("kind") == "AuthenticationFailure") & F.col("source").isNotNull()
         ).select("source", "ts_us", "event_id", "kind")
         state = f"{root}/state"
+        fresh = fresh.withColumn("told", F.lit(False))
         known = read_state(spark, state, batch_id, fresh.schema)
         rows = known.unionByName(fresh).persist()
         try:
-            alerts = sec.auth_alerts(rows, threshold, window_s, parts)
-            own = alerts.join(fresh.select("event_id"), "event_id", "left_semi")
-            write_batch(own, f"{root}/alerts", batch_id)
+            alerts = sec.auth_alerts(rows.drop("told"), threshold, window_s, parts)
+            alerts = alerts.join(rows.filter(~F.col("told")).select("event_id"), "event_id", "left_semi").persist()
+            write_batch(alerts, f"{root}/alerts", batch_id)
             newest = rows.agg(F.max("ts_us")).first()[0]
-            oldest = (newest or 0) - window_s * sec.SECOND_US
-            write_state(rows.filter(F.col("ts_us") > oldest), state, batch_id)
+            oldest = (newest or 0) - (window_s + delay_s) * sec.SECOND_US
+            now = alerts.select("event_id", F.lit(True).alias("_now"))
+            left = rows.filter(F.col("ts_us") > oldest).join(now, "event_id", "left")
+            told = F.col("told") | F.coalesce("_now", F.lit(False))
+            write_state(left.withColumn("told", told).drop("_now"), state, batch_id)
+            alerts.unpersist()
         finally:
             rows.unpersist()
 

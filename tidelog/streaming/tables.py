@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidelog.sources.eventlog import drop_folder
+
 BATCH = "batch_id"
 
 
@@ -25,8 +27,11 @@ def write_batch(rows: DataFrame, path: str, batch_id: int, by: list[str] | None
 
 def write_state(rows: DataFrame, path: str, batch_id: int) -> None:
     """State as it is after a batch. The next batch reads it; a repeated batch
-    reads the one before and so starts from the same state again."""
+    reads the one before and so starts from the same state again. Older states
+    are removed: a batch that is done is never repeated."""
     rows.write.mode("overwrite").parquet(f"{path}/after={batch_id}")
+    if batch_id >= 2:
+        drop_folder(rows.sparkSession, f"{path}/after={batch_id - 2}")
 
 
 def read_state(spark: SparkSession, path: str, batch_id: int, schema: StructType) -> DataFrame:
