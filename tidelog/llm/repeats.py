@@ -12,7 +12,7 @@ compare the surroundings of equal anchors:
    but the first: their blocks learn that they go.
 3. The first copies of the contexts of an anchor that has several are sent to where the
    anchor is dealt with. If it has over ``HOT``, their strings go one by one, dealt by
-   their own content, so that one anchor's contexts do not all meet in one task.
+   128 bits of hash that stand for them, so that they do not all meet in one task.
 4. Over the contexts that meet: suffix array with common-prefix lengths, a stack scan
    for the intervals of suffixes with a common prefix of ``LENGTH`` bytes or more, and of
    these the ones that differ in the byte to their left. These are the maximal repeats
@@ -40,7 +40,9 @@ from tidelog.session import materialize
 
 LENGTH, GRAM = 100, 32
 BLOCK_BYTES = 1 << 20
-HOT = 512
+HOT = 1024
+#: Bytes of the hash that stands for a string that is sent alone.
+DIGEST = 16
 #: Rows that cross to Python at once; a row may be a block.
 BATCH_ROWS = 32
 CHUNK_BYTES = 1 << 21
@@ -360,8 +362,8 @@ def _contexts(blocks: DataFrame, marks: DataFrame) -> DataFrame:
                 yield anchor, name, doc, low - begin, ident, block.raw[low : high + LENGTH]
             elif code == _SEND_STRINGS:
                 for p in range(low, high + 1):
-                    string = block.raw[p : p + LENGTH]
-                    yield xxhash.xxh3_64_intdigest(string) - (1 << 63), name, doc, p - begin, ident, string
+                    digest = xxhash.xxh3_128_digest(block.raw[p : p + LENGTH])
+                    yield int.from_bytes(digest[:8], signed=True), name, doc, p - begin, ident, digest
         if gone:
             yield name, name, None, None, None, np.array(gone, np.int64).tobytes()
 
@@ -390,10 +392,12 @@ def _compared(contexts: DataFrame) -> DataFrame:
         first: dict[bytes, int] = {}
         for k in sorted(range(len(texts)), key=key):
             if first.setdefault(texts[k], k) != k:
-                gone[blocks[k]].append((docs[k], starts[k], starts[k] + len(texts[k])))
+                size = LENGTH if len(texts[k]) == DIGEST else len(texts[k])
+                gone[blocks[k]].append((docs[k], starts[k], starts[k] + size))
         by_route: dict[int, list[int]] = defaultdict(list)
         for k in first.values():
-            by_route[routes[k]].append(k)
+            if len(texts[k]) > DIGEST:
+                by_route[routes[k]].append(k)
         # In the order of the documents. A context holds no string twice: its anchor is one occurrence.
         kept = sorted((k for ks in by_route.values() if len(ks) > 1 for k in ks), key=key)
         for owner, a, b in zip(*(x.tolist() for x in later_occurrences([texts[k] for k in kept]))):
