@@ -191,7 +191,8 @@ def test_loss(spark):
 
 
 def test_nulls_break_the_event_rules(spark):
-    rows = spark.createDataFrame([(1, None, None, None, "{}", None, None)], EVENT_LOG)
+    loose = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in EVENT_LOG)
+    rows = spark.createDataFrame([(1, None, None, None, "{}", None, None)], loose)
     assert len(q.validate_events(rows).first().errors) == 3
 
 

@@ -219,3 +219,12 @@ def test_difference_counts_copies(spark):
     right = spark.createDataFrame([(1,), (3,), (None,)], "a int")
     got = {r.a: r.surplus for r in st.difference(left, right).collect()}
     assert got == {1: 1, 2: 1, 3: -1}
+
+
+def test_manifest_names_job_source_and_totals(spark, log):
+    target = work_dir(spark, "backup")
+    manifest = st.backup(spark, log, target, st.selection(log, everything=True), job="nightly", source="laptop")
+    assert {r.compression for r in manifest.collect()} == {"snappy"}
+    [total] = st.manifest_totals(manifest).collect()
+    assert (total.job, total.source, total.events) == ("nightly", "laptop", log.count())
+    assert total.files == manifest.count() and not total.verified and not manifest.first().encrypted

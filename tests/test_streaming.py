@@ -128,3 +128,32 @@ def test_written_log_can_be_the_source(spark, small):
     out = work_dir(spark, "again")
     run(jobs.file_stream(spark, path, EVENT_LOG), jobs.ingest_handler(out), out)
     assert read_table(spark, f"{out}/events", EVENT_LOG).count() == 1000
+
+
+def test_ingest_reports_repeated_ids_and_gaps(spark):
+    out = work_dir(spark, "ingest")
+    data = [(t * 60_000_000_000, "click", None, None, "{}", "s", i) for t, i in [(1, "1"), (2, "2"), (3, "2"), (90, "3")]]
+    data.append((91 * 60_000_000_000, None, None, None, "{}", "s", "4"))
+    loose = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in EVENT_LOG)
+    jobs.ingest_handler(out)(spark.createDataFrame(data, loose), 0)
+    assert [tuple(r) for r in read_table(spark, f"{out}/duplicates", "event_id string, copies long").collect()] == [("2", 2)]
+    assert [r.event_id for r in read_table(spark, f"{out}/gaps", "event_id string, step long").collect()] == ["3"]
+    # An event without a type is reported and kept.
+    assert read_table(spark, f"{out}/events", EVENT_LOG).count() == 5
+    assert [r.event_id for r in read_table(spark, f"{out}/issues", "event_id string").collect()] == ["4"]
+
+
+def test_late_failures_count_for_later_events(spark):
+    out = work_dir(spark, "late")
+    handle = jobs.alert_handler(out)
+    kind = "source string, ts_us long, event_id string, kind string"
+    rows = [("a", t * 1_000_000, f"e{t}", "AuthenticationFailure") for t in (10, 20, 30, 40, 290, 1000)]
+    batches = [[r for r in rows if r[2] in ("e10", "e20", "e30", "e290")], [rows[5]], [rows[3]], []]
+    for k, batch in enumerate(batches):
+        handle(spark.createDataFrame(batch, kind), k)
+    got = read_table(spark, f"{out}/alerts", "event_id string, recent long").collect()
+    want = sec.auth_alerts(spark.createDataFrame(rows, kind)).collect()
+    assert [(r.event_id, r.recent) for r in got] == [(r.event_id, r.recent) for r in want] == [("e290", 5)]
+    # Only the last two states are kept.
+    kept = spark.read.parquet(f"{out}/state").select("after").distinct().collect()
+    assert {r.after for r in kept} <= {2, 3}

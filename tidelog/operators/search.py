@@ -219,6 +219,11 @@ def postings(frame: DataFrame, unique: str, text: str) -> DataFrame:
     return frame.select(F.explode(words).alias("token"), unique)
 
 
+def day_index(frame: DataFrame, unique: str, time: Column) -> DataFrame:
+    """(day, id) of every row with a time, for lookups of whole days."""
+    return frame.select(F.to_date(time).alias("day"), unique).filter(F.col("day").isNotNull())
+
+
 def write_index(posting: DataFrame, path: str, unique: str, files: int | None = None) -> None:
     """Sorted by token and id; frequent words spread over several files."""
     by = ["token", unique]

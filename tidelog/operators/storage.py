@@ -58,10 +58,32 @@ def backup_plan(log: DataFrame, chosen: Column) -> DataFrame:
     )
 
 
-def backup(spark: SparkSession, log: DataFrame, target: str, chosen: Column) -> DataFrame:
-    """Copy the chosen rows; the result is the manifest of the written files."""
+def backup(
+    spark: SparkSession, log: DataFrame, target: str, chosen: Column, job: str = "backup", source: str | None = None
+) -> DataFrame:
+    """Copy the chosen rows; the result is the manifest of the written files.
+
+    Each entry names its job and source; ``manifest_totals`` adds them up.
+    """
     write_event_log(log.filter(chosen), target)
-    return file_catalog(spark, target).withColumn("backup_path", F.lit(target))
+    return file_catalog(spark, target).withColumns(
+        {
+            "backup_path": F.lit(target),
+            "job": F.lit(job),
+            "source": F.lit(source).cast("string"),
+            "verified": F.lit(False),
+        }
+    )
+
+
+def manifest_totals(manifest: DataFrame) -> DataFrame:
+    """Files, bytes and events of each job and source."""
+    return manifest.groupBy("job", "source").agg(
+        F.count(F.lit(1)).alias("files"),
+        F.sum("size").alias("bytes"),
+        F.sum("record_count").alias("events"),
+        F.bool_and("verified").alias("verified"),
+    )
 
 
 def restore(spark: SparkSession, target: str) -> DataFrame:

@@ -265,6 +265,23 @@ def build_index(spark, root):
     return posted.groupBy("token").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
+@query(
+    "posting_lists",
+    f"SELECT token, doc_id FROM (SELECT unnest(list_distinct({WORDS})) AS token, doc_id FROM documents)",
+)
+def posting_lists(spark, root):
+    """The word index as it is on disk."""
+    path = work_dir(spark, "word-index")
+    so.write_index(so.postings(_texts(spark, root), "doc_id", "text"), path, "doc_id")
+    return spark.read.parquet(path)
+
+
+@query("day_index", "SELECT CAST(ts AS DATE) AS day, event_id FROM events")
+def day_index(spark, root):
+    rows = t.table(spark, root, "events").select("ts", "event_id")
+    return so.day_index(rows, "event_id", F.col("ts"))
+
+
 @query("search_index_join", _hits("list_contains(w, 'tion')"))
 def search_index_join(spark, root):
     docs = t.table(spark, root, "documents")

@@ -182,10 +182,10 @@ def frame_extract(spark, root):
 
 
 def _rows(spark, root):
-    return t.table(spark, root, "events").select("event_id", "user_id", "event_type", "value", "props")
+    return t.table(spark, root, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
 
 
-_ROWS_SQL = "SELECT event_id, user_id, event_type, value, props FROM events"
+_ROWS_SQL = "SELECT event_id, ts, user_id, event_type, value, props FROM events"
 
 
 def _exported(spark, root, kind, compression=None):
@@ -489,12 +489,13 @@ def schema_compat(spark, root):
 
 @query(
     "migrate_v11",
-    "SELECT event_id, event_type, 0::INTEGER AS metadata_bytes FROM events",
+    f"SELECT {_COLS}, 0::INTEGER AS metadata_bytes FROM {_LOG}",
 )
 def migrate_v11(spark, root):
-    old = t.table(spark, root, "events").select("event_id", "event_type")
+    """The log as version 1.0 wrote it, read as version 1.1."""
+    old = el.scan_event_log(spark, _written(spark, root))
     new = st.migrate(old, "1.0.0", "1.1.0")
-    return new.select("event_id", "event_type", F.octet_length("metadata").alias("metadata_bytes"))
+    return new.select(*EVENT_COLUMNS, F.octet_length("metadata").alias("metadata_bytes"))
 
 
 _KEYS = [

@@ -163,8 +163,16 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> Da
     )
 
 
-def file_catalog(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
-    """path, size, time, format, SHA-256 and row count of every file of a log.
+def file_catalog(
+    spark: SparkSession,
+    path: str,
+    pattern: str = "*.parquet",
+    schema_version: str = "1.0.0",
+    encrypted: bool = False,
+) -> DataFrame:
+    """path, size, time, format, compression, SHA-256 and row count of every file of a log.
+
+    Whether payloads are encrypted and the version of the schema are the caller's to say.
 
     Files are hashed where they are read, one per task at a time; ``write_event_log``
     bounds their size.
@@ -179,6 +187,11 @@ def file_catalog(spark: SparkSession, path: str, pattern: str = "*.parquet") ->
             F.col("length").alias("size"),
             F.unix_seconds("modificationTime").alias("created_at"),
             F.lit("parquet").alias("format"),
+            F.coalesce(
+                F.nullif(F.regexp_extract("path", r"\.(\w+)\.parquet$", 1), F.lit("")), F.lit("none")
+            ).alias("compression"),
+            F.lit(encrypted).alias("encrypted"),
+            F.lit(schema_version).alias("schema_version"),
             F.sha2("content", 256).alias("checksum"),
         )
     )

@@ -17,6 +17,12 @@ from tidelog.sources.arrow_files import ArrowFiles
 # Formats, and the compressions each of them accepts.
 FORMATS = ("json", "csv", "parquet", "arrow")
 COMPRESSIONS = ("gzip", "bzip2", "lz4")
+ROWS_PER_FILE = 1_000_000
+# Times as text with all their digits.
+_TEXT_TIMES = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 _SUPPORTED = {
     "json": {"gzip": "gzip", "bzip2": "bzip2", "lz4": "lz4"},
     "csv": {"gzip": "gzip", "bzip2": "bzip2", "lz4": "lz4"},
@@ -42,13 +48,14 @@ def export(rows: DataFrame, path: str, kind: str, compression: str | None = None
         raise ValueError(f"compression must be one of: {', '.join(COMPRESSIONS)}")
     if compression is not None and compression not in _SUPPORTED[kind]:
         raise ValueError(f"{kind} files cannot be compressed with {compression}")
-    writer = rows.write.mode("overwrite")
+    # A bound on files: a compressed or quoted file is read back by one task.
+    writer = rows.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE)
     if compression:
         writer = writer.option("compression", _SUPPORTED[kind][compression])
     if kind == "json":
-        writer.json(path)
+        writer.options(**_TEXT_TIMES).json(path)
     elif kind == "csv":
-        writer.option("header", True).option("escape", '"').csv(path)
+        writer.options(**_TEXT_TIMES).option("header", True).option("escape", '"').csv(path)
     elif kind == "parquet":
         writer.parquet(path)
     else:
@@ -67,10 +74,11 @@ def _arrow_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
 def read_export(spark: SparkSession, path: str, kind: str, schema: T.StructType) -> DataFrame:
     """Read an export strictly: a row that does not fit the schema is an error."""
     if kind == "json":
-        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+        return spark.read.schema(schema).options(**_TEXT_TIMES).option("mode", "FAILFAST").json(path)
     if kind == "csv":
         return (
             spark.read.schema(schema)
+            .options(**_TEXT_TIMES)
             .option("mode", "FAILFAST")
             .option("header", True)
             .option("escape", '"')

@@ -64,8 +64,13 @@ def start(
 # -- ingest ------------------------------------------------------------------------------
 
 
-def ingest_handler(root: str) -> Handler:
-    """Validate, split off frames, write events by day; issues and a ledger aside."""
+def ingest_handler(root: str, temporal: bool = True) -> Handler:
+    """Validate, split off frames, write events by day; issues and a ledger aside.
+
+    ``temporal`` also reports, of each batch, ids that occur more than once and steps
+    of over an hour between neighbours in time. A batch of files has no order of
+    arrival; a stream that numbers its rows uses ``sequence_handler`` for that.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         checked = q.validate_events(batch).persist()
@@ -86,6 +91,12 @@ def ingest_handler(root: str) -> Handler:
                 F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("bytes"),
             )
             write_batch(ledger, f"{root}/ledger", batch_id)
+            if temporal:
+                ids = events.groupBy("event_id").agg(F.count(F.lit(1)).alias("copies"))
+                write_batch(ids.filter(F.col("copies") > 1), f"{root}/duplicates", batch_id)
+                times = events.select("timestamp_ns", "event_id")
+                steps = q.large_gaps(times, "timestamp_ns", "event_id", "timestamp_ns", 1000 * q.LARGE_GAP_US)
+                write_batch(steps, f"{root}/gaps", batch_id)
         finally:
             checked.unpersist()
 
