@@ -202,8 +202,9 @@ def read_back(archives: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    # As many tasks as archives allow: a path is small, its archive is not.
-    spread = archives.select("path").repartition("path")
+    # A path is small, but its archive is not: the paths are dealt out to many tasks.
+    tasks = 16 * archives.sparkSession.sparkContext.defaultParallelism
+    spread = archives.select("path").repartition(max(1, min(archives.count(), tasks)))
     return spread.mapInArrow(
         run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     )
