@@ -74,9 +74,8 @@ def _entries(vectors: DataFrame, tables: int, bits: int) -> DataFrame:
 def _work(entries: DataFrame, block: int) -> DataFrame:
     """Entries under every pair of blocks that they are part of: ``unit_of``, ``side``."""
     keys = ["label", "width", "table", "code"]
-    met = entries.select(
-        "label", "width", "uid", "copies", "unit", "codes", F.posexplode("codes").alias("table", "code")
-    )
+    # Without the vectors: most entries are alone in their bucket.
+    met = entries.select("label", "width", "uid", F.posexplode("codes").alias("table", "code"))
     sizes = met.groupBy(*keys).agg(F.count("*").alias("members")).filter("members > 1")
     sizes = sizes.select(*keys, F.ceil(F.col("members") / block).cast("int").alias("parts"))
     met = met.join(materialize(sizes, "buckets"), keys)
@@ -86,7 +85,7 @@ def _work(entries: DataFrame, block: int) -> DataFrame:
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda o: F.struct(F.least("part", o).alias("low"), F.greatest("part", o).alias("high")),
     )
-    return met.select("*", F.inline(others))
+    return met.select("*", F.inline(others)).join(entries.select("uid", "copies", "unit", "codes"), "uid")
 
 
 def _compare(x: np.ndarray, codes: np.ndarray, left: np.ndarray, right: np.ndarray, table: int, least: float):
