@@ -22,7 +22,7 @@ from tidelog.llm import gru
 from tidelog.llm.common import remainder, utf8
 from tidelog.session import materialize
 
-#: Words of the network, and words whose counts every task holds.
+#: Words of the network, and at most so many words whose counts every task holds.
 NETWORK_WORDS, COMMON_WORDS = 2_048, 1 << 16
 #: Longer words are dealt with like rare ones, so the held words are bounded in bytes.
 COMMON_BYTES = 64
@@ -84,10 +84,19 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total, kinds = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    short = counts.filter(F.length("word") <= COMMON_BYTES)
     end = counts.filter(F.length("word") == 0).collect()
-    rows = short.filter(F.length("word") > 0).orderBy(F.desc("count"), "word").limit(COMMON_WORDS).collect()
-    return Vocabulary([(bytes(r["word"]), r["count"]) for r in [*rows, *end]], total, kinds)
+    # A sixteenth of an octave of counts is a step; whole steps are common, as many as fit.
+    step = F.floor(F.log2("count") * 16).cast("int")
+    short = counts.filter(F.length("word").between(1, COMMON_BYTES)).withColumn("step", step)
+    lowest, held = None, 0
+    for row in sorted(short.groupBy("step").count().collect(), reverse=True):  # 16 steps for each doubling
+        held += row["count"]
+        if held > COMMON_WORDS:
+            break
+        lowest = row["step"]
+    rows = [] if lowest is None else short.filter(F.col("step") >= lowest).collect()
+    common = sorted(((bytes(r["word"]), r["count"]) for r in rows), key=lambda x: (-x[1], x[0]))
+    return Vocabulary([*common, *((bytes(r["word"]), r["count"]) for r in end)], total, kinds)
 
 
 def encoded(docs: DataFrame, vocab: Vocabulary, text: str = "text") -> DataFrame:
