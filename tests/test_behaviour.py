@@ -213,3 +213,11 @@ def test_small_sample_rates_are_kept(spark):
         n = b.sample_rows(rows, "id", rate).count()
         assert abs(n - 300_000 * rate) < 5 * (300_000 * rate) ** 0.5 + 1
     assert b.sample_rows(rows, "id", 0.0).count() == 0
+
+
+def test_names_from_a_table_keep_all_rows(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (1, "d")], "code int, v string")
+    names = spark.createDataFrame([(1, "one"), (3, "three")], "code int, label string")
+    got = b.with_names(rows, names, "code", "label", "?")
+    assert got.columns == ["code", "v", "label"]
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, "a", "one"), (1, "d", "one"), (2, "b", "?"), (None, "c", "?")]

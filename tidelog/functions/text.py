@@ -88,7 +88,12 @@ def token_near(text: Column, query: str, distance: int = 2) -> Column:
     def near(t: Column) -> Column:
         length = F.octet_length(t)
         fits = length.between(max(4, size - distance), size + distance)
-        return F.when(fits, edit_distance(t, F.lit(query), distance) >= 0).otherwise(False)
+        close = edit_distance(t, F.lit(query), distance) >= 0
+        if query.isascii():
+            # Nothing is padded where both are ASCII.
+            plain = F.levenshtein(t, F.lit(query), distance) >= 0
+            close = F.when(length == F.char_length(t), plain).otherwise(close)
+        return F.when(fits, close).otherwise(False)
 
     return F.exists(tokens(text), near)
 

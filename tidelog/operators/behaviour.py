@@ -456,6 +456,19 @@ def key_name(code: Column) -> Column:
     return F.coalesce(F.try_element_at(names, code.cast("int")), unknown)
 
 
+def with_names(
+    rows: DataFrame, names: DataFrame, code: str, name: str, unknown: str | None = None
+) -> DataFrame:
+    """Add ``name`` from a table of (``code``, ``name``), which holds each code once.
+
+    A code that the table lacks, also null, keeps its row and gets ``unknown``. Whether
+    the table is sent out or both sides are shuffled is left to Spark, by its size.
+    """
+    table = names.select(F.col(code).alias("_code"), F.col(name).alias("_name"))
+    joined = rows.join(table, F.col(code) == F.col("_code"), "left").drop("_code")
+    return joined.withColumn(name, F.coalesce("_name", F.lit(unknown).cast("string"))).drop("_name")
+
+
 def window_stats(windows: DataFrame, app: str) -> DataFrame:
     """Per application: windows, visible ones, total area."""
     visible = F.col("on_screen") & (F.col("alpha") > 0.1)

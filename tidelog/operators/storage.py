@@ -215,10 +215,12 @@ def storage_stats(catalogue: DataFrame) -> DataFrame:
     )
 
 
-def verify_files(expected: DataFrame, actual: DataFrame) -> DataFrame:
+def verify_files(
+    expected: DataFrame, actual: DataFrame, checks: tuple[str, ...] = ("size", "checksum", "record_count")
+) -> DataFrame:
     """Per expected file: exists, and size, checksum and row count as expected.
-    An unknown expected row count is not checked."""
-    checks = ["size", "checksum", "record_count"]
+    An unknown expected row count is not checked. Other ``checks``, such as
+    ``schema_version`` or a list of columns, are columns that both sides have."""
     e = expected.select(
         "path", F.lit(True).alias("_known"), *[F.col(c).alias(f"_e_{c}") for c in checks]
     )

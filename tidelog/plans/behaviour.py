@@ -231,6 +231,18 @@ def exclude_paths(spark, root):
     return files.filter(~b.excluded_path(F.col("path")))
 
 
+@query(
+    "dimension_names",
+    "SELECT c_custkey, c_nationkey, coalesce(n_name, 'unknown') AS n_name FROM customer "
+    "LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) ON c_nationkey = n_nationkey",
+)
+def dimension_names(spark, root):
+    customers = t.table(spark, root, "customer").select("c_custkey", F.col("c_nationkey"))
+    names = t.table(spark, root, "nation").filter("n_regionkey <> 2")
+    names = names.select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return b.with_names(customers, names, "c_nationkey", "n_name", "unknown")
+
+
 @query(
     "oversize_split",
     "SELECT strlen(text) > 5000 AS dropped, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes "

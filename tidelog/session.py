@@ -61,9 +61,18 @@ def work_dir(spark: SparkSession, label: str) -> str:
             _LOCAL_ROOTS[sc.applicationId] = tempfile.mkdtemp(prefix="tidelog-")
             atexit.register(shutil.rmtree, _LOCAL_ROOTS[sc.applicationId], ignore_errors=True)
         root = _LOCAL_ROOTS[sc.applicationId]
+    else:
+        root = qualified(spark, root)
     return f"{root.rstrip('/')}/tidelog/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, so that tasks outside the JVM open the same one."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return files.makeQualified(folder).toString()
+
+
 def materialize(frame: DataFrame, label: str) -> DataFrame:
     """Write a result that several parts of a plan use, and read it back.
 

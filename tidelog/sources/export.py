@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.functions.times import rfc3339
+from tidelog.session import qualified
 from tidelog.sources.arrow_files import ArrowFiles
 
 # Formats, and the compressions each of them accepts.
@@ -60,7 +61,7 @@ def export(rows: DataFrame, path: str, kind: str, compression: str | None = None
         writer.parquet(path)
     else:
         rows.sparkSession.dataSource.register(ArrowFiles)
-        writer.format("arrow_files").option("path", path).save()
+        writer.format("arrow_files").option("path", qualified(rows.sparkSession, path)).save()
 
 
 def _arrow_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:

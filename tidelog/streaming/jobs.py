@@ -155,10 +155,17 @@ def alert_handler(
 # -- sequences ------------------------------------------------------------------------------
 
 
-def sequence_handler(root: str, key: str = "source", parts: int | None = None) -> Handler:
+#: Late ids are remembered as far below the largest id.
+LATE_IDS = 1_000_000
+
+
+def sequence_handler(
+    root: str, key: str = "source", parts: int | None = None, horizon: int = LATE_IDS
+) -> Handler:
     """Gaps, late and repeated ids per source, across batches.
 
-    Remembered: the largest id per source, and every id that was late once.
+    Remembered: the largest id per source, and the ids that were late once, as far as
+    they are at most ``horizon`` below it. An older id that comes again counts as late.
     Rows need ``key``, ``id``, ``arrival`` and ``event_id``.
     """
 
@@ -188,7 +195,10 @@ def sequence_handler(root: str, key: str = "source", parts: int | None = None) -
             new_top = top.unionByName(source).groupBy(key).agg(F.max("id").alias("id"))
             write_state(new_top, top_path, batch_id)
             late = issues.filter(F.col("issue") != "gap").select(key, "id")
-            write_state(late_before.unionByName(late).distinct(), late_path, batch_id)
+            late = late_before.unionByName(late).distinct()
+            near = new_top.withColumnRenamed("id", "_top")
+            late = late.join(near, key).filter(F.col("id") >= F.col("_top") - F.lit(horizon)).drop("_top")
+            write_state(late, late_path, batch_id)
             issues.unpersist()
         finally:
             rows.unpersist()
