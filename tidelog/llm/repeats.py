@@ -7,7 +7,7 @@ compare the surroundings of equal anchors:
 
 1. Documents are gathered into blocks of about ``BLOCK_BYTES``, written once.
 2. A *context* is a stretch of text whose strings all have one anchor occurrence. Each
-   block tells the anchors and contexts it has, by 64 bits of hash each; they meet by
+   block tells the anchors and contexts it has, by 48 bits of hash each; they meet by
    anchor. An anchor that occurs once is done with, and so are all copies of a context
    but the first: their blocks learn that they go.
 3. The first copies of the contexts of an anchor that has several are sent to where the
@@ -45,9 +45,9 @@ HOT = 1024
 DIGEST = 16
 #: Rows that cross to Python at once; a row may be a block.
 BATCH_ROWS = 32
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _STEP = 1 << 18
-_MASK = (1 << 64) - 1
+_MASK, _SHORT = (1 << 64) - 1, (1 << 48) - 1
 
 
 def _grams(raw: np.ndarray) -> np.ndarray:
@@ -217,7 +217,7 @@ def _blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         joined = b"".join(data)
         rows = pa.concat_arrays(rest)
         values = [
-            pa.array([zstandard.ZstdCompressor(level=3).compress(joined)], pa.binary()),
+            pa.array([zstandard.ZstdCompressor(level=5).compress(joined)], pa.binary()),
             pa.array([sizes], pa.list_(pa.int64())),
             pa.array([idents], pa.list_(pa.int64())),
             pa.array([[t is None for t in texts]], pa.list_(pa.bool_())),
@@ -268,13 +268,10 @@ class _Block:
         rank[np.lexsort((np.arange(len(sizes)), self.idents, missing))] = np.arange(len(sizes))
         order = np.lexsort((low, rank[doc]))
         self.low, self.high, self.doc = low[order], high[order], doc[order]
-        self.anchor = anchor.view(np.int64)[order]
-
-    def hashes(self, which: np.ndarray) -> np.ndarray:
-        """Hashes of the contexts with these numbers."""
-        raw, digest = self.raw, xxhash.xxh3_64_intdigest
-        spans = zip(self.low[which].tolist(), (self.high[which] + LENGTH).tolist())
-        return np.fromiter((digest(raw[a:b]) for a, b in spans), np.uint64, len(which)).view(np.int64)
+        self.anchor = (anchor & np.uint64(_SHORT)).view(np.int64)[order]
+        digest, spans = xxhash.xxh3_64_intdigest, zip(self.low.tolist(), (self.high + LENGTH).tolist())
+        hashes = np.fromiter((digest(self.raw[a:b]) for a, b in spans), np.uint64, len(low))
+        self.context = (hashes & np.uint64(_SHORT)).view(np.int64)
 
 
 _BLOCK = ["block", "data", "sizes", "idents", "missing", "rest"]
@@ -288,34 +285,42 @@ def _told(blocks: DataFrame) -> DataFrame:
             for name, data, sizes, idents in zip(*(batch[c].to_pylist() for c in ("block", "data", "sizes", "idents"))):
                 block = _Block(data, sizes, idents)
                 pairs = np.empty(len(block.low), [("anchor", np.int64), ("context", np.int64)])
-                pairs["anchor"], pairs["context"] = block.anchor, block.hashes(np.arange(len(block.low)))
+                pairs["anchor"], pairs["context"] = block.anchor, block.context
                 # Contexts are in order, so the first of equal ones is in the first document.
                 kinds, first, counts = np.unique(pairs, return_index=True, return_counts=True)
                 yield pa.record_batch(
                     [
                         pa.array(np.ascontiguousarray(kinds["anchor"])),
+                        pa.array(counts.astype(np.int32)),
                         pa.array(np.ascontiguousarray(kinds["context"])),
-                        pa.array(block.idents[block.doc[first]]),
                         pa.array(np.full(len(kinds), name, np.int64)),
-                        pa.array(counts.astype(np.int32)),
+                        pa.array(block.idents[block.doc[first]]),
                     ],
-                    names=["anchor", "context", "ident", "block", "count"],
+                    names=["anchor", "count", "context", "block", "ident"],
                 )
 
     slim = blocks.select("block", "data", "sizes", "idents")
-    return slim.mapInArrow(run, "anchor long, context long, ident long, block long, count int")
+    return slim.mapInArrow(run, "anchor long, count int, context long, block long, ident long")
+
+
+def _mark(anchor: np.ndarray, context: np.ndarray, code: np.ndarray | int) -> np.ndarray:
+    """62 bits for a context, unique enough within a block, and the code in the lowest two."""
+    both = anchor.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ context.view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    both = (both ^ (both >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return (both & np.uint64(_MASK - 3)).view(np.int64) | code
 
 
 def _marks(told: DataFrame) -> DataFrame:
-    """For each block, what it does with which contexts: ``marks`` of (anchor, context, code)."""
+    """For each block, what it does with which contexts: ``marks`` of contexts, with codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
         if not parts:
             return
         columns = [np.concatenate(c) for c in zip(*parts)]
-        order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
-        anchor, context, ident, block, count = (c[order] for c in columns)
+        anchor, count, context, block, ident = columns
+        order = np.lexsort((block, ident, context, anchor))
+        anchor, count, context, block, ident = (c[order] for c in columns)
         new_anchor = np.concatenate(([True], anchor[1:] != anchor[:-1]))
         first = new_anchor | np.concatenate(([True], context[1:] != context[:-1]))
         begin = np.flatnonzero(new_anchor)
@@ -325,10 +330,10 @@ def _marks(told: DataFrame) -> DataFrame:
         code = np.where(kinds > HOT, _SEND_STRINGS, np.where(kinds > 1, _SEND, _BUT_FIRST))
         code = np.where(first, code, _ALL)
         use = (total > 1) & ((code != _BUT_FIRST) | (count > 1))
-        table = np.stack([block[use], anchor[use], context[use], code[use]], axis=1)
-        table = table[np.argsort(table[:, 0], kind="stable")]
-        names, begin = np.unique(table[:, 0], return_index=True)
-        marks = [np.ascontiguousarray(part[:, 1:]).tobytes() for part in np.split(table, begin[1:])]
+        order = np.argsort(block[use], kind="stable")
+        block, marks = block[use][order], _mark(anchor[use], context[use], code[use])[order]
+        names, begin = np.unique(block, return_index=True)
+        marks = [part.tobytes() for part in np.split(marks, begin[1:])]
         yield pa.record_batch([pa.array(names), pa.array(marks[: len(names)], pa.binary())], names=["block", "marks"])
 
     marks = told.repartition("anchor").mapInArrow(run, "block long, marks binary")
@@ -342,21 +347,19 @@ def _contexts(blocks: DataFrame, marks: DataFrame) -> DataFrame:
     """The contexts to compare, and for each block what goes without that (a row without start)."""
 
     def one(name: int, data: bytes, sizes: list[int], idents: list, marks: list[bytes]) -> Iterator[tuple]:
-        table = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 3)
-        codes = {(a, c): code for a, c, code in table.tolist()}
+        codes = {mark & -4: mark & 3 for mark in np.frombuffer(b"".join(marks), np.int64).tolist()}
         block = _Block(data, sizes, idents)
-        which = np.flatnonzero(np.isin(block.anchor, table[:, 0]))
         gone: list[tuple[int, int, int]] = []
-        columns = (block.anchor[which], block.hashes(which), block.low[which], block.high[which], block.doc[which])
-        for anchor, context, low, high, doc in zip(*(c.tolist() for c in columns)):
-            code = codes.get((anchor, context))
+        columns = (block.anchor, _mark(block.anchor, block.context, 0), block.low, block.high, block.doc)
+        for anchor, mark, low, high, doc in zip(*(c.tolist() for c in columns)):
+            code = codes.get(mark)
             if code is None:
                 continue
             begin = int(block.begins[doc])
             if code == _ALL:
                 gone.append((doc, low - begin, high + LENGTH - begin))
                 continue
-            codes[anchor, context] = _ALL
+            codes[mark] = _ALL
             ident = int(block.idents[doc])
             if code == _SEND:
                 yield anchor, name, doc, low - begin, ident, block.raw[low : high + LENGTH]
