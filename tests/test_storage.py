@@ -228,3 +228,13 @@ def test_manifest_names_job_source_and_totals(spark, log):
     [total] = st.manifest_totals(manifest).collect()
     assert (total.job, total.source, total.events) == ("nightly", "laptop", log.count())
     assert total.files == manifest.count() and not total.verified and not manifest.first().encrypted
+
+
+def test_release_removes_what_the_application_wrote(spark, tmp_path, monkeypatch):
+    from tidelog import session
+
+    monkeypatch.setitem(session._LOCAL_ROOTS, spark.sparkContext.applicationId, str(tmp_path))
+    table = session.materialize(spark.range(5).toDF("n"), "kept")
+    assert table.count() == 5 and list(tmp_path.rglob("*.parquet"))
+    session.release(spark)
+    assert not list(tmp_path.rglob("*.parquet"))

@@ -63,7 +63,18 @@ def work_dir(spark: SparkSession, label: str) -> str:
         root = _LOCAL_ROOTS[sc.applicationId]
     else:
         root = qualified(spark, root)
-    return f"{root.rstrip('/')}/tidelog/{label}-{uuid.uuid4().hex[:12]}"
+    application = spark.sparkContext.applicationId
+    return f"{root.rstrip('/')}/tidelog/{application}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all that this application has written to its work folder.
+
+    Call it when no result that is still to be computed needs that: operators return
+    plans that read these tables.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark, "any")).getParent()
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def qualified(spark: SparkSession, path: str) -> str:
