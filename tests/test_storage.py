@@ -233,7 +233,7 @@ def test_manifest_names_job_source_and_totals(spark, log):
 def test_release_removes_what_the_application_wrote(spark, tmp_path, monkeypatch):
     from tidelog import session
 
-    monkeypatch.setitem(session._LOCAL_ROOTS, spark.sparkContext.applicationId, str(tmp_path))
+    monkeypatch.setattr(session, "work_dir", lambda spark, label: f"file:{tmp_path}/application/{label}")
     table = session.materialize(spark.range(5).toDF("n"), "kept")
     assert table.count() == 5 and list(tmp_path.rglob("*.parquet"))
     session.release(spark)
