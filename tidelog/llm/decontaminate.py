@@ -22,8 +22,9 @@ from tidelog.llm.common import utf8
 from tidelog.session import materialize
 
 WINDOW = 10
-#: Windows that one pass over the documents searches; a larger benchmark takes more passes.
-BLOCK_WINDOWS = 200_000
+#: Windows, and bytes of them, that one pass over the documents searches and every task
+#: holds; a larger benchmark takes more passes.
+BLOCK_WINDOWS, BLOCK_BYTES = 50_000, 16 << 20
 
 # Bytes that belong to words (after lower-casing), all others part words.
 _KEPT = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
@@ -91,11 +92,13 @@ def windows(items: DataFrame, item_id: str, text: str, length: int) -> DataFrame
 def _blocks(table: DataFrame, size: int) -> Iterator[list[tuple[str, list[str]]]]:
     """The windows in blocks of at most ``size``, one block in memory at a time."""
     block: list[tuple[str, list[str]]] = []
+    held = 0
     for row in table.toLocalIterator():
         block.append((row.window, row.ids))
-        if len(block) == size:
+        held += len(row.window) + sum(map(len, row.ids))
+        if len(block) == size or held >= BLOCK_BYTES:
             yield block
-            block = []
+            block, held = [], 0
     if block:
         yield block
 

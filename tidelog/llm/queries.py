@@ -65,5 +65,65 @@ QUERIES: dict[str, Query] = {
     "op10_packing": op10_packing,
 }
 
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+_DECONTAMINATE = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, size, win FROM (
+    SELECT item, least(len(w), 10) AS size,
+      unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS win
+    FROM items WHERE len(w) > 0)),
+places AS (
+  SELECT r, size, i, array_to_string(w[i:i + size - 1], ' ') AS win FROM (
+    SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, (SELECT DISTINCT size FROM windows))),
+found AS (SELECT r, i, size, item FROM places JOIN windows USING (size, win)),
+words AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(range(i, i + size)) AS k FROM found) GROUP BY r),
+names AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(names.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(list, '')) AS items_sha256, words.n IS NOT NULL AS contaminated
+FROM docs LEFT JOIN words USING (r) LEFT JOIN names USING (r)
+"""
+
+# Five bits at a time of the digest's hex digits.
+_NIBBLE = "(instr('0123456789abcdef', substr(h, {at}, 1)) - 1)"
+_BASE32 = (
+    "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((("
+    + _NIBBLE.format(at="CAST(5 * i // 4 + 1 AS BIGINT)")
+    + " * 16 + greatest(0, "
+    + _NIBBLE.format(at="CAST(5 * i // 4 + 2 AS BIGINT)")
+    + ")) >> (3 - (5 * i) % 4)) & 31 AS BIGINT), 1)), '')"
+)
+_WARC = f"""
+WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+firsts AS (SELECT body, max(page_id) AS first FROM bodies GROUP BY body),
+roles AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS h, first,
+  first IS NOT NULL AND page_id IS DISTINCT FROM first AS again FROM bodies JOIN firsts USING (body))
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first END AS refers_to FROM roles
+"""
+
+_EMBEDDINGS = """
+WITH RECURSIVE vectors AS (
+  SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (SELECT * FROM vectors WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x <> 0)) > 0
+  AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+links AS (SELECT a.r AS a, b.r AS b FROM good a JOIN good b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT r, r AS other FROM vectors UNION SELECT reach.r, links.b FROM reach JOIN links ON reach.other = links.a),
+least AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN vectors v ON v.r = reach.other GROUP BY reach.r),
+counts AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, FALSE) AS kept
+FROM vectors JOIN least USING (r) LEFT JOIN counts USING (r)
+"""
+
 #: Checks in SQL, for the queries that SQL can express on whole tables.
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {
+    "op1_decontaminate": _DECONTAMINATE,
+    "op8_warc": _WARC,
+    "op9_embeddings": _EMBEDDINGS,
+}
