@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import remainder, utf8
-from tidelog.session import materialize
 
 WORD_UNITS, FORM_UNITS, DIMENSIONS, NONZERO = 1 << 14, 1 << 10, 32, 2
 UNITS = WORD_UNITS + FORM_UNITS
@@ -285,46 +284,37 @@ def fit(x: np.ndarray, y: np.ndarray) -> Network:
     return net
 
 
-@dataclass
-class Model:
-    vectors: np.ndarray
-    network: Network
-
-
-def train(feats: DataFrame, labels: DataFrame, vectors: np.ndarray, *, doc_id: str = "doc_id") -> Model:
-    """Fits the network on at most ``SAMPLE_ROWS`` labelled rows that are not held out.
+def train(
+    docs: DataFrame, labels: DataFrame, vectors: np.ndarray, *, doc_id: str = "doc_id", text: str = "text"
+) -> Network:
+    """Fits the network on at most ``SAMPLE_ROWS`` labelled documents that are not held out.
 
-    The rows are those with the least hash of their id, a plain random choice.
+    These are those with the least hash of their id, a plain random choice.
     """
     known = labels.select(F.col("doc_id").alias("ident"), F.col("quality").cast("int").alias("label"))
     known = known.filter("label in (0, 1) and ident is not null").filter(remainder(F.col("ident"), 3) != 1)
     known = known.dropDuplicates(["ident", "label"]).orderBy(F.xxhash64("ident"), "label").limit(SAMPLE_ROWS)
-    slim = feats.select(F.col(f"row.`{doc_id}`").alias("ident"), "pooled")
-    rows = slim.join(F.broadcast(known), "ident").orderBy(F.xxhash64("ident"), "label").limit(SAMPLE_ROWS).collect()
+    chosen = docs.select(F.col(doc_id).alias("ident"), F.col(text).alias("text")).join(F.broadcast(known), "ident")
+    feats = features(chosen, vectors, keep=["ident", "label"]).select("row.*", "pooled")
+    rows = feats.orderBy(F.xxhash64("ident"), "label").limit(SAMPLE_ROWS).collect()
     x = np.array([r.pooled for r in rows], np.float64).reshape(len(rows), 2 * DIMENSIONS)
-    return Model(vectors, fit(x, np.array([r.label for r in rows])))
+    return fit(x, np.array([r.label for r in rows]))
 
 
-def scored(feats: DataFrame, model: Model) -> DataFrame:
-    """``row`` and its ``score``."""
-    shared = feats.sparkSession.sparkContext.broadcast(model.network)
-    width = len(model.network.mean)
+def quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep=None) -> DataFrame:
+    """Rows of ``docs`` (as ``row``, with all columns or those to keep) and their ``score``."""
+    vectors = context_vectors(docs, text)
+    network = docs.sparkSession.sparkContext.broadcast(train(docs, labels, vectors, doc_id=doc_id, text=text))
+    feats = features(docs, vectors, text=text, keep=keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch["pooled"].flatten().to_numpy().reshape(-1, width).astype(np.float64)
-            yield pa.record_batch([batch["row"], pa.array(shared.value.scores(x))], names=["row", "score"])
+            x = batch["pooled"].flatten().to_numpy().reshape(-1, 2 * DIMENSIONS).astype(np.float64)
+            yield pa.record_batch([batch["row"], pa.array(network.value.scores(x))], names=["row", "score"])
 
     return feats.mapInArrow(run, f"row {feats.schema['row'].dataType.simpleString()}, score double")
 
 
-def quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep=None) -> DataFrame:
-    """Rows of ``docs`` (as ``row``, with all columns or those to keep) and their ``score``."""
-    vectors = context_vectors(docs, text)
-    feats = materialize(features(docs, vectors, text=text, keep=keep), "features")
-    return scored(feats, train(feats, labels, vectors, doc_id=doc_id))
-
-
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each document: ``doc_id``, ``held_out``, ``score``, ``predicted``.
 

@@ -150,13 +150,21 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
 def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One document of each component, that with the least id, its columns as they were.
 
-    A document without an id stays only where no document of its component has one; of
-    several rows with that id (or without any), the first in the order of the input stays.
+    A document without an id stays only where no document of its component has one. Of
+    several rows with that id (or without any) one stays, with the least fingerprint.
     """
-    rows = fingerprints(docs, text=text).withColumn("uid", F.monotonically_increasing_id())
-    rows = materialize(rows, "fingerprinted")
-    slim = rows.select("fp", "uid", F.col(f"row.`{doc_id}`").alias("doc_id"))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
-    best = slim.groupBy("fp").agg(F.min(rank).alias("best"))
-    best = best.join(_components(slim), "fp").groupBy("root").agg(F.min("best").alias("best"))
-    return rows.join(best.select(F.col("best.uid").alias("uid")), "uid", "left_semi").select("row.*")
+    fps = fingerprints(docs, text=text, keep=[doc_id]).select(F.col(f"row.`{doc_id}`").alias("ident"), "fp")
+    fps = materialize(fps, "fingerprints")
+    rank = F.struct(F.col("ident").isNull().alias("none"), "ident", "fp")
+    best = fps.groupBy("fp").agg(F.min(rank).alias("best"))
+    best = best.join(_components(fps), "fp").groupBy("root").agg(F.min("best").alias("best"))
+    best = materialize(best.select("best.ident", F.col("best.fp").alias("fp")), "best")
+    # Where an id is that of one row, it tells the row; where not, the fingerprint must help.
+    again = materialize(fps.groupBy("ident").count().filter("count > 1 or ident is null").select("ident"), "again")
+    mine = F.col(doc_id)
+    plain = best.join(again, "ident", "left_anti").filter("ident is not null")
+    once = docs.join(plain, mine == plain["ident"], "left_semi")
+    rows = fingerprints(docs.join(again, mine.eqNullSafe(again["ident"]), "left_semi"), text=text)
+    same = F.col(f"row.`{doc_id}`").eqNullSafe(best["ident"]) & (rows["fp"] == best["fp"])
+    rows = rows.join(best, same, "left_semi").withColumn("ident", F.col(f"row.`{doc_id}`"))
+    return once.unionByName(rows.dropDuplicates(["ident", "fp"]).select("row.*"))
