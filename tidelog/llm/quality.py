@@ -194,8 +194,8 @@ def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
     return (total / np.maximum(np.diff(bounds), 1)[:, None]).astype(np.float32)
 
 
-def features(docs: DataFrame, vectors: np.ndarray, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``row`` (all columns, or those to keep) and ``pooled``, the document's vector."""
+def _pooled_rows(docs: DataFrame, finish, kind: str, vectors: np.ndarray, text: str, keep: list[str] | None) -> DataFrame:
+    """``row`` (all columns, or those to keep) and ``value``, which ``finish`` makes of the documents' vectors."""
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
     slim = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"),
@@ -205,15 +205,15 @@ def features(docs: DataFrame, vectors: np.ndarray, *, text: str = "text", keep:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            values = np.concatenate([pooled(p, table) for p in _pieces(batch["text"].to_pylist())])
-            flat = pa.ListArray.from_arrays(
-                pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel(), pa.float32())
-            )
-            yield pa.record_batch([batch["row"], flat], names=["row", "pooled"])
+            if batch.num_rows:
+                values = np.concatenate([pooled(p, table) for p in _pieces(batch["text"].to_pylist())])
+                yield pa.record_batch([batch["row"], finish(values)], names=["row", "value"])
 
-    return slim.mapInArrow(run, f"row {slim.schema['row'].dataType.simpleString()}, pooled array<float>")
+    return slim.mapInArrow(run, f"row {slim.schema['row'].dataType.simpleString()}, value {kind}")
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    return pa.array(list(values), pa.list_(pa.float32()))
 
 
 @dataclass
@@ -295,9 +295,9 @@ def train(
     known = known.filter("label in (0, 1) and ident is not null").filter(remainder(F.col("ident"), 3) != 1)
     known = known.dropDuplicates(["ident", "label"]).orderBy(F.xxhash64("ident"), "label").limit(SAMPLE_ROWS)
     chosen = docs.select(F.col(doc_id).alias("ident"), F.col(text).alias("text")).join(F.broadcast(known), "ident")
-    feats = features(chosen, vectors, keep=["ident", "label"]).select("row.*", "pooled")
+    feats = _pooled_rows(chosen, _lists, "array<float>", vectors, "text", ["ident", "label"]).select("row.*", "value")
     rows = feats.orderBy(F.xxhash64("ident"), "label").limit(SAMPLE_ROWS).collect()
-    x = np.array([r.pooled for r in rows], np.float64).reshape(len(rows), 2 * DIMENSIONS)
+    x = np.array([r.value for r in rows], np.float64).reshape(len(rows), 2 * DIMENSIONS)
     return fit(x, np.array([r.label for r in rows]))
 
 
@@ -305,14 +305,8 @@ def quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
     """Rows of ``docs`` (as ``row``, with all columns or those to keep) and their ``score``."""
     vectors = context_vectors(docs, text)
     network = docs.sparkSession.sparkContext.broadcast(train(docs, labels, vectors, doc_id=doc_id, text=text))
-    feats = features(docs, vectors, text=text, keep=keep)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch["pooled"].flatten().to_numpy().reshape(-1, 2 * DIMENSIONS).astype(np.float64)
-            yield pa.record_batch([batch["row"], pa.array(network.value.scores(x))], names=["row", "score"])
-
-    return feats.mapInArrow(run, f"row {feats.schema['row'].dataType.simpleString()}, score double")
+    score = lambda x: pa.array(network.value.scores(x.astype(np.float64)))
+    return _pooled_rows(docs, score, "double", vectors, text, keep).withColumnRenamed("value", "score")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

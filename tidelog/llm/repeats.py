@@ -44,7 +44,7 @@ HOT = 1024
 #: Bytes of the hash that stands for a string that is sent alone.
 DIGEST = 16
 #: Rows that cross to Python at once; a row may be a block.
-BATCH_ROWS = 32
+BATCH_ROWS = 256
 CHUNK_BYTES = 1 << 20
 _STEP = 1 << 18
 _MASK, _SHORT = (1 << 64) - 1, (1 << 48) - 1
