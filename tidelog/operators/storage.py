@@ -347,13 +347,13 @@ def encrypt_by_type(rows: DataFrame, keys: DataFrame, payload: str, kind: str) -
 
 
 def decrypt_by_type(rows: DataFrame, keys: DataFrame, payload: str, kind: str) -> DataFrame:
-    lookup = keys.select(F.col("kind").alias("_kind"), F.col("key_id").alias("_id"), F.col("key").alias("_key"))
-    same = F.col(kind).eqNullSafe(F.col("_kind")) & F.col("key_id").eqNullSafe(F.col("_id"))
+    lookup = keys.select(F.col("kind").alias("_of_kind"), F.col("key_id").alias("_of_id"), F.col("key").alias("_key"))
+    same = F.col(kind).eqNullSafe(F.col("_of_kind")) & F.col("key_id").eqNullSafe(F.col("_of_id"))
     joined = rows.join(lookup, same, "left")
     missing = F.raise_error(F.concat(F.lit("unknown key "), F.coalesce(F.col("key_id").cast("string"), F.lit("null"))))
     key = F.when(F.col("_key").isNull(), missing.cast("binary")).otherwise(F.col("_key"))
     clear = F.aes_decrypt(F.col(payload), key, F.lit("GCM"))
-    return joined.withColumn(payload, clear.cast("string")).drop("_kind", "_id", "_key", "key_id")
+    return joined.withColumn(payload, clear.cast("string")).drop("_of_kind", "_of_id", "_key", "key_id")
 
 
 def rotate_keys(rows: DataFrame, keys: DataFrame, payload: str, kind: str) -> DataFrame:
