@@ -74,11 +74,11 @@ def partition_counts(spark, root):
     return each.groupBy("layout", "folder").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("layout_files", CHECKS["partition_counts"])
+@query("layout_files", f"SELECT * FROM ({CHECKS['partition_counts']}) WHERE layout IN ('daily', 'type')")
 def layout_files(spark, root):
-    """The folders that the writer of each layout makes, with the rows found in them."""
+    """The folders that the writers of two layouts make, with the rows found in them."""
     log, found = t.event_log(spark, root), []
-    for layout in ("daily", "hourly", "type", "type_hour"):
+    for layout in ("daily", "type"):
         path = work_dir(spark, f"layout-{layout}")
         el.write_layout(log, path, layout)
         folder = F.regexp_extract(F.input_file_name(), f"layout-{layout}-[^/]*/(.*)/[^/]*$", 1)
