@@ -111,6 +111,15 @@ def test_nothing_to_learn_from(spark):
     assert lm.scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_all_documents_are_trained_on(spark):
+    """Each document has a word of its own, whose sum of squared slopes tells whether it was trained on."""
+    docs = [(k, False, np.array([k] * 100 + [65], np.uint16).tobytes()) for k in range(64)] + [(64, True, np.array([0], np.uint16).tobytes())]
+    vocab = lm.Vocabulary([*((b"%02d" % k, 100) for k in range(64)), (b"", 64)], 6464, 65)
+    rows = spark.createDataFrame([(k, h, bytearray(b)) for k, h, b in docs], "uid long, held_out boolean, ids binary")
+    squares = lm.fit(rows.repartition(3), vocab).squares["input"]
+    assert (squares[:64].max(axis=1) > 0.01 + 1e-7).all()
+
+
 def test_held_out_gain(spark):
     rows = [r for r in lm.scores(read(spark, "/root/testdata/sf0.01", "documents")).collect() if r.held_out]
     assert len(rows) > 50 and sum(r.score for r in rows) > sum(r.base_score for r in rows)

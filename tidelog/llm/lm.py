@@ -4,8 +4,8 @@ Words of all training documents are counted. The most frequent are words of the
 network; all others are one class, in which a word has its smoothed frequency, so that
 every text has a probability. The network is trained in rounds: every task trains a
 copy on its part of the round's documents, and the copies are averaged by words. The
-documents of a round are one of ``SLICES`` slices by hash, so what is trained on
-grows with the corpus; the counts are those of all training documents.
+documents of a round are one of ``ROUNDS`` slices by hash, so all training documents
+are trained on, each once; the counts are those of all of them as well.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from tidelog.session import materialize
 NETWORK_WORDS, COMMON_WORDS = 2_048, 1 << 16
 #: Longer words are dealt with like rare ones, so the held words are bounded in bytes.
 COMMON_BYTES = 64
-ROUNDS, SLICES = 4, 16
+ROUNDS = 4
 #: Words that a task holds at once, to count or to train on.
 HELD_WORDS, HELD_KINDS = 4 << 20, 1 << 19
 #: Parameters in a row when copies are averaged.
@@ -175,7 +175,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.n
 
 
 def fit(rows: DataFrame, vocab: Vocabulary) -> gru.Model:
-    """Trains the network in rounds on the encoded documents that are not held out."""
+    """Trains the network in rounds on the encoded documents that are not held out, one pass over all."""
     spark = rows.sparkSession
     model = gru.start(vocab.counts)
     end = vocab.end
@@ -215,7 +215,7 @@ def fit(rows: DataFrame, vocab: Vocabulary) -> gru.Model:
         return model.load(np.concatenate([np.frombuffer(found[k], np.float32) for k in range(size)]))
 
     for k in range(ROUNDS):
-        slice_of = F.pmod(F.xxhash64("uid"), F.lit(SLICES))
+        slice_of = F.pmod(F.xxhash64("uid"), F.lit(ROUNDS))
         model = averaged(model, rows.filter(~F.col("held_out") & (slice_of == k)))
     return model
 
