@@ -1,6 +1,7 @@
 """The language model: slopes by differences, probabilities that add up, base scores, held-out gain."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -70,6 +71,33 @@ def test_lanes_do_not_matter():
     assert np.allclose(together, alone, rtol=1e-4)
 
 
+def test_windows_do_not_grow_with_the_longest_document():
+    rng = np.random.default_rng(7)
+    docs = docs_of(rng, 20, 19, [20_000, *[30] * 600])
+    tracemalloc.start()
+    told = np.zeros(len(docs), np.int64)
+    for window in gru.windows(docs, 19):
+        told += np.bincount(window.owner[window.wanted >= 0], minlength=len(docs))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert told.tolist() == [len(d) for d in docs] and peak < 8 << 20
+
+
+def test_windows_hold_each_lane_in_order():
+    rng = np.random.default_rng(8)
+    docs = docs_of(rng, 20, 19, rng.integers(0, 90, 40))
+    seen = {d: [] for d in range(len(docs))}
+    for window in gru.windows(docs, 19, lanes=7):
+        for given, wanted, keep, owner in zip(window.given, window.wanted, window.keep, window.owner):
+            for g, w, k, o in zip(given, wanted, keep, owner):
+                if w >= 0:
+                    assert (k == 0) == (not seen[o]) and g == (seen[o][-1] if seen[o] else 19)
+                    seen[o].append(w)
+                else:
+                    assert (g, k, o) == (19, 1, 0)
+    assert all(seen[d] == docs[d].tolist() for d in seen)
+
+
 def test_classes_cover_all_words():
     for counts in ([5, 3, 2, 1, 1, 9, 4], [7, 7], [0, 0, 0], list(range(500, 0, -1))):
         bounds = gru.classes(np.array(counts))

@@ -97,28 +97,29 @@ def windows(docs: list[np.ndarray], end: int, lanes: int = LANES) -> Iterator[Wi
         size, k = heapq.heappop(heap)
         lane[k].append(d)
         heapq.heappush(heap, (size + len(docs[d]), k))
-    total = max(size for size, _ in heap)
-    wanted = np.full((count, total), -1, np.int32)
-    given = np.full((count, total), end, np.int32)
-    keep = np.ones((count, total), np.float32)
-    owner = np.zeros((count, total), np.int32)
-    for k, members in enumerate(lane):
-        at = 0
-        for d in members:
-            n = len(docs[d])
-            wanted[k, at : at + n] = docs[d]
-            given[k, at + 1 : at + n] = docs[d][:-1]
-            keep[k, at] = 0
-            owner[k, at : at + n] = d
-            at += n
     # The longest lanes first, so that those that are over drop out at the end.
     sizes = np.zeros(count, np.int64)
     for size, k in heap:
         sizes[k] = size
     order = np.argsort(-sizes, kind="stable")
-    for a in range(0, total, STEPS):
-        live = order[: int((sizes > a).sum())]
-        yield Window(*(np.ascontiguousarray(x[live, a : a + STEPS].T) for x in (given, wanted, keep, owner)))
+    # The documents one after the other, lane by lane; a window takes its steps of each lane from there.
+    members = [d for k in order for d in lane[k]]
+    lengths = np.array([len(docs[d]) for d in members], np.int64)
+    words = np.concatenate([docs[d] for d in members])
+    owners = np.repeat(np.array(members, np.int32), lengths)
+    begins = np.zeros(len(words), bool)
+    begins[np.cumsum(lengths) - lengths] = True
+    sizes = sizes[order]
+    first = np.cumsum(sizes) - sizes
+    for a in range(0, int(sizes[0]), STEPS):
+        live = int((sizes > a).sum())
+        step = np.arange(a, min(a + STEPS, int(sizes[0])))[:, None]
+        at = np.minimum(first[:live] + step, len(words) - 1)
+        on = step < sizes[:live]
+        wanted = np.where(on, words[at].astype(np.int32), -1)
+        given = np.where(on & ~begins[at], words[at - 1].astype(np.int32), end)
+        keep = (~(on & begins[at])).astype(np.float32)
+        yield Window(given, wanted, keep, np.where(on, owners[at], 0))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
