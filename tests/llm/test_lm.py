@@ -132,6 +132,16 @@ def test_base_scores(spark, monkeypatch, common):
     compare(lm.scores(frame.repartition(3)).collect(), docs)
 
 
+def test_words_of_equal_counts_are_common_up_to_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(lm, "COMMON_WORDS", 5)
+    counts = [(b"top", 90), *((b"w%d" % k, 40) for k in range(7, -1, -1)), (b"w9", 41), (b"", 30)]
+    frame = spark.createDataFrame([(bytearray(w), n) for w, n in counts], "word binary, count long")
+    vocab = lm.vocabulary(frame)
+    assert list(vocab.logs) == [b"top", b"w9", b"w0", b"w1", b"w2", b""] and vocab.rare == 5
+    vocab = lm.vocabulary(frame.filter("count = 40"))
+    assert list(vocab.logs)[:5] == [b"w%d" % k for k in range(5)] and vocab.rare == 5
+
+
 def test_nothing_to_learn_from(spark):
     held = [k for k in range(60) if zlib.crc32(str(k).encode()) % 10 == 0][:3]
     docs = [(k, "a b") for k in held]

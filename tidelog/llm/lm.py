@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -88,13 +89,18 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     # A sixteenth of an octave of counts is a step; whole steps are common, as many as fit.
     step = F.floor(F.log2("count") * 16).cast("int")
     short = counts.filter(F.length("word").between(1, COMMON_BYTES)).withColumn("step", step)
-    lowest, held = None, 0
+    lowest, parted, held = None, None, 0
     for row in sorted(short.groupBy("step").count().collect(), reverse=True):  # 16 steps for each doubling
-        held += row["count"]
-        if held > COMMON_WORDS:
+        if held + row["count"] > COMMON_WORDS:
+            parted = row["step"]
             break
+        held += row["count"]
         lowest = row["step"]
     rows = [] if lowest is None else short.filter(F.col("step") >= lowest).collect()
+    if parted is not None and held < COMMON_WORDS:
+        # Of the step that does not fit, the first in order; its ranges are fetched one by one.
+        ranked = short.filter(F.col("step") == parted).orderBy(F.col("count").desc(), "word")
+        rows += islice(ranked.toLocalIterator(), COMMON_WORDS - held)
     common = sorted(((bytes(r["word"]), r["count"]) for r in rows), key=lambda x: (-x[1], x[0]))
     return Vocabulary([*common, *((bytes(r["word"]), r["count"]) for r in end)], total, kinds)
 
