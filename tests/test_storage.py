@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.operators import storage as st
+from tidelog.plans import QUERIES
 from tidelog.schema import EVENT_COLUMNS, EVENT_LOG
 from tidelog.session import work_dir
 from tidelog.sources import eventlog as el
@@ -181,6 +182,12 @@ def test_layouts_hold_all_rows(spark, strategy):
     assert back.columns[-len(names) :] == names and back.count() == 5
 
 
+def test_written_layouts_hold_what_is_counted(spark, small):
+    rows = lambda name: sorted(map(tuple, QUERIES[name](spark, small).collect()))
+    assert rows("layout_files") == rows("partition_counts")
+    assert rows("shard_files") == [(sum(n for _, n in rows("shard_counts")), 0)]
+
+
 def test_encryption_loses_no_row(spark):
     keys = spark.createDataFrame([("a", 1, bytearray(16)), ("a", 2, bytearray(b"k" * 16))], "kind string, key_id int, key binary")
     rows = spark.createDataFrame([("a", "x"), ("b", "y"), (None, "z")], "kind string, payload string")

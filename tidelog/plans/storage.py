@@ -74,11 +74,11 @@ def partition_counts(spark, root):
     return each.groupBy("layout", "folder").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("layout_files", f"SELECT * FROM ({CHECKS['partition_counts']}) WHERE layout IN ('daily', 'type')")
+@query("layout_files", CHECKS["partition_counts"])
 def layout_files(spark, root):
-    """The folders that the writers of two layouts make, with the rows found in them."""
+    """The folders that the writer of each layout makes, with the rows found in them."""
     log, found = t.event_log(spark, root), []
-    for layout in ("daily", "type"):
+    for layout in ("daily", "hourly", "type", "type_hour"):
         path = work_dir(spark, f"layout-{layout}")
         el.write_layout(log, path, layout)
         folder = F.regexp_extract(F.input_file_name(), f"layout-{layout}-[^/]*/(.*)/[^/]*$", 1)
@@ -113,6 +113,16 @@ def shard_counts(spark, root):
     return log.groupBy(cols["shard"].alias("shard")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("shard_files", "SELECT count(*) AS rows, 0::BIGINT AS differing FROM events")
+def shard_files(spark, root):
+    """Rows that the writer of shards wrote, and the shards that do not hold what ``shard_counts`` counts."""
+    path = work_dir(spark, "layout-shard")
+    el.write_layout(t.event_log(spark, root), path, "shard")
+    written = spark.read.parquet(path).groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
+    both = written.join(shard_counts(spark, root), "shard", "full_outer")
+    return both.agg(F.sum("rows").alias("rows"), F.count_if(~F.col("rows").eqNullSafe(F.col("n"))).alias("differing"))
+
+
 @query(
     "events_per_day",
     "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1",
