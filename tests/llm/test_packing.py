@@ -105,6 +105,15 @@ def test_index_ranks_as_bm25():
     assert index.neighbours(0, free) == want
 
 
+def test_all_terms_of_a_seed_look_up():
+    """The last document shares only the lightest of the seed's 61 terms."""
+    seed = np.arange(61, dtype=np.uint32)
+    others = [np.append(seed[:60], np.uint32(100 + k)) for k in range(3)]
+    last = [np.array([60, 200 + k], np.uint32) for k in range(9)]
+    index = packing.Index([seed, *others, *last])
+    assert sorted(index.neighbours(0, np.arange(13) > 0)) == list(range(1, 13))
+
+
 def test_neighbours_share_a_sequence():
     a, b = np.arange(100, 160, dtype=np.uint32), np.arange(500, 560, dtype=np.uint32)
     docs = [a, b, a[::-1], b[::-1], a, b]

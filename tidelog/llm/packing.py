@@ -2,7 +2,7 @@
 
 The rows of a task are packed in shards of bounded size, in the order of the input.
 A shard has an inverted index with BM25 weights. A document that no sequence holds yet is
-the seed; the seed's most telling terms look up unused neighbours, best first, and
+the seed; the seed's terms look up unused neighbours, best first, and
 these fill the sequence while they fit. The best of those that do not fit is cut, and
 what is left of it begins the next sequence and is its seed. So every sequence is full
 but the last of a shard, which is cut into sequences of powers of two.
@@ -24,8 +24,6 @@ from tidelog.llm.vocabulary import VOCABULARY, encoder
 LENGTH, END = 2048, 1
 #: Tokens of a shard.
 SHARD_TOKENS = 4 << 20
-#: Terms of the seed that look up neighbours: those with the largest weights.
-QUERY_TERMS = 32
 K1, B = 1.2, 0.75
 
 
@@ -45,19 +43,16 @@ class Index:
         rare = np.log1p((self.count - self.frequency + 0.5) / (self.frequency + 0.5))
         norm = K1 * (1 - B + B * length / length.mean())
         weight = rare[terms] * counts * (K1 + 1) / (counts + norm[owner])
-        self.terms, self.weights = terms, weight
+        self.terms = terms
         order = np.argsort(terms, kind="stable")
         self.posting, self.posted = owner[order], weight[order]
         self.first = np.concatenate(([0], np.cumsum(self.frequency)))
 
     def neighbours(self, seed: int, free: np.ndarray) -> list[int]:
-        """Free documents that share a query term with the seed, best first, then by number."""
+        """Free documents that share a term with the seed, best first, then by number."""
         part = slice(self.begin[seed], self.begin[seed + 1])
-        terms, weights = self.terms[part], self.weights[part]
-        shared = self.frequency[terms] > 1
-        terms, weights = terms[shared], weights[shared]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-weights, QUERY_TERMS)[:QUERY_TERMS]]
+        terms = self.terms[part]
+        terms = terms[self.frequency[terms] > 1]
         if not len(terms):
             return []
         slices = [slice(self.first[t], self.first[t + 1]) for t in terms]
