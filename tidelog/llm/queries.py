@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import decontaminate, embeddings, lm, packing, quality, repeats, shuffle, simhash, tokens, warc
+from tidelog.llm import (
+    bpe,
+    decontaminate,
+    divergence,
+    embeddings,
+    lm,
+    packing,
+    quality,
+    repeats,
+    resampling,
+    shuffle,
+    simhash,
+    tokens,
+    warc,
+)
 from tidelog.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +66,18 @@ def op10_packing(spark: SparkSession, root: str) -> DataFrame:
     return packing.report(read(spark, root, "documents"))
 
 
+def op11_resampling(spark: SparkSession, root: str) -> DataFrame:
+    return resampling.report(read(spark, root, "documents"), read(spark, root, "benchmark"))
+
+
+def op12_divergence(spark: SparkSession, root: str) -> DataFrame:
+    return divergence.report(read(spark, root, "documents"))
+
+
+def op13_bpe(spark: SparkSession, root: str) -> DataFrame:
+    return bpe.report(read(spark, root, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
@@ -63,6 +89,9 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_embeddings": op9_embeddings,
     "op10_packing": op10_packing,
+    "op11_resampling": op11_resampling,
+    "op12_divergence": op12_divergence,
+    "op13_bpe": op13_bpe,
 }
 
 _WORDS = (
@@ -121,9 +150,63 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, coalesce(vec_id
 FROM vectors JOIN least USING (r) LEFT JOIN counts USING (r)
 """
 
+_CRC32 = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(w)), "
+    "lambda i: CAST('0x' || substr(hex(encode(w)), 2 * i + 1, 2) AS BIGINT))), "
+    "lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), "
+    "lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::BIGINT)"
+)
+_RESAMPLING = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS words FROM documents),
+occurring AS (SELECT r, unnest(words) AS w FROM docs), wanted AS (SELECT unnest({_WORDS}) AS w FROM benchmark),
+buckets AS (SELECT w, {_CRC32} % 10000 AS k FROM (SELECT w FROM occurring UNION SELECT w FROM wanted)),
+s AS (SELECT k, count(*) AS s FROM occurring JOIN buckets USING (w) GROUP BY k),
+t AS (SELECT k, count(*) AS t FROM wanted JOIN buckets USING (w) GROUP BY k),
+gains AS (SELECT k, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)
+  / ((s + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (k)),
+weights AS (SELECT r, sum(gain)::BIGINT AS weight FROM occurring JOIN buckets USING (w) JOIN gains USING (k) GROUP BY r),
+scored AS (SELECT r, doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000
+  * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+  / 4294967296))) AS BIGINT) AS score FROM docs LEFT JOIN weights USING (r)),
+places AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS n
+  FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN places USING (r)
+"""
+
+_TERMS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+)
+_DIVERGENCE = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERMS} AS terms
+  FROM documents),
+words AS (SELECT r, lang, source, unnest(terms) AS term FROM docs),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS all_n FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(all_n)::HUGEINT AS lang_total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT lang, source, coalesce(total, 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM docs)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL) USING (lang, source)),
+shares AS (SELECT lang, source, term, coalesce(n, 0) AS n, 1 + 1000000000 * (coalesce(n, 0) + 2) // (total + 2 * v) AS p,
+  1 + 1000000000 * (all_n + 2) // (lang_total + 2 * v) AS q
+  FROM groups JOIN kept USING (lang) JOIN langs USING (lang) LEFT JOIN counts USING (lang, source, term)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM shares WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM parts)
+WHERE part = 'pair' OR rank <= 10
+"""
+
 #: Checks in SQL, for the queries that SQL can express on whole tables.
 CHECKS: dict[str, str] = {
     "op1_decontaminate": _DECONTAMINATE,
     "op8_warc": _WARC,
     "op9_embeddings": _EMBEDDINGS,
+    "op11_resampling": _RESAMPLING,
+    "op12_divergence": _DIVERGENCE,
 }
