@@ -17,6 +17,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -24,61 +25,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k"
-#: Matches whose ids a task remembers, and the longest of them in characters.
+#: Matches whose ids a task remembers in each of two tables, and the longest of them in characters.
 REMEMBERED, LONGEST = 1 << 17, 48
 #: Characters of a text up to which its matches are listed at once.
 LISTED = 1 << 20
-#: Above every key of the tree; a key is a rank and, in its low bits, a position.
-_NONE = 1 << 96
-_SHIFT = 48
-_PLACE = (1 << _SHIFT) - 1
 
 
-def merge(piece: bytes, ranks: dict[bytes, int], longest: int | None = None) -> list[int]:
+def merge(piece: bytes, ranks: dict[bytes, int], longest: int | None = None, limit: int | None = None) -> list[int]:
     """Ids of one match: the pair of least rank, leftmost first, merges until none is left.
 
-    ``longest`` is the number of bytes of the longest entry of ``ranks``, found if not given.
+    ``longest`` is the number of bytes of the longest entry of ``ranks`` and ``limit`` a number above
+    all ranks; both are found if not given.
     A match that is an entry itself is one id.
     """
     if piece in ranks:
         return [ranks[piece]]
     longest = longest or max(map(len, ranks))
-    n = len(piece)
+    n, rank = len(piece), ranks.get
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    leaves = 1 << max(0, n - 1).bit_length()
-    tree = [_NONE] * (2 * leaves)
-
-    def key(i: int) -> int:
-        middle = after[i]
-        if middle >= n or after[middle] - i > longest:
-            return _NONE
-        rank = ranks.get(piece[i : after[middle]])
-        return _NONE if rank is None else rank << _SHIFT | i
-
-    def put(i: int, value: int) -> None:
-        node = leaves + i
-        tree[node] = value
-        while node > 1:
-            node >>= 1
-            left, right = tree[2 * node], tree[2 * node + 1]
-            least = left if left < right else right
-            if tree[node] == least:
-                return
-            tree[node] = least
-
-    tree[leaves : leaves + n] = map(key, range(n))
+    bits = max(0, n - 1).bit_length()
+    leaves = 1 << bits
+    # A key is a rank and, in its low bits, a position; ``none`` is above all of them.
+    above = max(ranks.values()) + 1 if limit is None else limit
+    none = above << bits
+    tree = [none] * (2 * leaves)
+    for i in range(n - 1):
+        tree[leaves + i] = rank(piece[i : i + 2], above) << bits | i
     for node in range(leaves - 1, 0, -1):
-        tree[node] = min(tree[2 * node], tree[2 * node + 1])
-    while tree[1] != _NONE:
-        i = tree[1] & _PLACE
+        left, right = tree[2 * node], tree[2 * node + 1]
+        tree[node] = left if left < right else right
+    while tree[1] < none:
+        i = tree[1] & (leaves - 1)
         gone = after[i]
-        after[i] = after[gone]
-        if after[i] < n:
-            before[after[i]] = i
-        put(gone, _NONE)
-        put(i, key(i))
-        if before[i] >= 0:
-            put(before[i], key(before[i]))
+        end = after[i] = after[gone]
+        if end < n:
+            before[end] = i
+        for place in (gone, i, before[i]):
+            if place < 0:
+                continue
+            middle = after[place]
+            end = n if place == gone or middle == n else after[middle]
+            fits = place != gone and middle < n and end - place <= longest
+            value = rank(piece[place:end], above) << bits | place if fits else none
+            node = leaves + place
+            tree[node] = value
+            node >>= 1
+            while node:
+                left, right = tree[2 * node], tree[2 * node + 1]
+                least = left if left < right else right
+                if tree[node] == least:
+                    break
+                tree[node] = least
+                node >>= 1
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : after[i]]])
@@ -117,17 +115,25 @@ def _ranges(characters: str) -> str:
 
 
 class Remembered(dict):
-    """The ids of matches, as bytes; those that are met again need no merging."""
+    """The ids of matches, as bytes; those that are met again need no merging.
+
+    When the table is full it becomes the older one, and what was older and has not been met
+    since is forgotten.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks, self.longest = ranks, max(map(len, ranks))
+        self.ranks, self.longest, self.limit = ranks, max(map(len, ranks)), max(ranks.values()) + 1
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = merge(piece.encode(), self.ranks, self.longest)
-        raw = b"".join([k.to_bytes(4, "little") for k in ids])
+        raw = self.older.get(piece)
+        if raw is None:
+            ids = merge(piece.encode(), self.ranks, self.longest, self.limit)
+            raw = b"".join([k.to_bytes(4, "little") for k in ids])
         if len(piece) <= LONGEST:
             if len(self) >= REMEMBERED:
+                self.older = self.copy()
                 self.clear()
             self[piece] = raw
         return raw
@@ -137,7 +143,7 @@ class Coder:
     """Encodes texts to the bytes of their ids (little-endian, 32 bits) and back."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.tokens = {k.to_bytes(4, "little"): token for token, k in ranks.items()}
+        self.tokens = {k: token for token, k in ranks.items()}
         self.pieces = regex.compile(pattern)
         self.ids = Remembered(ranks)
         newer = _ranges(_newer())
@@ -157,8 +163,7 @@ class Coder:
         return b"".join(map(self.ids.__getitem__, found))
 
     def decode(self, ids: bytes) -> bytes:
-        token = self.tokens
-        return b"".join(map(token.__getitem__, [ids[k : k + 4] for k in range(0, len(ids), 4)]))
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -217,21 +222,22 @@ def report(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", vocab
     The digests are those of the ids and of the bytes that the ids are decoded to; of nothing for
     a null or empty text. Null ids and repeated rows stay rows.
     """
-    coded = encode(docs, text=text, vocabulary=vocabulary, keep=[doc_id]).select(F.col(f"row.`{doc_id}`").alias("doc_id"), "ids")
+    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
+    # One pass does it all: each pass in a row has a Python worker, with a table of matches, of its own.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = coder(vocabulary)
         for batch in batches:
-            ids, raw = batch["ids"].to_pylist(), batch["decoded"].to_pylist()
+            rows = []
+            for value in batch["text"]:
+                ids = mine.encode(value.as_py())
+                raw = mine.decode(ids)
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest()))
+            n, coded, decoded = zip(*rows) if rows else ((), (), ())
             yield pa.record_batch(
-                [
-                    batch["doc_id"],
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()),
-                ],
+                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    decoded = decode(coded, vocabulary=vocabulary)
-    return decoded.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return slim.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
