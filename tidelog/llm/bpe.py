@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k"
 #: Matches whose ids a task remembers in each of two tables, and the longest of them in characters.
-REMEMBERED, LONGEST = 1 << 17, 48
+REMEMBERED, LONGEST = 1 << 18, 48
 #: Characters of a text up to which its matches are listed at once.
 LISTED = 1 << 20
 
