@@ -1,5 +1,7 @@
 """A stream over several files must give what the batch operator gives."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from tidelog.schema import EVENT_LOG, RAW_EVENTS
 from tidelog.session import work_dir
 from tidelog.sources import eventlog as el
 from tidelog.sources import tables as t
-from tidelog.streaming import jobs
+from tidelog.streaming import jobs, stateful
 from tidelog.streaming.tables import read_table
 
 
@@ -66,19 +68,103 @@ def test_ingest_splits_frames_and_reports_issues(spark):
     assert read_table(spark, f"{out}/frames", "event_id string").count() == 1
 
 
-@pytest.mark.parametrize("cells", [40, 1])
-def test_alerts_across_batches(spark, parts, small, cells):
+ALERT = "source {0}, ts_us long, event_id {1}, recent long, action string"
+FAILURE = "source string, ts_us long, event_id string, kind string"
+
+
+def alerts_of(spark, frame, kinds=("string", "string"), **options):
     out = work_dir(spark, "alerts")
+    alerts = stateful.failure_alerts(frame, **options)
+    stateful.start_stateful(alerts, f"{out}/alerts", f"{out}/checkpoint").awaitTermination()
+    return read_table(spark, f"{out}/alerts", ALERT.format(*kinds))
+
+
+def batches_of(spark, batches, schema=FAILURE):
+    """A stream of one file for each list of rows."""
+    path = work_dir(spark, "batches")
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def plain_alerts(rows, threshold=5, window_us=300_000_000):
+    """What a list of failures in any order must raise: one alert a row, by source, time and id."""
+    want = []
+    for source in {r[0] for r in rows if r[0] is not None}:
+        mine = sorted(((r[1], r[2]) for r in rows if r[0] == source), key=lambda e: (e[0], e[1] is not None, e[1] or ""))
+        for place, (at, ident) in enumerate(mine):
+            recent = place + 1 - sum(t <= at - window_us for t, _ in mine)
+            if recent >= threshold:
+                want.append((source, at, ident, recent, f"IP {source} temporarily blocked"))
+    return sorted(want, key=str)
+
+
+def test_alerts_across_batches(spark, parts, small):
     week = 7 * 86_400
-    run(t.as_security_log(stream(spark, parts)), jobs.alert_handler(out, window_s=week, parts=cells), out)
-    got = read_table(
-        spark, f"{out}/alerts", "source long, ts_us long, event_id long, recent long, action string"
-    )
+    got = alerts_of(spark, t.as_security_log(stream(spark, parts)), ("long", "long"), window_s=week)
     want = sec.auth_alerts(t.security_log(spark, small), window_s=week)
     assert rows(got) == rows(want.select(*got.columns))
     assert got.count() > 0
 
 
+def test_alerts_with_odd_events(spark):
+    """An event of the year 2096 in the first batch, null, repeated and negative times and ids."""
+    second = 1_000_000
+    failure = lambda s, at, ident: (s, at * second, ident, "AuthenticationFailure")
+    batches = [
+        [failure("a", k, f"e{k}") for k in range(3)] + [failure("a", 4_000_000_000, "future"), failure("b", -5, None)],
+        [failure("a", k, f"e{k}") for k in range(3, 6)] + [failure("b", k, None) for k in range(-4, 2)],
+        [failure("c", 7, "same")] * 3 + [failure("c", 8, None)] * 3 + [failure(None, 8, "x"), ("a", 9, "z", "AuthenticationSuccess")],
+        [failure("c", 300 + k, "same") for k in range(7)] + [failure("c", 8, "same")],
+    ]
+    got = alerts_of(spark, batches_of(spark, batches))
+    every = [r for batch in batches for r in batch if r[3] == "AuthenticationFailure"]
+    # Of batch three, the last event of "c" comes late and raises the count of what follows; what has
+    # raised its alert before keeps the count of then.
+    want = plain_alerts(every)
+    key = lambda r: (r[0], r[1], r[2])
+    assert sorted(map(key, rows_any(got)), key=str) == sorted(map(key, want), key=str)
+    assert [r for r in rows_any(got) if r[0] in "ab"] == [r for r in want if r[0] in "ab"]
+    assert {r.event_id for r in got.collect() if r.source == "a"} == {"e4", "e5"}
+
+
+def rows_any(frame):
+    return sorted((tuple(r) for r in frame.collect()), key=str)
+
+
+@pytest.mark.parametrize("kept_s, alerts", [(1, 0), (3600, 2)])
+def test_forgotten_state(spark, kept_s, alerts):
+    """A job that starts again goes on with its state, but for what came longer ago than state is kept."""
+    path, out = work_dir(spark, "batches"), work_dir(spark, "alerts")
+    failures = [("a", k * 1_000_000, f"e{k}", "AuthenticationFailure") for k in range(6)]
+    for batch in (failures[:4], failures[4:]):
+        spark.createDataFrame(batch, FAILURE).coalesce(1).write.mode("append").parquet(path)
+        frame = stateful.failure_alerts(spark.readStream.schema(FAILURE).parquet(path), kept_s=kept_s)
+        stateful.start_stateful(frame, f"{out}/alerts", f"{out}/checkpoint").awaitTermination()
+        time.sleep(3)
+    assert read_table(spark, f"{out}/alerts", ALERT.format("string", "string")).count() == alerts
+
+
+def test_stateful_settings_are_put_back(spark):
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    alerts_of(spark, batches_of(spark, [[("a", 1, "e", "AuthenticationFailure")]]))
+    assert spark.conf.get(name) == before
+
+
+def test_sequences_of_text_and_negative_ids(spark):
+    out = work_dir(spark, "sequence")
+    handler = jobs.sequence_handler(out)
+    cols = "source string, id long, arrival long, event_id string"
+    batches = [[(-9, "a"), (-8, None)], [(-5, "b"), (-6, "c")], [(-6, "d"), (-4, None), (0, "e")]]
+    for k, batch in enumerate(batches):
+        handler(spark.createDataFrame([("s", i, 10 * k + n, e) for n, (i, e) in enumerate(batch)], cols), k)
+    got = read_table(spark, f"{out}/issues", "id long, event_id string, prev_max long, issue string")
+    assert rows_any(got.select("id", "event_id", "prev_max", "issue")) == sorted(
+        [(-5, "b", -8, "gap"), (-6, "c", -5, "out_of_order"), (-6, "d", -5, "duplicate"), (0, "e", -4, "gap")], key=str
+    )
+
+
 def test_sequences_across_batches(spark, parts, small):
     out = work_dir(spark, "sequence")
     one_key = lambda f: f.withColumn("session", F.col("session") % 2)
@@ -138,22 +224,16 @@ def test_ingest_reports_repeated_ids_and_gaps(spark):
     jobs.ingest_handler(out)(spark.createDataFrame(data, loose), 0)
     assert [tuple(r) for r in read_table(spark, f"{out}/duplicates", "event_id string, copies long").collect()] == [("2", 2)]
     assert [r.event_id for r in read_table(spark, f"{out}/gaps", "event_id string, step long").collect()] == ["3"]
+    # Nothing to report, nothing written.
+    assert not el.folder_exists(spark, f"{out}/frames")
     # An event without a type is reported and kept.
     assert read_table(spark, f"{out}/events", EVENT_LOG).count() == 5
     assert [r.event_id for r in read_table(spark, f"{out}/issues", "event_id string").collect()] == ["4"]
 
 
 def test_late_failures_count_for_later_events(spark):
-    out = work_dir(spark, "late")
-    handle = jobs.alert_handler(out)
-    kind = "source string, ts_us long, event_id string, kind string"
-    rows = [("a", t * 1_000_000, f"e{t}", "AuthenticationFailure") for t in (10, 20, 30, 40, 290, 1000)]
-    batches = [[r for r in rows if r[2] in ("e10", "e20", "e30", "e290")], [rows[5]], [rows[3]], []]
-    for k, batch in enumerate(batches):
-        handle(spark.createDataFrame(batch, kind), k)
-    got = read_table(spark, f"{out}/alerts", "event_id string, recent long").collect()
-    want = sec.auth_alerts(spark.createDataFrame(rows, kind)).collect()
+    failures = [("a", t * 1_000_000, f"e{t}", "AuthenticationFailure") for t in (10, 20, 30, 40, 290, 1000)]
+    batches = [[r for r in failures if r[2] in ("e10", "e20", "e30", "e290")], [failures[5]], [failures[3]]]
+    got = alerts_of(spark, batches_of(spark, batches)).collect()
+    want = sec.auth_alerts(spark.createDataFrame(failures, FAILURE)).collect()
     assert [(r.event_id, r.recent) for r in got] == [(r.event_id, r.recent) for r in want] == [("e290", 5)]
-    # Only the last two states are kept.
-    kept = spark.read.parquet(f"{out}/state").select("after").distinct().collect()
-    assert {r.after for r in kept} <= {2, 3}

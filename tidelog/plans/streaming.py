@@ -6,19 +6,41 @@ from pyspark.sql import functions as F
 from tidelog.operators import search as so
 from tidelog.plans.base import CHECKS, query
 from tidelog.plans.search import _ARRIVALS, K
+from tidelog.plans.security import _LOG as _SECURITY
 from tidelog.plans.security import _alert_sql
 from tidelog.plans.storage import _COLS, _LOG
 from tidelog.schema import EVENT_LOG, RAW_EVENTS
 from tidelog.session import work_dir
 from tidelog.sources import tables as t
-from tidelog.streaming import jobs
+from tidelog.streaming import jobs, stateful
 from tidelog.streaming.tables import read_table
 
 DAY = 86_400
 
 
+#: Files of the stream, at least, and rows of each, about.
+FILES, FILE_ROWS = 4, 1_000_000
+
+
 def _raw(spark, root):
-    return jobs.file_stream(spark, root, RAW_EVENTS, pattern="events.parquet")
+    """The events as they arrive: several files, written one after the other, one a batch."""
+    path, raw = work_dir(spark, "arriving"), t.table(spark, root, "events")
+    first, last, n = raw.agg(F.min(t.arrival()), F.max(t.arrival()), F.count(F.lit(1))).first()
+    files = max(FILES, -(-n // FILE_ROWS))
+    width = ((last or 0) - (first or 0)) // files + 1
+    for k in range(files):
+        start = (first or 0) + k * width
+        part = raw.filter((t.arrival() >= start) & (t.arrival() < start + width))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return jobs.file_stream(spark, path, RAW_EVENTS, files_per_batch=1)
+
+
+# Ids as text, sorted as text; beside the events, failures without an id, and one dated far ahead.
+_ODD = (
+    "(SELECT CAST(event_id AS VARCHAR) AS event_id, source, ts_us FROM ({log}) WHERE kind = 'AuthenticationFailure' UNION ALL "
+    "SELECT NULL, source, ts_us FROM ({log}) WHERE kind = 'AuthenticationFailure' AND event_id % 5 = 0 UNION ALL "
+    "SELECT 'ahead', source, 4000000000000000 FROM ({log}) WHERE event_id = 10) o"
+).format(log=f"SELECT * FROM {_SECURITY}")
 
 
 def _run(stream, handler, out):
@@ -49,7 +71,8 @@ def stream_ledger(spark, root):
 @query("stream_alert", _alert_sql("AuthenticationFailure", 5, 6, True, "temporarily blocked"))
 def stream_alert(spark, root):
     out = work_dir(spark, "stream-alert")
-    _run(t.as_security_log(_raw(spark, root)), jobs.alert_handler(out, window_s=6 * DAY), out)
+    alerts = stateful.failure_alerts(t.as_security_log(_raw(spark, root)), window_s=6 * DAY)
+    stateful.start_stateful(alerts, f"{out}/alerts", f"{out}/checkpoint").awaitTermination()
     return read_table(
         spark,
         f"{out}/alerts",
@@ -57,20 +80,47 @@ def stream_alert(spark, root):
     )
 
 
+@query(
+    "stream_alert_odd",
+    f"WITH k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ts_us, event_id NULLS FIRST) AS place FROM {_ODD}), "
+    "c AS (SELECT a.source, a.ts_us, a.event_id, a.place - count(b.place) AS recent FROM k a LEFT JOIN k b ON a.source = b.source "
+    f"AND b.ts_us <= a.ts_us - {6 * DAY}000000 GROUP BY a.source, a.ts_us, a.event_id, a.place) "
+    "SELECT source, ts_us, event_id, recent FROM c WHERE recent >= 5",
+)
+def stream_alert_odd(spark, root):
+    """Alerts where ids are text, null and repeated, and one event lies decades ahead."""
+    out = work_dir(spark, "stream-alert")
+    log = t.as_security_log(_raw(spark, root)).withColumn("event_id", F.col("event_id").cast("string"))
+    is_failure = F.col("kind") == "AuthenticationFailure"
+    number = F.col("event_id").cast("long")
+    as_it_is = F.struct("event_id", "ts_us", "kind")
+    unnamed = F.struct(F.lit(None).cast("string").alias("event_id"), "ts_us", "kind")
+    ahead = F.struct(
+        F.lit("ahead").alias("event_id"), F.lit(4_000_000_000_000_000).alias("ts_us"), F.lit("AuthenticationFailure").alias("kind")
+    )
+    added = F.array(as_it_is, F.when(is_failure & (number % 5 == 0), unnamed), F.when(number == 10, ahead))
+    stream = log.select("source", F.inline(F.array_compact(added)))
+    alerts = stateful.failure_alerts(stream, window_s=6 * DAY)
+    stateful.start_stateful(alerts, f"{out}/alerts", f"{out}/checkpoint").awaitTermination()
+    return read_table(spark, f"{out}/alerts", "source long, ts_us long, event_id string, recent long")
+
+
 _ROUTES = [("storage", "click"), ("storage", "view"), ("alerts", "error"), ("metrics", "*")]
 
 
-@query("stream_route", CHECKS["route_events"])
+@query(
+    "stream_route",
+    "SELECT event_id, handler, event_type, user_id, value, props FROM (" + CHECKS["route_events"] + ") JOIN events USING (event_id)",
+)
 def stream_route(spark, root):
     out = work_dir(spark, "stream-route")
     names = ["storage", "alerts", "metrics"]
     handlers = {name: jobs.table_handler(f"{out}/{name}") for name in names}
-    stream = _raw(spark, root).select("event_id", "event_type")
-    _run(stream, jobs.route_handler(_ROUTES, handlers, "event_type"), out)
+    _run(_raw(spark, root), jobs.route_handler(_ROUTES, handlers, "event_type"), out)
     routed = None
     for name in names:
-        rows = read_table(spark, f"{out}/{name}", "event_id long")
-        rows = rows.select("event_id", F.lit(name).alias("handler"))
+        rows = read_table(spark, f"{out}/{name}", "event_id long, event_type string, user_id long, value double, props string")
+        rows = rows.withColumn("handler", F.lit(name))
         routed = rows if routed is None else routed.unionByName(rows)
     return routed
 

@@ -64,18 +64,26 @@ def write_event_log(
     # Reads one row at most, and comes first: an empty input must not empty the log.
     if log.isEmpty():
         raise ValueError("no events to write")
-    dated = log.withColumn("event_date", ns_to_date(F.col("timestamp_ns")))
-    writer = (
-        dated.hint("rebalance", "event_date")
-        .sortWithinPartitions("event_date", "timestamp_ns")
+    (
+        by_day(log)
         .write.mode("append" if mode == "append" else "overwrite")
         .option("partitionOverwriteMode", "dynamic" if mode == "days" else "static")
-        .option("compression", CODECS.get(codec.upper(), "snappy"))
-        .option("maxRecordsPerFile", ROWS_PER_FILE)
+        .options(**event_options(codec, bloom))
+        .partitionBy("event_date")
+        .parquet(path)
     )
-    for column in bloom:
-        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
-    writer.partitionBy("event_date").parquet(path)
+
+
+def by_day(log: DataFrame) -> DataFrame:
+    """Events with their day, dealt out and sorted as they are written."""
+    dated = log.withColumn("event_date", ns_to_date(F.col("timestamp_ns")))
+    return dated.hint("rebalance", "event_date").sortWithinPartitions("event_date", "timestamp_ns")
+
+
+def event_options(codec: str = "SNAPPY", bloom: list[str] = BLOOM_COLUMNS) -> dict[str, object]:
+    """Options of the writer: codec, bound on rows per file, bloom filters."""
+    filters = {f"parquet.bloom.filter.enabled#{column}": "true" for column in bloom}
+    return {"compression": CODECS.get(codec.upper(), "snappy"), "maxRecordsPerFile": ROWS_PER_FILE, **filters}
 
 
 def write_layout(log: DataFrame, path: str, strategy: str, codec: str = "SNAPPY", mode: str = "append") -> None:
@@ -103,6 +111,11 @@ def drop_folder(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder)
+
+
 def day_folders(spark: SparkSession, path: str) -> list[dt.date]:
     """The days that a log has folders for; no file is opened."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -125,6 +125,12 @@ def arrivals(spark: SparkSession, root: str) -> DataFrame:
     return as_arrivals(table(spark, root, "events"))
 
 
+def arrival() -> F.Column:
+    """Place of a raw event in the order of arrival."""
+    e = F.col("event_id")
+    return (e + F.when(e % 50 == 0, 7).otherwise(0)).cast("long")
+
+
 def as_arrivals(raw: DataFrame) -> DataFrame:
     """All events, renumbered and reordered so that a log check finds something.
 
@@ -135,7 +141,7 @@ def as_arrivals(raw: DataFrame) -> DataFrame:
     renumbered = e + floor_div(e, 97) - F.when(e % 101 == 0, 1).otherwise(0)
     return as_events(raw).select(
         renumbered.cast("long").alias("id"),
-        (e + F.when(e % 50 == 0, 7).otherwise(0)).cast("long").alias("arrival"),
+        arrival().alias("arrival"),
         "event_id",
         "ts_us",
         "event_type",

@@ -1,25 +1,26 @@
 """Streaming jobs. Each one is the batch operator applied to micro-batches.
 
-Where a result depends on earlier events (alerts, sequences), the little that
+Where a result depends on the order of all earlier events (sequences), the little that
 must be remembered is itself a table, joined in by key. So a source that sends
 a third of all events is split over tasks as in the batch operator, and no
-single stateful task owns it.
+single stateful task owns it. Alerts need only a window of time, and keep their
+state in Spark's state store (``stateful``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from tidelog.functions.times import ns_to_date
+from tidelog.functions.times import floor_div
 from tidelog.operators import quality as q
 from tidelog.operators import search as so
-from tidelog.operators import security as sec
 from tidelog.operators.behaviour import route_events
 from tidelog.sources import eventlog as el
 from tidelog.streaming.tables import read_state, write_batch, write_state
@@ -67,89 +68,63 @@ def start(
 def ingest_handler(root: str, temporal: bool = True) -> Handler:
     """Validate, split off frames, write events by day; issues and a ledger aside.
 
-    ``temporal`` also reports, of each batch, ids that occur more than once and steps
-    of over an hour between neighbours in time. A batch of files has no order of
-    arrival; a stream that numbers its rows uses ``sequence_handler`` for that.
+    Events are written as ``write_event_log`` writes them: sorted, compressed, with bloom filters
+    and a bound on rows per file. ``temporal`` also reports, of each batch, ids that occur
+    more than once and steps of over an hour between neighbours in time. A batch of files
+    has no order of arrival; a stream that numbers its rows uses ``sequence_handler`` for
+    that. Reports without rows are not written.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         checked = q.validate_events(batch).persist()
         try:
-            issues = checked.filter(~F.col("passed")).select("event_id", "errors")
-            write_batch(issues, f"{root}/issues", batch_id)
-            write_batch(el.frames(checked), f"{root}/frames", batch_id)
-            # Broken events are reported and kept.
-            events = el.without_frames(checked).drop("errors", "passed")
-            dated = events.withColumn("event_date", ns_to_date(F.col("timestamp_ns")))
-            write_batch(
-                dated.hint("rebalance", "event_date"), f"{root}/events", batch_id, ["event_date"]
-            )
             ledger = checked.agg(
                 F.count(F.lit(1)).alias("events"),
                 F.count_if(~F.col("passed")).alias("invalid"),
                 F.count_if(F.col("event_type") == "frame").alias("frames"),
                 F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("bytes"),
             )
-            write_batch(ledger, f"{root}/ledger", batch_id)
+            [found] = ledger.collect()
+            if found.invalid:
+                issues = checked.filter(~F.col("passed")).select("event_id", "errors")
+                write_batch(issues, f"{root}/issues", batch_id)
+            events = checked
+            if found.frames:
+                write_batch(el.frames(checked), f"{root}/frames", batch_id)
+                events = el.without_frames(checked)
+            # Broken events are reported and kept.
+            events = events.drop("errors", "passed")
+            write_batch(el.by_day(events), f"{root}/events", batch_id, ["event_date"], el.event_options())
             if temporal:
-                ids = events.groupBy("event_id").agg(F.count(F.lit(1)).alias("copies"))
-                write_batch(ids.filter(F.col("copies") > 1), f"{root}/duplicates", batch_id)
-                times = events.select("timestamp_ns", "event_id")
-                steps = q.large_gaps(times, "timestamp_ns", "event_id", "timestamp_ns", 1000 * q.LARGE_GAP_US)
-                write_batch(steps, f"{root}/gaps", batch_id)
+                copies = events.groupBy("event_id").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+                steps = _steps(events, 1000 * q.LARGE_GAP_US)
+                for name, report in (("duplicates", copies), ("gaps", steps)):
+                    rows = report.persist()
+                    if not rows.isEmpty():
+                        write_batch(rows, f"{root}/{name}", batch_id)
+                    rows.unpersist()
+            write_batch(spark.createDataFrame([found], ledger.schema), f"{root}/ledger", batch_id)
         finally:
             checked.unpersist()
 
     return handle
 
 
-# -- alerts --------------------------------------------------------------------------------
-
-
-#: How late a failure may arrive and still be counted; with the window, less than a day is remembered.
-ALERT_DELAY_S = 3_600
-
-
-def alert_handler(
-    root: str,
-    threshold: int = sec.AUTH_FAILURES,
-    window_s: int = sec.AUTH_WINDOW_S,
-    parts: int | None = None,
-    delay_s: int = ALERT_DELAY_S,
-) -> Handler:
-    """Failure alerts per source, also where failures arrive late.
+def _steps(events: DataFrame, limit_ns: int) -> DataFrame:
+    """Events over ``limit_ns`` after the one before them in time, with the step.
 
-    Remembered are the failures of the last window and allowed delay, and whether each
-    has raised its alert. Events are judged again with what arrives late, so that each
-    has the count it would have in order, if nothing is later than ``delay_s``. An event
-    raises one alert, with the count when it first did. Failures older than that
-    are forgotten.
+    A longer step lies between two spans of that length, so the first and last event of
+    each span are enough.
     """
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.filter(
-            (F.col("kind") == "AuthenticationFailure") & F.col("source").isNotNull()
-        ).select("source", "ts_us", "event_id", "kind")
-        state = f"{root}/state"
-        fresh = fresh.withColumn("told", F.lit(False))
-        known = read_state(spark, state, batch_id, fresh.schema)
-        rows = known.unionByName(fresh).persist()
-        try:
-            alerts = sec.auth_alerts(rows.drop("told"), threshold, window_s, parts)
-            alerts = alerts.join(rows.filter(~F.col("told")).select("event_id"), "event_id", "left_semi").persist()
-            write_batch(alerts, f"{root}/alerts", batch_id)
-            newest = rows.agg(F.max("ts_us")).first()[0]
-            oldest = (newest or 0) - (window_s + delay_s) * sec.SECOND_US
-            now = alerts.select("event_id", F.lit(True).alias("_now"))
-            left = rows.filter(F.col("ts_us") > oldest).join(now, "event_id", "left")
-            told = F.col("told") | F.coalesce("_now", F.lit(False))
-            write_state(left.withColumn("told", told).drop("_now"), state, batch_id)
-            alerts.unpersist()
-        finally:
-            rows.unpersist()
-
-    return handle
+    event = F.struct("timestamp_ns", "event_id")
+    spans = (
+        events.filter(F.col("timestamp_ns").isNotNull())
+        .groupBy(floor_div(F.col("timestamp_ns"), limit_ns).alias("span"))
+        .agg(F.min(event).alias("first"), F.max("timestamp_ns").alias("last"))
+    )
+    step = F.col("first.timestamp_ns") - F.lag("last").over(Window.orderBy("span"))
+    return spans.select("first.timestamp_ns", "first.event_id", step.alias("step")).filter(F.col("step") > limit_ns)
 
 
 # -- sequences ------------------------------------------------------------------------------
@@ -166,7 +141,8 @@ def sequence_handler(
 
     Remembered: the largest id per source, and the ids that were late once, as far as
     they are at most ``horizon`` below it. An older id that comes again counts as late.
-    Rows need ``key``, ``id``, ``arrival`` and ``event_id``.
+    Rows need ``key``, ``id`` (a number, of any sign), ``arrival`` and ``event_id`` (of any type,
+    also null).
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -178,11 +154,11 @@ def sequence_handler(
         late_before = read_state(spark, late_path, batch_id, source.schema)
         try:
             # The remembered maximum enters as a row that arrived before all others.
-            first = F.lit(-1).cast("long")
-            carried = top.select(key, "id", first.alias("arrival"), first.alias("event_id"))
-            issues = q.sequence_issues(
-                carried.unionByName(rows), "id", "arrival", "event_id", [key], parts
-            ).filter(F.col("event_id") >= 0)
+            first = F.lit(-(2**63)).cast("long")
+            none = F.lit(None).cast(rows.schema["event_id"].dataType)
+            carried = top.select(key, "id", first.alias("arrival"), none.alias("event_id"), F.lit(True).alias("_carried"))
+            both = carried.unionByName(rows.withColumn("_carried", F.lit(False)))
+            issues = q.sequence_issues(both, "id", "arrival", "event_id", [key], parts).filter(~F.col("_carried"))
             again = late_before.withColumn("_again", F.lit(True))
             issues = issues.join(again, [key, "id"], "left").withColumn(
                 "issue",
@@ -241,12 +217,14 @@ def dedup(stream: DataFrame, ident: str, time: str, delay: str) -> DataFrame:
     very many copies does not pile up in one task.
     """
 
-    def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.drop_duplicates(ident)
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch.column(ident).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            _, first = np.unique(codes, return_index=True)
+            yield batch.take(pa.array(np.sort(first)))
 
     return (
-        stream.mapInPandas(local, stream.schema)
+        stream.mapInArrow(local, stream.schema)
         .withWatermark(time, delay)
         .dropDuplicatesWithinWatermark([ident])
     )

@@ -15,10 +15,13 @@ from tidelog.sources.eventlog import drop_folder
 BATCH = "batch_id"
 
 
-def write_batch(rows: DataFrame, path: str, batch_id: int, by: list[str] | None = None) -> None:
+def write_batch(
+    rows: DataFrame, path: str, batch_id: int, by: list[str] | None = None, options: dict[str, object] | None = None
+) -> None:
     (
         rows.withColumn(BATCH, F.lit(batch_id))
         .write.mode("overwrite")
+        .options(**(options or {}))
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*(by or []), BATCH)
         .parquet(path)
