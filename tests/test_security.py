@@ -87,3 +87,15 @@ def test_retain_and_sessions(spark):
     active = s.active_sessions(rows, "source", "ts_us", 400 * S, 100)
     assert active.count() == 0
     assert s.security_counters(rows).first().data_access_events == 4
+
+
+def test_rows_of_equal_ids_all_count(spark):
+    failure = lambda at, ident: ("a", at * 1_000_000, ident, "AuthenticationFailure")
+    rows = [failure(1, "x"), failure(2, "same"), failure(3, "same"), failure(4, "same"), failure(5, None), failure(6, None), failure(7, "y")]
+    log = spark.createDataFrame(rows, "source string, ts_us long, event_id string, kind string")
+    assert sorted(r.recent for r in s.auth_alerts(log).collect()) == [5, 6, 7]
+    # Repeated at the same time, too.
+    log = spark.createDataFrame([failure(1, "same")] * 4 + [failure(1, None)] * 3, log.schema)
+    assert sorted(r.recent for r in s.auth_alerts(log).collect()) == [5, 6, 7]
+    limited = log.withColumn("kind", F.lit("RateLimitExceeded"))
+    assert sorted(r.recent for r in s.rate_alerts(limited, threshold=3).collect()) == [3, 4, 5, 6]

@@ -172,25 +172,27 @@ def trailing_count(
 ) -> DataFrame:
     """Rows of the same keys in ``(at - span, at]`` that do not come later.
 
-    The current row counts. The result has ``keys``, ``at``, ``seq`` and ``name``;
-    ``seq`` is unique and of any type that can be sorted. Each row is joined by a probe
+    The current row counts. The result has ``keys``, ``at``, ``seq`` and ``name``, a row for each
+    row; ``seq`` is of any type that can be sorted. Rows that are equal in all of these are
+    counted together and numbered afterwards, so none is lost. Each is joined by a probe
     at ``at - span`` that sorts after the rows of that instant; the two running counts
     differ by the rows inside the span.
     """
+    counts = frame.groupBy(*keys, at, seq).agg(F.count(F.lit(1)).alias("_n"))
     pair = F.array(
-        F.struct(F.col(at).alias("at"), F.lit(False).alias("probe")),
-        F.struct((F.col(at) - F.lit(span)).alias("at"), F.lit(True).alias("probe")),
+        F.struct(F.col(at).alias("place"), F.lit(False).alias("probe")),
+        F.struct((F.col(at) - F.lit(span)).alias("place"), F.lit(True).alias("probe")),
     )
-    doubled = frame.select(*keys, seq, F.inline(pair)).withColumnsRenamed({"at": "_at", "probe": "_probe"})
-    one = {"_cum": ("sum", (~F.col("_probe")).cast("long"))}
-    counted = running(doubled, keys, ["_at", "_probe", seq], one, parts=parts)
+    doubled = counts.select(*keys, at, seq, "_n", F.inline(pair)).withColumnsRenamed({"place": "_at", "probe": "_probe"})
+    rows = {"_cum": ("sum", F.when(F.col("_probe"), 0).otherwise(F.col("_n")))}
+    counted = running(doubled, keys, ["_at", "_probe", seq], rows, parts=parts)
     is_row = ~F.col("_probe")
-    return (
-        counted.groupBy(*keys, seq)
-        .agg(
-            F.max(F.when(is_row, F.col("_at"))).alias("_at"),
-            F.max(F.when(is_row, F.col("_cum"))).alias("_here"),
-            F.max(F.when(~is_row, F.col("_cum"))).alias("_then"),
-        )
-        .select(*keys, F.col("_at").alias(at), seq, (F.col("_here") - F.col("_then")).alias(name))
+    both = counted.groupBy(*keys, at, seq).agg(
+        F.max("_n").alias("_n"),
+        F.max(F.when(is_row, F.col("_cum"))).alias("_here"),
+        F.max(F.when(~is_row, F.col("_cum"))).alias("_then"),
+    )
+    number = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_number")
+    return both.select("*", number).select(
+        *keys, at, seq, (F.col("_here") - F.col("_then") - F.col("_n") + F.col("_number")).alias(name)
     )
