@@ -189,7 +189,7 @@ def test_written_layouts_hold_what_is_counted(spark, small):
 
 
 def test_encryption_loses_no_row(spark):
-    keys = spark.createDataFrame([("a", 1, bytearray(16)), ("a", 2, bytearray(b"k" * 16))], "kind string, key_id int, key binary")
+    keys = spark.createDataFrame([("a", 1, bytearray(16), 5), ("a", 2, bytearray(b"k" * 16), 6)], "kind string, key_id int, key binary, created long")
     rows = spark.createDataFrame([("a", "x"), ("b", "y"), (None, "z")], "kind string, payload string")
     sealed = st.encrypt_by_type(rows.filter("kind = 'a'"), keys, "payload", "kind")
     assert [tuple(r) for r in st.decrypt_by_type(sealed, keys, "payload", "kind").collect()] == [("a", "x")]
@@ -245,3 +245,33 @@ def test_release_removes_what_the_application_wrote(spark, tmp_path, monkeypatch
     assert table.count() == 5 and list(tmp_path.rglob("*.parquet"))
     session.release(spark)
     assert not list(tmp_path.rglob("*.parquet"))
+
+
+def test_second_backup_replaces_the_first(spark, log):
+    target = work_dir(spark, "backup")
+    for _ in range(2):
+        manifest = st.backup(spark, log, target, F.lit(True))
+        assert manifest.agg(F.sum("record_count")).first()[0] == log.count()
+    assert st.same_content(log, st.restore(spark, target)).first().equal
+
+
+def test_the_key_created_last_is_the_newest(spark):
+    made = [("a", "k9", bytearray(16), 1), ("a", "k10", bytearray(b"k" * 16), 2), ("a", "k1", bytearray(b"l" * 16), 2)]
+    keys = spark.createDataFrame(made, "kind string, key_id string, key binary, created long")
+    rows = spark.createDataFrame([("a", "x")], "kind string, payload string")
+    assert st.encrypt_by_type(rows, keys, "payload", "kind").first().key_id == "k10"
+
+
+def test_wipe_of_rows_without_time(spark):
+    loose = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in EVENT_LOG)
+    day = 86_400_000_000_000
+    rows = [(k * day if k else None, kind, None, None, "{}", "s", f"{k}{kind}") for k in range(3) for kind in ("x", "y")]
+    for wiped, left in ((["x"], ["0y", "1y", "2y"]), (["x", "y"], [])):
+        path = work_dir(spark, "wipe")
+        el.write_event_log(spark.createDataFrame(rows, loose), path)
+        gone = st.wipe(spark, path, F.col("event_type").isin(wiped) & (F.coalesce("timestamp_ns", F.lit(0)) < 3 * day))
+        assert gone == [dt.date(1970, 1, 2), dt.date(1970, 1, 3), None]
+        if left:
+            assert sorted(r.event_id for r in spark.read.parquet(path).collect()) == left
+        else:
+            assert not any(el.folder_exists(spark, f"{path}/event_date={d}") for d in ("1970-01-02", "1970-01-03", st.NO_DAY))

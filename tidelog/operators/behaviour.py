@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.operators.ordered import row_numbers, with_previous
@@ -52,10 +52,53 @@ MAX_EVENT_BYTES = 1024 * 100
 
 # Names by key code.
 KEY_NAMES = {
-    **dict(zip(range(0, 10), "A S D F H G Z X C V".split())),
-    **dict(zip(range(11, 36), "B Q W E R Y T 1 2 3 4 6 5 = 9 7 - 8 0 ] O U [ I P".split())),
+    0: "A",
+    1: "S",
+    2: "D",
+    3: "F",
+    4: "H",
+    5: "G",
+    6: "Z",
+    7: "X",
+    8: "C",
+    9: "V",
+    11: "B",
+    12: "Q",
+    13: "W",
+    14: "E",
+    15: "R",
+    16: "Y",
+    17: "T",
+    18: "1",
+    19: "2",
+    20: "3",
+    21: "4",
+    22: "6",
+    23: "5",
+    24: "=",
+    25: "9",
+    26: "7",
+    27: "-",
+    28: "8",
+    29: "0",
+    30: "]",
+    31: "O",
+    32: "U",
+    33: "[",
+    34: "I",
+    35: "P",
     36: "Return",
-    **dict(zip(range(37, 48), ["L", "J", "'", "K", ";", "\\", ",", "/", "N", "M", "."])),
+    37: "L",
+    38: "J",
+    39: "'",
+    40: "K",
+    41: ";",
+    42: "\\",
+    43: ",",
+    44: "/",
+    45: "N",
+    46: "M",
+    47: ".",
     48: "Tab",
     49: "Space",
     50: "`",
@@ -82,7 +125,14 @@ KEY_NAMES = {
     79: "F18",
     80: "F19",
     81: "Keypad =",
-    **{82 + n: f"Keypad {n}" for n in range(8)},
+    82: "Keypad 0",
+    83: "Keypad 1",
+    84: "Keypad 2",
+    85: "Keypad 3",
+    86: "Keypad 4",
+    87: "Keypad 5",
+    88: "Keypad 6",
+    89: "Keypad 7",
     90: "F20",
     91: "Keypad 8",
     92: "Keypad 9",
@@ -449,11 +499,9 @@ def route_events(rows: DataFrame, routes: list[tuple[str, str]], kind: str) -> D
     return rows.withColumn("handler", F.explode(handlers))
 
 
-def key_name(code: Column) -> Column:
-    """Name of a key code, from a constant map."""
-    names = F.create_map(*[F.lit(v) for pair in KEY_NAMES.items() for v in pair])
-    unknown = F.concat(F.lit("Unknown ("), code.cast("string"), F.lit(")"))
-    return F.coalesce(F.try_element_at(names, code.cast("int")), unknown)
+def key_names(spark: SparkSession) -> DataFrame:
+    """The names of key codes as a table, for ``with_names``."""
+    return spark.createDataFrame(list(KEY_NAMES.items()), "code long, key_name string")
 
 
 def with_names(

@@ -16,6 +16,7 @@ from tidelog.operators.ordered import (
     running,
     with_previous,
 )
+from tidelog.operators.screening import EMAIL
 from tidelog.session import materialize
 
 # Messages of the five event rules. A null breaks its rule like an empty value.
@@ -27,8 +28,7 @@ EVENT_RULES = [
     ("Event data is not valid JSON", lambda: ~pl.is_json(F.col("data"))),
 ]
 LARGE_GAP_US = 3_600_000_000
-# Patterns of the ready-made rules.
-EMAIL_PATTERN = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
+# Fixed value: pattern of the ready-made rule.
 URL_PATTERN = r"^https?://[^\s/$.?#].[^\s]*$"
 
 
@@ -71,6 +71,7 @@ class Rule:
     severity: str = "error"
 
 
+# The messages and names of the ready-made rules below.
 def required(field: str) -> Rule:
     message = f"Required field '{field}' is missing"
     return Rule(f"required_field_{field}", field, message, lambda v: v.kind.isNull(), field)
@@ -104,7 +105,7 @@ def _custom(name: str, holds: Callable[[Value], Column], path: str | None = None
 
 
 def email(field: str) -> Rule:
-    return pattern(field, EMAIL_PATTERN)
+    return pattern(field, EMAIL)
 
 
 def url(field: str) -> Rule:

@@ -19,6 +19,8 @@ from tidelog.sources.eventlog import (
 )
 
 RETENTION_DAYS = 60
+#: Spark's folder name for a null.
+NO_DAY = "__HIVE_DEFAULT_PARTITION__"
 BACKLOG_BYTES = 50 * 1024 * 1024
 
 
@@ -63,9 +65,10 @@ def backup(
 ) -> DataFrame:
     """Copy the chosen rows; the result is the manifest of the written files.
 
-    Each entry names its job and source; ``manifest_totals`` adds them up.
+    The target then holds this backup alone: what an earlier one left there is replaced. Each
+    entry names its job and source; ``manifest_totals`` adds them up.
     """
-    write_event_log(log.filter(chosen), target)
+    write_event_log(log.filter(chosen), target, mode="all")
     return file_catalog(spark, target).withColumns(
         {
             "backup_path": F.lit(target),
@@ -141,7 +144,7 @@ def wipe_plan(log: DataFrame, chosen: Column) -> DataFrame:
 
 
 def wipe(spark: SparkSession, path: str, chosen: Column) -> list[dt.date]:
-    """Delete the chosen rows of a log; the result is the days that changed.
+    """Delete the chosen rows of a log; the result is the days that changed, None for rows without a time.
 
     Only days that hold chosen rows are written again, from a copy of what is left of
     them, so a failure leaves each day as it was or as it should be.
@@ -151,15 +154,16 @@ def wipe(spark: SparkSession, path: str, chosen: Column) -> list[dt.date]:
     days = [r["_day"] for r in dated.filter(chosen).select("_day").distinct().collect()]
     if not days:
         return []
-    left = dated.filter(F.col("_day").isin(days) & ~chosen)
+    touched = F.col("_day").isin([day for day in days if day]) | (F.col("_day").isNull() & F.lit(None in days))
+    left = dated.filter(touched & ~chosen)
     left = materialize(left, "wipe")
     kept = {r["_day"] for r in left.select("_day").distinct().collect()}
     if kept:
         write_event_log(left.drop("_day"), path, mode="days")
     for day in days:
         if day not in kept:
-            drop_folder(spark, f"{path}/event_date={day.isoformat()}")
-    return sorted(days)
+            drop_folder(spark, f"{path}/event_date={day.isoformat() if day else NO_DAY}")
+    return sorted(days, key=lambda day: day or dt.date.max)
 
 
 def drop_expired(
@@ -332,9 +336,14 @@ def migrate(rows: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def encrypt_by_type(rows: DataFrame, keys: DataFrame, payload: str, kind: str) -> DataFrame:
-    """AES-GCM with the key of each row's type. ``keys`` (kind, key_id, key) is
-    configuration: one short row per type. A row whose type has no key fails the job."""
-    current = keys.groupBy("kind").agg(F.max_by(F.struct("key_id", "key"), "key_id").alias("_k"))
+    """AES-GCM with the newest key of each row's type.
+
+    ``keys`` (kind, key_id, key, created) is configuration: few short rows per type. The key that
+    was created last counts, whatever its name; of equally old ones that of the largest id.
+    A row whose type has no key fails the job.
+    """
+    newest = F.max_by(F.struct("key_id", "key"), F.struct("created", "key_id"))
+    current = keys.groupBy("kind").agg(newest.alias("_k"))
     joined = rows.join(current.withColumnRenamed("kind", "_kind"), F.col(kind).eqNullSafe(F.col("_kind")), "left")
     missing = F.raise_error(F.concat(F.lit("no key for type "), F.coalesce(F.col(kind), F.lit("null"))))
     key = F.when(F.col("_k").isNull(), missing.cast("binary")).otherwise(F.col("_k.key"))

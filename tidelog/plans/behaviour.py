@@ -294,8 +294,10 @@ _KEY_VALUES = ", ".join(
     f"AS code FROM events) LEFT JOIN (VALUES {_KEY_VALUES}) names(code2, name) ON code = code2 GROUP BY 1",
 )
 def dim_lookup(spark, root):
-    code = F.col("event_id") % 130
-    names = t.table(spark, root, "events").select(b.key_name(code).alias("key_name"))
+    keys = t.table(spark, root, "events").select((F.col("event_id") % 130).alias("code"))
+    names = b.with_names(keys, b.key_names(spark), "code", "key_name")
+    unknown = F.concat(F.lit("Unknown ("), F.col("code").cast("string"), F.lit(")"))
+    names = names.withColumn("key_name", F.coalesce("key_name", unknown))
     return names.groupBy("key_name").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -128,7 +128,7 @@ _CONTACT = "(SELECT page_id, url, 'user' || page_id || CASE WHEN page_id % 3 = 0
 @query(
     "ready_rules",
     "SELECT page_id, array_to_string(list_filter(["
-    f"CASE WHEN NOT regexp_matches(mail, '{q.EMAIL_PATTERN}') THEN 'pattern_mail' END, "
+    f"CASE WHEN NOT regexp_matches(mail, '{q.EMAIL}') THEN 'pattern_mail' END, "
     f"CASE WHEN NOT regexp_matches(url, '{q.URL_PATTERN}') THEN 'pattern_url' END, "
     "CASE WHEN trim(title) = '' THEN 'non_empty_string_title' END, "
     "CASE WHEN score <= 0 THEN 'positive_number_score' END, "

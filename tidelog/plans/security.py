@@ -98,7 +98,7 @@ def active_sessions(spark, root):
 
 
 def attempts(spark, root):
-    """Errors are wrong passwords, everything else a right one."""
+    """Signups are right passwords, everything else a wrong one."""
     return t.events(spark, root).select(
         F.col("user_id").alias("source"),
         "ts_us",

@@ -294,6 +294,22 @@ def backup_verify(spark, root):
     return count.crossJoin(st.same_content(log.filter(_chosen(log)), restored))
 
 
+@query(
+    "backup_twice",
+    f"SELECT count(*) AS restored, 0::BIGINT AS left_only, 0::BIGINT AS right_only, TRUE AS equal, CAST(count(*) AS BIGINT) AS listed "
+    f"FROM events WHERE {_IN_RANGE}",
+)
+def backup_twice(spark, root):
+    """A wider backup, then the usual one to the same target: only the second is there."""
+    log, target = t.event_log(spark, root), work_dir(spark, "backup")
+    st.backup(spark, log, target, st.selection(log, _RANGE[0]))
+    manifest = st.backup(spark, log, target, _chosen(log))
+    restored = st.restore(spark, target)
+    count = restored.agg(F.count(F.lit(1)).alias("restored"))
+    listed = manifest.agg(F.sum("record_count").alias("listed"))
+    return count.crossJoin(st.same_content(log.filter(_chosen(log)), restored)).crossJoin(listed)
+
+
 @query(
     "content_difference",
     f"SELECT event_id, event_type, 1::BIGINT AS surplus FROM events WHERE event_type = 'error' AND {K} < 20 "
@@ -358,6 +374,14 @@ def retention_split(spark, root):
     return split.withColumn("event_date", F.col("event_date").cast("string"))
 
 
+@query("retention_apply", f"SELECT {_COLS} FROM {_LOG} WHERE ts >= TIMESTAMP '2024-01-15'")
+def retention_apply(spark, root):
+    """The log after the folders of days older than the retention have been dropped."""
+    path = _written(spark, root)
+    st.drop_expired(spark, path, dt.datetime(2024, 3, 15, 12))
+    return el.scan_event_log(spark, path)
+
+
 @query(
     "backfill_day",
     "SELECT count(*) AS events, CAST(sum(strlen(props)) AS BIGINT) AS bytes, 1::BIGINT AS folders FROM events "
@@ -509,7 +533,7 @@ def migrate_v11(spark, root):
 
 
 _KEYS = [
-    (kind, version, bytes((7 * i + 13 * version + j) % 256 for j in range(32)))
+    (kind, version, bytes((7 * i + 13 * version + j) % 256 for j in range(32)), dt.datetime(2024, version, 1))
     for i, kind in enumerate(("click", "error", "purchase", "signup", "view"))
     for version in (1, 2)
 ]
@@ -517,7 +541,7 @@ _KEYS = [
 
 @query("encrypt_roundtrip", "SELECT event_id, 2::INTEGER AS key_id, props AS data FROM events")
 def encrypt_roundtrip(spark, root):
-    keys = spark.createDataFrame(_KEYS, "kind string, key_id int, key binary")
+    keys = spark.createDataFrame(_KEYS, "kind string, key_id int, key binary, created timestamp")
     first = keys.filter("key_id = 1")
     rows = t.table(spark, root, "events").select("event_id", "event_type", F.col("props").alias("data"))
     secret = st.encrypt_by_type(rows, first, "data", "event_type")
@@ -526,3 +550,15 @@ def encrypt_roundtrip(spark, root):
         rotated.withColumn("_id", F.col("key_id")), keys, "data", "event_type"
     )
     return clear.select("event_id", F.col("_id").alias("key_id"), "data")
+
+
+@query("rotate_named_keys", "SELECT event_id, 'k10' AS key_id, props AS data FROM events")
+def rotate_named_keys(spark, root):
+    """Keys with names: the one created last is the newest, though ``k9`` sorts after ``k10``."""
+    named = [(kind, f"k{8 + version}", key, created) for kind, version, key, created in _KEYS]
+    keys = spark.createDataFrame(named, "kind string, key_id string, key binary, created timestamp")
+    rows = t.table(spark, root, "events").select("event_id", "event_type", F.col("props").alias("data"))
+    secret = st.encrypt_by_type(rows, keys.filter("key_id = 'k9'"), "data", "event_type")
+    rotated = st.rotate_keys(secret, keys, "data", "event_type").withColumn("_id", F.col("key_id"))
+    clear = st.decrypt_by_type(rotated, keys, "data", "event_type")
+    return clear.select("event_id", F.col("_id").alias("key_id"), "data")

@@ -1,4 +1,4 @@
-"""Schemas of the event log and of the JSON payloads it carries."""
+"""Schemas of the event log."""
 
 from __future__ import annotations
 
@@ -18,27 +18,6 @@ EVENT_LOG = T.StructType(
 )
 EVENT_COLUMNS = EVENT_LOG.fieldNames()
 
-# The registered table versions used by the migration operator.
-VERSION_COLUMNS = {
-    "1.0.0": [
-        "timestamp_ns",
-        "event_type",
-        "app_bundle_id",
-        "window_title",
-        "key_sequence",
-        "frame_path",
-    ],
-    "1.1.0": [
-        "timestamp_ns",
-        "event_type",
-        "app_bundle_id",
-        "window_title",
-        "key_sequence",
-        "frame_path",
-        "metadata",
-    ],
-}
-
 # The given ``events`` table, used by streams (which need a schema up front).
 RAW_EVENTS = T.StructType(
     [
@@ -50,29 +29,3 @@ RAW_EVENTS = T.StructType(
         T.StructField("props", T.StringType()),
     ]
 )
-
-CATALOG = (
-    "path string, size long, created_at long, format string, checksum string, record_count long"
-)
-
-# JSON payload per event type, for ``from_json`` over the ``data`` column.
-PAYLOADS = {
-    "keytap": "key string, modifiers array<string>, application string, window_id int, "
-    "key_code int, press_duration_ms int",
-    "mouse": "event_type string, button string, x int, y int, delta_x int, delta_y int, "
-    "click_count int, pressure double",
-    "window": "event string, application string, window_id int, title string, "
-    "bounds struct<x:int,y:int,width:int,height:int>, pid int",
-    "clipboard": "content_type string, size_bytes long, content_hash string, "
-    "source_app string, sample_content string",
-    "filesystem": "operation string, path string, size_bytes long, permissions string, "
-    "file_type string, inode long",
-    "network": "protocol string, local_address string, local_port int, remote_address string, "
-    "remote_port int, bytes_sent long, bytes_received long, connection_state string, "
-    "process_id int",
-    "audio": "device string, sample_rate int, channels int, bit_depth int, duration_ms int, "
-    "volume_level double, is_input boolean, format string",
-    "screen": "screenshot_hash string, screen_size struct<width:int,height:int>, "
-    "active_window string, cursor_position struct<x:int,y:int>, compression_ratio double, "
-    "file_size_bytes long",
-}
