@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import text as tx
 from tidelog.functions.times import in_range, search_range, service_range
 from tidelog.operators import search as so
+from tidelog.operators import wordindex as wi
 from tidelog.plans.base import query
 from tidelog.session import work_dir
 from tidelog.sources import tables as t
@@ -67,19 +68,74 @@ _DISTANCE = (
 )
 
 
-@query(
-    "search_fuzzy",
-    _hits(
-        "len(list_filter(w, lambda t: strlen(t) > 3 AND "
-        + _DISTANCE.format(word="thesea")
-        + " <= 2)) > 0"
-    ),
+_FUZZY = _hits(
+    "len(list_filter(w, lambda t: strlen(t) > 3 AND " + _DISTANCE.format(word="thesea") + " <= 2)) > 0"
 )
-def search_fuzzy(spark, root):
+
+
+@query("search_fuzzy_scan", _FUZZY)
+def search_fuzzy_scan(spark, root):
     docs = t.table(spark, root, "documents")
     return docs.filter(so.text_predicate(F.col("text"), "thesea", "fuzzy")).select("doc_id")
 
 
+# -- searches on the written index ----------------------------------------------------------------
+
+_INDEXES: dict[tuple[str, str], wi.WordIndex] = {}
+
+
+def index_of(spark, root) -> wi.WordIndex:
+    """The index of the given documents, written once per application, as a service would keep it."""
+    key = (spark.sparkContext.applicationId, root)
+    if key not in _INDEXES:
+        docs, path = t.documents(spark, root), work_dir(spark, "search-index")
+        _INDEXES[key] = wi.write_word_index(docs, path, "doc_id", "text", F.col("tags"), F.col("day"))
+    return _INDEXES[key]
+
+
+@query("search_fuzzy", _FUZZY)
+def search_fuzzy(spark, root):
+    return wi.search_near_one(index_of(spark, root), "thesea")
+
+
+# A hundred misspelt words: every seventh distinct word of the items, cut and changed.
+_MISSPELT = (
+    "(SELECT DISTINCT substr(w, 1, 2) || 'x' || substr(w, 4) AS query FROM (SELECT w, row_number() OVER (ORDER BY w) AS n FROM "
+    "(SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE length(w) = strlen(w) AND length(w) > 5) "
+    "WHERE n % 7 = 0 AND n <= 700)"
+)
+
+
+@query(
+    "search_fuzzy_many",
+    f"WITH q AS {_MISSPELT}, v AS (SELECT DISTINCT unnest({WORDS}) AS t, doc_id FROM documents), "
+    "near AS (SELECT query, t FROM q JOIN (SELECT DISTINCT t FROM v) ON strlen(t) > 3 AND abs(strlen(t) - strlen(query)) <= 2 AND "
+    + _DISTANCE.replace("'{word}'", "query")
+    + " <= 2) SELECT DISTINCT query, doc_id FROM near JOIN v USING (t)",
+)
+def search_fuzzy_many(spark, root):
+    items = t.table(spark, root, "benchmark")
+    words = items.select(F.explode(F.split("text", " ")).alias("w")).distinct()
+    words = words.filter((F.octet_length("w") == F.char_length("w")) & (F.char_length("w") > 5))
+    numbered = so.row_numbers(words, [], "w", "w", "n").filter("n % 7 = 0 and n <= 700")
+    asked = numbered.select(F.concat(F.substring("w", 1, 2), F.lit("x"), F.expr("substring(w, 4)")).alias("query"))
+    return wi.search_near(index_of(spark, root), asked).select("query", "doc_id")
+
+
+@query("search_wildcard_index", _hits("len(list_filter(w, lambda t: contains(t, 'tion'))) > 0"))
+def search_wildcard_index(spark, root):
+    return wi.search_part(index_of(spark, root), "TION").select("doc_id")
+
+
+@query(
+    "search_regex_index",
+    "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)[a-z]+tion (of|the)[ ,.]')",
+)
+def search_regex_index(spark, root):
+    docs = t.table(spark, root, "documents")
+    return wi.search_pattern(index_of(spark, root), docs, "text", "(?i)[a-z]+tion (of|the)[ ,.]", ["tion"]).select("doc_id")
+
+
 @query(
     "search_complex",
     _hits("list_contains(w, 'the')").replace(
@@ -98,8 +154,8 @@ def search_complex(spark, root):
     "BETWEEN DATE '2024-03-05' AND DATE '2024-04-01'",
 )
 def search_days(spark, root):
-    days = F.col("day").between(F.lit("2024-03-05").cast("date"), F.lit("2024-04-01").cast("date"))
-    return t.documents(spark, root).filter(days).select("doc_id")
+    index = index_of(spark, root)
+    return wi.documents(index, wi.between(index, wi.DAY, "2024-03-05", "2024-04-01"))
 
 
 @query(
@@ -296,9 +352,8 @@ def search_index_join(spark, root):
     "WHERE token IN ('der', 'que')",
 )
 def union_ids(spark, root):
-    posted = so.postings(t.table(spark, root, "documents"), "doc_id", "text")
-    hits = [posted.filter(F.col("token") == w).select("doc_id") for w in ("der", "que")]
-    return hits[0].union(hits[1]).distinct()
+    index = index_of(spark, root)
+    return wi.documents(index, wi.any_of(index, wi.WORD, ["der", "que"]))
 
 
 @query(
@@ -307,10 +362,9 @@ def union_ids(spark, root):
     "WHERE token = 'the' INTERSECT SELECT doc_id FROM documents WHERE lang IN ('en', 'fr')",
 )
 def intersect_ids(spark, root):
-    docs = t.documents(spark, root)
-    hits = so.postings(docs, "doc_id", "text").filter(F.col("token") == "the").select("doc_id")
-    tagged = docs.filter(F.arrays_overlap("tags", F.array(F.lit("en"), F.lit("fr"))))
-    return hits.intersect(tagged.select("doc_id"))
+    index = index_of(spark, root)
+    both = wi.all_of([wi.any_of(index, wi.WORD, ["the"]), wi.any_of(index, wi.TAG, ["en", "fr"])])
+    return wi.documents(index, both)
 
 
 @query(
