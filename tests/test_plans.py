@@ -5,9 +5,8 @@ import pytest
 import __spark_entry__ as entry
 from tidelog.plans import CHECKS, QUERIES
 
-# Python runs where Spark has no expression for the work: the lockout state machine,
-# JSON of any depth, Arrow files, Parquet footers.
-PYTHON = {"lockout", "screen_json", "export_arrow", "validate_export", "schema_check", "rowgroup_check"}
+# Python runs where Spark has no expression for the work: JSON of any depth, Arrow files, Parquet footers.
+PYTHON = {"screen_json", "export_arrow", "validate_export", "schema_check", "rowgroup_check"}
 # Queries whose plans are made by jobs that write first.
 WRITERS = {n for n in QUERIES if n.startswith(("stream_", "export_", "backup_"))}
 

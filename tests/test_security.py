@@ -99,3 +99,13 @@ def test_rows_of_equal_ids_all_count(spark):
     assert sorted(r.recent for r in s.auth_alerts(log).collect()) == [5, 6, 7]
     limited = log.withColumn("kind", F.lit("RateLimitExceeded"))
     assert sorted(r.recent for r in s.rate_alerts(limited, threshold=3).collect()) == [3, 4, 5, 6]
+
+
+def test_lockout_of_odd_rows(spark):
+    second = 1_000_000
+    rows = [("a", k * second, f"e{k}", None if k % 2 else False) for k in range(6)] + [(None, 1, "x", True)]
+    rows += [("a", 6 * second, "e6", True), ("a", 2000 * second, "e7", True), ("b", 1, None, True)]
+    frame = spark.createDataFrame(rows, "source string, ts_us long, event_id string, success boolean")
+    got = {(r.source, r.event_id): r.refused for r in s.lockout(frame).collect()}
+    assert len(got) == 9 and {i for (_, i), refused in got.items() if refused} == {"e5", "e6"}
+    assert s.lockout(frame.limit(0)).count() == 0

@@ -129,7 +129,12 @@ def running(
     parts: int | None = None,
 ) -> DataFrame:
     """Add running sums or maxima: ``{"name": ("sum" | "max", column)}``."""
-    split = split_groups(frame, keys, order, parts)
+    return running_over(split_groups(frame, keys, order, parts), measures, include_current)
+
+
+def running_over(split: Split, measures: dict[str, tuple[str, Column]], include_current: bool = True) -> DataFrame:
+    """``running`` on rows that are cut already, without copies; so one cut serves several operators."""
+    keys = split.keys
     here = split.rows(Window.unboundedPreceding, Window.currentRow if include_current else -1)
     out = split.frame.withColumns(
         {name: _AGGREGATE[kind](col).over(here) for name, (kind, col) in measures.items()}

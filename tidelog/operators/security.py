@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.operators.ordered import (
-    CELL,
-    COPY,
-    trailing_count,
-    with_previous,
-)
+from tidelog.operators.ordered import COPY, Split, running_over, trailing_count, with_previous
+from tidelog.session import materialize
 
 SECOND_US = 1_000_000
 # Thresholds and windows of the alerts.
@@ -127,97 +120,37 @@ def active_sessions(rows: DataFrame, session: str, ts_us: str, as_of_us: int, ti
 # -- lockout -----------------------------------------------------------------------------
 #
 # A refused attempt is itself a failure and an admitted success clears the history,
-# so the outcome depends on earlier outcomes. All that is carried from attempt to
-# attempt is the number of attempts since the last clearing, capped at the limit:
-# an attempt is refused when that number is full and the attempt ``limit`` places
-# before it lies inside the window. With six possible states, what a cell of
-# attempts does to the state is a table of six entries; a hot source is run cell
-# by cell in parallel, its tables are chained, and each cell is run again from its
-# true first state.
-
-_FULL = LOCKOUT_FAILURES
-
-
-def _next_state(state: int, success: bool, dense: bool) -> int:
-    if state == _FULL and dense:
-        return _FULL
-    return 0 if success else min(state + 1, _FULL)
-
-
-def _cell_tables(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(source, cell) -> last state for each first state. Rows come sorted."""
-    key, states = None, list(range(_FULL + 1))
-    for frame in frames:
-        done = []
-        for source, cell, success, dense in zip(
-            frame["source"], frame["cell"], frame["success"], frame["dense"]
-        ):
-            if (source, cell) != key:
-                if key is not None:
-                    done.append((*key, states))
-                key, states = (source, cell), list(range(_FULL + 1))
-            states = [_next_state(s, success, dense) for s in states]
-        yield pd.DataFrame(done, columns=["source", "cell", "states"])
-    if key is not None:
-        yield pd.DataFrame([(*key, states)], columns=["source", "cell", "states"])
-
-
-def _first_states(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Chain the tables of one source in the order of its cells."""
-    source, state = None, 0
-    for frame in frames:
-        first = []
-        for this, states in zip(frame["source"], frame["states"]):
-            if this != source:
-                source, state = this, 0
-            first.append(state)
-            state = int(states[state])
-        yield frame[["source", "cell"]].assign(first=first)
-
-
-def _outcomes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Refused or not, per attempt, starting each (source, cell) in its first state."""
-    key, state = None, 0
-    for frame in frames:
-        refused = []
-        for source, cell, first, success, dense in zip(
-            frame["source"], frame["cell"], frame["first"], frame["success"], frame["dense"]
-        ):
-            if (source, cell) != key:
-                key, state = (source, cell), int(first)
-            refused.append(bool(state == _FULL and dense))
-            state = _next_state(state, success, dense)
-        yield frame[["source", "ts_us", "event_id", "success"]].assign(refused=refused)
+# so the outcome depends on earlier outcomes. But two facts about earlier attempts decide it.
+# An attempt is *dense* if the one ``limit`` places before it lies inside the window.
+# After ``limit`` failures in a row the history is full, and it stays full until a success
+# that is not dense: a failure adds to it, a dense success is refused and so is a failure too.
+# So an attempt is refused if it is dense and, among those before it, the last end of
+# ``limit`` failures in a row comes after the last success that was not dense. Both are
+# running maxima, which a hot source shares among as many tasks as it has ranges.
 
 
 def lockout(
-    attempts: DataFrame, window_s: int = LOCKOUT_WINDOW_S, parts: int | None = None
+    attempts: DataFrame, window_s: int = LOCKOUT_WINDOW_S, parts: int | None = None, limit: int = LOCKOUT_FAILURES
 ) -> DataFrame:
-    """Attempts (source, ts_us, event_id, success) with ``refused``. Ids are of any type."""
-    rows = attempts.select("source", "ts_us", "event_id", "success").filter(
-        F.col("source").isNotNull()
-    )
-    source_type = rows.schema["source"].dataType.simpleString()
-    id_type = rows.schema["event_id"].dataType.simpleString()
-    split = with_previous(rows, ["source"], "ts_us", "event_id", _FULL, parts)
-    before = F.col("ts_us") - F.lag("ts_us", _FULL).over(split.window)
+    """Attempts (source, ts_us, event_id, success) with ``refused``.
+
+    Ids are of any type that sorts, and unique within a source and time. A null success
+    counts as a failure; rows without a source are left out.
+    """
+    rows = attempts.select("source", "ts_us", "event_id", "success").filter(F.col("source").isNotNull())
+    split = with_previous(rows, ["source"], "ts_us", "event_id", limit, parts)
+    before = F.col("ts_us") - F.lag("ts_us", limit).over(split.window)
     dense = F.coalesce(before < window_s * SECOND_US, F.lit(False))
-    marked = split.frame.withColumn("dense", dense).filter(~F.col(COPY)).drop(COPY)
-    marked = marked.withColumnRenamed(CELL, "cell")
-    order = ["source", "cell", "ts_us", "event_id"]
-    tables = (
-        marked.repartition("source", "cell")
-        .sortWithinPartitions(*order)
-        .mapInPandas(_cell_tables, f"source {source_type}, cell int, states array<int>")
-    )
-    # One row per source and cell: a huge source has as many rows as it has cells.
-    firsts = (
-        tables.repartition("source")
-        .sortWithinPartitions("source", "cell")
-        .mapInPandas(_first_states, f"source {source_type}, cell int, first int")
-    )
-    placed = marked.join(firsts, ["source", "cell"]).repartition("source", "cell")
-    return placed.sortWithinPartitions(*order).mapInPandas(
-        _outcomes,
-        f"source {source_type}, ts_us long, event_id {id_type}, success boolean, refused boolean",
-    )
+    success = F.coalesce("success", F.lit(False))
+    failures = F.sum((~success).cast("int")).over(split.rows(1 - limit, 0))
+    place = F.struct("ts_us", "event_id")
+    marked = split.frame.withColumns({"_dense": dense, "_failures": failures}).filter(~F.col(COPY)).drop(COPY)
+    # Written, as the edges of its ranges are looked at, too.
+    marked = materialize(marked, "attempts")
+    facts = {
+        "_full": ("max", F.when(F.col("_failures") == limit, place)),
+        "_cleared": ("max", F.when(success & ~F.col("_dense"), place)),
+    }
+    known = running_over(Split(marked, split.keys, split.order), facts, include_current=False)
+    still = F.col("_full").isNotNull() & (F.col("_cleared").isNull() | (F.col("_full") > F.col("_cleared")))
+    return known.select("source", "ts_us", "event_id", "success", (F.col("_dense") & still).alias("refused"))

@@ -109,14 +109,14 @@ def attempts(spark, root):
 
 @query(
     "lockout",
-    "WITH RECURSIVE a AS (SELECT user_id AS source, epoch_us(ts) AS ts_us, event_id, event_type = 'signup' "
-    "AS success, row_number() OVER w AS rn, coalesce(epoch_us(ts) - lag(epoch_us(ts), 5) OVER w < "
-    f"{DAY}000000, FALSE) AS dense FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), "
-    "walk AS (SELECT source, rn, event_id, ts_us, success, FALSE AS refused, CASE WHEN success THEN 0 ELSE 1 "
-    "END AS n FROM a WHERE rn = 1 UNION ALL SELECT a.source, a.rn, a.event_id, a.ts_us, a.success, "
-    "w.n = 5 AND a.dense, CASE WHEN w.n = 5 AND a.dense THEN 5 WHEN a.success THEN 0 ELSE least(w.n + 1, 5) "
-    "END FROM walk w JOIN a ON a.source = w.source AND a.rn = w.rn + 1) "
-    "SELECT source, ts_us, event_id, success, refused FROM walk",
+    "WITH RECURSIVE a AS (SELECT user_id AS source, epoch_us(ts) AS ts_us, event_id, event_type = 'signup' AS success, "
+    "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), "
+    # Times of the failures since the last clearing that still lie inside the window, counted at each attempt.
+    "seen AS (SELECT *, FALSE AS refused, CASE WHEN success THEN [] ELSE [ts_us] END AS past FROM a WHERE rn = 1 UNION ALL "
+    "SELECT source, ts_us, event_id, success, rn, len(past) >= 5, CASE WHEN len(past) >= 5 OR NOT success THEN list_append(past, ts_us) "
+    f"ELSE [] END FROM (SELECT a.*, list_filter(s.past, lambda f: a.ts_us - f < {DAY}000000) AS past FROM seen s JOIN a "
+    "ON a.source = s.source AND a.rn = s.rn + 1)) "
+    "SELECT source, ts_us, event_id, success, refused FROM seen",
 )
 def lockout(spark, root):
     return s.lockout(attempts(spark, root), window_s=DAY)
