@@ -161,3 +161,21 @@ def test_all_documents_are_trained_on(spark):
 def test_held_out_gain(spark):
     rows = [r for r in lm.scores(read(spark, "/root/testdata/sf0.01", "documents")).collect() if r.held_out]
     assert len(rows) > 50 and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_partitions_do_not_matter(spark):
+    docs = read(spark, "/root/testdata/sf0.001", "documents")
+    told = [{r.doc_id: r.score for r in lm.scores(docs.repartition(n)).collect()} for n in (1, 6, 32)]
+    assert all(len(t) == 200 for t in told)
+    for other in told[1:]:
+        assert all(math.isclose(other[k], told[0][k], rel_tol=1e-6) for k in told[0])
+
+
+def test_cells_are_trained_alone(spark, monkeypatch):
+    """Several copies are made and averaged; all documents are in one of them."""
+    monkeypatch.setattr(lm, "CELL_WORDS", 300)
+    docs = [(k, False, np.array([k] * 100 + [65], np.uint16).tobytes()) for k in range(64)]
+    vocab = lm.Vocabulary([*((b"%02d" % k, 100) for k in range(64)), (b"", 64)], 6464, 65)
+    rows = spark.createDataFrame([(k, h, bytearray(b)) for k, h, b in docs], "uid long, held_out boolean, ids binary")
+    found = [lm.fit(rows.repartition(n), vocab).flat() for n in (1, 5)]
+    assert np.array_equal(*found)

@@ -18,7 +18,6 @@ from tidelog.llm.vocabulary import encoder
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -27,7 +26,15 @@ TEXTS = ["", None, "a", " two  blanks \n\n\tand more ", "日本語 のテキス
 
 def test_encoder(plain):
     for text in [*TEXTS, "word " * 5000, "x" * 20_000, "".join(map(chr, range(1, 0x400)))]:
-        assert encoder().encode(text, 1).tolist() == plain(text)
+        assert encoder(ordinary=False).encode(text, 1).tolist() == plain(text)
+    assert encoder(ordinary=False).encode("<|endoftext|> x", 1).tolist() == [50256, 2124, 1]
+
+
+def test_special_tokens_can_be_ordinary_text():
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    for text in TEXTS:
+        assert encoder().encode(text, 1).tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def check(rows, docs, plain, length=packing.LENGTH):

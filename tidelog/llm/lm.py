@@ -2,17 +2,18 @@
 
 Words of all training documents are counted. The most frequent are words of the
 network; all others are one class, in which a word has its smoothed frequency, so that
-every text has a probability. The network is trained in rounds: every task trains a
-copy on its part of the round's documents, and the copies are averaged by words. The
-documents of a round are one of ``ROUNDS`` slices by hash, so all training documents
-are trained on, each once; the counts are those of all of them as well.
+every text has a probability. The training documents are dealt by hash into *cells* of about
+``CELL_WORDS`` words. The network is trained in rounds: each cell of a round trains a copy,
+and the copies are averaged by words. All training documents are trained on, each once; the
+counts are those of all of them as well. Cells and the order inside them follow from the
+documents alone, so the result is the same however the input is partitioned.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ NETWORK_WORDS, COMMON_WORDS = 2_048, 1 << 16
 #: Longer words are dealt with like rare ones, so the held words are bounded in bytes.
 COMMON_BYTES = 64
 ROUNDS = 4
+#: Words, about, that one copy of the network learns from before it is averaged.
+CELL_WORDS = 4 << 20
 #: Words that a task holds at once, to count or to train on.
 HELD_WORDS, HELD_KINDS = 4 << 20, 1 << 19
 #: Parameters in a row when copies are averaged.
@@ -181,8 +184,16 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.n
 
 
 def fit(rows: DataFrame, vocab: Vocabulary) -> gru.Model:
-    """Trains the network in rounds on the encoded documents that are not held out, one pass over all."""
+    """Trains the network in rounds on the encoded documents that are not held out, one pass over all.
+
+    A cell is dealt to one task and read there in the order of its hashes, ``HELD_WORDS`` words at a time.
+    """
     spark = rows.sparkSession
+    cells = ROUNDS * max(1, round(vocab.total / CELL_WORDS / ROUNDS))
+    ident = "doc_id" if "doc_id" in rows.columns else "uid"
+    deal = F.xxhash64(F.lit(7), F.col(ident).cast("string"), "ids")
+    dealt = rows.filter(~F.col("held_out")).select("ids", deal.alias("deal"))
+    dealt = dealt.withColumn("cell", F.pmod("deal", F.lit(cells)).cast("int"))
     model = gru.start(vocab.counts)
     end = vocab.end
 
@@ -190,42 +201,57 @@ def fit(rows: DataFrame, vocab: Vocabulary) -> gru.Model:
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, count = shared.value.load(shared.value.flat()), 0
-            for _, docs in _groups(batches):
-                count += gru.train(own, docs, end)[1]
-            if not count:
-                return
-            flat = own.flat().astype(np.float32)
-            chunks = [flat[k : k + CHUNK].tobytes() for k in range(0, len(flat), CHUNK)]
-            yield pa.record_batch(
-                [pa.array(range(len(chunks)), pa.int32()), pa.array([count] * len(chunks)), pa.array(chunks, pa.binary())],
-                names=["chunk", "words", "values"],
-            )
+            for cell, groups in groupby(_cells(batches), key=lambda g: g[0]):
+                own, count = shared.value.load(shared.value.flat()), 0
+                for _, docs in groups:
+                    count += gru.train(own, docs, end)[1]
+                flat = own.flat().astype(np.float32)
+                chunks = [flat[k : k + CHUNK].tobytes() for k in range(0, len(flat), CHUNK)]
+                one = [[cell] * len(chunks), range(len(chunks)), [count] * len(chunks), chunks]
+                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(one, kinds)], names=["cell", "chunk", "words", "values"])
 
         def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
             weights: Counter = Counter()
             for batch in batches:
-                for chunk, n, part in zip(*(c.to_pylist() for c in batch.columns)):
+                for _, chunk, n, part in zip(*(c.to_pylist() for c in batch.columns)):
                     sums[chunk] = sums.get(chunk, 0) + np.frombuffer(part, np.float32).astype(np.float64) * n
                     weights[chunk] += n
             done = [(s / weights[c]).astype(np.float32).tobytes() for c, s in sums.items()]
             yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(done, pa.binary())], names=["chunk", "values"])
 
-        copies = part.select("ids").mapInArrow(run, "chunk int, words long, values binary")
+        ready = part.repartition("cell").sortWithinPartitions("cell", "deal", "ids")
+        copies = ready.mapInArrow(run, "cell int, chunk int, words long, values binary")
         size = -(-len(model.flat()) // CHUNK)
-        means = copies.repartition(size, "chunk").mapInArrow(mean, "chunk int, values binary")
+        # In the order of cells, so that sums are rounded alike.
+        copies = copies.repartition(size, "chunk").sortWithinPartitions("chunk", "cell")
+        means = copies.mapInArrow(mean, "chunk int, values binary")
         found = {r.chunk: r["values"] for r in means.collect()}  # one model, whatever the corpus
         if not found:
             return model
         return model.load(np.concatenate([np.frombuffer(found[k], np.float32) for k in range(size)]))
 
     for k in range(ROUNDS):
-        slice_of = F.pmod(F.xxhash64("uid"), F.lit(ROUNDS))
-        model = averaged(model, rows.filter(~F.col("held_out") & (slice_of == k)))
+        model = averaged(model, dealt.filter(F.col("cell") % ROUNDS == k))
     return model
 
 
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Documents of sorted cells, about ``HELD_WORDS`` words at once."""
+    cell, docs, size = None, [], 0
+    for batch in batches:
+        for this, ids in zip(batch["cell"].to_pylist(), batch["ids"].to_pylist()):
+            if docs and (this != cell or size >= HELD_WORDS):
+                yield cell, docs
+                docs, size = [], 0
+            cell = this
+            docs.append(np.frombuffer(ids, np.uint16))
+            size += len(docs[-1])
+    if docs:
+        yield cell, docs
+
+
 def scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: its log10 probability under the network and under word frequencies.
 

@@ -139,7 +139,8 @@ def pack(
     Columns ``doc_id``, ``start`` (the document's ids before it), ``length``, ``ids_crc32``
     (of the ids as little-endian 32-bit numbers), ``doc_tokens`` (with the end id 1),
     ``sequence_id``, ``offset`` (in the sequence, gapless from 0), ``ids``. Every id is in
-    exactly one piece; a null or empty text is its end id. Sequences are full or have a
+    exactly one piece; a null or empty text is its end id. Ids are those of the tokenizer's file as
+    it is, so the string of a special token in a text is that token's id. Sequences are full or have a
     power of two tokens. Repeated rows and null ids are documents like any other.
     """
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -150,7 +151,7 @@ def pack(
         held: list[np.ndarray] = []
         tokens = 0
         next_id = TaskContext.get().partitionId() << 33
-        codes = encoder(vocabulary)
+        codes = encoder(vocabulary, ordinary=False)
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal next_id
