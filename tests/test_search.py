@@ -140,3 +140,17 @@ def test_open_ended_search(spark):
     two = dt.datetime(1970, 1, 3)
     assert so.matching(rows, so.SearchSpec(start=two)).count() == 2
     assert so.matching(rows, so.SearchSpec(end=two)).count() == 3
+
+
+@pytest.mark.parametrize("size", [1, 7, 20, 100])
+def test_every_page_as_a_range(spark, size):
+    rows = [(k // 5, k % 37, k) for k in range(100)]
+    frame = spark.createDataFrame(rows, "at long, id long, v long").repartition(3)
+    starts = so.page_starts(frame, "at", "id", size, parts=4).persist()
+    want = sorted(rows)
+    for page in range(0, 100 // size + 2, max(1, 20 // size)):
+        got = [tuple(r) for r in so.page_at(frame, starts, page, "at", "id").collect()]
+        assert got == want[page * size : (page + 1) * size]
+    assert so.page_starts(frame.limit(0), "at", "id", size).count() == 0
+    with pytest.raises(ValueError):
+        so.page_starts(frame, "at", "id", 0)

@@ -473,11 +473,12 @@ def encoded_size(rows: DataFrame) -> Column:
 
 
 def sample_rows(rows: DataFrame, unique: str, rate: float) -> DataFrame:
-    """A share of the rows, chosen by the hash of the id, so the same on every run."""
+    """A share of the rows, chosen by the MD5 hash of the id as text, so the same on every run and anywhere."""
     if rate >= 1.0:
         return rows
-    # 53 bits of the hash are exact in a double.
-    share = F.shiftrightunsigned(F.xxhash64(unique), 11) / F.lit(float(1 << 53))
+    # 52 bits of the hash, in 13 hex digits, are exact in a double.
+    head = F.conv(F.substring(F.md5(F.coalesce(F.col(unique).cast("string"), F.lit(""))), 1, 13), 16, 10)
+    share = head.cast("long") / F.lit(float(1 << 52))
     return rows.filter(share < F.lit(float(rate)))
 
 

@@ -174,6 +174,34 @@ def page_numbers(
     return numbered.withColumn("page", floor_div(F.col("_row") - 1, page_size)).drop("_row")
 
 
+def page_starts(
+    frame: DataFrame, time: str, unique: str, page_size: int = 20, parts: int | None = None
+) -> DataFrame:
+    """``page``, and time and id of its first row, oldest first: the table by which pages are found."""
+    if page_size < 1:
+        raise ValueError("a page has at least one row")
+    numbered = row_numbers(frame.select(time, unique), [], time, unique, "_row", parts=parts)
+    first = numbered.filter((F.col("_row") - 1) % page_size == 0)
+    return first.select(floor_div(F.col("_row") - 1, page_size).alias("page"), time, unique)
+
+
+def page_at(frame: DataFrame, starts: DataFrame, page: int, time: str, unique: str) -> DataFrame:
+    """The rows of one page, however deep it lies: a range read between two starts.
+
+    ``starts`` is ``page_starts`` of the same rows; the pair (time, id) must be unique. Of a page that
+    is not there nothing is returned.
+    """
+    bounds = {r["page"]: (r[time], r[unique]) for r in starts.filter(F.col("page").isin(page, page + 1)).collect()}
+    if page not in bounds:
+        return frame.limit(0)
+    at, ident = bounds[page]
+    rows = frame.filter((F.col(time) >= F.lit(at)) & ((F.col(time) > F.lit(at)) | (F.col(unique) >= F.lit(ident))))
+    if page + 1 in bounds:
+        at, ident = bounds[page + 1]
+        rows = rows.filter((F.col(time) <= F.lit(at)) & ((F.col(time) < F.lit(at)) | (F.col(unique) < F.lit(ident))))
+    return rows.orderBy(time, unique)
+
+
 def newest(frame: DataFrame, time: str, unique: str, n: int) -> DataFrame:
     return frame.orderBy(F.col(time).desc(), F.col(unique).desc()).limit(n)
 

@@ -256,14 +256,22 @@ def oversize_split(spark, root):
     )
 
 
-@query("oversize_encoded")
+@query(
+    "oversize_encoded",
+    "SELECT doc_id, size, size > 102400 AS dropped FROM (SELECT doc_id, CAST(strlen(CAST(to_json(struct_pack("
+    "doc_id := doc_id, text := text, lang := lang, source := source, n_chars := n_chars)) AS VARCHAR)) AS BIGINT) AS size FROM documents)",
+)
 def oversize_encoded(spark, root):
     docs = t.table(spark, root, "documents")
     sized = docs.select("doc_id", b.encoded_size(docs).cast("long").alias("size"))
     return sized.withColumn("dropped", F.col("size") > b.MAX_EVENT_BYTES)
 
 
-@query("sample_events")
+@query(
+    "sample_events",
+    "SELECT event_id, event_type FROM events WHERE CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 13) AS BIGINT) "
+    "/ 4503599627370496.0 < 0.25",
+)
 def sample_events(spark, root):
     rows = t.table(spark, root, "events").select("event_id", "event_type")
     return b.sample_rows(rows, "event_id", 0.25)

@@ -9,7 +9,7 @@ from tidelog.functions.times import in_range, search_range, service_range
 from tidelog.operators import search as so
 from tidelog.operators import wordindex as wi
 from tidelog.plans.base import query
-from tidelog.session import work_dir
+from tidelog.session import materialize, work_dir
 from tidelog.sources import tables as t
 
 AS_OF = dt.datetime(2024, 2, 1)
@@ -296,6 +296,18 @@ def page_numbers(spark, root):
     return so.page_numbers(frame, "ts_us", "event_id").select("event_id", "page")
 
 
+@query(
+    "search_deep_page",
+    "SELECT event_id, user_id, value FROM events ORDER BY ts, event_id LIMIT 20 OFFSET (SELECT (count(*) - 1) // 20 // 2 * 20 FROM events)",
+)
+def search_deep_page(spark, root):
+    """The page in the middle of all, read as a range of times and ids."""
+    frame = t.table(spark, root, "events")
+    starts = materialize(so.page_starts(frame, "ts", "event_id"), "page-starts")
+    last = starts.agg(F.max("page")).first()[0]
+    return so.page_at(frame, starts, (last or 0) // 2, "ts", "event_id").select("event_id", "user_id", "value")
+
+
 @query(
     "facets",
     "SELECT 'lang' AS facet, lang AS value, count(*) AS n FROM documents GROUP BY lang "

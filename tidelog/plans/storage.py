@@ -143,6 +143,56 @@ def file_catalog(spark, root):
     return el.file_catalog(spark, _written(spark, root))
 
 
+@query(
+    "catalog_days",
+    "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS rows, TRUE AS complete FROM events GROUP BY 1",
+)
+def catalog_days(spark, root):
+    """What the catalogue says of each day: rows, and whether its files have sizes and checksums of their own."""
+    files = el.file_catalog(spark, _written(spark, root))
+    whole = (F.min("size") > 0) & (F.count_distinct("checksum") == F.count(F.lit(1))) & (F.min(F.length("checksum")) == 64)
+    day = F.regexp_extract("path", r"event_date=([\d-]+)/", 1).alias("day")
+    return files.groupBy(day).agg(F.sum("record_count").alias("rows"), whole.alias("complete"))
+
+
+@query(
+    "rotate_folders",
+    "SELECT o_orderpriority || '/' || o_orderstatus AS folder, count(*) AS files, count(*) > 500 AS rotate FROM orders GROUP BY 1",
+)
+def rotate_folders(spark, root):
+    """Orders as files in folders of their priority and status."""
+    parts = ["o_orderpriority", "o_orderstatus", F.col("o_orderkey").cast("string")]
+    return el.crowded_folders(t.table(spark, root, "orders").select(F.concat_ws("/", *parts).alias("path")), 500)
+
+
+@query(
+    "schema_missing",
+    "SELECT '' AS missing, TRUE AS passed, count(*) AS rows FROM events UNION ALL "
+    "SELECT 'app_bundle_id, window_title', FALSE, count(*) FROM events WHERE event_type = 'click'",
+)
+def schema_missing(spark, root):
+    """A log, and beside it the clicks written without two columns: what files lack, and rows in them."""
+    path, log = work_dir(spark, "event-log"), t.event_log(spark, root)
+    el.write_event_log(log, f"{path}/whole")
+    log.filter("event_type = 'click'").drop("app_bundle_id", "window_title").write.parquet(f"{path}/part")
+    groups = el.footers(spark, path)
+    rows = groups.groupBy("path").agg(F.sum("rows").alias("rows"))
+    found = el.schema_check(groups).join(rows, "path")
+    return found.groupBy("missing", "passed").agg(F.sum("rows").alias("rows"))
+
+
+@query("rowgroup_rows", "SELECT count(*) AS rows, TRUE AS consistent, TRUE AS numbered FROM events")
+def rowgroup_rows(spark, root):
+    """Rows of all row groups, whether their columns agree, and whether groups are numbered from 0."""
+    groups = el.rowgroup_check(el.footers(spark, _written(spark, root)))
+    files = groups.groupBy("path").agg(
+        F.sum("rows").alias("rows"),
+        F.bool_and("consistent").alias("consistent"),
+        (F.max("row_group") + 1 == F.count(F.lit(1))).alias("numbered"),
+    )
+    return files.agg(F.sum("rows").alias("rows"), F.bool_and("consistent").alias("consistent"), F.bool_and("numbered").alias("numbered"))
+
+
 @query("schema_check")
 def schema_check(spark, root):
     return el.schema_check(el.footers(spark, _written(spark, root)))
