@@ -1,36 +1,83 @@
 """Packing of documents into full sequences, each with what is lexically near.
 
-The rows of a task are packed in shards of bounded size, in the order of the input.
-A shard has an inverted index with BM25 weights. A document that no sequence holds yet is
-the seed; the seed's terms look up unused neighbours, best first, and
-these fill the sequence while they fit. The best of those that do not fit is cut, and
-what is left of it begins the next sequence and is its seed. So every sequence is full
-but the last of a shard, which is cut into sequences of powers of two.
+Documents are dealt to shards of bounded size by lexical nearness. A document's *key* is a
+few of its terms, drawn by the weights that the terms have in it: each term has one random number for
+the whole corpus, and the least numbers, divided by a power of the weight, win. So documents that share
+heavy terms tend to share their keys. The order of the keys, cut by a running count of
+tokens, makes the shards; it follows from the documents alone, however the input is partitioned.
+
+A shard has an inverted index with BM25 weights, whose document frequencies and mean
+length are the corpus's. A document that no sequence holds yet is the seed; the seed's terms
+look up unused neighbours, best first, and these fill the sequence while they fit. The best of
+those that do not fit is cut, and what is left of it begins the next sequence and is its seed.
+So every sequence is full but the last of a shard, which is cut into sequences of powers of two.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.vocabulary import VOCABULARY, encoder
+from tidelog.operators.ordered import running
+from tidelog.session import materialize
 
 LENGTH, END = 2048, 1
 #: Tokens of a shard.
-SHARD_TOKENS = 4 << 20
+SHARD_TOKENS = 2 << 20
 K1, B = 1.2, 0.75
+#: Terms of a key, the power of their weights, and the seed of the terms' random numbers.
+KEY_TERMS, POWER, SEED = 4, 4, 11
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """Number of documents, their mean length, and in how many of them each term occurs."""
+
+    count: int
+    mean: float
+    frequency: np.ndarray
+
+    @classmethod
+    def of(cls, docs: list[np.ndarray]) -> Corpus:
+        return cls(len(docs), sum(map(len, docs)) / max(1, len(docs)), np.bincount(np.concatenate([np.unique(d) for d in docs])))
+
+    @cached_property
+    def rare(self) -> np.ndarray:
+        """What the occurrence of each term is worth."""
+        return np.log1p((self.count - self.frequency + 0.5) / (self.frequency + 0.5))
+
+    @cached_property
+    def cost(self) -> np.ndarray:
+        """The random numbers of the terms; a term of one document leads to no neighbour."""
+        drawn = np.random.default_rng(SEED).exponential(size=len(self.frequency))
+        return np.where(self.frequency > 1, drawn, np.inf)
+
+    def weights(self, terms: np.ndarray, counts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
+        """BM25 weights of terms that occur ``counts`` times in documents of ``lengths``."""
+        return self.rare[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths / self.mean))
+
+    def key(self, doc: np.ndarray) -> np.ndarray:
+        """The terms by which a document is dealt."""
+        terms, counts = np.unique(doc, return_counts=True)
+        cost = self.cost[terms] / self.weights(terms, counts, len(doc)) ** POWER
+        first = np.argsort(cost, kind="stable")[:KEY_TERMS]
+        return terms[first[np.isfinite(cost[first])]]
 
 
 class Index:
     """Inverted index of a shard: for each term, the documents and their BM25 weights."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
+        corpus = corpus or Corpus.of(docs)
         bags = [np.unique(d, return_counts=True) for d in docs]
         sizes = np.array([len(b[0]) for b in bags])
         self.begin = np.concatenate(([0], np.cumsum(sizes)))
@@ -39,10 +86,9 @@ class Index:
         owner = np.repeat(np.arange(len(docs)), sizes)
         self.count = len(docs)
         length = np.array([len(d) for d in docs], np.float64)
+        #: In the shard: only these can be looked up.
         self.frequency = np.bincount(terms)
-        rare = np.log1p((self.count - self.frequency + 0.5) / (self.frequency + 0.5))
-        norm = K1 * (1 - B + B * length / length.mean())
-        weight = rare[terms] * counts * (K1 + 1) / (counts + norm[owner])
+        weight = corpus.weights(terms, counts, length[owner])
         self.terms = terms
         order = np.argsort(terms, kind="stable")
         self.posting, self.posted = owner[order], weight[order]
@@ -131,8 +177,71 @@ def _powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int
     return out
 
 
+def token_ids(docs: DataFrame, doc_id: str, text: str, vocabulary: str) -> DataFrame:
+    """``doc_id``, ``ids`` (bytes of their ids and the end, in as few bytes for each as all ids need), ``n``, ``uid``."""
+    kind = _kind(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = encoder(vocabulary, ordinary=False)
+        for batch in batches:
+            found = [codes.encode(body.as_py(), END) for body in batch["text"]]
+            ids = pa.array([d.astype(kind).tobytes() for d in found], pa.binary())
+            yield pa.record_batch([batch["doc_id"], ids, pa.array(map(len, found), pa.int64())], names=["doc_id", "ids", "n"])
+
+    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    ident = slim.schema["doc_id"].dataType.simpleString()
+    coded = slim.mapInArrow(run, f"doc_id {ident}, ids binary, n long")
+    return materialize(coded.withColumn("uid", F.monotonically_increasing_id()), "token-ids")
+
+
+def _kind(vocabulary: str) -> str:
+    return "<u2" if encoder(vocabulary, ordinary=False).size <= 1 << 16 else "<u4"
+
+
+def statistics(coded: DataFrame, vocabulary: str = VOCABULARY) -> Corpus:
+    """Counts over all documents; as many numbers as the vocabulary has entries reach the driver."""
+    kind, size = _kind(vocabulary), encoder(vocabulary, ordinary=False).size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for ids in batch["ids"]:
+                total[np.unique(np.frombuffer(ids.as_py(), kind))] += 1
+        used = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(used, pa.int32()), pa.array(total[used])], names=["term", "docs"])
+
+    count, tokens = coded.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    frequency = np.zeros(size, np.int64)
+    for row in coded.select("ids").mapInArrow(run, "term int, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).collect():
+        frequency[row.term] = row.docs
+    return Corpus(count, tokens / max(1, count), frequency)
+
+
+def shards(coded: DataFrame, corpus: Corpus, shard_tokens: int = SHARD_TOKENS, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``uid``, ``shard`` and ``through``, the tokens up to and with the document, in the order of keys."""
+    kind, shared = _kind(vocabulary), coded.sparkSession.sparkContext.broadcast(corpus)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            keys = [known.key(np.frombuffer(ids.as_py(), kind)).astype(">u4").tobytes() for ids in batch["ids"]]
+            yield pa.record_batch([batch["uid"], batch["n"], batch["mix"], pa.array(keys, pa.binary())], names=["uid", "n", "mix", "key"])
+
+    mix = F.xxhash64(F.col("doc_id").cast("string"), "ids").alias("mix")
+    keyed = coded.select("uid", "n", mix, "ids").mapInArrow(run, "uid long, n long, mix long, key binary")
+    # Only equal rows are left to the order of ``uid``.
+    placed = running(keyed, [], ["key", "mix", "uid"], {"through": ("sum", F.col("n"))})
+    return placed.select("uid", F.expr(f"(through - 1) div {shard_tokens}").alias("shard"), "through")
+
+
 def pack(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, vocabulary: str = VOCABULARY
+    docs: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    length: int = LENGTH,
+    vocabulary: str = VOCABULARY,
+    shard_tokens: int = SHARD_TOKENS,
 ) -> DataFrame:
     """One row for each piece of a document in a sequence of at most ``length`` tokens.
 
@@ -141,29 +250,36 @@ def pack(
     ``sequence_id``, ``offset`` (in the sequence, gapless from 0), ``ids``. Every id is in
     exactly one piece; a null or empty text is its end id. Ids are those of the tokenizer's file as
     it is, so the string of a special token in a text is that token's id. Sequences are full or have a
-    power of two tokens. Repeated rows and null ids are documents like any other.
+    power of two tokens. Repeated rows and null ids are documents like any other. The same
+    documents give the same pieces, whatever the partitions and the order of the input.
     """
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    kind = slim.schema["doc_id"].dataType.simpleString()
+    coded = token_ids(docs, doc_id, text, vocabulary)
+    corpus = statistics(coded, vocabulary)
+    shared, ids_kind = docs.sparkSession.sparkContext.broadcast(corpus), _kind(vocabulary)
+    dealt = coded.drop("n").join(shards(coded, corpus, shard_tokens, vocabulary), "uid").drop("uid")
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "through")
+    kind = dealt.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: list[pa.Array] = []
-        held: list[np.ndarray] = []
-        tokens = 0
-        next_id = TaskContext.get().partitionId() << 33
-        codes = encoder(vocabulary, ordinary=False)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Scalar, np.ndarray]]:
+        for batch in batches:
+            for shard, ident, ids in zip(batch["shard"].to_pylist(), batch["doc_id"], batch["ids"]):
+                yield shard, ident, np.frombuffer(ids.as_py(), ids_kind)
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal next_id
-            sequences = fill([len(d) for d in held], Index(held), length)
-            ids = pa.concat_arrays(names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ident_type = None
+        for shard, group in groupby(rows(batches), key=lambda r: r[0]):
+            _, names, held = zip(*group)
+            ident_type = ident_type or names[0].type
+            ids = pa.array([n.as_py() for n in names], ident_type)
+            sequences = fill([len(d) for d in held], Index(list(held), shared.value), length)
             for begin in range(0, len(sequences), 512):
                 part = sequences[begin : begin + 512]
                 pieces = [p for s in part for p in s]
                 which = [p[0] for p in pieces]
-                cut = [held[d][a : a + n] for d, a, n in pieces]
+                cut = [held[d][a : a + n].astype("<u4") for d, a, n in pieces]
                 sizes = np.array([len(s) for s in part])
-                sequence = np.repeat(next_id + begin + np.arange(len(part)), sizes)
+                # Below 2 ** 33 sequences in a shard.
+                sequence = np.repeat((shard << 33) + begin + np.arange(len(part)), sizes)
                 offset = np.concatenate([np.cumsum([0] + [p[2] for p in s[:-1]]) for s in part])
                 flat = np.concatenate(cut).astype(np.int32)
                 yield pa.record_batch(
@@ -171,7 +287,7 @@ def pack(
                         ids.take(pa.array(which)),
                         pa.array([p[1] for p in pieces], pa.int64()),
                         pa.array([p[2] for p in pieces], pa.int64()),
-                        pa.array([zlib.crc32(c.astype("<u4").tobytes()) for c in cut], pa.int64()),
+                        pa.array([zlib.crc32(c.tobytes()) for c in cut], pa.int64()),
                         pa.array([len(held[d]) for d in which], pa.int64()),
                         pa.array(sequence, pa.int64()),
                         pa.array(offset, pa.int64()),
@@ -179,24 +295,8 @@ def pack(
                     ],
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
                 )
-            next_id += len(sequences)
 
-        for batch in batches:
-            begin = 0
-            texts = batch["text"].to_pylist()
-            for k, body in enumerate(texts):
-                held.append(codes.encode(body, END))
-                tokens += len(held[-1])
-                if tokens >= SHARD_TOKENS:
-                    names.append(batch["doc_id"].slice(begin, k + 1 - begin))
-                    begin = k + 1
-                    yield from flush()
-                    names, held, tokens = [], [], 0
-            names.append(batch["doc_id"].slice(begin))
-        if held:
-            yield from flush()
-
-    return slim.mapInArrow(
+    return dealt.select("shard", "doc_id", "ids").mapInArrow(
         run,
         f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>",
     )

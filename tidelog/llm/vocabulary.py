@@ -26,6 +26,8 @@ class Encoder:
         self.special = () if ordinary else tuple(t.content for t in self.general.get_added_tokens_decoder().values())
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        #: Above all ids.
+        self.size = max(self.general.get_vocab(with_added_tokens=True).values()) + 1
         self.fast = tiktoken.Encoding("fast", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
     def encode(self, text: str | None, end: int) -> np.ndarray:
