@@ -2,7 +2,7 @@
 
 Documents are dealt to shards of bounded size by lexical nearness. A document's *key* is a
 few of its terms, drawn by the weights that the terms have in it: each term has one random number for
-the whole corpus, and the least numbers, divided by a power of the weight, win. So documents that share
+the whole corpus, and the least numbers, divided by the fourth power of the weight, win. So documents that share
 heavy terms tend to share their keys. The order of the keys, cut by a running count of
 tokens, makes the shards; it follows from the documents alone, however the input is partitioned.
 
@@ -28,14 +28,37 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.vocabulary import VOCABULARY, encoder
 from tidelog.operators.ordered import running
-from tidelog.session import materialize
+from tidelog.session import materialize, work_dir
 
 LENGTH, END = 2048, 1
 #: Tokens of a shard.
-SHARD_TOKENS = 2 << 20
+SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
-#: Terms of a key, the power of their weights, and the seed of the terms' random numbers.
-KEY_TERMS, POWER, SEED = 4, 4, 11
+#: A term is frequent in a shard if one in so many documents has it.
+FREQUENT = 8
+#: Terms of a key, and the seed of the terms' random numbers.
+KEY_TERMS, SEED = 4, 11
+
+
+def flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in a column of their bytes, and how many each row has."""
+    wide, size = (np.int64 if pa.types.is_large_binary(column.type) else np.int32), np.dtype(kind).itemsize
+    if not len(column):
+        return np.empty(0, kind), np.empty(0, np.int64)
+    _, places, data = column.buffers()
+    at = np.frombuffer(places, wide, len(column) + 1, column.offset * np.dtype(wide).itemsize).astype(np.int64)
+    values = np.frombuffer(data, kind, (at[-1] - at[0]) // size, at[0]) if data is not None else np.empty(0, kind)
+    return values, np.diff(at) // size
+
+
+def bags(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and occurrences of the terms of documents that lie one after the other, in order."""
+    code = np.repeat(np.arange(len(lengths)), lengths) << 32 | values.astype(np.int64)
+    code.sort()
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.empty(0, np.int64)
+    counts = np.diff(np.append(first, len(code)))
+    code = code[first]
+    return code >> 32, code & 0xFFFFFFFF, counts
 
 
 @dataclass(frozen=True)
@@ -48,7 +71,8 @@ class Corpus:
 
     @classmethod
     def of(cls, docs: list[np.ndarray]) -> Corpus:
-        return cls(len(docs), sum(map(len, docs)) / max(1, len(docs)), np.bincount(np.concatenate([np.unique(d) for d in docs])))
+        lengths = np.array([len(d) for d in docs])
+        return cls(len(docs), float(lengths.mean()), np.bincount(bags(np.concatenate(docs), lengths)[1]))
 
     @cached_property
     def rare(self) -> np.ndarray:
@@ -56,21 +80,28 @@ class Corpus:
         return np.log1p((self.count - self.frequency + 0.5) / (self.frequency + 0.5))
 
     @cached_property
-    def cost(self) -> np.ndarray:
+    def drawn(self) -> np.ndarray:
         """The random numbers of the terms; a term of one document leads to no neighbour."""
-        drawn = np.random.default_rng(SEED).exponential(size=len(self.frequency))
-        return np.where(self.frequency > 1, drawn, np.inf)
+        numbers = np.random.default_rng(SEED).exponential(size=len(self.frequency))
+        return np.where(self.frequency > 1, numbers, np.inf)
 
-    def weights(self, terms: np.ndarray, counts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
+    def weights(self, terms: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """BM25 weights of terms that occur ``counts`` times in documents of ``lengths``."""
         return self.rare[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths / self.mean))
 
-    def key(self, doc: np.ndarray) -> np.ndarray:
-        """The terms by which a document is dealt."""
-        terms, counts = np.unique(doc, return_counts=True)
-        cost = self.cost[terms] / self.weights(terms, counts, len(doc)) ** POWER
-        first = np.argsort(cost, kind="stable")[:KEY_TERMS]
-        return terms[first[np.isfinite(cost[first])]]
+    def keys(self, values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+        """The terms by which documents are dealt, as big-endian bytes."""
+        owner, terms, counts = bags(values, lengths)
+        # The fourth power, as two squares.
+        cost = self.drawn[terms] / np.square(np.square(self.weights(terms, counts, lengths[owner])))
+        begin = np.searchsorted(owner, np.arange(len(lengths) + 1)).tolist()
+        keys = []
+        for a, b in zip(begin, begin[1:]):
+            own = cost[a:b]
+            least = np.argpartition(own, KEY_TERMS)[:KEY_TERMS] if b - a > KEY_TERMS else np.arange(b - a)
+            least = least[np.argsort(own[least])]
+            keys.append(terms[a + least[np.isfinite(own[least])]].astype(">u4").tobytes())
+        return pa.array(keys, pa.binary())
 
 
 class Index:
@@ -78,32 +109,39 @@ class Index:
 
     def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
         corpus = corpus or Corpus.of(docs)
-        bags = [np.unique(d, return_counts=True) for d in docs]
-        sizes = np.array([len(b[0]) for b in bags])
-        self.begin = np.concatenate(([0], np.cumsum(sizes)))
-        terms = np.concatenate([b[0] for b in bags]).astype(np.int64)
-        counts = np.concatenate([b[1] for b in bags]).astype(np.float64)
-        owner = np.repeat(np.arange(len(docs)), sizes)
-        self.count = len(docs)
-        length = np.array([len(d) for d in docs], np.float64)
-        #: In the shard: only these can be looked up.
-        self.frequency = np.bincount(terms)
-        weight = corpus.weights(terms, counts, length[owner])
-        self.terms = terms
-        order = np.argsort(terms, kind="stable")
-        self.posting, self.posted = owner[order], weight[order]
-        self.first = np.concatenate(([0], np.cumsum(self.frequency)))
+        length = np.array([len(d) for d in docs])
+        owner, self.terms, counts = bags(np.concatenate(docs), length)
+        self.count = self.held = len(docs)
+        self.begin = np.searchsorted(owner, np.arange(len(docs) + 1))
+        weight = corpus.weights(self.terms, counts, length[owner])
+        frequency = np.bincount(self.terms)
+        #: The lists of frequent terms are rows with a place for each document, which are quicker to add.
+        frequent = frequency * FREQUENT >= len(docs)
+        self.row = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        self.rows = np.zeros((np.count_nonzero(frequent), len(docs)))
+        often = frequent[self.terms]
+        self.rows[self.row[self.terms[often]], owner[often]] = weight[often]
+        order = np.argsort(self.terms[~often], kind="stable")
+        self.posting, self.posted = owner[~often][order], weight[~often][order]
+        self.first = np.concatenate(([0], np.cumsum(np.where(frequent, 0, frequency))))
+
+    def thin(self, free: np.ndarray) -> None:
+        """Leaves out the documents that are not free."""
+        kept = free[self.posting]
+        self.first = np.concatenate(([0], np.cumsum(kept)))[self.first]
+        self.posting, self.posted = self.posting[kept], self.posted[kept]
+        self.held = np.count_nonzero(free)
 
     def neighbours(self, seed: int, free: np.ndarray) -> list[int]:
         """Free documents that share a term with the seed, best first, then by number."""
         part = slice(self.begin[seed], self.begin[seed + 1])
         terms = self.terms[part]
-        terms = terms[self.frequency[terms] > 1]
-        if not len(terms):
-            return []
-        slices = [slice(self.first[t], self.first[t + 1]) for t in terms]
-        docs = np.concatenate([self.posting[s] for s in slices])
-        scores = np.bincount(docs, np.concatenate([self.posted[s] for s in slices]), self.count)
+        row = self.row[terms]
+        slices = [slice(a, b) for a, b in zip(self.first[terms].tolist(), self.first[terms + 1].tolist()) if a < b]
+        scores = self.rows[row[row >= 0]].sum(axis=0)
+        if slices:
+            docs = np.concatenate([self.posting[s] for s in slices])
+            scores += np.bincount(docs, np.concatenate([self.posted[s] for s in slices]), self.count)
         found = np.flatnonzero((scores > 0) & free)
         return found[np.argsort(-scores[found], kind="stable")].tolist()
 
@@ -113,11 +151,14 @@ def fill(sizes: list[int], index: Index, length: int = LENGTH) -> list[list[tupl
     free = np.ones(len(sizes), bool)
     sequences: list[list[tuple[int, int, int]]] = []
     current: list[tuple[int, int, int]] = []
-    room, following = length, 0
+    room, following, left = length, 0, len(sizes)
 
     def place(doc: int) -> None:
-        nonlocal current, room
+        nonlocal current, room, left
         free[doc] = False
+        left -= 1
+        if 4 * left < 3 * index.held:
+            index.thin(free)
         start = 0
         while start < sizes[doc]:
             size = min(room, sizes[doc] - start)
@@ -190,8 +231,11 @@ def token_ids(docs: DataFrame, doc_id: str, text: str, vocabulary: str) -> DataF
 
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     ident = slim.schema["doc_id"].dataType.simpleString()
-    coded = slim.mapInArrow(run, f"doc_id {ident}, ids binary, n long")
-    return materialize(coded.withColumn("uid", F.monotonically_increasing_id()), "token-ids")
+    coded = slim.mapInArrow(run, f"doc_id {ident}, ids binary, n long").withColumn("uid", F.monotonically_increasing_id())
+    path = work_dir(docs.sparkSession, "token-ids")
+    # Ids of documents do not repeat as a whole.
+    coded.write.options(**{"compression": "zstd", "parquet.enable.dictionary#ids": "false"}).parquet(path)
+    return docs.sparkSession.read.schema(coded.schema).parquet(path)
 
 
 def _kind(vocabulary: str) -> str:
@@ -205,8 +249,7 @@ def statistics(coded: DataFrame, vocabulary: str = VOCABULARY) -> Corpus:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch["ids"]:
-                total[np.unique(np.frombuffer(ids.as_py(), kind))] += 1
+            total += np.bincount(bags(*flat(batch["ids"], kind))[1], minlength=size)
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used, pa.int32()), pa.array(total[used])], names=["term", "docs"])
 
@@ -224,13 +267,13 @@ def shards(coded: DataFrame, corpus: Corpus, shard_tokens: int = SHARD_TOKENS, v
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            keys = [known.key(np.frombuffer(ids.as_py(), kind)).astype(">u4").tobytes() for ids in batch["ids"]]
-            yield pa.record_batch([batch["uid"], batch["n"], batch["mix"], pa.array(keys, pa.binary())], names=["uid", "n", "mix", "key"])
+            keys = known.keys(*flat(batch["ids"], kind))
+            yield pa.record_batch([batch["uid"], batch["n"], batch["mix"], keys], names=["uid", "n", "mix", "key"])
 
     mix = F.xxhash64(F.col("doc_id").cast("string"), "ids").alias("mix")
     keyed = coded.select("uid", "n", mix, "ids").mapInArrow(run, "uid long, n long, mix long, key binary")
-    # Only equal rows are left to the order of ``uid``.
-    placed = running(keyed, [], ["key", "mix", "uid"], {"through": ("sum", F.col("n"))})
+    # Written, as dealing out by ranges runs it twice. Only equal rows are left to the order of ``uid``.
+    placed = running(materialize(keyed, "keys"), [], ["key", "mix", "uid"], {"through": ("sum", F.col("n"))})
     return placed.select("uid", F.expr(f"(through - 1) div {shard_tokens}").alias("shard"), "through")
 
 
@@ -242,12 +285,13 @@ def pack(
     length: int = LENGTH,
     vocabulary: str = VOCABULARY,
     shard_tokens: int = SHARD_TOKENS,
+    with_ids: bool = True,
 ) -> DataFrame:
     """One row for each piece of a document in a sequence of at most ``length`` tokens.
 
     Columns ``doc_id``, ``start`` (the document's ids before it), ``length``, ``ids_crc32``
     (of the ids as little-endian 32-bit numbers), ``doc_tokens`` (with the end id 1),
-    ``sequence_id``, ``offset`` (in the sequence, gapless from 0), ``ids``. Every id is in
+    ``sequence_id``, ``offset`` (in the sequence, gapless from 0), and ``ids`` if asked for. Every id is in
     exactly one piece; a null or empty text is its end id. Ids are those of the tokenizer's file as
     it is, so the string of a special token in a text is that token's id. Sequences are full or have a
     power of two tokens. Repeated rows and null ids are documents like any other. The same
@@ -256,14 +300,20 @@ def pack(
     coded = token_ids(docs, doc_id, text, vocabulary)
     corpus = statistics(coded, vocabulary)
     shared, ids_kind = docs.sparkSession.sparkContext.broadcast(corpus), _kind(vocabulary)
-    dealt = coded.drop("n").join(shards(coded, corpus, shard_tokens, vocabulary), "uid").drop("uid")
+    # A few bytes for each document, so that side is the one to hash.
+    places = shards(coded, corpus, shard_tokens, vocabulary).hint("shuffle_hash")
+    dealt = coded.drop("n").join(places, "uid").drop("uid")
     dealt = dealt.repartition("shard").sortWithinPartitions("shard", "through")
-    kind = dealt.schema["doc_id"].dataType.simpleString()
+    numbers = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    out = {"doc_id": dealt.schema["doc_id"].dataType.simpleString(), **dict.fromkeys(numbers, "long")}
+    if with_ids:
+        out["ids"] = "array<int>"
+    names_out = list(out)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Scalar, np.ndarray]]:
         for batch in batches:
-            for shard, ident, ids in zip(batch["shard"].to_pylist(), batch["doc_id"], batch["ids"]):
-                yield shard, ident, np.frombuffer(ids.as_py(), ids_kind)
+            values, lengths = flat(batch["ids"], ids_kind)
+            yield from zip(batch["shard"].to_pylist(), batch["doc_id"], np.split(values, np.cumsum(lengths)[:-1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ident_type = None
@@ -281,27 +331,23 @@ def pack(
                 # Below 2 ** 33 sequences in a shard.
                 sequence = np.repeat((shard << 33) + begin + np.arange(len(part)), sizes)
                 offset = np.concatenate([np.cumsum([0] + [p[2] for p in s[:-1]]) for s in part])
-                flat = np.concatenate(cut).astype(np.int32)
-                yield pa.record_batch(
-                    [
-                        ids.take(pa.array(which)),
-                        pa.array([p[1] for p in pieces], pa.int64()),
-                        pa.array([p[2] for p in pieces], pa.int64()),
-                        pa.array([zlib.crc32(c.tobytes()) for c in cut], pa.int64()),
-                        pa.array([len(held[d]) for d in which], pa.int64()),
-                        pa.array(sequence, pa.int64()),
-                        pa.array(offset, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(c) for c in cut]), pa.int32()), pa.array(flat)),
-                    ],
-                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
-                )
-
-    return dealt.select("shard", "doc_id", "ids").mapInArrow(
-        run,
-        f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>",
-    )
+                columns = [
+                    ids.take(pa.array(which)),
+                    pa.array([p[1] for p in pieces], pa.int64()),
+                    pa.array([p[2] for p in pieces], pa.int64()),
+                    pa.array([zlib.crc32(c.tobytes()) for c in cut], pa.int64()),
+                    pa.array([len(held[d]) for d in which], pa.int64()),
+                    pa.array(sequence, pa.int64()),
+                    pa.array(offset, pa.int64()),
+                ]
+                if with_ids:
+                    ends = pa.array(np.cumsum([0] + [len(c) for c in cut]), pa.int32())
+                    columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(cut).astype(np.int32))))
+                yield pa.record_batch(columns, names=names_out)
+
+    return dealt.select("shard", "doc_id", "ids").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in out.items()))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """``pack`` without the ids."""
-    return pack(docs, **options).drop("ids")
+    return pack(docs, with_ids=False, **options)
