@@ -67,6 +67,43 @@ def test_catalogue_footers_and_checks(spark, log, written):
     assert el.crowded_folders(catalogue).filter("rotate").count() == 0
 
 
+def tree_by_hand(data, chunk, fan):
+    import hashlib
+
+    level = [hashlib.sha256(b"leaf:" + data[i : i + chunk]).hexdigest() for i in range(0, max(1, len(data)), chunk)]
+    while len(level) > 1:
+        groups = [level[i : i + fan] for i in range(0, len(level), fan)]
+        level = [g[0] if len(g) == 1 else hashlib.sha256(("node:" + ",".join(g)).encode()).hexdigest() for g in groups]
+    return level[0]
+
+
+@pytest.mark.parametrize("chunk,fan", [(7, 3), (100, 2), (1 << 20, 1024)])
+def test_tree_hashes(spark, tmp_path, chunk, fan):
+    contents = {f"f{n}": bytes((n * i) % 251 for i in range(n)) for n in (0, 1, 6, 7, 8, 21, 22, 150, 700, 1500)}
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    # Spark does not list files without bytes.
+    files = spark.createDataFrame([(f"file:{tmp_path}/{name}", len(data)) for name, data in contents.items()], "path string, size long")
+    listed = el.list_files(spark, str(tmp_path), "*").select(F.regexp_replace("path", "^file:/*", "file:/").alias("path"), "size")
+    assert listed.exceptAll(files).count() == 0 and listed.count() == len(contents) - 1
+    got = {r.path.rsplit("/", 1)[1]: r.checksum for r in el.tree_hashes(files, chunk, fan).collect()}
+    assert got == {name: tree_by_hand(data, chunk, fan) for name, data in contents.items()}
+    assert el.tree_hashes(files.limit(0)).count() == 0
+    short = files.withColumn("size", F.col("size") + 1)
+    with pytest.raises(Exception, match="shorter than listed"):
+        el.tree_hashes(short, chunk, fan)
+
+
+def test_catalogue_tells_changed_bytes_and_columns(spark, log, written):
+    catalogue = el.file_catalog(spark, written)
+    checks = ("size", "checksum", "record_count", "columns")
+    assert st.verify_files(catalogue, catalogue, checks).filter("not passed").count() == 0
+    assert {r.columns for r in catalogue.select("columns").distinct().collect()} == {",".join(EVENT_COLUMNS)}
+    other = catalogue.withColumn("columns", F.concat("columns", F.lit(",more")))
+    got = st.verify_files(catalogue, other, checks)
+    assert got.filter("columns_ok or not checksum_ok").count() == 0 and got.filter("passed").count() == 0
+
+
 def test_verify_reports_each_check(spark):
     cols = "path string, size long, checksum string, record_count long"
     expected = spark.createDataFrame([("a", 1, "x", 1), ("b", 1, "x", None), ("c", 1, "x", 1), ("d", 1, "x", 1)], cols)

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.times import floor_div, in_range, ns_to_date, ns_to_timestamp
 from tidelog.schema import EVENT_COLUMNS
+from tidelog.session import materialize
 from tidelog.sources.arrow_files import open_fs
 
 # Accepted codecs; anything else is written as snappy.
@@ -18,8 +21,10 @@ CODECS = {"SNAPPY": "snappy", "GZIP": "gzip", "LZ4": "lz4_raw", "ZSTD": "zstd"}
 BLOOM_COLUMNS = ["app_bundle_id", "window_title"]
 SHARDS = 256
 MAX_FILES_PER_FOLDER = 1000
-# Bounds a file at a few hundred MB, which also bounds what one checksum task reads.
+# Bounds a file at a few hundred MB.
 ROWS_PER_FILE = 2_000_000
+#: Bytes of a file that are hashed at once, and hashes that are combined to one.
+CHUNK_BYTES, FAN = 4 << 20, 1024
 
 
 def layout_columns(strategy: str, ns: Column, event_type: Column) -> dict[str, Column]:
@@ -176,6 +181,44 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> Da
     )
 
 
+def tree_hashes(files: DataFrame, chunk_bytes: int = CHUNK_BYTES, fan: int = FAN) -> DataFrame:
+    """``path`` and ``checksum`` of files (``path``, ``size``), from parts that are hashed in parallel.
+
+    A leaf is the SHA-256, in hex digits, of ``leaf:`` and a chunk of the file; a file of no bytes is
+    one empty chunk. Up to ``fan`` neighbours make a node: the SHA-256 of ``node:`` and their hex
+    digits, in order, joined by commas. One alone goes up as it is. The last one left is the checksum. A
+    task holds one chunk at a time, so files may be of any size. A file that is shorter
+    than listed ends the job.
+    """
+    files = materialize(files.select("path", "size"), "listed")
+    last = F.greatest(F.ceil(F.col("size") / F.lit(chunk_bytes)) - 1, F.lit(0)).cast("long")
+    chunks = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("place"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path, size, place in zip(*(batch[c].to_pylist() for c in ("path", "size", "place"))):
+                system, name = open_fs(path)
+                wanted = min(chunk_bytes, size - place * chunk_bytes)
+                with system.open_input_file(name) as source:
+                    part = source.read_at(wanted, place * chunk_bytes) if wanted else b""
+                if len(part) != wanted:
+                    raise OSError(f"{path} is shorter than listed")
+                found.append(hashlib.sha256(b"leaf:" + part).hexdigest())
+            yield pa.record_batch([batch["path"], batch["place"], pa.array(found, pa.string())], names=["path", "place", "hash"])
+
+    # Written, so that no file is read again when the result is used again.
+    level = materialize(chunks.repartition("path", "place").mapInArrow(digest, "path string, place long, hash string"), "leaves")
+    most = (files.agg(F.max(last)).first()[0] or 0) + 1
+    while most > 1:
+        parts = F.sort_array(F.collect_list(F.struct("place", "hash")))["hash"]
+        nodes = level.groupBy("path", floor_div(F.col("place"), fan).alias("place")).agg(parts.alias("parts"))
+        joined = F.sha2(F.concat(F.lit("node:"), F.array_join("parts", ",")), 256)
+        level = nodes.select("path", "place", F.when(F.size("parts") == 1, F.col("parts")[0]).otherwise(joined).alias("hash"))
+        most = -(-most // fan)
+    return level.select("path", F.col("hash").alias("checksum"))
+
+
 def file_catalog(
     spark: SparkSession,
     path: str,
@@ -183,44 +226,24 @@ def file_catalog(
     schema_version: str = "1.0.0",
     encrypted: bool = False,
 ) -> DataFrame:
-    """path, size, time, format, compression, SHA-256 and row count of every file of a log.
+    """path, size, time, format, compression, checksum, columns and row count of every file of a log.
 
     Whether payloads are encrypted and the version of the schema are the caller's to say.
-
-    Files are hashed where they are read, one per task at a time; ``write_event_log``
-    bounds their size.
+    Files are hashed in chunks (``tree_hashes``), and ``columns`` are those of their footers, in order.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .load(path)
-        .select(
-            "path",
-            F.col("length").alias("size"),
-            F.unix_seconds("modificationTime").alias("created_at"),
-            F.lit("parquet").alias("format"),
-            F.coalesce(
-                F.nullif(F.regexp_extract("path", r"\.(\w+)\.parquet$", 1), F.lit("")), F.lit("none")
-            ).alias("compression"),
-            F.lit(encrypted).alias("encrypted"),
-            F.lit(schema_version).alias("schema_version"),
-            F.sha2("content", 256).alias("checksum"),
-        )
-    )
-    rows = (
-        spark.read.parquet(path)
-        .groupBy(F.col("_metadata.file_path").alias("_file"))
-        .agg(F.count(F.lit(1)).alias("record_count"))
-    )
-    # The two readers spell local paths differently: compare what follows the scheme.
-    tail = [F.regexp_replace(c, "^[a-z0-9]+:/*", "/") for c in ("path", "_file")]
-    joined = files.withColumn("_tail", tail[0]).join(
-        rows.withColumn("_tail", tail[1]).drop("_file"), "_tail", "left"
-    )
-    return joined.drop("_tail").withColumn(
-        "record_count", F.coalesce("record_count", F.lit(0).cast("long"))
+    listed = materialize(list_files(spark, path, pattern), "files")
+    footer = materialize(footers(spark, path, pattern).groupBy("path").agg(F.first("columns").alias("columns"), F.sum("rows").alias("record_count")), "footers")
+    files = listed.select(
+        "path",
+        "size",
+        F.unix_seconds("modified").alias("created_at"),
+        F.lit("parquet").alias("format"),
+        F.coalesce(F.nullif(F.regexp_extract("path", r"\.(\w+)\.parquet$", 1), F.lit("")), F.lit("none")).alias("compression"),
+        F.lit(encrypted).alias("encrypted"),
+        F.lit(schema_version).alias("schema_version"),
     )
+    found = files.join(tree_hashes(listed), "path", "left").join(footer, "path", "left")
+    return found.withColumn("record_count", F.coalesce("record_count", F.lit(0).cast("long")))
 
 
 def crowded_folders(files: DataFrame, limit: int = MAX_FILES_PER_FOLDER) -> DataFrame:
