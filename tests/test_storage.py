@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from tidelog.schema import EVENT_COLUMNS, EVENT_LOG
 from tidelog.session import work_dir
 from tidelog.sources import eventlog as el
 from tidelog.sources import export as ex
+from tidelog.sources.arrow_files import ArrowFiles, read_batches
 from tidelog.sources import tables as t
 
 
@@ -67,6 +69,22 @@ def test_catalogue_footers_and_checks(spark, log, written):
     assert el.crowded_folders(catalogue).filter("rotate").count() == 0
 
 
+@pytest.mark.parametrize("bound", [1, 7, 1000])
+def test_arrow_files_are_bounded_and_read_by_batches(spark, tmp_path, bound):
+    rows = spark.range(0, 40, 1, 3).select("id", F.concat(F.lit("t"), "id").alias("name"), F.array("id").alias("list"))
+    path = str(tmp_path / "files")
+    spark.dataSource.register(ArrowFiles)
+    rows.write.format("arrow_files").option("path", path).option("maxRecordsPerFile", bound).mode("overwrite").save()
+    sizes = [pa.ipc.open_file(str(f)).read_all().num_rows for f in (tmp_path / "files").glob("*.arrow")]
+    assert sum(sizes) == 40 and max(sizes) <= bound and len(sizes) == sum(-(-n // bound) for n in (13, 13, 14))
+    files = el.list_files(spark, path, "*.arrow")
+    back = read_batches(files, rows.schema)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    some = rows.select("name").schema
+    assert sorted(r.name for r in read_batches(files, some).collect()) == sorted(f"t{k}" for k in range(40))
+    assert read_batches(files.limit(0), rows.schema).count() == 0
+
+
 def tree_by_hand(data, chunk, fan):
     import hashlib
 

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.functions.times import rfc3339
 from tidelog.session import qualified
-from tidelog.sources.arrow_files import ArrowFiles
+from tidelog.sources.arrow_files import SUFFIX, ArrowFiles, read_batches
+from tidelog.sources.eventlog import list_files
 
 # Formats, and the compressions each of them accepts.
 FORMATS = ("json", "csv", "parquet", "arrow")
@@ -64,14 +60,6 @@ def export(rows: DataFrame, path: str, kind: str, compression: str | None = None
         writer.format("arrow_files").option("path", qualified(rows.sparkSession, path)).save()
 
 
-def _arrow_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for content in batch.column("content"):
-            reader = pa.ipc.open_file(io.BytesIO(content.as_py()))
-            for i in range(reader.num_record_batches):
-                yield reader.get_batch(i)
-
-
 def read_export(spark: SparkSession, path: str, kind: str, schema: T.StructType) -> DataFrame:
     """Read an export strictly: a row that does not fit the schema is an error."""
     if kind == "json":
@@ -88,8 +76,7 @@ def read_export(spark: SparkSession, path: str, kind: str, schema: T.StructType)
         )
     if kind == "parquet":
         return spark.read.parquet(path)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").load(path)
-    return files.select("content").mapInArrow(_arrow_batches, schema)
+    return read_batches(list_files(spark, path, f"*{SUFFIX}"), schema)
 
 
 def validate_export(
