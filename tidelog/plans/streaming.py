@@ -12,7 +12,8 @@ from tidelog.plans.storage import _COLS, _LOG
 from tidelog.schema import EVENT_LOG, RAW_EVENTS
 from tidelog.session import work_dir
 from tidelog.sources import tables as t
-from tidelog.streaming import jobs, stateful
+from tidelog.sources.eventlog import ROWS_PER_FILE
+from tidelog.streaming import compaction, jobs, stateful
 from tidelog.streaming.tables import read_table
 
 DAY = 86_400
@@ -22,11 +23,11 @@ DAY = 86_400
 FILES, FILE_ROWS = 4, 1_000_000
 
 
-def _raw(spark, root):
+def _raw(spark, root, least=FILES):
     """The events as they arrive: several files, written one after the other, one a batch."""
     path, raw = work_dir(spark, "arriving"), t.table(spark, root, "events")
     first, last, n = raw.agg(F.min(t.arrival()), F.max(t.arrival()), F.count(F.lit(1))).first()
-    files = max(FILES, -(-n // FILE_ROWS))
+    files = max(least, -(-n // FILE_ROWS))
     width = ((last or 0) - (first or 0)) // files + 1
     for k in range(files):
         start = (first or 0) + k * width
@@ -68,6 +69,37 @@ def stream_ledger(spark, root):
     return ledger.agg(*[F.sum(c).alias(c) for c in ledger.columns])
 
 
+def _compacted(spark, root):
+    """Eight batches, packed after every third of them and at the end."""
+    out = work_dir(spark, "stream-compact")
+    _run(t.as_event_log(_raw(spark, root, 8)), jobs.ingest_handler(out, compact_every=3), out)
+    compaction.compact(spark, f"{out}/events", EVENT_LOG, before=2**62)
+    return f"{out}/events"
+
+
+@query("stream_compact", f"SELECT {_COLS} FROM {_LOG}")
+def stream_compact(spark, root):
+    return compaction.read_compacted(spark, _compacted(spark, root), EVENT_LOG)
+
+
+@query(
+    "compacted_days",
+    "SELECT CAST(to_timestamp(timestamp_ns / 1000000000) AT TIME ZONE 'UTC' AS DATE) AS event_date, count(*) AS events, "
+    f"true AS few_files, true AS bounded FROM {_LOG} GROUP BY 1",
+)
+def compacted_days(spark, root):
+    """Days of a log after eight batches: few files, and none with more rows than allowed."""
+    rows = compaction.read_compacted(spark, _compacted(spark, root), EVENT_LOG, folders=True)
+    files = rows.groupBy("event_date", F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    # Folders of over half a file stay, and of all packed files of a day at most one is less full.
+    most = 2 * F.sum("n") / F.lit(ROWS_PER_FILE) + 1
+    return files.groupBy("event_date").agg(
+        F.sum("n").alias("events"),
+        (F.count(F.lit(1)) <= most).alias("few_files"),
+        (F.max("n") <= ROWS_PER_FILE).alias("bounded"),
+    )
+
+
 @query("stream_alert", _alert_sql("AuthenticationFailure", 5, 6, True, "temporarily blocked"))
 def stream_alert(spark, root):
     out = work_dir(spark, "stream-alert")

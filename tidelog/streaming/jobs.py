@@ -22,7 +22,9 @@ from tidelog.functions.times import floor_div
 from tidelog.operators import quality as q
 from tidelog.operators import search as so
 from tidelog.operators.behaviour import route_events
+from tidelog.schema import EVENT_LOG
 from tidelog.sources import eventlog as el
+from tidelog.streaming.compaction import compact
 from tidelog.streaming.tables import read_state, write_batch, write_state
 
 Handler = Callable[[DataFrame, int], None]
@@ -65,7 +67,7 @@ def start(
 # -- ingest ------------------------------------------------------------------------------
 
 
-def ingest_handler(root: str, temporal: bool = True) -> Handler:
+def ingest_handler(root: str, temporal: bool = True, compact_every: int | None = None) -> Handler:
     """Validate, split off frames, write events by day; issues and a ledger aside.
 
     Events are written as ``write_event_log`` writes them: sorted, compressed, with bloom filters
@@ -73,6 +75,9 @@ def ingest_handler(root: str, temporal: bool = True) -> Handler:
     more than once and steps of over an hour between neighbours in time. A batch of files
     has no order of arrival; a stream that numbers its rows uses ``sequence_handler`` for
     that. Reports without rows are not written.
+
+    After each ``compact_every`` batches the small files of earlier ones are packed; read such a log
+    by ``compaction.read_compacted``.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -105,6 +110,9 @@ def ingest_handler(root: str, temporal: bool = True) -> Handler:
                         write_batch(rows, f"{root}/{name}", batch_id)
                     rows.unpersist()
             write_batch(spark.createDataFrame([found], ledger.schema), f"{root}/ledger", batch_id)
+            if compact_every and batch_id and batch_id % compact_every == 0:
+                # This batch may run again, those before it are done.
+                compact(spark, f"{root}/events", EVENT_LOG, before=batch_id)
         finally:
             checked.unpersist()
 
