@@ -28,6 +28,7 @@ from tidelog.session import materialize
 
 CELL = "_cell"
 COPY = "_copy"
+_PLACE = "_place"
 
 
 def _sorted(order: list[str], down: bool) -> list[Column]:
@@ -69,6 +70,11 @@ class Split:
         return self.frame.join(F.broadcast(edges), group == F.col("_edge")).drop("_edge")
 
 
+def _dealt(frame: DataFrame, keys: list[str], order: list[str], parts: int | None, down: bool) -> DataFrame:
+    by = [*map(F.col, keys), *_sorted(order, down)]
+    return frame.repartitionByRange(parts, *by) if parts else frame.repartitionByRange(*by)
+
+
 def split_groups(
     frame: DataFrame, keys: list[str], order: list[str], parts: int | None = None, down: bool = False
 ) -> Split:
@@ -77,8 +83,7 @@ def split_groups(
     ``order`` holds columns of any type that can be sorted. ``parts`` is the number of
     ranges; without it, the session decides. ``down`` turns the order round.
     """
-    by = [*map(F.col, keys), *_sorted(order, down)]
-    dealt = frame.repartitionByRange(parts, *by) if parts else frame.repartitionByRange(*by)
+    dealt = _dealt(frame, keys, order, parts, down)
     # Written, so that every use of it sees the same ranges.
     return Split(materialize(dealt.withColumn(CELL, F.spark_partition_id()), "cells"), list(keys), list(order), down)
 
@@ -94,23 +99,36 @@ def with_previous(
 ) -> Split:
     """Split so that every row sees its ``depth`` predecessors (``down``: successors) in its window.
 
-    Apply window functions over ``split.window``, then call ``split.own``.
+    Apply window functions over ``split.window``, then call ``split.own``. The last rows of a cell go
+    to the next ones whatever their keys; those of other groups stand alone there and are dropped.
     """
-    split = split_groups(frame, keys, [at, seq], parts, down)
-    newest = Window.partitionBy(*split.by).orderBy(*_sorted(split.order, not down))
-    tails = split.at_edges().withColumn("_back", F.row_number().over(newest)).filter(F.col("_back") <= depth)
-    # Only ``depth`` rows per cell and group are left, so this window is small.
-    ahead = Window.partitionBy(*keys).orderBy(*_sorted(split.order, down)).rowsBetween(1, depth)
-    copies = (
-        tails.drop("_back")
-        .withColumn("_to", F.array_distinct(F.collect_list(CELL).over(ahead)))
-        .withColumn("_to", F.explode(F.filter("_to", lambda c: c != F.col(CELL))))
-        .withColumn(CELL, F.col("_to"))
-        .drop("_to")
-        .withColumn(COPY, F.lit(True))
-    )
-    both = split.frame.withColumn(COPY, F.lit(False)).unionByName(copies)
-    return Split(both, split.keys, split.order, down)
+    order = [at, seq]
+    dealt = _dealt(frame, keys, order, parts, down).sortWithinPartitions(*map(F.col, keys), *_sorted(order, down))
+    # The upper bits of the id are the number of the partition, the lower ones count its rows.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+    cells = materialize(dealt.withColumns({CELL: F.spark_partition_id(), _PLACE: place}), "cells")
+    # One row for each partition, and with it the next ones that need its last rows.
+    sizes = sorted(cells.groupBy(CELL).agg(F.max(_PLACE) + 1).collect())
+    routes = frame.sparkSession.createDataFrame(_routes(sizes, depth), f"{CELL} int, _first long, _routes array<struct<to int, first long>>")
+    sent = F.transform(F.filter("_routes", lambda r: F.col(_PLACE) >= r.first), lambda r: F.struct(r.to.alias(CELL), F.lit(True).alias("copy")))
+    stays = F.array(F.struct(F.col(CELL), F.lit(False).alias("copy")))
+    goes = F.when(F.col(_PLACE) >= F.col("_first"), F.concat(stays, sent)).otherwise(stays)
+    both = cells.join(F.broadcast(routes), CELL, "left").withColumn("_goes", F.explode(goes))
+    both = both.select(*frame.columns, F.col("_goes")[CELL].alias(CELL), F.col("_goes")["copy"].alias(COPY))
+    return Split(both, list(keys), order, down)
+
+
+def _routes(sizes: list[tuple[int, int]], depth: int) -> list[tuple]:
+    """Which rows of a cell, from which place on, the later cells need: those of the ``depth`` before them."""
+    routes: dict[int, list[tuple[int, int]]] = {}
+    for i, (to, _) in enumerate(sizes):
+        wanted, j = depth, i
+        while wanted > 0 and j > 0:
+            j -= 1
+            cell, rows = sizes[j]
+            routes.setdefault(cell, []).append((to, max(rows - wanted, 0)))
+            wanted -= rows
+    return [(cell, min(first for _, first in ways), ways) for cell, ways in routes.items()]
 
 
 _COMBINE = {
