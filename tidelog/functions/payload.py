@@ -44,7 +44,8 @@ def is_json(text: Column) -> Column:
 
     The parser stops after the first value, so the text is parsed once inside an
     array and once inside an object: what follows a first value can close only
-    one of the two, and a second value makes the array longer.
+    one of the two, and a second value makes the array longer. A document that does
+    not fit into a variant (128 MiB) counts as not valid.
     """
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     keyed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))

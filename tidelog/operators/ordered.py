@@ -13,8 +13,9 @@ begun before it:
 * ``trailing_count`` counts the events of the last ``span`` as the difference of two
   running counts, which stays linear where a range frame is quadratic.
 
-The lists of groups at the edges of cells have at most two rows for each partition, so
-they are broadcast. There is one plan for all sizes.
+The lists of groups at the edges of cells have at most two rows for each partition, and
+those of the cells that need a cell's last rows one, so they are broadcast. There is one
+plan for all sizes.
 """
 
 from __future__ import annotations
