@@ -85,6 +85,36 @@ def test_close_words_share_a_form(spark, seed):
     assert all(r["size"] <= 29 for r in rows)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_close_words_share_a_piece(spark, seed):
+    """Any long word within two edits of another has a piece where the other is looked up, in either direction."""
+    rng = random.Random(seed)
+    pairs = []
+    for _ in range(600):
+        word = "".join(rng.choices("abé", k=rng.randint(3, 14)))
+        other = list(word)
+        for _ in range(2):
+            place = rng.randint(0, len(other))
+            other[place : place + rng.randint(0, 1)] = rng.choice(["", "a", "b", "z"])
+        pairs += [(word, "".join(other)), ("".join(other), word)]
+    frame = spark.createDataFrame(pairs, "term string, query string").filter(F.octet_length("term") >= wi.LONG)
+    frame = frame.withColumn("near", tx.edit_distance(F.col("term"), F.col("query")) <= 2)
+    probes = wi.piece_probes(F.col("query"))
+    rows = frame.select("*", F.arrays_overlap(wi.pieces(F.col("term")), probes).alias("met"), F.size(probes).alias("size")).collect()
+    assert all(r.met for r in rows if r.near) and sum(r.near for r in rows) > 300
+    assert all(r["size"] <= 19 for r in rows)
+
+
+def test_words_cost_few_rows(spark):
+    """A word of the index has three rows to be found within two edits by, or some forms if it is short."""
+    words = [f"{k:05d}abcdefgh"[k % 9 :] for k in range(900)]
+    docs = spark.createDataFrame([(0, " ".join(words))], "doc_id long, text string")
+    index = wi.write_word_index(docs, work_dir(spark, "index"), "doc_id", "text")
+    sizes = [len(w) for w in set(words)]
+    rows = index.table("forms").count() + index.table("pieces").count()
+    assert rows <= sum(3 if n >= wi.LONG else 16 for n in sizes)
+
+
 def test_patterns_read_candidates_only(built):
     docs, index = built
     pattern = r"(?i)[a-z]+tion\s+(these|été)"

@@ -6,9 +6,10 @@ term, a bitmap where many have. So unions and intersections are bit operations o
 
 Words that are not known exactly are first looked up among the distinct words, which are
 far fewer than the texts' words: those that contain a part through the three-character
-grams of the part, those within two edits through *deletion forms*. If two words are
-within two edits, one form of each, with at most two of the first characters left out, is the
-same; so all of them are found, and the exact distance decides.
+grams of the part, those within two edits through their *pieces*. A word is cut into three, so two edits
+leave one piece as it is, and it lies in the other word at one of few places. Words too short
+for that have *deletion forms*: if two words are within two edits, one form of each, with at most
+two of the first characters left out, is the same. So all of them are found, and the exact distance decides.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ WORD, TAG, DAY = "word", "tag", "day"
 DENSE = 1024
 #: Edits that deletion forms find, and the characters that they leave out some of.
 EDITS, HEAD = 2, 7
+#: Symbols of a word from which it is found by its pieces, of two symbols at least; one more than edits.
+LONG, PIECES = 6, EDITS + 1
 GRAM = 3
 
 
@@ -78,6 +81,44 @@ def deletion_forms(text: Column, head: int = HEAD) -> Column:
     return F.array_distinct(F.concat(F.array(start), one, two))
 
 
+def _piece_start(size: Column, part: int) -> Column:
+    """Place, from 1, of a piece of a word of ``size`` symbols; that of the piece after the last ends the word."""
+    return F.floor(size * F.lit(part - 1) / F.lit(PIECES)).cast("int") + 1
+
+
+def pieces(text: Column) -> Column:
+    """The pieces of a text: its size in symbols, the number and the symbols of each."""
+    shown, size = _shown(text), F.octet_length(text)
+    cuts = [_piece_start(size, part) for part in range(1, PIECES + 2)]
+    return F.array(
+        *[
+            F.struct(size.alias("size"), F.lit(k + 1).alias("part"), F.substring(shown, cuts[k], cuts[k + 1] - cuts[k]).alias("piece"))
+            for k in range(PIECES)
+        ]
+    )
+
+
+def piece_probes(text: Column) -> Column:
+    """What a text has where a word within ``EDITS`` edits may have a piece unchanged.
+
+    Of the pieces of such a word, let the first be taken up to which there are fewer edits than pieces. It has
+    none, and there are ``part - 1`` before it and at most ``EDITS + 1 - part`` after it, which
+    bounds how far it can be moved as seen from either end.
+    """
+    shown, own = _shown(text), F.octet_length(text)
+    probes = []
+    for longer in range(-EDITS, EDITS + 1):
+        size = own - longer  # of the word looked for
+        for part in range(1, PIECES + 1):
+            start, end = _piece_start(size, part), _piece_start(size, part + 1)
+            left, right = part - 1, EDITS + 1 - part
+            for move in range(max(-left, longer - right), min(left, longer + right) + 1):
+                here = (size >= LONG) & (start + move >= 1) & (end + move <= own + 1)
+                piece = F.substring(shown, start + move, end - start)
+                probes.append(F.when(here, F.struct(size.alias("size"), F.lit(part).alias("part"), piece.alias("piece"))))
+    return F.array_distinct(F.array_compact(F.array(*probes)))
+
+
 def grams(text: Column, size: int = GRAM) -> Column:
     """All runs of ``size`` characters; none of a shorter text."""
     starts = F.sequence(F.lit(1), F.greatest(F.char_length(text) - size + 1, F.lit(1)))
@@ -120,8 +161,11 @@ def write_word_index(
     terms = lists.groupBy("field", "term").agg(F.sum(F.size("places")).alias("docs"))
     _write(terms, f"{path}/terms", "field", "term")
     words = all_words(WordIndex(docs.sparkSession, path, unique))
-    long_words = words.filter(F.octet_length("term") > 3)
-    _write(long_words.select(F.explode(deletion_forms(F.col("term"))).alias("form"), "term"), f"{path}/forms", "form", "term", ranges=False)
+    size = F.octet_length("term")
+    short = words.filter((size > 3) & (size < LONG))
+    _write(short.select(F.explode(deletion_forms(F.col("term"))).alias("form"), "term"), f"{path}/forms", "form", "term", ranges=False)
+    cut = words.filter(size >= LONG).select(F.inline(pieces(F.col("term"))), "term")
+    _write(cut, f"{path}/pieces", "size", "part", "piece", "term", ranges=False)
     _write(words.select(F.explode(grams(F.col("term"))).alias("gram"), "term"), f"{path}/grams", "gram", "term", ranges=False)
     return WordIndex(docs.sparkSession, path, unique)
 
@@ -151,16 +195,20 @@ def words_near(index: WordIndex, queries: DataFrame, query: str = "query", dista
     Distances are those of ``functions.text.edit_distance``; queries are taken as written.
     """
     asked = queries.select(F.col(query).alias("query")).filter("query is not null").distinct()
-    probes = asked.select("query", F.explode(deletion_forms(F.col("query"))).alias("form"))
-    found = probes.join(index.table("forms"), "form").select("query", "term")
-    return found.distinct().filter(_close(F.col("query"), distance))
+    forms = asked.select("query", F.explode(deletion_forms(F.col("query"))).alias("form"))
+    parts = asked.select("query", F.inline(piece_probes(F.col("query"))))
+    short = forms.join(index.table("forms"), "form").select("query", "term")
+    long = parts.join(index.table("pieces"), ["size", "part", "piece"]).select("query", "term")
+    return short.unionByName(long).filter(_close(F.col("query"), distance)).distinct()
 
 
 def words_near_one(index: WordIndex, query: str, distance: int = EDITS) -> DataFrame:
-    """``term``: the words near one query. Its few forms are a filter that reaches the scan."""
-    one = index.spark.range(1).select(deletion_forms(F.lit(query)).alias("forms"))
-    wanted = reduce(lambda a, b: a | b, [F.col("form") == form for form in one.first().forms])
-    return index.table("forms").filter(wanted).select("term").distinct().filter(_close(F.lit(query), distance))
+    """``term``: the words near one query. Its few forms and places of pieces are filters that reach the scans."""
+    [one] = index.spark.range(1).select(deletion_forms(F.lit(query)).alias("forms"), piece_probes(F.lit(query)).alias("probes")).collect()
+    short = index.table("forms").filter(F.col("form").isin(one.forms)).select("term")
+    wanted = [(F.col("size") == p["size"]) & (F.col("part") == p["part"]) & (F.col("piece") == p["piece"]) for p in one.probes]
+    long = index.table("pieces").filter(reduce(lambda a, b: a | b, wanted, F.lit(False))).select("term")
+    return short.unionByName(long).filter(_close(F.lit(query), distance)).distinct()
 
 
 def _close(query: Column, distance: int) -> Column:
