@@ -144,6 +144,21 @@ def test_many_buckets(spark):
     assert ids(wi.documents(index, both)) == [k for k in (7, 40_007) if k % 3 == 0]
 
 
+@pytest.mark.parametrize("files", [1, 7])
+def test_numbers_are_dense_and_no_text_is_dealt_out(spark, files, tmp_path):
+    ids_ = [(k if k % 9 else None, f"w{k} all") for k in range(100)]
+    spark.createDataFrame(ids_, "doc_id long, text string").repartition(files).write.parquet(str(tmp_path / "docs"))
+    read = spark.read.option("maxPartitionBytes", "1").parquet(str(tmp_path / "docs"))
+    rows = read.select("doc_id", F.array_distinct(tx.tokens(F.col("text"))).alias("_word"))
+    numbered = wi._numbered(rows)
+    assert "Exchange rangepartitioning" not in numbered._jdf.queryExecution().toString()
+    numbers = [r["n"] for r in numbered.selectExpr("(bucket - 1) * 32768 + place as n").collect()]
+    assert sorted(numbers) == list(range(100))
+    index = wi.write_word_index(read, work_dir(spark, "index"), "doc_id", "text")
+    assert wi.documents(index, wi.any_of(index, wi.WORD, ["all"])).filter("doc_id is null").count() == 12
+    assert ids(wi.documents(index, wi.any_of(index, wi.WORD, ["w5", "w50"]))) == [5, 50]
+
+
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     index = wi.write_word_index(docs, work_dir(spark, "index"), "doc_id", "text")

@@ -1,6 +1,6 @@
 """A written index of words, tags and days, and searches that read it instead of the texts.
 
-Documents get dense numbers in the order of their ids. Numbers are cut into buckets of 32,768, and a
+Documents get dense numbers in the order in which they lie. Numbers are cut into buckets of 32,768, and a
 posting list has one entry for each bucket: a sorted array where few documents have the
 term, a bitmap where many have. So unions and intersections are bit operations on buckets.
 
@@ -17,11 +17,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import text as tx
-from tidelog.operators.ordered import running
 from tidelog.session import materialize
 
 WORD, TAG, DAY = "word", "tag", "day"
@@ -126,6 +125,20 @@ def grams(text: Column, size: int = GRAM) -> Column:
     return F.when(F.char_length(text) >= size, found).otherwise(F.array().cast("array<string>"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with ``bucket`` and ``place`` of dense numbers from 1, written as they lie: no row is sorted or dealt out."""
+    # The upper bits of the id are the number of the partition, the lower ones count its rows.
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+    laid = materialize(rows.withColumns({"_part": F.spark_partition_id(), "_row": row}), "numbered")
+    # One row for each partition.
+    sizes = laid.groupBy("_part").agg((F.max("_row") + 1).alias("_rows"))
+    earlier = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select("_part", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    number = F.col("_before") + F.col("_row") + 1
+    placed = {"bucket": F.bitmap_bucket_number(number), "place": F.bitmap_bit_position(number)}
+    return laid.join(F.broadcast(before), "_part").select(*rows.columns, *[c.alias(name) for name, c in placed.items()])
+
+
 def write_word_index(
     docs: DataFrame, path: str, unique: str, text: str, tags: Column | None = None, day: Column | None = None
 ) -> WordIndex:
@@ -140,10 +153,7 @@ def write_word_index(
     if day is not None:
         fields[DAY] = F.array(day.cast("string"))
     rows = docs.select(F.col(unique), *[values.alias(f"_{name}") for name, values in fields.items()])
-    numbered = running(rows, [], [unique], {"number": ("sum", F.lit(1).cast("long"))})
-    numbered = materialize(
-        numbered.withColumns({"bucket": F.bitmap_bucket_number("number"), "place": F.bitmap_bit_position("number")}), "numbered"
-    )
+    numbered = _numbered(rows)
     _write(numbered.select("bucket", "place", unique), f"{path}/docs", "bucket", "place")
     posted = reduce(
         DataFrame.unionByName,
@@ -153,13 +163,14 @@ def write_word_index(
         ],
     )
     lists = posted.groupBy("field", "term", "bucket").agg(F.sort_array(F.collect_list(F.col("place").cast("int"))).alias("places"))
-    lists = materialize(lists, "lists")
-    _write(lists.filter(F.size("places") < DENSE), f"{path}/sparse", "field", "term", "bucket")
+    # Sorted here, so that the sparse ones are written as they lie.
+    lists = materialize(lists.sortWithinPartitions("field", "term", "bucket"), "lists")
+    lists.filter(F.size("places") < DENSE).write.mode("overwrite").parquet(f"{path}/sparse")
     many = lists.filter(F.size("places") >= DENSE).select("field", "term", "bucket", F.explode("places").alias("place"))
     dense = many.groupBy("field", "term", "bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
     _write(dense, f"{path}/dense", "field", "term", "bucket")
     terms = lists.groupBy("field", "term").agg(F.sum(F.size("places")).alias("docs"))
-    _write(terms, f"{path}/terms", "field", "term")
+    terms.sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/terms")
     words = all_words(WordIndex(docs.sparkSession, path, unique))
     size = F.octet_length("term")
     short = words.filter((size > 3) & (size < LONG))
