@@ -1,5 +1,6 @@
 """A stream over several files must give what the batch operator gives."""
 
+import datetime as dt
 import time
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import quality as q
 from tidelog.operators import security as sec
+from tidelog.plans import streaming as plans
 from tidelog.schema import EVENT_LOG, RAW_EVENTS
 from tidelog.session import work_dir
 from tidelog.sources import eventlog as el
@@ -237,3 +239,27 @@ def test_late_failures_count_for_later_events(spark):
     got = alerts_of(spark, batches_of(spark, batches)).collect()
     want = sec.auth_alerts(spark.createDataFrame(failures, FAILURE)).collect()
     assert [(r.event_id, r.recent) for r in got] == [(r.event_id, r.recent) for r in want] == [("e290", 5)]
+
+
+@pytest.mark.parametrize("ids", [range(40), [*range(5), None, *range(900, 920)], []])
+def test_arriving_files_read_the_events_twice(spark, monkeypatch, ids):
+    """Once for their bounds and once to deal them out, whatever the number of files; oldest events in the oldest file."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    data = [(k, dt.datetime(2024, 1, 1), 1, "error", 0.5, "{}") for k in ids]
+    raw = spark.createDataFrame(data, plans.RAW_EVENTS).mapInArrow(count, plans.RAW_EVENTS)
+    monkeypatch.setattr(plans.t, "table", lambda *a: raw)
+    got = plans._raw(spark, "", 8)
+    assert read.value <= 2 * len(data)
+    path = work_dir(spark, "seen")
+    seen = []
+    query = got.writeStream.foreachBatch(lambda rows, k: seen.append([r.event_id for r in rows.collect()]))
+    query.option("checkpointLocation", path).trigger(availableNow=True).start().awaitTermination()
+    places = [[k + 7 * (k % 50 == 0) for k in batch] for batch in seen if batch]
+    assert sorted(k for batch in seen for k in batch) == sorted(k for k in ids if k is not None)
+    assert all(max(a) < min(b) for a, b in zip(places, places[1:]))

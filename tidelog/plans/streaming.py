@@ -3,6 +3,7 @@ tables it has written are the result. The checks are those of the batch form."""
 
 from pyspark.sql import functions as F
 
+from tidelog.functions.times import floor_div
 from tidelog.operators import search as so
 from tidelog.plans.base import CHECKS, query
 from tidelog.plans.search import _ARRIVALS, K
@@ -12,7 +13,7 @@ from tidelog.plans.storage import _COLS, _LOG
 from tidelog.schema import EVENT_LOG, RAW_EVENTS
 from tidelog.session import work_dir
 from tidelog.sources import tables as t
-from tidelog.sources.eventlog import ROWS_PER_FILE
+from tidelog.sources.eventlog import ROWS_PER_FILE, folder_exists
 from tidelog.streaming import compaction, jobs, stateful
 from tidelog.streaming.tables import read_table
 
@@ -29,9 +30,13 @@ def _raw(spark, root, least=FILES):
     first, last, n = raw.agg(F.min(t.arrival()), F.max(t.arrival()), F.count(F.lit(1))).first()
     files = max(least, -(-n // FILE_ROWS))
     width = ((last or 0) - (first or 0)) // files + 1
+    # All events are dealt out once; then each file is written from its own, as a stream takes the oldest first.
+    number = floor_div(t.arrival() - F.lit(first or 0), width)
+    dealt, staged = raw.withColumn("file_number", number).filter("file_number is not null"), work_dir(spark, "dealt")
+    dealt.repartition(files, "file_number").write.partitionBy("file_number").parquet(staged)
     for k in range(files):
-        start = (first or 0) + k * width
-        part = raw.filter((t.arrival() >= start) & (t.arrival() < start + width))
+        own = f"{staged}/file_number={k}"
+        part = spark.read.schema(raw.schema).parquet(own) if folder_exists(spark, own) else spark.createDataFrame([], raw.schema)
         part.coalesce(1).write.mode("append").parquet(path)
     return jobs.file_stream(spark, path, RAW_EVENTS, files_per_batch=1)
 
