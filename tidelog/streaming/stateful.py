@@ -41,24 +41,24 @@ class SlidingFailures(StatefulProcessor):
         self.threshold, self.window_us, self.id_type, self.kept_s = threshold, window_us, id_type, kept_s
 
     def init(self, handle) -> None:
-        schema = f"ts_us long, event_id {self.id_type}, own boolean, told boolean"
-        self.events = handle.getListState("events", schema, ttlDurationMs=1000 * self.kept_s)
+        # One row with the events in order: as rows of their own, their transfer would take most of the time.
+        schema = f"ts_us array<long>, event_id array<{self.id_type}>, own array<boolean>, told array<boolean>"
+        self.events = handle.getValueState("events", schema, ttlDurationMs=1000 * self.kept_s)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        events = [list(e) for e in self.events.get()]
-        events += [[r.ts_us, r.event_id, r.own, False] for r in rows]
+        held = self.events.get()
+        events = [*zip(*held)] if held else []
+        events += [(r.ts_us, r.event_id, r.own, False) for r in rows]
         # Null ids first, as Spark sorts.
         events.sort(key=lambda e: (e[0], e[1] is not None, e[1] if e[1] is not None else 0))
-        times = [e[0] for e in events]
-        for place, event in enumerate(events):
-            at, ident, own, told = event
-            if not own or told:
-                continue
+        times, idents, owns, tolds = map(list, zip(*events))
+        for place in [k for k, (own, told) in enumerate(zip(owns, tolds)) if own and not told]:
+            at = times[place]
             recent = place + 1 - bisect_right(times, at - self.window_us)
             if recent >= self.threshold:
-                event[3] = True
-                yield Row(source=key[0], ts_us=at, event_id=ident, recent=recent)
-        self.events.put([tuple(e) for e in events])
+                tolds[place] = True
+                yield Row(source=key[0], ts_us=at, event_id=idents[place], recent=recent)
+        self.events.update((times, idents, owns, tolds))
 
     def close(self) -> None:
         pass
