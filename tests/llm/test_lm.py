@@ -83,6 +83,23 @@ def test_windows_do_not_grow_with_the_longest_document():
     assert told.tolist() == [len(d) for d in docs] and peak < 8 << 20
 
 
+def test_windows_use_the_same_memory_again():
+    rng = np.random.default_rng(9)
+    model, docs = gru.start(rng.integers(1, 50, 400)), docs_of(rng, 400, 399, rng.integers(40, 90, 600))
+    first, second = list(gru.windows(docs, 399))[:2]
+    state, room = np.zeros((first.given.shape[1], gru.HIDDEN), np.float32), gru.Room()
+    _, state, _ = gru.slopes(model, first, state, room)
+    state = state[: second.given.shape[1]].copy()
+    alone = gru.slopes(model, second, state)
+    tracemalloc.start()
+    again = gru.slopes(model, second, state, room)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20, peak
+    assert all(np.array_equal(again[0][k], alone[0][k]) for k in alone[0])
+    assert np.array_equal(again[1], alone[1]) and again[2] == alone[2]
+
+
 def test_windows_hold_each_lane_in_order():
     rng = np.random.default_rng(8)
     docs = docs_of(rng, 20, 19, rng.integers(0, 90, 40))

@@ -9,6 +9,7 @@ runs backpropagation through windows of ``STEPS`` steps; the state goes on from
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,8 @@ import numpy as np
 
 HIDDEN, CLASSES, STEPS, LANES = 16, 48, 32, 512
 RATE, UPDATES, CLIP = 0.08, 64, 5.0
+#: States whose classes are told at once, so that their logits stay in a cache.
+BLOCK = 2_048
 
 
 @dataclass
@@ -130,113 +133,177 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def forward(model: Model, window: Window, state: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
-    """States after each step, and what the way back needs."""
-    a, h = model.arrays, HIDDEN
-    given = a["input"][window.given]
-    states, trace = np.empty((*window.given.shape, h), np.float32), []
+class Room:
+    """Memory by name that is used again in every window, as fresh pages cost as much as the arithmetic."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, shape: tuple[int, ...], kind: np.dtype) -> np.ndarray:
+        size, old = math.prod(shape), self.held.get(name)
+        if old is None or old.size < size or old.dtype != kind:
+            old = self.held[name] = np.empty(size, kind)
+        return old[:size].reshape(shape)
+
+
+def _gates(a: np.ndarray) -> np.ndarray:
+    """The columns of the three gates as arrays of their own, so that steps work on memory without gaps."""
+    return np.ascontiguousarray(a.reshape(len(a), 3, HIDDEN).transpose(1, 0, 2))
+
+
+def _rows(a: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``a`` at the places ``at``, whose order is free; a fourth of the time of ``a[at]``."""
+    return np.take(a.reshape(-1, HIDDEN), at, axis=0)
+
+
+def _begins(window: Window) -> list[np.ndarray]:
+    """For each step the lanes in which a document begins."""
+    step, lane = np.nonzero(window.keep == 0)
+    return np.split(lane, np.searchsorted(step, np.arange(1, len(window.keep))))
+
+
+def forward(model: Model, window: Window, state: np.ndarray, room: Room | None = None) -> tuple[np.ndarray, tuple]:
+    """States after each step, and what the way back needs: those before, the gates, what ``reset`` weighs, and begins.
+
+    They lie in ``room`` and hold until it is used again.
+    """
+    room, given = room or Room(), window.given
+    into, inner = _gates(model.arrays["input"]), _gates(model.arrays["state"])
+    kind, shape = inner.dtype, (*given.shape, HIDDEN)
+    gates = room("gates", (3, *shape), kind)
+    for gate, table in zip(gates, into):
+        np.take(table, given, axis=0, out=gate, mode="clip")
+    states, befores, kept = (room(name, shape, kind) for name in ("states", "befores", "kept"))
+    three, one = room("three", (3, *shape[1:]), kind), room("one", shape[1:], kind)
+    begins = _begins(window)
     for t in range(len(given)):
-        before = state * window.keep[t][:, None]
-        inner = before @ a["state"]
-        gates = _sigmoid(given[t, :, : 2 * h] + inner[:, : 2 * h])
-        reset, stay = gates[:, :h], gates[:, h:]
-        new = np.tanh(given[t, :, 2 * h :] + reset * inner[:, 2 * h :])
-        state = states[t] = new + stay * (before - new)
-        trace.append((before, reset, stay, new, inner[:, 2 * h :]))
-    return states, trace
-
-
-def _log_sums(logits: np.ndarray) -> np.ndarray:
-    """Logarithm of the sum of exponentials of each row."""
+        before, two, (reset, stay, new) = befores[t], gates[:2, t], gates[:, t]
+        before[:] = state
+        if len(begins[t]):
+            before[begins[t]] = 0
+        np.matmul(before, inner, out=three)
+        kept[t] = three[2]
+        two += three[:2]
+        _sigmoid(two)
+        new += np.multiply(reset, three[2], out=one)
+        np.tanh(new, out=new)
+        state = np.subtract(before, new, out=states[t])
+        state *= stay
+        state += new
+    return states, (befores, gates, kept, begins)
+
+
+def _choice(logits: np.ndarray, pick: np.ndarray, room: Room, wrong: bool) -> np.ndarray:
+    """Log-probabilities of the picked columns; if ``wrong``, ``logits`` become the slopes for the logits."""
+    pick = np.arange(0, logits.size, logits.shape[1]) + pick
     with np.errstate(over="ignore"):
-        sums = np.log(np.exp(logits).sum(axis=1))
+        exps = np.exp(logits, out=room("exps", logits.shape, logits.dtype))
+    sums = np.log(exps.sum(axis=1))
     if not np.isfinite(sums).all():
         top = logits.max(axis=1, keepdims=True)
         sums = np.log(np.exp(logits - top).sum(axis=1)) + top[:, 0]
-    return sums
+    flat = logits.reshape(-1)
+    told = np.take(flat, pick) - sums
+    if wrong:
+        logits -= sums[:, None]
+        np.exp(logits, out=logits)
+        np.negative(logits, out=logits)
+        flat[pick] += 1
+    return told
 
 
-def _told(model: Model, states: np.ndarray, wanted: np.ndarray, slopes: dict | None):
+def _told(model: Model, states: np.ndarray, wanted: np.ndarray, slopes: dict | None, room: Room | None = None):
     """Log-probabilities of the wanted words; with ``slopes``, also the slope of their sum for the states."""
-    a, bounds = model.arrays, model.bounds
+    a, bounds, room, wrong = model.arrays, model.bounds, room or Room(), slopes is not None
     kind = np.repeat(np.arange(len(bounds) - 1, dtype=np.int16), np.diff(bounds))[wanted]
     order = np.argsort(kind, kind="stable")
-    states, wanted, kind = states[order], wanted[order], kind[order]
-    rows = np.arange(len(wanted))
-    logits = states @ a["class_weight"] + a["class_bias"]
-    sums = _log_sums(logits)
-    told = logits[rows, kind] - sums
-    if slopes is not None:
-        error = -np.exp(logits - sums[:, None])
-        error[rows, kind] += 1
-        slopes["class_weight"], slopes["class_bias"] = states.T @ error, error.sum(axis=0)
-        back = error @ a["class_weight"].T
+    states, wanted, kind = _rows(states, order), wanted[order], kind[order]
+    told, whole = np.empty(len(wanted), states.dtype), len(wanted) if wrong else BLOCK
+    logits = room("logits", (whole, len(bounds) - 1), states.dtype)
+    for k in range(0, len(wanted), BLOCK):
+        part = slice(k, min(k + BLOCK, len(wanted)))
+        here = logits[part] if wrong else logits[: part.stop - k]
+        np.matmul(states[part], a["class_weight"], out=here)
+        here += a["class_bias"]
+        told[part] = _choice(here, kind[part], room, wrong)
+    if wrong:
+        slopes["class_weight"], slopes["class_bias"] = states.T @ logits, logits.sum(axis=0)
+        back = logits @ a["class_weight"].T
         slopes["word_weight"], slopes["word_bias"] = np.zeros_like(a["word_weight"]), np.zeros_like(a["word_bias"])
     edges = np.searchsorted(kind, np.arange(len(bounds)))
-    for k in np.flatnonzero(np.diff(edges)):
-        part, low, high = slice(edges[k], edges[k + 1]), bounds[k], bounds[k + 1]
-        if high - low == 1:
-            continue
-        weight, pick = a["word_weight"][low:high], wanted[part] - low
-        logits = states[part] @ weight.T + a["word_bias"][low:high]
-        sums = _log_sums(logits)
-        told[part] += logits[np.arange(len(pick)), pick] - sums
-        if slopes is not None:
-            error = -np.exp(logits - sums[:, None])
-            error[np.arange(len(pick)), pick] += 1
-            slopes["word_weight"][low:high] = error.T @ states[part]
-            slopes["word_bias"][low:high] = error.sum(axis=0)
-            back[part] += error @ weight
+    for k in np.flatnonzero((np.diff(edges) > 0) & (np.diff(bounds) > 1)):
+        part, own = slice(edges[k], edges[k + 1]), slice(bounds[k], bounds[k + 1])
+        weight, bias, near = a["word_weight"][own], a["word_bias"][own], states[part]
+        logits = np.matmul(near, weight.T, out=room("words", (len(near), len(bias)), states.dtype))
+        logits += bias
+        told[part] += _choice(logits, wanted[part] - bounds[k], room, wrong)
+        if wrong:
+            slopes["word_weight"][own] = logits.T @ near
+            slopes["word_bias"][own] = logits.sum(axis=0)
+            back[part] += logits @ weight
     undo = np.empty_like(order)
-    undo[order] = rows
-    return (told[undo], back[undo]) if slopes is not None else told[undo]
+    undo[order] = np.arange(len(order))
+    return (told[undo], _rows(back, undo)) if wrong else told[undo]
 
 
 def score(model: Model, docs: list[np.ndarray], end: int) -> np.ndarray:
     """Natural log-probability of each whole document."""
     total = np.zeros(len(docs))
-    state = None
+    state, room = None, Room()
     for window in windows(docs, end):
         if state is None:
             state = np.zeros((window.given.shape[1], HIDDEN), np.float32)
-        states, _ = forward(model, window, state[: window.given.shape[1]])
+        states, _ = forward(model, window, state[: window.given.shape[1]], room)
         state = states[-1]
-        use = window.wanted >= 0
-        told = _told(model, states[use], window.wanted[use], None)
-        total += np.bincount(window.owner[use], told, len(docs))
+        at = np.flatnonzero(window.wanted >= 0)
+        told = _told(model, _rows(states, at), window.wanted.ravel()[at], None, room)
+        total += np.bincount(window.owner.ravel()[at], told, len(docs))
     return total
 
 
-def slopes(model: Model, window: Window, state: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
+def slopes(
+    model: Model, window: Window, state: np.ndarray, room: Room | None = None
+) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
     """Slopes of the sum of log-probabilities in a window, the state after it, and the sum."""
-    a, h = model.arrays, HIDDEN
-    states, trace = forward(model, window, state)
-    use = window.wanted >= 0
+    a, h, room = model.arrays, HIDDEN, room or Room()
+    states, (befores, gates, kept, begins) = forward(model, window, state, room)
+    at = np.flatnonzero(window.wanted >= 0)
     out: dict[str, np.ndarray] = {}
-    told, back = _told(model, states[use], window.wanted[use], out)
-    wide = np.zeros_like(states)
-    wide[use] = back
-    inner = np.empty((*window.given.shape, 3 * h), np.float32)
-    outer = np.empty_like(inner)
-    later = np.zeros_like(state)
-    for t in range(len(trace) - 1, -1, -1):
-        before, reset, stay, new, kept = trace[t]
-        slope = wide[t] + later
-        fresh = slope * (1 - stay) * (1 - new * new)
-        hold = slope * (before - new) * stay * (1 - stay)
-        wipe = fresh * kept * reset * (1 - reset)
-        inner[t, :, :h] = outer[t, :, :h] = wipe
-        inner[t, :, h : 2 * h] = outer[t, :, h : 2 * h] = hold
-        outer[t, :, 2 * h :] = fresh
-        inner[t, :, 2 * h :] = fresh * reset
-        later = (slope * stay + inner[t] @ a["state"].T) * window.keep[t][:, None]
-    befores = np.stack([x[0] for x in trace]).reshape(-1, h)
-    out["state"] = befores.T @ inner.reshape(-1, 3 * h)
-    given = window.given.ravel()
+    told, back = _told(model, _rows(states, at), window.wanted.ravel()[at], out, room)
+    wide = back.reshape(states.shape) if len(at) == window.wanted.size else np.zeros_like(states)
+    if len(at) < window.wanted.size:
+        wide.reshape(-1, h)[at] = back
+    # Slopes of what goes into the gates: of the input's part, and, as ``reset`` weighs it, of the state's.
+    outer = room("outer", gates.shape, gates.dtype)
+    inner = room("inner", (*states.shape[:2], 3, h), states.dtype)
+    weight, later, ones = a["state"].T, np.zeros_like(states[0]), room("three", gates[:2, 0].shape, states.dtype)
+    for t in range(len(states) - 1, -1, -1):
+        two, (reset, stay, new), (wipe, hold, fresh), slope = gates[:2, t], gates[:, t], outer[:, t], wide[t]
+        slope += later
+        np.subtract(befores[t], new, out=hold)
+        hold *= slope
+        np.subtract(1, two, out=ones)
+        np.multiply(slope, ones[1], out=fresh)
+        new *= new
+        np.subtract(1, new, out=new)
+        fresh *= new
+        np.multiply(fresh, kept[t], out=wipe)
+        outer[:2, t] *= two
+        outer[:2, t] *= ones
+        inner[t, :, :2] = outer[:2, t].transpose(1, 0, 2)
+        np.multiply(fresh, reset, out=inner[t, :, 2])
+        slope *= stay
+        np.matmul(inner[t].reshape(-1, 3 * h), weight, out=later)
+        later += slope
+        if len(begins[t]):
+            later[begins[t]] = 0
+    out["state"] = befores.reshape(-1, h).T @ inner.reshape(-1, 3 * h)
+    given = window.given.ravel().astype(np.uint16)  # numbers of 16 bits are sorted digit by digit
     order = np.argsort(given, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], given[order][1:] != given[order][:-1])))
-    out["input"] = np.add.reduceat(outer.reshape(-1, 3 * h)[order], first)
-    out["input_rows"] = given[order][first]
+    given = given[order]
+    first = np.flatnonzero(np.concatenate(([True], given[1:] != given[:-1])))
+    out["input"] = np.concatenate([np.add.reduceat(_rows(x, order), first) for x in outer], axis=1)
+    out["input_rows"] = given[first]
     return out, states[-1], float(told.sum())
 
 
@@ -244,11 +311,11 @@ def train(model: Model, docs: list[np.ndarray], end: int) -> tuple[float, int]:
     """One pass over the documents, in place: one step of Adagrad for each window. Returns log-probability and words."""
     size = sum(map(len, docs))
     lanes = int(np.clip(size // (STEPS * UPDATES), 16, LANES))
-    total, words, state = 0.0, 0, None
+    total, words, state, room = 0.0, 0, None, Room()
     for window in windows(docs, end, lanes):
         if state is None:
             state = np.zeros((window.given.shape[1], HIDDEN), np.float32)
-        found, state, told = slopes(model, window, state[: window.given.shape[1]])
+        found, state, told = slopes(model, window, state[: window.given.shape[1]], room)
         count = int((window.wanted >= 0).sum())
         total, words = total + told, words + count
         touched = found.pop("input_rows")
@@ -257,6 +324,11 @@ def train(model: Model, docs: list[np.ndarray], end: int) -> tuple[float, int]:
         for name, slope in found.items():
             rows = touched if name == "input" else slice(None)
             slope *= scale
-            model.squares[name][rows] += slope * slope
-            model.arrays[name][rows] += RATE * slope / np.sqrt(model.squares[name][rows])
+            square = model.squares[name][rows]
+            square += slope * slope
+            if name == "input":
+                model.squares[name][rows] = square
+            slope *= RATE
+            slope /= np.sqrt(square)
+            model.arrays[name][rows] += slope
     return total, words
